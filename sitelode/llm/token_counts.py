@@ -38,12 +38,14 @@ class PreTokens:
     """Splits texts as the word-level BPE file does. Special strings in a text are tokens of their own."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.normal = self.tokenizer.normalizer.normalize_str
+        self.encoder = Tokenizer.from_file(path)  # for pre-tokens, which are normal already
+        self.encoder.normalizer = normalizers.Sequence([])
         self.pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.find_settled, self.settled = regex.compile(PRE_TOKEN).findall, regex.compile(SETTLED).fullmatch
         self.cut = regex.compile("|".join(map(regex.escape, SPECIAL))).split
@@ -59,7 +61,7 @@ class PreTokens:
         return [t for p in parts if p for t in self.find(self.normal(p))], len(parts) - 1
 
     def sizes(self, pre_tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
+        return [len(e.ids) for e in self.encoder.encode_batch(pre_tokens, add_special_tokens=False)]
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
