@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import katz, simhash, token_counts
-from sitelode.llm.common import table
+from sitelode.llm import katz, langid, simhash, token_counts, toxicity
+from sitelode.llm.common import remainder, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    return langid.identify(docs, langid.profiles(docs.where(~held)), held)
+
+
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"), katz.fold(7, 2))
 
@@ -24,10 +29,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.sample(docs, labels, remainder("id", 5) == 0))
+    return toxicity.score(docs, model, remainder("doc_id", 5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_langid": op3_langid,
     "op6_katz": op6_katz,
     "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
