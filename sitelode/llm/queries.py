@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import decontamination, katz, langid, mixing, simhash, token_counts, toxicity
+from sitelode.llm import decontamination, katz, langid, mixing, simhash, token_counts, toolcalls, toxicity, vptree, warc
 from sitelode.llm.common import remainder, table
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = toolcalls.link(*toolcalls.of_turns(table(spark, sf_dir, "conversations")), toolcalls.SCHEMAS)
+    return linked.select("conv_id", "call_id", "place", "name", "level", "copies", "result_place", "status", "valid", "json")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,6 +24,16 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.profiles(docs.where(~held)), held)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read(spark, warc.write(table(spark, sf_dir, "pages"), revisit_from=0))
+    return read.where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vptree.usable(table(spark, sf_dir, "embeddings"))
+    return vptree.nearest(vectors, vectors.where("id % 100 = 0"), k=10, factor=1.0)
+
+
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"), katz.fold(7, 2))
 
@@ -44,8 +59,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_simhash": op2_simhash,
     "op3_langid": op3_langid,
+    "op4_warc": op4_warc,
+    "op5_vptree": op5_vptree,
     "op6_katz": op6_katz,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
@@ -53,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE}
