@@ -20,6 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,3 +127,14 @@ def identify(docs: DataFrame, of_lang: dict[str, list[int]], held_out: Column |
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
     return rows.mapInArrow(lambda it: _predict(it, of_lang, top), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def language_of(of_lang: dict[str, list[int]], text: Column, top: int = 300) -> Column:
+    """The language of a text as a column."""
+
+    @F.pandas_udf("string")
+    def predict(texts: pd.Series) -> pd.Series:
+        judge = OutOfPlace(of_lang, top)
+        return texts.map(lambda t: judge(t)[0])
+
+    return predict(text)

@@ -110,7 +110,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: int, sig: np.ndarray | None, equal: float) -> tuple[np.ndarray, np.ndarray]:
     """Links within one group, each node to the first of its part; rows of sides 0 and 1 are only compared across."""
     n, links = len(fp), []
     one = np.flatnonzero(side == 0) if side.any() else np.arange(n)
@@ -123,65 +123,82 @@ def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: in
         i, j = np.nonzero(near)
         i, j = rows[i], other[j]
         keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-        links.append((i[keep], j[keep]))
-    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        i, j = i[keep], j[keep]
+        if sig is not None:
+            parts = [(sig[i[k : k + 20_000]] == sig[j[k : k + 20_000]]).mean(axis=1) >= equal for k in range(0, len(i), 20_000)]
+            keep = np.concatenate(parts) if parts else np.zeros(0, bool)
+            i, j = i[keep], j[keep]
+        links.append((i, j))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
     root = _roots(n, a, b)
     child = np.flatnonzero(root != np.arange(n))
     return child, root[child]
 
 
-def _link_sorted(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by group. A group is worked on once its last row has come."""
-    rest: pd.DataFrame | None = None
+_GROUP = ["k", "key", "a", "b"]
+
+
+def _link_sorted(batches: Iterator[pd.DataFrame], radius: int, equal: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by group. A group is worked on once its last row has come. node names a row's fingerprint;
+    sig, if there is one, its minima."""
+    rest: list[pd.DataFrame] = []
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        fp, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
         table = np.concatenate([pdf[c].to_numpy(np.int64).astype("<i8").view(np.uint8).reshape(-1, 8) for c in ("t0", "t1")], axis=1).astype(np.int16)
         side = pdf["side"].to_numpy()
-        g = pdf[["k", "key", "a", "b"]].to_numpy(np.int64)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1) if "sig" in pdf else None
+        g = pdf[_GROUP].to_numpy(np.int64)
         new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(axis=1)])
-        size = np.diff(np.r_[new, len(g)])
         out_a, out_b = [], []
-        for s, n in ((s, n) for s, n in zip(new, size, strict=True) if n > 1):
-            i, j = _group_edges(fp[s : s + n], table[s : s + n], side[s : s + n], radius)
-            out_a.append(fp[s + i])
-            out_b.append(fp[s + j])
-        join = lambda x: (np.concatenate(x) if x else np.empty(0, np.uint64)).view(np.int64)
+        for s, e in zip(new, np.r_[new[1:], len(g)], strict=True):
+            if e - s > 1:
+                i, j = _group_edges(fp[s:e], table[s:e], side[s:e], radius, None if sig is None else sig[s:e], equal)
+                out_a.append(node[s + i])
+                out_b.append(node[s + j])
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pd.DataFrame({"u": join(out_a), "v": join(out_b)})
 
     for pdf in batches:
         if not len(pdf):
             continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        g = pdf[["k", "key", "a", "b"]].to_numpy(np.int64)
+        g = pdf[_GROUP].to_numpy(np.int64)
+        if rest and (g == g[0]).all() and (rest[0][_GROUP].to_numpy(np.int64)[0] == g[0]).all():
+            rest.append(pdf)  # still the same group
+            continue
+        pdf = pd.concat([*rest, pdf], ignore_index=True)
+        g = pdf[_GROUP].to_numpy(np.int64)
         last = int(np.argmax((g == g[-1]).all(axis=1)))
-        rest = pdf.iloc[last:]
+        rest = [pdf.iloc[last:]]
         if last:
             yield work(pdf.iloc[:last])
-    if rest is not None and len(rest):
-        yield work(rest)
+    if rest:
+        yield work(pd.concat(rest, ignore_index=True))
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 5, split_at: int = 1000) -> DataFrame:
-    """u, v: edges between distinct fingerprints (column fp) whose components are those of all links."""
-    masks = _block_masks(blocks, radius)
-    keyed = pivot_table(fps.select("fp").distinct()).select(
-        "fp", "t0", "t1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("k", "key")
-    )
+def _link_groups(keyed: DataFrame, radius: int, split_at: int, payload: DataFrame | None = None, equal: float = 0.0) -> DataFrame:
+    """u, v: links within groups of keyed (node, k, key and, if there is no payload by node, fp, t0, t1)."""
     shared = materialize(keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     chunks = F.ceil(F.col("n") / split_at).cast("int")
-    own = F.when(chunks > 1, F.pmod(F.xxhash64("fp"), chunks).cast("int")).otherwise(0)
+    own = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks).cast("int")).otherwise(0)
     pairs = F.transform(
         F.sequence(F.lit(0), chunks - 1),
         lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), (own > j).cast("int").alias("side")),
     )
-    dealt = (
-        keyed.join(shared, ["k", "key"])
-        .select("k", "key", "fp", "t0", "t1", F.inline(pairs))
-        .repartition("k", "key", "a", "b")
-        .sortWithinPartitions("k", "key", "a", "b", "fp")
+    dealt = keyed.join(shared, ["k", "key"]).select(*keyed.columns, F.inline(pairs))
+    if payload is not None:
+        dealt = dealt.join(payload, "node")
+    dealt = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
+    return dealt.mapInPandas(lambda it: _link_sorted(it, radius, equal), "u long, v long").distinct()
+
+
+def links(fps: DataFrame, radius: int = 3, blocks: int = 5, split_at: int = 1000) -> DataFrame:
+    """u, v: edges between distinct fingerprints (column fp) whose components are those of all links."""
+    masks = _block_masks(blocks, radius)
+    keyed = pivot_table(fps.select("fp").distinct()).select(
+        F.col("fp").alias("node"), "fp", "t0", "t1", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("k", "key")
     )
-    return dealt.mapInPandas(lambda it: _link_sorted(it, radius), "u long, v long").distinct()
+    return _link_groups(keyed, radius, split_at)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -212,12 +229,56 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _with_components(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """rows (doc_id, node, ...) plus component_id; tree: node, root."""
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = materialize(nodes.join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(materialize(rooted.join(of_root, "root").select("node", "component_id"), "members"), "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 5, split_at: int = 1000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component), one row per input row."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tree = components(links(fps, radius, blocks, split_at))
-    rooted = materialize(nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = materialize(rooted.join(of_root, "root").select("fp", "component_id"), "members")
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _with_components(fps.withColumn("node", F.col("fp")), tree)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_MINIMA, _BAND = 125, 5
+
+
+def _minima(hashes: np.ndarray) -> bytes:
+    """16 bits each of the smallest value of so many permutations of the shingle hashes."""
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(1, 1 << 63, _MINIMA, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, _MINIMA, np.uint64)
+    least = np.full(_MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        x = hashes[i : i + 4096, None] * a + b
+        x ^= x >> np.uint64(29)  # high bits of a product depend on all bits below
+        least = np.minimum(least, x.min(axis=0))
+    return ((least >> np.uint64(13)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, tolerance: float = 0.03, split_at: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id as near_duplicates() gives them, for texts whose sets of word shingles are alike to a degree.
+
+    At a similarity of 0.8 fingerprints differ in about nine bits, too many for blocks of bits. Blocks are taken from the
+    smallest values of permuted shingle hashes instead: five of them in one of 25 groups (a pair at 0.8 is missed once in
+    ten thousand). Pairs of a block go through the pivot table and the Hamming distance with a wide radius; survivors are
+    verified by the share of equal minima, which estimates the similarity within a few hundredths (`tolerance`)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes = [shingle_hashes(t, shingle) for t in b["text"]]
+            fp = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "sig": [_minima(h) for h in hashes]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long, sig binary")
+    rows = materialize(rows.withColumn("node", F.xxhash64("fp", "sig")), "fingerprints")
+    nodes = materialize(pivot_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"))), "nodes")
+    bands = F.array(*[F.xxhash64(F.substring("sig", 1 + i * 2 * _BAND, 2 * _BAND)) for i in range(_MINIMA // _BAND)])
+    keyed = nodes.select("node", F.posexplode(bands).alias("k", "key"))
+    tree = components(_link_groups(keyed, radius, split_at, nodes, similarity - tolerance))
+    return _with_components(rows.select("doc_id", "node"), tree).select("doc_id", "component_id")

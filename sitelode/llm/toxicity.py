@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,3 +271,17 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
     out = f"doc_id {kind}, held_out boolean, score double" + ", spans array<struct<start:int,end:int,p:double>>" * spans
     return rows.mapInArrow(lambda it: _score(it, model, spans, at_least), out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score_of(model: Model, text: Column) -> Column:
+    """The score of a text as a column."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            n = len(s)
+            batch = pa.RecordBatch.from_arrays([pa.nulls(n), pa.array(s, pa.string()), pa.nulls(n)], ["doc_id", "text", "held_out"])
+            got = [b.column(2).to_numpy() for b in _score(iter([batch]), model, False, 0.5)]
+            yield pd.Series(np.concatenate(got) if got else np.empty(0))
+
+    return scores(text)
