@@ -132,31 +132,39 @@ def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, ro
     if not (0 < y_doc.sum() < len(y_doc)):
         return model
     tokens = [t.split() for t in texts]
-    of_token = {w: features(w) for w in {w for ws in tokens for w in ws}}
+    lengths = np.array([len(ws) for ws in tokens])
+    place: dict[str, int] = {}
+    word = np.array([place.setdefault(w, len(place)) for ws in tokens for w in ws], np.int64)
+    del tokens
+    of_word = [features(w) for w in place]
+    first = np.zeros(len(word), bool)
+    first[np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])] = True
+    on = np.repeat(y_doc, lengths)
     # a feature counts once for each pair of neighbours, or near copies of one document would make its words seem telling
-    found, contexts = (Counter(), Counter()), (set(), set())
-    for ws, label in zip(tokens, y_doc.tolist(), strict=True):
-        contexts[label].update(zip(["", *ws], ws, [*ws[1:], ""], strict=False))
+    before, after = np.roll(word, 1), np.roll(word, -1)
+    before[first], after[np.roll(first, -1)] = -1, -1
+    found = (Counter(), Counter())
     for label in (0, 1):
-        for w, n in Counter(w for _, w, _ in contexts[label]).items():
-            for f in of_token[w]:
-                found[label][f] += n
-    bad, good = len(contexts[1]), len(contexts[0])
-    contexts[0].clear(), contexts[1].clear()
+        triples = np.unique(np.stack([word, before, after], axis=1)[on == label], axis=0)
+        for w, n in zip(*np.unique(triples[:, 0], return_counts=True), strict=True):
+            for f in of_word[w]:
+                found[label][f] += int(n)
+        if label:
+            bad = len(triples)
+        else:
+            good = len(triples)
     least = max(3, math.ceil(0.004 * y_doc.sum()))
     ratio = lambda f: (found[1][f] + 0.5) / (bad + 1) / ((found[0][f] + 0.5) / (good + 1))
     hot = {f for f, n in found[1].items() if n >= least and ratio(f) >= odds}
     names = sorted(f for f in found[0] | found[1] if found[0][f] + found[1][f] >= least)
     index = {f: i for i, f in enumerate(names)}
-    ids = {w: [index[f] for f in fs if f in index] for w, fs in of_token.items()}
     width = 1 + len(_LENGTHS)
-    row = {w: np.array(v + [len(names)] * (width - len(v)), np.int32) for w, v in ids.items()}
-    x = np.stack([row[w] for ws in tokens for w in ws])
-    toxic_word = {w: any(f in hot for f in fs) for w, fs in of_token.items()}
-    y = np.array([label and toxic_word[w] for ws, label in zip(tokens, y_doc.tolist(), strict=True) for w in ws], np.float64)
-    lengths = np.array([len(ws) for ws in tokens])
-    first = np.zeros(len(y), bool)
-    first[np.concatenate([[0], np.cumsum(lengths[lengths > 0])[:-1]])] = True
+    rows = np.full((len(of_word), width), len(names), np.int32)
+    for i, fs in enumerate(of_word):
+        own = [index[f] for f in fs if f in index]
+        rows[i, : len(own)] = own
+    x = rows[word]
+    y = (np.array([any(f in hot for f in fs) for fs in of_word])[word] & (on == 1)).astype(np.float64)
     inner = np.flatnonzero(~first)
     params = np.zeros(len(names) + 1 + 1 + 2 + 4)  # weights, an unused one, bias, start, step
     params[len(names) + 1] = -4.0
@@ -207,7 +215,7 @@ def _logistic(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float,
     return tuple(b.tolist())
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, per_class: int = 1500, longest: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float]:
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, per_class: int = 1000, longest: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float]:
     """Texts and labels of at most per_class documents a label, and the share of toxic labels among all that may be learned from."""
     named = labels.select(F.col("doc_id").alias("id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
     if held_out is not None:
