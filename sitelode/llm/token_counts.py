@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,14 +39,12 @@ class PreTokens:
     """Splits texts as the word-level BPE file does. Special strings in a text are tokens of their own."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.normal = self.tokenizer.normalizer.normalize_str
-        self.encoder = Tokenizer.from_file(path)  # for pre-tokens, which are normal already
-        self.encoder.normalizer = normalizers.Sequence([])
         self.pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.find_settled, self.settled = regex.compile(PRE_TOKEN).findall, regex.compile(SETTLED).fullmatch
         self.cut = regex.compile("|".join(map(regex.escape, SPECIAL))).split
@@ -61,7 +60,11 @@ class PreTokens:
         return [t for p in parts if p for t in self.find(self.normal(p))], len(parts) - 1
 
     def sizes(self, pre_tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.encoder.encode_batch(pre_tokens, add_special_tokens=False)]
+        """Pieces of pre-tokens, which are normal already. Texts can't be split any more after this."""
+        from tokenizers import normalizers
+
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        return [len(e.ids) for i in range(0, len(pre_tokens), 2000) for e in self.tokenizer.encode_batch(pre_tokens[i : i + 2000], add_special_tokens=False)]
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -71,10 +74,10 @@ def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
         return pa.RecordBatch.from_pydict({"piece": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            if text:
-                seen.update(split(text)[0])
-                if len(seen) > 500_000:
+        for text in b.column(0):
+            if text.is_valid:
+                seen.update(split(text.as_py())[0])
+                if len(seen) > 250_000:
                     yield out()
                     seen.clear()
     yield out()
@@ -83,16 +86,15 @@ def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     split = PreTokens(path)
     for b in batches:
-        pieces = b.column(0).to_pylist()
-        sizes = [s for i in range(0, len(pieces), 20_000) for s in split.sizes(pieces[i : i + 20_000])]
+        sizes = split.sizes(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["piece", "n", "tokens"])
 
 
 def _per_document(batches: Iterator[pa.RecordBatch], path: str, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
     split = PreTokens(path)
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
             size, rare, freq = [], [], []
             for text in part.column(1).to_pylist():
                 pieces, total = split(text) if text else ([], 0)
@@ -102,9 +104,9 @@ def _per_document(batches: Iterator[pa.RecordBatch], path: str, known: dict[str,
                 size.append(total)
                 rare.append(np.array([xxhash.xxh64_intdigest(p.encode(), 42) for p in rest], np.uint64).view(np.int64))
                 freq.append(np.array([counts[p] for p in rest], np.int64))
-            nbytes = [0 if t is None else len(t.as_buffer()) for t in part.column(1).cast(pa.binary())] if part.num_rows else []
+            nbytes = pc.fill_null(pc.binary_length(part.column(1).cast(pa.binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(nbytes, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int64()))],
+                [part.column(0), nbytes, pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int64()))],
                 ["doc_id", "n_bytes", "known", "rare", "freq"],
             )
 

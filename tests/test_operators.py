@@ -1,0 +1,159 @@
+"""Literal cases of operators, and empty inputs."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from sitelode.operators import history, joins, pages, search, sessions
+
+S = "query string, page string, clicks double, impressions double, position double"
+
+
+def rows(spark, data, schema=S):
+    return spark.createDataFrame(data, schema)
+
+
+def test_totals(spark):
+    t = search.totals(rows(spark, [("a", "p", 0.0, 10000.0, 3.0), ("b", "p", 0.0, 1.0, 90.0)])).first()
+    assert abs(t.position - 3.0087) < 1e-4
+    assert search.totals(rows(spark, [("a", "p", 1.0, 100.0, 5.0), ("b", "p", 99.0, 100.0, 5.0)])).first().ctr == 0.5
+    assert tuple(search.totals(rows(spark, [])).first()) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_quick_wins(spark):
+    data = [("seo audit tool", "p", 5.0, 1000.0, 7.0), ("deep query", "p", 5.0, 1000.0, 30.0), ("brand name", "p", 400.0, 1000.0, 1.2), ("rare query", "p", 0.0, 12.0, 6.0)]
+    got = search.quick_wins(rows(spark, data), "query").collect()
+    assert [(r.query, r.potential_clicks) for r in got] == [("seo audit tool", 45)]
+
+
+def test_cannibalization(spark):
+    data = [("shoes", "/a", 10.0, 200.0, 4.0), ("shoes", "/b", 2.0, 150.0, 9.0), ("boots", "/c", 5.0, 100.0, 3.0), ("x", "/a", 0.0, 3.0, 40.0), ("x", "/b", 0.0, 2.0, 55.0)]
+    got = search.cannibalization(rows(spark, data)).collect()
+    assert [(r.query, r.pages, r.best_position, r.lead_page) for r in got] == [("shoes", 2, 4.0, "/a")]
+
+
+def test_compare_keeps_absent_apart_from_zero(spark):
+    m = search.compare(rows(spark, [("new", "p", 5.0, 100.0, 8.0)]), rows(spark, [("gone", "p", 9.0, 200.0, 4.0)]), "query")
+    got = {r.query: r for r in m.collect()}
+    assert set(got) == {"new", "gone"} and got["gone"].clicks_now == 0 and got["gone"].position_change is None
+    assert [r.query for r in search.lost(m).collect()] == ["gone"]
+    assert search.compare(rows(spark, []), rows(spark, []), "query").count() == 0
+
+
+def test_anomalies_need_days_and_spread(spark):
+    schema = "date date, clicks double, impressions double, position double"
+    day = lambda i, c: (date(2024, 1, 1 + i), c, 10.0, 1.0)
+    assert search.anomalies(rows(spark, [day(i, 5.0) for i in range(20)], schema)).count() == 0
+    assert search.anomalies(rows(spark, [day(i, float(i == 5)) for i in range(13)], schema)).count() == 0
+    assert [r.date.day for r in search.anomalies(rows(spark, [day(i, 100.0 if i == 5 else 5.0) for i in range(20)], schema)).collect()] == [6]
+
+
+def test_branded_split_has_both_rows(spark):
+    got = {r.branded: r for r in search.branded_split(rows(spark, [("acme shoes", "p", 1.0, 2.0, 1.0), ("acmeshoes", "p", 1.0, 2.0, 1.0)]), ["Acme"]).collect()}
+    assert got[True].queries == 1 and got[False].queries == 1
+    assert {r.branded for r in search.branded_split(rows(spark, []), ["x"]).collect()} == {True, False}
+
+
+def landing(spark, data):
+    return spark.createDataFrame(data, "landing_page string, sessions double, engaged double, key_events double")
+
+
+def found(spark, s, a):
+    sdf = spark.createDataFrame([(u, c, c * 10, 3.0) for u, c in s], "page string, clicks double, impressions double, position double")
+    return joins.page_join(sdf, landing(spark, a))
+
+
+def test_page_join(spark):
+    got = {r.bucket: r for r in found(spark, [("https://example.com/a/", 80.0), ("https://example.com/b", 20.0)], [("/a", 60.0, 30.0, 2.0), ("/elsewhere", 5.0, 5.0, 0.0)]).collect()}
+    assert got["joined"].path == "/a" and got["joined"].engagement_rate == 0.5 and got["search_only"].path == "/b" and got["analytics_only"].path == "/elsewhere"
+    one = found(spark, [("https://example.com/a", 10.0), ("https://example.com/a?x=1", 5.0)], [("/a", 10.0, 5.0, 1.0), ("/a/", 10.0, 5.0, 0.0)]).first()
+    assert (one.bucket, one.clicks, one.sessions, one.engagement_rate, one.key_events) == ("joined", 15.0, 20.0, 0.5, 1.0)
+
+
+def test_page_join_ambiguous_and_unreadable(spark):
+    got = found(spark, [("https://example.com/help", 30.0), ("https://docs.example.com/help", 10.0), (None, 1.0)], [("/help", 40.0, 20.0, 0.0), ("(not set)", 7.0, 0.0, 0.0)]).collect()
+    assert sorted((r.bucket, r.host or "", r.sessions) for r in got) == [("ambiguous", "docs.example.com", None), ("ambiguous", "example.com", None), ("unreadable_landings", "", 7.0), ("unreadable_search", "", None)]
+
+
+def test_value_lists(spark):
+    s = [("https://e.com/busy-bouncy", 200.0), ("https://e.com/busy-good", 150.0), ("https://e.com/small-converter", 5.0), ("https://e.com/mid", 30.0)]
+    a = [("/busy-bouncy", 180.0, 30.0, 0.0), ("/busy-good", 140.0, 110.0, 12.0), ("/small-converter", 5.0, 4.0, 3.0), ("/mid", 25.0, 20.0, 0.0)]
+    j = found(spark, s, a)
+    assert sorted(r.path for r in joins.clicks_without_value(j).collect()) == ["/busy-bouncy", "/mid"]
+    assert [r.path for r in joins.value_without_reach(j).collect()] == ["/small-converter"]
+
+
+def test_windows_and_months():
+    as_of = date(2026, 9, 24)
+    assert history.window_of(as_of) == (date(2026, 8, 25), date(2026, 9, 21))
+    assert history.preceding((date(2026, 8, 25), date(2026, 9, 21))) == (date(2026, 7, 28), date(2026, 8, 24))
+    months = history.calendar_months(as_of, 12)
+    assert (months[0], months[-1], len(months)) == ("2025-09", "2026-08", 12)
+    assert len(history.calendar_months(as_of, 40)) < 40
+
+
+def test_upsert_and_movement(spark):
+    schema = "site_id long, refresh_id long, captured_at timestamp, metric string, value double"
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    df = spark.createDataFrame([(1, i, at(i), "m", v) for i, v in ((1, 5.0), (2, None), (3, 7.0), (4, None))], "site_id long, refresh_id long, captured_at string, metric string, value double")
+    df = df.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    reg = spark.createDataFrame([("m", False)], "metric string, up_is_better boolean")
+    r = history.movement(df, reg).first()
+    assert (r.latest, r.previous, r.change, r.improved) == (7.0, 5.0, 2.0, False)
+    m = history.monthly(df).first()
+    assert (m["last"], m["min"], m["max"], m.readings) == (7.0, 5.0, 7.0, 4)
+    new = df.where("refresh_id = 1").withColumn("value", F.lit(9.0))
+    assert {r.refresh_id: r.value for r in history.upsert(df, new, "refresh_id", "metric").collect()} == {1: 9.0, 2: None, 3: 7.0, 4: None}
+    assert history.movement(spark.createDataFrame([], schema), reg).count() == 0
+
+
+def test_runs_take_null_as_a_status(spark):
+    df = spark.createDataFrame([("u", i, s) for i, s in enumerate(["a", "a", None, None, "a"])], "key string, i int, s string")
+    assert [(r.s, r.length) for r in history.runs(df, "key", ["i"], "s").orderBy("run").collect()] == [("a", 2), (None, 2), ("a", 1)]
+
+
+def test_funnel_order(spark):
+    e = spark.createDataFrame([("u", "click", "2024-01-01 00:00:01"), ("u", "view", "2024-01-01 00:00:02"), ("v", "view", "2024-01-01 00:00:01"), ("v", "click", "2024-01-01 00:00:02")], "user_id string, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(r.event, r.users, r.abandoned) for r in sessions.funnel(e, ["view", "click"], "2024-01-01", "2024-01-02").collect()] == [("view", 2, 0), ("click", 1, 1)]
+
+
+def test_ai_referrers(spark):
+    df = spark.createDataFrame([("ChatGPT.com", "referral"), ("sub.poe.com", "referral"), ("notpoe.com", "referral"), ("x", "AI-Assistant"), ("poe.com", "cpc")], "s string, m string")
+    assert [r.x for r in df.select(sessions.classify_ai(F.col("s"), F.col("m")).alias("x")).collect()] == ["host-list", "host-list", None, "google", None]
+
+
+@pytest.mark.parametrize(
+    ("rules", "path", "want"),
+    [
+        ("Disallow: /products\nAllow: /products/featured", "/products/archive", False), ("Disallow: /products\nAllow: /products/featured", "/products/featured/shoes", True),
+        ("Disallow: /page\nAllow: /page", "/page", True), ("Disallow:", "/x", True), ("Disallow: /*.pdf", "/a.pdf", False), ("Disallow: /*.pdf", "/a.html", True), ("Disallow: /a$", "/ab", True), ("Disallow: /a$ # end", "/a", False),
+    ],
+)
+def test_robots(spark, rules, path, want):
+    parsed = pages.robots_rules(spark.createDataFrame([("h", f"User-agent: *\n{rules}")], "host string, text string"))
+    assert pages.allowed(spark.createDataFrame([("h", path)], "host string, path string"), parsed, "SomeBot").first().allowed is want
+
+
+def test_robots_longest_agent(spark):
+    parsed = pages.robots_rules(spark.createDataFrame([("h", "User-agent: bot\nUser-agent: *\nDisallow: /\n\nuser-agent: bot-news\nDisallow: /x")], "host string, text string"))
+    p = spark.createDataFrame([("h", "/y")], "host string, path string")
+    assert pages.allowed(p, parsed, "Bot-News").first().allowed and not pages.allowed(p, parsed, "Bot").first().allowed and not pages.allowed(p, parsed, "other").first().allowed
+
+
+def test_tally_leaves_out_what_was_not_judged(spark):
+    df = spark.createDataFrame([("k", 10, 5, None), ("k", 5, None, None), ("k", 7, None, "not-applicable"), ("k", 3, None, "not-evaluated"), ("z", 4, None, "not-evaluated")], "key string, points int, earned int, status string")
+    got = {r.key: r for r in pages.tally(df, "key").collect()}
+    assert tuple(got["k"])[1:] == (5, 15, 7, 3, 33) and got["z"].percent is None
+
+
+def test_rules_and_facts(spark):
+    html = '<html><head><title>' + "t" * 80 + '</title><meta name="description" content="d"></head><body><img src=x><h1>a</h1><h1>b</h1></body></html>'
+    r = pages.rules(pages.facts(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string"))).orderBy("page_id").first()
+    assert r.issues == ["title-long", "h1-multiple", "canonical-missing", "viewport-missing", "lang-missing", "images-alt"]
+
+
+def test_depth_of_a_graph_with_a_loop(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (9, 8)], "src long, dst long")
+    got = {r.node: r.depth for r in pages.crawl_depth(e, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
