@@ -11,7 +11,11 @@ different ones different. Otherwise it is another text of the same form.
 
 * number: digits with separators, with a sign or a per cent mark;
 * unit: a unit of the fixed list after a number;
-* name: a word with a capital that follows a word without the end of a sentence.
+* name: a word with a capital and a small letter after it that follows a word without the end of a sentence, or
+  any word with a capital right after a small letter; so text in capitals only has no names.
+
+Where names can't be told, as in texts in capitals or small letters only, an item is found by a second form of it,
+with its names as plain words.
 
 Items with fewer tokens than a window are looked for as one window of their own
 length; items without tokens match nothing. Null and empty documents match
@@ -37,7 +41,7 @@ _SPACE = r"\x20\x09-\x0D"
 #: Marks that stand before a number or name and before a unit.
 _MARK, _UNIT_MARK = "\x01", "\x02"
 _ENDS = ".,;:!?\"'`()[]{}<>*#&|_~-…“”‘’«»¿¡"
-_NAME_OR_NUMBER = rf"\p{{Lu}}(?<=[^.!?:;{_SPACE}][{_SPACE}].)[\p{{L}}\p{{M}}'’-]*|[+-]?\p{{N}}+(?:[.,:/]\p{{N}}+)*%?"
+_NAME_OR_NUMBER = rf"\p{{Lu}}(?<=[^.!?:;{_SPACE}][{_SPACE}].)(?:(?=\p{{Ll}})|(?<=\p{{Ll}}[{_SPACE}].))[\p{{L}}\p{{M}}'’-]*|[+-]?\p{{N}}+(?:[.,:/]\p{{N}}+)*%?"
 _UNIT = rf"(\x01[+-]?\p{{N}}[^{_SPACE}]*[{_SPACE}])({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
@@ -88,42 +92,45 @@ def _slots(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """uid, item_id, found (share of the item's windows), verbatim: the pairs found; uid is the hash of a document's id and text."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    items = items.groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", template(F.col("text")).alias("tokens"))
-    items = materialize(items.where(F.size("tokens") > 0), "items")
+    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
+    forms = F.explode(F.array_distinct(F.array(template(F.col("text")), template(F.lower("text"))))).alias("tokens")
+    items = materialize(items.select("item_id", forms).where(F.size("tokens") > 0).withColumn("form", F.xxhash64("item_id", "tokens")), "items")
     length = F.least(F.size("tokens"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect()) or [window]  # at most `window` numbers
-    own = [items.where(length == s).transform(lambda df, s=s: _rows(df, ["item_id"], F.col("tokens"), [s])) for s in sizes]
+    own = [items.where(length == s).transform(lambda df, s=s: _rows(df, ["form"], F.col("tokens"), [s])) for s in sizes]
     wanted = own[0]
     for more in own[1:]:
         wanted = wanted.union(more)
     wanted = materialize(wanted.withColumnRenamed("at", "item_at"), "windows")
-    total = wanted.groupBy("item_id").agg(F.count_distinct("h").alias("total"))
+    total = wanted.groupBy("form").agg(F.count_distinct("h").alias("total"))
     small = wanted.count() <= broadcast_rows
     side = lambda df: F.broadcast(df) if small else df
 
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     found = _rows(texts, ["uid"], template(F.col("text")), sizes).join(side(wanted), "h")
-    hits = materialize(found.groupBy("uid", "item_id", "h").agg(F.min("at").alias("at"), F.min("item_at").alias("item_at")), "hits")
-    pairs = hits.groupBy("uid", "item_id").agg(F.count("*").alias("n")).join(total, "item_id")
-    pairs = materialize(pairs.where(F.col("n") >= coverage * F.col("total")).select("uid", "item_id", (F.col("n") / F.col("total")).alias("found")), "pairs")
+    hits = materialize(found.groupBy("uid", "form", "h").agg(F.min("at").alias("at"), F.min("item_at").alias("item_at")), "hits")
+    pairs = hits.groupBy("uid", "form").agg(F.count("*").alias("n")).join(total, "form")
+    pairs = materialize(pairs.where(F.col("n") >= coverage * F.col("total")).select("uid", "form", (F.col("n") / F.col("total")).alias("found")), "pairs")
 
     # slots: of each pair, at the offset that most of its windows share
-    item_slots = materialize(_slots(items, "item_id", "item_at", "item_value"), "slots")
-    open_pairs = pairs.join(item_slots.select("item_id").distinct(), "item_id", "left_semi")
-    offsets = hits.join(open_pairs, ["uid", "item_id"], "left_semi").groupBy("uid", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count("*").alias("n"))
-    offset = offsets.groupBy("uid", "item_id").agg(F.max(F.struct("n", (-F.col("offset")).alias("back"))).alias("best")).select("uid", "item_id", (-F.col("best.back")).alias("offset"))
+    item_slots = materialize(_slots(items, "form", "item_at", "item_value"), "slots")
+    open_pairs = pairs.join(item_slots.select("form").distinct(), "form", "left_semi")
+    offsets = hits.join(open_pairs, ["uid", "form"], "left_semi").groupBy("uid", "form", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count("*").alias("n"))
+    offset = offsets.groupBy("uid", "form").agg(F.max(F.struct("n", (-F.col("offset")).alias("back"))).alias("best")).select("uid", "form", (-F.col("best.back")).alias("offset"))
     with_slots = texts.join(open_pairs.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])
     doc_slots = _slots(with_slots.select("uid", template(F.col("text")).alias("tokens")), "uid", "at", "value")
-    aligned = offset.join(item_slots, "item_id").withColumn("at", F.col("item_at") + F.col("offset")).join(doc_slots, ["uid", "at", "kind"])
-    values = aligned.groupBy("uid", "item_id", "kind", "item_value", "value").agg(F.count("*").alias("n"))
-    by_item = values.groupBy("uid", "item_id", "kind", "item_value").agg(F.count("*").alias("ways"), F.min(F.col("item_value") == F.col("value")).alias("same"))
-    by_doc = values.groupBy("uid", "item_id", "kind", "value").agg(F.count("*").alias("ways"), F.lit(True).alias("same"))
-    verdict = by_item.select("uid", "item_id", "ways", "same").union(by_doc.select("uid", "item_id", "ways", "same"))
-    verdict = verdict.groupBy("uid", "item_id").agg((F.max("ways") == 1).alias("consistent"), F.min("same").alias("same"))
+    aligned = offset.join(item_slots, "form").withColumn("at", F.col("item_at") + F.col("offset")).join(doc_slots, ["uid", "at", "kind"])
+    values = aligned.groupBy("uid", "form", "kind", "item_value", "value").agg(F.count("*").alias("n"))
+    by_item = values.groupBy("uid", "form", "kind", "item_value").agg(F.count("*").alias("ways"), F.min(F.col("item_value") == F.col("value")).alias("same"))
+    by_doc = values.groupBy("uid", "form", "kind", "value").agg(F.count("*").alias("ways"), F.lit(True).alias("same"))
+    verdict = by_item.select("uid", "form", "ways", "same").union(by_doc.select("uid", "form", "ways", "same"))
+    verdict = verdict.groupBy("uid", "form").agg((F.max("ways") == 1).alias("consistent"), F.min("same").alias("same"))
     return (
-        pairs.join(verdict, ["uid", "item_id"], "left")
+        pairs.join(verdict, ["uid", "form"], "left")
         .where(F.coalesce("consistent", F.lit(True)))
-        .select("uid", "item_id", "found", F.coalesce("same", F.lit(True)).alias("verbatim"))
+        .join(items.select("form", "item_id"), "form")
+        .groupBy("uid", "item_id")
+        .agg(F.max("found").alias("found"), F.max(F.coalesce("same", F.lit(True))).alias("verbatim"))
     )
 
 
@@ -138,4 +145,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.join(per_doc, "uid", "left").select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(per_doc.schema["items"].dataType)).alias("items"), F.coalesce("found", F.lit(0.0)).alias("found"), F.coalesce("reworded", F.lit(False)).alias("reworded")
     )
-

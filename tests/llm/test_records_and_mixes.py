@@ -109,6 +109,15 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.contaminated(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_whatever_the_case(spark):
+    item = "The tall engineer Ann Lee met Ann Lee near Oslo, then drove 40 km home before the rain came."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("Ann Lee", "Bob Ray").replace("Oslo", "Rome")
+    docs = spark.createDataFrame(list(enumerate([item, item.upper(), item.lower(), f"And so. {other}", item.replace("near Oslo", "near Lee"), "quite another text " * 9])), "doc_id long, text string")
+    got = sorted((r.doc_id, r.contaminated, r.reworded) for r in decontamination.contaminated(docs, bench).collect())
+    assert got == [(0, True, False), (1, True, False), (2, True, False), (3, True, True), (4, False, False), (5, False, False)]
+
+
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
