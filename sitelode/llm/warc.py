@@ -10,7 +10,8 @@ any shared store works and lost executors do no harm.
 Reader: records are checked (version line, header, length, end, block and payload digests). Where a
 check fails, the next place that begins a valid record, be it a version line or
 a gzip member, is looked for; what lies between is logged as a gap with its
-offset, length and reason. Both plain and member-compressed files can be read.
+offset, length and reason. Plain files and those of gzip members, of one record or several each, can be read; of a
+damaged member the records before the damage are recovered.
 
 A null html is an empty payload. A page without an id is always a response.
 Rows that repeat the smallest id of a payload are responses each. A null url is
@@ -75,10 +76,11 @@ def records(pages: DataFrame, revisit_from: int = 0, date: str = "1970-01-01T00:
     return rows.select(F.concat(header, "block").alias("record"))
 
 
-def write(pages: DataFrame, path: str | None = None, records_per_file: int = 2000, **options) -> str:
-    """Writes the archives and returns their folder."""
+def write(pages: DataFrame, path: str | None = None, records_per_file: int = 2000, compression: str = "gzip", **options) -> str:
+    """Writes the archives and returns their folder. Compressed files are one gzip member each."""
     path = path or new_folder(pages.sparkSession, "warc")
-    records(pages, **options).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    to = records(pages, **options).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file)
+    to.text(path, compression=compression)
     return path
 
 
@@ -135,36 +137,46 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return headers, block, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """As parse(), of the gzip member at an offset."""
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(data[at:])
-    except zlib.error as e:
-        return f"bad gzip member: {e}"
-    if not unzip.eof:
-        return "gzip member without an end"
-    got = parse(plain, 0)
-    return got if isinstance(got, str) else (got[0], got[1], len(data) - len(unzip.unused_data))
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at an offset holds, its end, or None and why it has none."""
+    unzip, out = zlib.decompressobj(31), []
+    for lo in range(at, len(data), 1 << 16):
+        part = data[lo : lo + (1 << 16)]
+        try:
+            out.append(unzip.decompress(part))
+        except zlib.error as e:
+            return b"".join(out), None, f"bad gzip member: {e}"
+        if unzip.eof:
+            return b"".join(out), lo + len(part) - len(unzip.unused_data), ""
+    return b"".join(out), None, "gzip member without an end"
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[Record | Gap], int | None, str]:
+    """What begins at an offset and where it ends; without an end, what was recovered nevertheless and the reason.
+    Records of a gzip member have the member's offset and length."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        got = parse(data, at)
+        return ([], None, got) if isinstance(got, str) else ([Record(at, got[2] - at, got[0], got[1])], got[2], "")
+    plain, end, reason = _inflate(data, at)
+    inner = list(salvage(plain))
+    if not any(isinstance(r, Record) for r in inner):
+        return [], None, reason or inner[0].reason if inner else reason or "empty gzip member"
+    if end is None:
+        return [Record(at, 0, r.headers, r.block) for r in inner if isinstance(r, Record)], None, reason
+    size = end - at
+    return [Record(at, size, r.headers, r.block) if isinstance(r, Record) else Gap(at, size, f"in a gzip member: {r.reason}") for r in inner], end, ""
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the byte gaps between them."""
     at = 0
     while at < len(data):
-        one = lambda pos: _member(data, pos) if data[pos : pos + 2] == b"\x1f\x8b" else parse(data, pos)
-        got = one(at)
-        if not isinstance(got, str):
-            yield Record(at, got[2] - at, got[0], got[1])
-            at = got[2]
-            continue
-        reason, next_at = got, len(data)
-        for m in _CANDIDATE.finditer(data, at + 1):
-            if not isinstance(one(m.start()), str):
-                next_at = m.start()
-                break
-        yield Gap(at, next_at - at, reason)
-        at = next_at
+        found, end, reason = _read_at(data, at)
+        yield from found
+        if end is None:
+            end = next((m.start() for m in _CANDIDATE.finditer(data, at + 1) if _read_at(data, m.start())[0]), len(data))
+            yield Gap(at, end - at, reason)
+        at = end
 
 
 def _page_id(uri: str | None) -> int | None:
