@@ -5,8 +5,8 @@ is encoded once, and a document's count is the sum over its pre-tokens of
 frequency times pieces; no ids are kept. The most frequent pre-tokens (at most
 ``frequent`` of them, each at most ``LONGEST`` bytes, so the table has a fixed
 bound) are summed where the document is read; all the others are joined by
-their 64-bit hash. No pre-token crosses white space, so texts are cut into words
-first and only distinct words are normalised and split into pre-tokens.
+their 64-bit hash. No pre-token crosses white space, so the distinct ones are taken
+from distinct words.
 
 A null text counts as an empty one: no bytes, no tokens. Rows with the same id
 are counted apart. Columns other than the id and the text are ignored. A row
@@ -15,6 +15,7 @@ number is fixed when the table of documents is written, so repeated rows stay ap
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 from sitelode.llm.common import materialize
 
 LONGEST = 64
-#: Distinct words that a task holds at once.
+#: Distinct words and pre-tokens that a task holds at once.
 MOST_WORDS = 150_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-#: Fixed values of the tokenizer's file: its pre-token pattern, over text whose white space is single blanks.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
-#: str.split() takes these for white space, the tokenizer doesn't.
-SEPARATORS = r"[\x1c-\x1f]"
+#: Fixed values of the tokenizer's file: its pre-token pattern.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Python takes the first for white space, which the tokenizer doesn't, and lowers the last by what surrounds it.
+ODD = r"[\x1c-\x1f\u03a3]"
 #: Scripts whose character classes are long settled; other texts are split by the library itself, as its Unicode tables may be older.
 SETTLED = r"[\x00-\u052F\u1E00-\u206F\u20A0-\u20BF\u2100-\u218B\u3000-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3\uFF00-\uFF60]*"
 
@@ -49,24 +50,29 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.normal = self.tokenizer.normalizer.normalize_str
-        self.pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.find_settled, self.settled = regex.compile(PRE_TOKEN).findall, regex.compile(SETTLED).fullmatch
-        self.separated, self.split_plain = regex.compile(SEPARATORS).search, regex.compile(r"[^\x20\x09-\x0D]+").findall
+        self.slow_normal, self.pre = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.find, self.settled, self.odd = regex.compile(PRE_TOKEN).findall, regex.compile(SETTLED).fullmatch, regex.compile(ODD).search
         self.cut = regex.compile("|".join(map(regex.escape, SPECIAL))).split
 
-    def find(self, text: str) -> list[str]:
-        return self.find_settled(text) if self.settled(text) else [text[a:b] for _, (a, b) in self.pre(text)]
+    def parts(self, text: str) -> list[str]:
+        """What is between special strings."""
+        return self.cut(text) if "<|" in text else [text]
 
-    def __call__(self, word: str) -> list[str]:
-        """The pre-tokens of a word."""
-        return self.find(self.normal(word))
+    def plain(self, text: str) -> bool:
+        """Whether Python's own functions treat a text as the library does."""
+        return self.settled(text) is not None and self.odd(text) is None
 
-    def words(self, text: str) -> tuple[list[str], int]:
-        """The runs between white space and special strings, and the number of the latter."""
-        parts = self.cut(text) if "<|" in text else [text]
-        split = self.split_plain if self.separated(text) else str.split
-        return (split(parts[0]), 0) if len(parts) == 1 else ([w for p in parts for w in split(p)], len(parts) - 1)
+    @staticmethod
+    def normal(text: str) -> str:
+        """A plain text as the tokenizer's file normalises it, but for its white space."""
+        return unicodedata.normalize("NFC", text).lower()
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if self.plain(text):
+            return self.find(self.normal(text))
+        text = self.slow_normal(text)
+        return [text[a:b] for _, (a, b) in self.pre(text)]
 
     def sizes(self, pre_tokens: list[str]) -> list[int]:
         """Pieces of pre-tokens, which are normal already. Texts can't be split any more after this."""
@@ -77,25 +83,30 @@ class PreTokens:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    split, seen, held = PreTokens(path), Counter(), 0
+    split = PreTokens(path)
+    words: Counter = Counter()
+    pieces: Counter = Counter()
+    held = 0
 
     def out() -> pa.RecordBatch:
-        pieces: Counter = Counter()
-        for word, n in seen.items():
-            for p in split(word):
+        for word, n in words.items():
+            for p in split.find(word):
                 pieces[p] += n
         return pa.RecordBatch.from_pydict({"piece": pa.array(list(pieces), pa.string()), "n": pa.array(list(pieces.values()), pa.int64())})
 
     for b in batches:
         for text in b.column(0):
-            if text.is_valid:
-                plain = text.as_py()
-                seen.update(split.words(plain)[0])
-                held += len(plain)
-                if len(seen) > MOST_WORDS or held > 200 * MOST_WORDS:
-                    yield out()
-                    seen.clear()
-                    held = 0
+            for part in split.parts(text.as_py()) if text.is_valid else []:
+                if split.plain(part):
+                    words.update(split.normal(part).split())
+                else:
+                    pieces.update(split.pieces(part))
+                held += len(part)
+            if len(words) + len(pieces) > MOST_WORDS or held > 200 * MOST_WORDS:
+                yield out()
+                words.clear()
+                pieces.clear()
+                held = 0
     yield out()
 
 
@@ -108,32 +119,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def _per_document(batches: Iterator[pa.RecordBatch], path: str, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
     split = PreTokens(path)
-    memo: dict[str, tuple[int, list[str]]] = {}
-
-    def look(word: str) -> tuple[int, list[str]]:
-        pieces = split(word)
-        got = sum(known.get(p, 0) for p in pieces), [p for p in pieces if p not in known]
-        if len(word) <= LONGEST:
-            if len(memo) >= MOST_WORDS:
-                memo.clear()
-            memo[word] = got
-        return got
-
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
             size, rare, freq = [], [], []
             for text in part.column(1).to_pylist():
-                found, total = split.words(text) if text else ([], 0)
-                rest: Counter = Counter()
-                for word, n in Counter(found).items():
-                    tokens, more = memo.get(word) or look(word)
-                    total += tokens * n
-                    for p in more:
-                        rest[p] += n
-                size.append(total)
+                parts = split.parts(text) if text else [""]
+                counts = Counter(split.pieces(parts[0]) if len(parts) == 1 else [p for part in parts for p in split.pieces(part)])
+                rest = [p for p in counts if p not in known]
+                size.append(len(parts) - 1 + sum(known[p] * n for p, n in counts.items() if p in known))
                 rare.append(np.array([xxhash.xxh64_intdigest(p.encode(), 42) for p in rest], np.uint64).view(np.int64))
-                freq.append(np.array(list(rest.values()), np.int64))
+                freq.append(np.array([counts[p] for p in rest], np.int64))
             nbytes = pc.fill_null(pc.binary_length(part.column(1).cast(pa.binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), nbytes, pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(freq, pa.list_(pa.int64()))],
