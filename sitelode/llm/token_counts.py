@@ -15,9 +15,11 @@ number is fixed when the table of documents is written, so repeated rows stay ap
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,7 @@ class PreTokens:
     """Splits texts as the word-level BPE file does. Special strings in a text are tokens of their own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are Spark's; the library's threads only add memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,11 +82,17 @@ class PreTokens:
         from tokenizers import normalizers
 
         self.tokenizer.normalizer = normalizers.Sequence([])
-        return [len(e.ids) for i in range(0, len(pre_tokens), 2000) for e in self.tokenizer.encode_batch(pre_tokens[i : i + 2000], add_special_tokens=False)]
+        return [len(e.ids) for i in range(0, len(pre_tokens), 500) for e in self.tokenizer.encode_batch(pre_tokens[i : i + 500], add_special_tokens=False)]
+
+
+@lru_cache(maxsize=2)
+def _pre_tokens(path: str, use: str) -> PreTokens:
+    """One a process and use, as tasks follow each other in it."""
+    return PreTokens(path)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    split = PreTokens(path)
+    split = _pre_tokens(path, "split")
     words: Counter = Counter()
     pieces: Counter = Counter()
     held = 0
@@ -111,14 +120,14 @@ def _distinct(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    split = PreTokens(path)
+    split = _pre_tokens(path, "sizes")
     for b in batches:
         sizes = split.sizes(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["piece", "n", "tokens"])
 
 
 def _per_document(batches: Iterator[pa.RecordBatch], path: str, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    split = PreTokens(path)
+    split = _pre_tokens(path, "split")
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
