@@ -6,19 +6,20 @@ back-off weights that make every distribution sum to one exactly.
 
 * order 1: P1(w) = d(c) c / N for a word with training count c; the mass left
   is that of the unknown word, which counts as one type.
-* order 2: over the ``classes`` most frequent training words (a fixed bound),
-  one class for all others, and the text's end. P(k|h) = d(c) c(h,k) / c(h) if
-  the pair was seen, else a(h) P1(k), with a(h) the free mass of h divided by
-  the order-1 mass of what h has not been followed by. A word of the class of
-  others has P(class|h) P1(w) / P1(class).
-
-Counts cover all training texts: every word is counted, and every pair of
-classes. A document's score is the sum of its backed-off values, which need
-only the bounded arrays of the classes, plus corrections: one for each pair
-that was seen, one for each word outside the classes. The most frequent pairs
-and words (``hot_pairs`` and ``hot_words`` at most) are corrected where the text
-is read; all others are joined by key to a table of counts that is bucketed by
-that key, so only the texts' side is shuffled.
+* order 2: over all training words and the text's end. P(k|h) = d(c) c(h,k) / c(h)
+  if the pair was seen, else a(h) P1(k), with a(h) the free mass of h divided by
+  the order-1 mass of what h has not been followed by. With ``classes`` given,
+  it is over so many of the most frequent words and one class for all others;
+  a word of that class has P(class|h) P1(w) / P1(class).
+
+Counts cover all training texts: every word is counted, and every pair. A
+document's score is the sum of its backed-off values, as if all words but the
+most frequent ones (``hot_words`` at most) were unknown, plus corrections: one
+for each pair that was seen, one for each other word that is known. The most
+frequent pairs (``hot_pairs`` at most) are corrected where the text is read; all
+others, and words, are joined by key to a table of corrections that is bucketed
+by that key, so only the texts' side is shuffled. Both lists are shortcuts: what
+is not in them is looked up by the hash of the word or pair.
 
 A null text counts as an empty one: just the end. Rows that repeat an id are
 scored each, as a row number is fixed when the table of texts is written. With no training text at all, all words are
@@ -39,11 +40,11 @@ from pyspark.sql import functions as F
 
 from sitelode.llm.common import materialize, new_folder, remainder, words
 
-#: Classes: 0 all words but the frequent ones, 1 the end of a text, which is also the history of its first word, then the frequent words.
+#: Words: 0 all but the frequent ones, 1 the end of a text, which is also the history of its first word, then the frequent words.
 OTHER, END, FIRST = 0, 1, 2
 LONGEST = 64
-SHIFT = 17
-#: Keys of words are their XXH64 with the sign bit set; keys of pairs are positive.
+#: Keys of words are their XXH64 with the sign bit set; keys of pairs are positive. In pairs, a frequent word stands as its
+#: number, any other as its key.
 SIGN = 1 << 63
 
 
@@ -81,35 +82,57 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    v = (seed + (p5 + np.uint64(8))) ^ turn(x.view(np.uint64) * p2, 31) * p1
+    v = turn(v, 27) * p1 + p4
+    v = (v ^ v >> np.uint64(33)) * p2
+    v = (v ^ v >> np.uint64(29)) * p3
+    return v ^ v >> np.uint64(32)
+
+
+def pair_keys(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(h, k) without the sign bit."""
+    return (_hash_long(k, _hash_long(h, np.full(len(h), 42, np.uint64))) & np.uint64(SIGN - 1)).view(np.int64)
+
+
 class Words:
-    """Class numbers of the most frequent words and counts of more of them; what tasks need of order 1."""
+    """Numbers of the most frequent words, and with classes counts of more of them; what tasks need of order 1."""
 
-    def __init__(self, words: list[bytes], counts: list[int], classes: int):
-        self.index = {w: i + FIRST if i < classes else -c for i, (w, c) in enumerate(zip(words, counts, strict=True))}
+    def __init__(self, words: list[bytes], counts: list[int], classes: int | None):
+        self.whole = classes is None
+        most = len(words) if self.whole else classes
+        self.index = {w: i + FIRST if i < most else -c for i, (w, c) in enumerate(zip(words, counts, strict=True))}
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The text's classes after the history of its first word, the end included; counts of hot words outside
-        the classes; and the words of which neither is known."""
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text's words as numbers after the history of its first word, the end included; the same as they stand in
+        pairs; counts of hot words outside the classes; and the keys of the words of which neither is known."""
         w = words(text)
         get = self.index.get
         ids = np.array([END, *[get(x, OTHER) for x in w], END], np.int64)
-        rest = [w[i] for i in np.flatnonzero(ids[1:] == OTHER).tolist()]
+        at = np.flatnonzero(ids == OTHER)
+        rest = np.fromiter((xxhash.xxh64_intdigest(w[i - 1], 42) | SIGN for i in at.tolist()), np.uint64, len(at)).view(np.int64)
         hot = -ids[ids < 0]
         ids[ids < 0] = OTHER
-        return ids, hot, rest
+        in_pairs = ids
+        if self.whole:
+            in_pairs = ids.copy()
+            in_pairs[at] = rest
+        return ids, in_pairs, hot, rest
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], of_words: Words) -> Iterator[pa.RecordBatch]:
     def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["key", "c"])
+        h, k = np.concatenate([p[:-1] for p in parts]), np.concatenate([p[1:] for p in parts])
+        _, at, n = np.unique(pair_keys(h, k), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(k[at]), pa.array(n, pa.int64())], ["h", "k", "c"])
 
     parts, size = [], 0
     for b in batches:
         for text in b.column(0).cast(pa.binary()):
-            ids = of_words(text.as_py())[0]
-            parts.append(ids[:-1] << SHIFT | ids[1:])
-            size += len(ids)
+            parts.append(of_words(text.as_py())[1])
+            size += len(parts[-1])
             if size > 3_000_000:
                 yield out(parts)
                 parts, size = [], 0
@@ -124,28 +147,26 @@ def _is_hot(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _backed_off(batches: Iterator[pa.RecordBatch], of_words: Words, hot: np.ndarray, hot_s: np.ndarray, log_a: np.ndarray, log_p: np.ndarray, c1: np.ndarray, d1: list[float], size1: int, unknown: float, log_base0: float) -> Iterator[pa.RecordBatch]:
-    """A row per text: its values if no pair but hot ones was seen and all words but those of classes and hot ones are
-    unknown; and the keys of the other pairs and words, and how often it has each."""
+    """A row per text: its values if no pair but hot ones was seen and all words but hot ones are unknown; and the keys of
+    the other pairs and words, and how often it has each."""
     log_b, seen, factor = np.log10(c1 + 1), (c1 > 0).astype(np.int64), np.array(d1)
-    log_other = float(np.log10(unknown) - log_p[OTHER])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "freqs"]
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             b, out = whole.slice(lo, 500), []
             for text in b.column(1).cast(pa.binary()):
-                ids, more, rest = of_words(text.as_py())
+                ids, in_pairs, more, rest = of_words(text.as_py())
                 h, k = ids[:-1], ids[1:]
-                s = log_a[h].sum() + log_p[k].sum() + log_other * int((k == OTHER).sum())
-                pair, n = np.unique(h << SHIFT | k, return_counts=True)
+                s = log_a[h].sum() + log_p[k].sum()
+                pair, n = np.unique(pair_keys(in_pairs[:-1], in_pairs[1:]), return_counts=True)
                 at, found = _is_hot(pair, hot)
                 s += (hot_s[at[found]] * n[found]).sum()
                 if len(more):
                     d = np.where(more < len(d1), factor[np.minimum(more, len(d1) - 1)], 1.0)
                     s += (np.log10(d * more / size1) - np.log10(unknown)).sum()
                 base = log_b[k].sum() + np.log10(more + 1.0).sum() + log_base0 * len(k)
-                rare = Counter(rest)
-                hashed = np.fromiter((xxhash.xxh64_intdigest(x, 42) | SIGN for x in rare), np.uint64, len(rare)).view(np.int64)
-                keys, freqs = np.concatenate([pair[~found], hashed]), np.concatenate([n[~found], np.fromiter(rare.values(), np.int64, len(rare))])
+                rare, n_rare = np.unique(rest, return_counts=True)
+                keys, freqs = np.concatenate([pair[~found], rare]), np.concatenate([n[~found], n_rare])
                 out.append((len(k), int(seen[k].sum()) + len(more), float(base), float(s), keys, freqs.astype(np.int32)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())
@@ -168,7 +189,7 @@ def _threshold(histogram: dict[int, int], most: int) -> int:
     return least
 
 
-def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", classes: int = 131_000, hot_words: int = 250_000, hot_pairs: int = 1_000_000, k: int = 5) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, hot_words: int = 250_000, hot_pairs: int = 1_000_000, k: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability): one row per input row."""
     spark = docs.sparkSession
     fold = F.lit(False) if held_out is None else held_out
@@ -186,40 +207,52 @@ def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     size1 = max(total, 1) if seen_mass < total * (1 - 1e-12) else total + 1  # what is left is never nothing
     unknown = 1 - seen_mass / size1
     short = F.octet_length("word") <= LONGEST
-    least = _threshold(by_c, classes + hot_words)
+    least = _threshold(by_c, (classes or 0) + hot_words)
     top = counts.where(short & (F.col("c") >= least)).toArrow()  # bounded by the threshold
     top = sorted(zip((-c for c in top["c"].to_pylist()), top["word"].to_pylist(), strict=True))
     of_words = Words([w for _, w in top], [-c for c, _ in top], classes)
     own = [-c for c, _ in top[:classes]]
     c1 = np.array([0, ends, *own], np.float64)
     p1 = np.array([0.0, discount(ends), *map(discount, own)]) / size1
-    p1[OTHER] = max(1 - p1[END:].sum(), unknown)
+    p1[OTHER] = max(1 - p1[END:].sum(), unknown)  # in pairs only with classes
 
-    # order 2
+    # order 2; pairs of frequent words are joined to arrays, others by the word's key
     part = spark.conf.get("spark.sql.shuffle.partitions")
-    pairs = train.mapInArrow(lambda it: _pairs(it, of_words), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    words_too = counts.where(~(short & (F.col("c") >= least))).select(F.xxhash64("word").bitwiseOR(F.lit(-SIGN)).alias("key"), "c").repartition(int(part), "key")
+    pairs = materialize(train.mapInArrow(lambda it: _pairs(it, of_words), "h long, k long, c long").groupBy("h", "k").agg(F.sum("c").alias("c")), "pairs")
+    key = F.xxhash64("word").bitwiseOR(F.lit(-SIGN)).alias("key")
+    rare = materialize(counts.where(~(short & (F.col("c") >= least))).select(key, "c", (_discounted(F.col("c"), d1) / size1).alias("p1")), "rare")
+    by_c2 = _histogram(pairs)
+    d2 = good_turing(by_c2, k)
+    first = _rows(spark, {"k": np.arange(len(p1)), "p1": p1})  # a row per frequent word: bounded
+    of_rare = pairs.where("k < 0").join(rare.select(F.col("key").alias("k"), "p1"), "k")
+    pairs = pairs.where("k >= 0").join(F.broadcast(first), "k").select("h", "k", "c", "p1").union(of_rare.select("h", "k", "c", "p1"))
+    sums = pairs.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("kept"), F.sum("p1").alias("mass"))
+    size2 = F.when(F.col("kept") < F.col("ch") * (1 - 1e-12), F.col("ch")).otherwise(F.col("ch") + 1)
+    log_a = F.log10((1 - F.col("kept") / F.col("size2")) / F.greatest(1 - F.col("mass"), F.lit(1e-12)))
+    sums = materialize(sums.withColumn("size2", size2).select("h", log_a.alias("log_a"), (F.log10("size2") + log_a).alias("of_h")), "histories")
+    own = sums.where("h >= 0").toArrow()  # bounded, as `first`
+    log_a = np.zeros(len(p1))
+    log_a[own["h"].to_numpy()] = own["log_a"].to_numpy()
+    log_p = np.log10(np.maximum(p1, 1e-300))
+    log_p[OTHER] = np.log10(unknown)
+    frequent = _rows(spark, {"h": own["h"].to_numpy(), "of_h": own["of_h"].to_numpy()})
+    of_rare = pairs.where("h < 0").join(sums.where("h < 0").select("h", "of_h"), "h")
+    pairs = pairs.where("h >= 0").join(F.broadcast(frequent), "h").select("h", "k", "c", "p1", "of_h").union(of_rare.select("h", "k", "c", "p1", "of_h"))
+    pairs = pairs.select(
+        F.xxhash64("h", "k").bitwiseAND(F.lit(SIGN - 1)).alias("key"), "c", (F.log10(_discounted(F.col("c"), d2)) - F.col("of_h") - F.log10(F.greatest("p1", F.lit(1e-300)))).alias("s")
+    )
+    # a word that is known is a history of its own, too; with classes its history is that of its class
+    words_too = rare.join(sums.select(F.col("h").alias("key"), "log_a"), "key", "left").select(
+        "key", "c", (F.log10("p1") - F.lit(float(np.log10(unknown))) + F.coalesce("log_a", F.lit(0.0))).alias("s")
+    )
     name = f"sitelode_katz_{uuid.uuid4().hex}"
-    both = pairs.union(words_too).write.option("path", new_folder(spark, "katz")).bucketBy(int(part), "key")
+    both = pairs.union(words_too).repartition(int(part), "key").write.option("path", new_folder(spark, "katz")).bucketBy(int(part), "key")
     both.saveAsTable(name)
     model = spark.table(name)
-    pairs = model.where("key >= 0").withColumns({"h": F.shiftright("key", SHIFT).cast("int"), "k": F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")})
-    by_c2 = _histogram(pairs)
-    d2 = good_turing(by_c2, k)
-    first = _rows(spark, {"k": np.arange(len(p1), dtype=np.int32), "p1": p1})  # a row per class: bounded
-    sums = pairs.join(F.broadcast(first), "k").groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("kept"), F.sum("p1").alias("p1")).toArrow()
-    h, ch, kept, mass = (sums[c].to_numpy() for c in ("h", "ch", "kept", "p1"))
-    size2, a = np.ones(len(p1)), np.ones(len(p1))
-    size2[h] = np.where(kept < ch * (1 - 1e-12), ch, ch + 1)
-    a[h] = (1 - kept / size2[h]) / np.maximum(1 - mass, 1e-12)
-    log_a, log_p = np.log10(a), np.log10(np.maximum(p1, 1e-300))
-    of_h = np.log10(size2) + log_a
-    top2 = pairs.where(F.col("c") >= _threshold(by_c2, hot_pairs)).select("key", "c").toArrow()  # bounded by the threshold
-    hot, hot_c = top2["key"].to_numpy(), top2["c"].to_numpy()
+    top2 = model.where((F.col("key") >= 0) & (F.col("c") >= _threshold(by_c2, hot_pairs))).select("key", "s").toArrow()  # bounded by the threshold
+    hot, hot_s = top2["key"].to_numpy(), top2["s"].to_numpy()
     order = np.argsort(hot)
-    hot, hot_c = hot[order], hot_c[order]
-    factor = np.where(hot_c <= k, np.array(d2)[np.minimum(hot_c, k)], 1.0)
-    hot_s = np.log10(factor * hot_c) - of_h[hot >> SHIFT] - log_p[hot & ((1 << SHIFT) - 1)]
+    hot, hot_s = hot[order], hot_s[order]
 
     # scores
     log_base0 = -float(np.log10(total + types + 1))
@@ -229,21 +262,12 @@ def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, keys array<long>, freqs array<int>",
     )
     per_doc = materialize(per_doc.withColumn("row", F.monotonically_increasing_id()), "documents")
-    parts = _rows(spark, {"id": np.arange(len(p1), dtype=np.int32), "x": of_h, "y": log_p})
-    is_pair, c = F.col("key") >= 0, F.col("c")
+    is_word = F.col("key") < 0
     found = (
         per_doc.select("row", F.inline(F.arrays_zip("keys", "freqs")))
         .withColumnsRenamed({"keys": "key", "freqs": "n"})
         .join(model, "key")
-        .withColumns({"h": F.when(is_pair, F.shiftright("key", SHIFT)).otherwise(0).cast("int"), "k": F.when(is_pair, F.col("key").bitwiseAND(F.lit((1 << SHIFT) - 1))).otherwise(0).cast("int")})
-        .join(F.broadcast(parts.select(F.col("id").alias("h"), "x")), "h")
-        .join(F.broadcast(parts.select(F.col("id").alias("k"), "y")), "k")
-        .select(
-            "row", "n",
-            F.when(is_pair, F.log10(_discounted(c, d2)) - F.col("x") - F.col("y")).otherwise(F.log10(_discounted(c, d1) / size1) - F.lit(float(np.log10(unknown)))).alias("s"),
-            F.when(is_pair, 0.0).otherwise(F.log10(c + 1.0)).alias("b"),
-            F.when(is_pair, 0).otherwise(1).alias("known"),
-        )
+        .select("row", "n", "s", F.when(is_word, F.log10(F.col("c") + 1.0)).otherwise(0.0).alias("b"), F.when(is_word, 1).otherwise(0).alias("known"))
         .groupBy("row")
         .agg(F.sum(F.col("n") * F.col("s")).alias("more_s"), F.sum(F.col("n") * F.col("b")).alias("more_b"), F.sum(F.col("n") * F.col("known")).alias("more_known"))
     )

@@ -150,6 +150,21 @@ def test_katz_matches_brute_force_and_sums_to_one(spark, documents):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_katz_pairs_cover_all_words_whatever_the_hot_lists(spark, documents, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(9001, None), (9002, "only unknown zzzzq words")]
+    rows += [(9003 + i, "x" * 80 + " " + "y" * 80) for i in range(6)]  # words that no hot list holds
+    with monkeypatch.context() as m:
+        m.setattr(katz, "LONGEST", 10**9)
+        want, sums = brute_katz(rows, 10**9)
+    assert all(abs(s - 1) < 1e-9 for s in sums)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"hot_words": 50, "hot_pairs": 20}, {"hot_words": 0, "hot_pairs": 0}):
+        for r in katz.katz_scores(df, katz.fold(), **options).collect():
+            n, known, total, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
 def test_katz_without_documents(spark):
     assert katz.katz_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
