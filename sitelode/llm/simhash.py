@@ -110,9 +110,32 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: int, sig: np.ndarray | None, equal: float) -> tuple[np.ndarray, np.ndarray]:
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _alike(i: np.ndarray, j: np.ndarray, root: list[int], sets: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of at least the similarity; those that others have linked already are left out. root: changed in place."""
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y and jaccard(np.frombuffer(sets[a], np.uint64), np.frombuffer(sets[b], np.uint64)) >= similarity:
+            root[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: int, sig: np.ndarray | None, equal: float, sets: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Links within one group, each node to the first of its part; rows of sides 0 and 1 are only compared across."""
     n, links = len(fp), []
+    linked = list(range(n))
     one = np.flatnonzero(side == 0) if side.any() else np.arange(n)
     other = np.flatnonzero(side == 1) if side.any() else one
     for at in range(0, len(one), 256):
@@ -128,6 +151,10 @@ def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: in
             parts = [(sig[i[k : k + 20_000]] == sig[j[k : k + 20_000]]).mean(axis=1) >= equal for k in range(0, len(i), 20_000)]
             keep = np.concatenate(parts) if parts else np.zeros(0, bool)
             i, j = i[keep], j[keep]
+        if sets is not None:
+            once = i < j if one is other else np.ones(len(i), bool)
+            pairs = np.array(list(_alike(i[once], j[once], linked, sets, similarity)), np.int64).reshape(-1, 2)
+            i, j = pairs[:, 0], pairs[:, 1]
         links.append((i, j))
     a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
     root = _roots(n, a, b)
@@ -138,9 +165,9 @@ def _group_edges(fp: np.ndarray, table: np.ndarray, side: np.ndarray, radius: in
 _GROUP = ["k", "key", "a", "b"]
 
 
-def _link_sorted(batches: Iterator[pd.DataFrame], radius: int, equal: float) -> Iterator[pd.DataFrame]:
+def _link_sorted(batches: Iterator[pd.DataFrame], radius: int, equal: float, similarity: float) -> Iterator[pd.DataFrame]:
     """Rows come sorted by group. A group is worked on once its last row has come. node names a row's fingerprint;
-    sig, if there is one, its minima."""
+    sig, if there is one, its minima; shingles, if there are any, its set."""
     rest: list[pd.DataFrame] = []
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,12 +175,13 @@ def _link_sorted(batches: Iterator[pd.DataFrame], radius: int, equal: float) ->
         table = np.concatenate([pdf[c].to_numpy(np.int64).astype("<i8").view(np.uint8).reshape(-1, 8) for c in ("t0", "t1")], axis=1).astype(np.int16)
         side = pdf["side"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1) if "sig" in pdf else None
+        sets = pdf["shingles"].to_numpy() if "shingles" in pdf else None
         g = pdf[_GROUP].to_numpy(np.int64)
         new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(axis=1)])
         out_a, out_b = [], []
         for s, e in zip(new, np.r_[new[1:], len(g)], strict=True):
             if e - s > 1:
-                i, j = _group_edges(fp[s:e], table[s:e], side[s:e], radius, None if sig is None else sig[s:e], equal)
+                i, j = _group_edges(fp[s:e], table[s:e], side[s:e], radius, None if sig is None else sig[s:e], equal, None if sets is None else sets[s:e], similarity)
                 out_a.append(node[s + i])
                 out_b.append(node[s + j])
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
@@ -176,7 +204,7 @@ def _link_sorted(batches: Iterator[pd.DataFrame], radius: int, equal: float) ->
         yield work(pd.concat(rest, ignore_index=True))
 
 
-def _link_groups(keyed: DataFrame, radius: int, split_at: int, payload: DataFrame | None = None, equal: float = 0.0) -> DataFrame:
+def _link_groups(keyed: DataFrame, radius: int, split_at: int, payload: DataFrame | None = None, equal: float = 0.0, similarity: float = 0.0) -> DataFrame:
     """u, v: links within groups of keyed (node, k, key and, if there is no payload by node, fp, t0, t1)."""
     shared = materialize(keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     chunks = F.ceil(F.col("n") / split_at).cast("int")
@@ -189,7 +217,7 @@ def _link_groups(keyed: DataFrame, radius: int, split_at: int, payload: DataFram
     if payload is not None:
         dealt = dealt.join(payload, "node")
     dealt = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node")
-    return dealt.mapInPandas(lambda it: _link_sorted(it, radius, equal), "u long, v long").distinct()
+    return dealt.mapInPandas(lambda it: _link_sorted(it, radius, equal, similarity), "u long, v long").distinct()
 
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 5, split_at: int = 1000) -> DataFrame:
@@ -260,25 +288,34 @@ def _minima(hashes: np.ndarray) -> bytes:
     return ((least >> np.uint64(13)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, tolerance: float = 0.03, split_at: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 28, tolerance: float = 0.2, split_at: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id as near_duplicates() gives them, for texts whose sets of word shingles are alike to a degree.
 
-    At a similarity of 0.8 fingerprints differ in about nine bits, too many for blocks of bits. Blocks are taken from the
-    smallest values of permuted shingle hashes instead: five of them in one of 25 groups (a pair at 0.8 is missed once in
-    ten thousand). Pairs of a block go through the pivot table and the Hamming distance with a wide radius; survivors are
-    verified by the share of equal minima, which estimates the similarity within a few hundredths (`tolerance`)."""
+    Fingerprints are those of the sets. At a similarity of 0.8 they differ in about ten bits, too many for blocks of bits.
+    Blocks are taken from the smallest values of permuted shingle hashes instead: five of them in one of 25 groups (a pair
+    at 0.8 is missed once in twenty thousand). Pairs of a block go through the pivot table, the Hamming distance and the
+    share of equal minima, all of them wide: more than 28 bits, or less than the similarity by `tolerance`, come less than
+    once in a hundred thousand pairs at 0.8. What they link are groups of candidates; within these, a pair is linked if its
+    sets of shingles have the similarity, taken exactly."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hashes = [shingle_hashes(t, shingle) for t in b["text"]]
-            fp = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "sig": [_minima(h) for h in hashes]})
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
+            fp = np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64)
+            shingles = [h.tobytes() for h in sets]
+            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "node": node, "fp": fp, "sig": [_minima(h) for h in sets], "shingles": shingles})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long, sig binary")
-    rows = materialize(rows.withColumn("node", F.xxhash64("fp", "sig")), "fingerprints")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, node long, fp long, sig binary, shingles binary")
+    rows = materialize(rows, "fingerprints")
     nodes = materialize(pivot_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"))), "nodes")
     bands = F.array(*[F.xxhash64(F.substring("sig", 1 + i * 2 * _BAND, 2 * _BAND)) for i in range(_MINIMA // _BAND)])
     keyed = nodes.select("node", F.posexplode(bands).alias("k", "key"))
-    tree = components(_link_groups(keyed, radius, split_at, nodes, similarity - tolerance))
+    near = components(_link_groups(keyed, radius, split_at, nodes, similarity - tolerance))
+    near = materialize(near.union(near.select("root", "root")).distinct(), "candidates")
+    sets = rows.join(near, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    payload = materialize(nodes.join(near, "node", "left_semi").join(sets, "node"), "sets")
+    keyed = near.select("node", F.lit(0).alias("k"), F.col("root").alias("key"))
+    tree = components(_link_groups(keyed, radius, split_at, payload, similarity - tolerance, similarity))
     return _with_components(rows.select("doc_id", "node"), tree).select("doc_id", "component_id")

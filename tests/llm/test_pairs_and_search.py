@@ -74,6 +74,28 @@ def test_similar_documents_link_near_copies_only(spark):
     assert [got[i] for i, _ in rows] == [4 * groups[i] for i, _ in rows]
 
 
+def test_similar_documents_at_the_similarity(spark):
+    """Pairs of 0.8 or just above, pairs just below, and pairs whose repeated shingles outweigh the others."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for g in range(90):
+        w = [f"g{g}x{rng.randrange(10**6)}" for _ in range(200)]
+        line = w[20:32]
+        if g % 3 == 2:
+            other = w + line * 30
+        else:  # w has 196 shingles; a new tail of n words takes n of them and adds n
+            n = 21 if g % 3 == 0 else 24  # 175 / 217 = 0.806, 172 / 220 = 0.782
+            other = w[:-n] + [f"new{g}x{i}" for i in range(n)]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, other)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        assert alike == (g % 3 != 1)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if alike else 2 * g + 1}
+    for split_at in (1000, 1):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), split_at=split_at).collect()}
+        assert got == want
+
+
 def test_pairs_on_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.similar_documents(empty).count() == 0
