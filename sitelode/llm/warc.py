@@ -4,8 +4,10 @@ Writer: a record per page, an HTTP response whose body is the html in UTF-8. Of
 pages with equal payloads of at least ``revisit_from`` bytes the one with the
 smallest page_id is the response; the others are revisits that refer to it and
 keep its HTTP header, so its length and digest are known from them too. Records
-are plain text made by column expressions and written by Spark's own writer, so
-any shared store works and lost executors do no harm.
+are text made by column expressions, each compressed as a gzip member of its
+own, so that reading can go on behind a damaged one. A file's members are put
+together in the executor and written by Spark's own writer, so any shared store
+works and lost executors do no harm.
 
 Reader: records are checked (version line, header, length, end, block and payload digests). Where a
 check fails, the next place that begins a valid record, be it a version line or
@@ -21,6 +23,7 @@ written as an empty one; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -76,11 +79,40 @@ def records(pages: DataFrame, revisit_from: int = 0, date: str = "1970-01-01T00:
     return rows.select(F.concat(header, "block").alias("record"))
 
 
-def write(pages: DataFrame, path: str | None = None, records_per_file: int = 2000, compression: str = "gzip", **options) -> str:
-    """Writes the archives and returns their folder. Compressed files are one gzip member each."""
+def _members(batches: Iterator[pa.RecordBatch], records_per_file: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A row per file: its gzip members, one of each record, and no more than so many records or bytes but for a single one.
+    The last byte, which the text writer adds as its separator, is left out: it is zero for members of less than 16 MB, and
+    an empty member follows where it isn't."""
+    parts: list[bytes] = []
+    size = 0
+
+    def file() -> pa.RecordBatch:
+        last = [] if parts[-1].endswith(b"\0") else [gzip.compress(b"", mtime=0)]
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts + last)[:-1]], pa.binary())], ["value"])
+
+    for b in batches:
+        for record in b.column(0).cast(pa.binary()):
+            member = gzip.compress(record.as_py() + _END, 6, mtime=0)
+            if parts and (len(parts) == records_per_file or size + len(member) > most_bytes):
+                yield file()
+                parts, size = [], 0
+            parts.append(member)
+            size += len(member)
+    if parts:
+        yield file()
+
+
+def write(pages: DataFrame, path: str | None = None, records_per_file: int = 2000, compression: str = "gzip", most_bytes: int = 1 << 25, **options) -> str:
+    """Writes the archives and returns their folder. With gzip each record is a member of its own; other compressions, or none,
+    are those of Spark's text writer."""
     path = path or new_folder(pages.sparkSession, "warc")
-    to = records(pages, **options).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file)
-    to.text(path, compression=compression)
+    rows = records(pages, **options)
+    if compression != "gzip":
+        rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path, compression=compression)
+        return path
+    files = rows.mapInArrow(lambda it: _members(it, records_per_file, most_bytes), "value binary")
+    # the text writer takes strings as they are, whatever their bytes; a file is one row, and its separator the last byte
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path, compression="none")
     return path
 
 
@@ -142,9 +174,15 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
     unzip, out = zlib.decompressobj(31), []
     for lo in range(at, len(data), 1 << 16):
         part = data[lo : lo + (1 << 16)]
+        before = unzip.copy()
         try:
             out.append(unzip.decompress(part))
-        except zlib.error as e:
+        except zlib.error as e:  # what the call has inflated is lost: again, byte by byte up to the damage
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i : i + 1]))
+            except zlib.error:
+                pass
             return b"".join(out), None, f"bad gzip member: {e}"
         if unzip.eof:
             return b"".join(out), lo + len(part) - len(unzip.unused_data), ""
@@ -158,6 +196,8 @@ def _read_at(data: bytes, at: int) -> tuple[list[Record | Gap], int | None, str]
         got = parse(data, at)
         return ([], None, got) if isinstance(got, str) else ([Record(at, got[2] - at, got[0], got[1])], got[2], "")
     plain, end, reason = _inflate(data, at)
+    if end is not None and not plain:
+        return [], end, ""
     inner = list(salvage(plain))
     if not any(isinstance(r, Record) for r in inner):
         return [], None, reason or inner[0].reason if inner else reason or "empty gzip member"

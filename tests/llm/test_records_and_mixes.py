@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import json
+import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -47,6 +49,34 @@ def test_salvage_recovers_later_records(spark, zipped):
     assert list(warc.salvage(b"")) == [] and [type(x) for x in warc.salvage(b"junk")] == [warc.Gap]
 
 
+def test_damage_of_a_written_archive_costs_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>page {i} é " + "x" * 50) for i in range(7)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages, str(tmp_path / "warc"), records_per_file=5)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) == 2 and not [r for f in files for r in warc.salvage(f.read_bytes()) if isinstance(r, warc.Gap)]
+    assert sorted(r.page_id for r in warc.read(spark, path).collect()) == list(range(7))
+    data = bytearray(files[0].read_bytes())
+    members = [r.offset for r in warc.salvage(bytes(data))]
+    assert len(set(members)) == 5 and gzip.decompress(data).count(b"WARC/1.1") == 5
+    data[members[1] + 40] ^= 0xFF
+    assert [r.offset for r in warc.salvage(bytes(data)) if isinstance(r, warc.Record)] == [members[0], *members[2:]]
+    big = next(warc._members(iter([pa.record_batch({"record": ["a" * (1 << 24)]})]), 5, 1)).column(0)[0].as_py()
+    assert len(gzip.decompress(big + b"\0")) == (1 << 24) + 4
+
+
+def test_records_before_damage_within_a_member_are_recovered(spark):
+    raw = record_bytes(spark, [(i, "u", f"<p>page {i} " + "x" * 50, "") for i in range(20)])
+    whole = gzip.compress(b"".join(raw))
+    bad_crc = bytearray(whole)
+    bad_crc[-6] ^= 0xFF
+    assert len([r for r in warc.salvage(bytes(bad_crc)) if isinstance(r, warc.Record)]) == 20
+    assert [r for r in warc.salvage(gzip.compress(b"") + whole) if isinstance(r, warc.Gap)] == []
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    head = pack.compress(b"".join(raw[:9])) + pack.flush(zlib.Z_FULL_FLUSH)
+    found = list(warc.salvage(head + b"\xff" * 20))
+    assert len([r for r in found if isinstance(r, warc.Record)]) == 9 and isinstance(found[-1], warc.Gap)
+
+
 def calls_of(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, place long, call_id string, name string, arguments string, needs array<string>")
 
