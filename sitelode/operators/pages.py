@@ -6,6 +6,8 @@ does not apply or was not evaluated leaves both sides of a score.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,20 +171,21 @@ def allowed(paths: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:
     return paths.join(verdict, ["host", "path"], "left").select("host", "path", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
-def crawl_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+def crawl_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth: the fewest links from a root. The frontier goes on by joins until nothing new is found; each level is
     written to the checkpoint folder, so a lost executor costs one level."""
     from sitelode.operators.lineage import cut
 
     seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % 20 == 0:  # a plan of few tables, however many levels there are
+            seen = cut(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
 
 
 def broken_links(edges: DataFrame, status: DataFrame) -> DataFrame:

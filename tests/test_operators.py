@@ -157,3 +157,9 @@ def test_depth_of_a_graph_with_a_loop(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (9, 8)], "src long, dst long")
     got = {r.node: r.depth for r in pages.crawl_depth(e, spark.createDataFrame([(0,)], "node long")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_crawl_depth_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(65)] + [(65, 3)], "src long, dst long").coalesce(1)
+    got = {r.node: r.depth for r in pages.crawl_depth(e, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(66)}
