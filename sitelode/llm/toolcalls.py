@@ -1,7 +1,9 @@
 """Tool calls of conversations: linked to their results, ordered, validated and serialised.
 
-Calls and results are hash-joined by their identifier. Where an identifier
-repeats, the first by its place counts, and ``copies`` says how many there were.
+Calls and results are hash-joined by their conversation and identifier. Where an
+identifier repeats within a conversation, the first by its place counts, and
+``copies`` says how many there were. Results that come without a conversation
+belong to the calls of their identifier in all conversations.
 Calls are ordered topologically: level 0 needs no other call, and each call's
 level is above those of all calls that it depends on; within a conversation
 (level, place, id) is an order in which each call comes after what it needs.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,20 +85,22 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def levels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """call_id, level of all calls of edges (call_id, needs) that are on or above no cycle; level 0 for what needs nothing."""
+def levels(edges: DataFrame) -> DataFrame:
+    """call_id, level of all calls of edges (call_id, needs) that are on or above no cycle; level 0 for what needs nothing.
+    As many rounds as there are levels."""
     edges = materialize(edges.distinct(), "edges")
     ids = edges.select("call_id").union(edges.select(F.col("needs").alias("call_id"))).distinct()
     done = materialize(ids.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
     last, left = done, edges
-    for level in range(1, max_rounds + 1):
+    for level in count(1):
         left = materialize(left.join(last.select(F.col("call_id").alias("needs")), "needs", "left_anti").select("call_id", "needs"), "left")
         # what had edges before this round and has none now
         last = materialize(edges.select("call_id").distinct().join(left, "call_id", "left_anti").join(done, "call_id", "left_anti").withColumn("level", F.lit(level)), "level")
         if last.isEmpty():
             return done
         done = done.unionByName(last)
-    raise RuntimeError(f"calls depend on each other over more than {max_rounds} levels")
+        if level % 20 == 0:  # a plan of few tables, however many levels there are
+            done = materialize(done.coalesce(edges.sparkSession.sparkContext.defaultParallelism), "levels")
 
 
 def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
@@ -114,19 +119,23 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> I
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row per call. calls: conv_id, place, call_id, name, arguments (JSON), needs (array of call ids);
-    results: call_id, place, content."""
-    first = F.struct("conv_id", "place", "name", "arguments", "needs")
-    named = calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(first).alias("c"), F.count("*").alias("copies")).select("call_id", "c.*", "copies")
+    """A row per call. calls: conv_id, place, call_id, name, arguments (JSON), needs (array of call ids of the conversation);
+    results: call_id, place, content and, where identifiers are unique within a conversation only, conv_id."""
+    key = lambda c: F.struct("conv_id", F.col(c).alias("call_id"))  # noqa: E731  # equal also where both have no conversation
+    first = F.struct("place", "name", "arguments", "needs")
+    named = calls.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("copies")).select("call_id", "conv_id", "c.*", "copies")
     nameless = calls.where(F.col("call_id").isNull()).select("call_id", "conv_id", "place", "name", "arguments", "needs", F.lit(1).cast("long").alias("copies"))
-    one = materialize(named.unionByName(nameless), "calls")
-    answers = results.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("place", "content")).alias("r"), F.count("*").alias("answers"))
-    answers = answers.select("call_id", F.col("r.place").alias("result_place"), F.col("r.content").alias("result"), "answers")
-    asked = one.where(F.col("call_id").isNotNull()).select("call_id", F.explode("needs").alias("needs"))
-    edges = asked.join(one.select(F.col("call_id").alias("needs")).where(F.col("needs").isNotNull()), "needs", "left_semi").select("call_id", "needs")
-    ranked = levels(edges)
-    in_graph = edges.select("call_id", F.lit(True).alias("has_needs")).distinct()
-    rows = one.join(answers, "call_id", "left").join(ranked, "call_id", "left").join(in_graph, "call_id", "left")
+    one = materialize(named.unionByName(nameless).withColumn("key", F.when(F.col("call_id").isNotNull(), key("call_id"))), "calls")
+    by = "key" if "conv_id" in results.columns else "call_id"
+    answers = results.where(F.col("call_id").isNotNull()).withColumn("key", key("call_id")) if by == "key" else results.where(F.col("call_id").isNotNull())
+    answers = answers.groupBy(by).agg(F.min(F.struct("place", "content")).alias("r"), F.count("*").alias("answers"))
+    answers = answers.select(by, F.col("r.place").alias("result_place"), F.col("r.content").alias("result"), "answers")
+    asked = one.where(F.col("call_id").isNotNull()).select("key", "conv_id", F.explode("needs").alias("needs")).where(F.col("needs").isNotNull())
+    asked = asked.select("key", key("needs").alias("needs"))
+    edges = asked.join(one.where(F.col("call_id").isNotNull()).select(F.col("key").alias("needs")), "needs", "left_semi").select(F.col("key").alias("call_id"), "needs")
+    ranked = levels(edges).withColumnRenamed("call_id", "key")
+    in_graph = edges.select(F.col("call_id").alias("key"), F.lit(True).alias("has_needs")).distinct()
+    rows = one.join(answers, by, "left").join(ranked, "key", "left").join(in_graph, "key", "left")
     level = F.when(F.col("level").isNull() & F.col("has_needs").isNull(), 0).otherwise(F.col("level")).alias("level")
     status = F.when(level.isNull(), "cycle").when(F.col("answers").isNull(), "no result").otherwise("ok")
     rows = rows.select("conv_id", "call_id", "place", "name", "arguments", level, "copies", "result_place", "result", status.alias("status"))
@@ -135,8 +144,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Results whose identifier no call has."""
-    return results.where(F.col("call_id").isNotNull()).join(calls.select("call_id").distinct(), "call_id", "left_anti")
+    """Results whose identifier no call has, in their conversation if they name one."""
+    same = F.col("r.call_id") == F.col("c.call_id")
+    own = [c for c in ("conv_id", "call_id") if c in results.columns]
+    if "conv_id" in own:
+        same = same & F.col("r.conv_id").eqNullSafe(F.col("c.conv_id"))
+    return results.where(F.col("call_id").isNotNull()).alias("r").join(calls.select(*own).distinct().alias("c"), same, "left_anti")
 
 
 #: The tools that turns of a conversation stand for where its messages hold no calls of their own.
@@ -166,5 +179,5 @@ def of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         arguments.alias("arguments"),
         F.when(asks & (F.col("turn") > 0), F.array(call_id(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
-    results = conversations.where(F.col("role") == "assistant").select(call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
+    results = conversations.where(F.col("role") == "assistant").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
     return calls, results

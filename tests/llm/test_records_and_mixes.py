@@ -98,6 +98,19 @@ def test_tool_calls(spark):
     assert toolcalls.link(calls_of(spark, []), results, schema).count() == 0
 
 
+def test_identifiers_are_those_of_a_conversation(spark):
+    rows = [(c, 0, "call_1", "f", '{"n": %d}' % i, []) for i, c in enumerate((1, 2, None))] + [(2, 1, "call_2", "f", "{}", ["call_1"]), (1, 1, "call_3", "f", "{}", ["call_2"])]
+    results = spark.createDataFrame([(2, "call_1", 5, "two"), (1, "call_1", 6, "one"), (1, "call_2", 7, "lost"), (None, "call_1", 8, "none")], "conv_id long, call_id string, place long, content string")
+    got = sorted((r.conv_id or 0, r.call_id, r.level, r.copies, json.loads(r.json)["result"], r.arguments) for r in toolcalls.link(calls_of(spark, rows), results, {}).collect())
+    assert got == [(0, "call_1", 0, 1, "none", '{"n": 2}'), (1, "call_1", 0, 1, "one", '{"n": 0}'), (1, "call_3", 0, 1, None, "{}"), (2, "call_1", 0, 1, "two", '{"n": 1}'), (2, "call_2", 1, 1, None, "{}")]
+    assert [(r.conv_id, r.call_id) for r in toolcalls.orphans(calls_of(spark, rows), results).collect()] == [(1, "call_2")]
+
+
+def test_levels_have_no_greatest_number(spark):
+    edges = spark.createDataFrame([(str(i + 1), str(i)) for i in range(104)], "call_id string, needs string").coalesce(1)
+    assert {int(r.call_id): r.level for r in toolcalls.levels(edges).collect()} == {i: i for i in range(105)}
+
+
 def test_turns_become_calls(spark):
     turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi there"), (1, 2, "assistant", "yes"), (1, 3, "user", None), (2, 0, "user", "alone"), (1, 1, "user", "hi there"), (None, 0, "user", "x")]
     conv = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
