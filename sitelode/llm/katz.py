@@ -1,51 +1,61 @@
 """Katz back-off scoring of documents.
 
-The model is a bigram model over words. Unigram and bigram counts are
-Good-Turing discounted; what the discount frees goes to unseen events through
-back-off weights that make every distribution sum to one exactly.
+The model is a bigram model over all training words. Unigram and bigram counts
+are Good-Turing discounted; what the discount frees goes to unseen events
+through back-off weights that make every distribution sum to one exactly.
 
 * order 1: P1(w) = d(c) c / N for a word with training count c; the mass left
   is that of the unknown word, which counts as one type.
-* order 2: over all training words and the text's end. P(k|h) = d(c) c(h,k) / c(h)
-  if the pair was seen, else a(h) P1(k), with a(h) the free mass of h divided by
-  the order-1 mass of what h has not been followed by. With ``classes`` given,
-  it is over so many of the most frequent words and one class for all others;
-  a word of that class has P(class|h) P1(w) / P1(class).
-
-Counts cover all training texts: every word is counted, and every pair. A
-document's score is the sum of its backed-off values, as if all words but the
-most frequent ones (``hot_words`` at most) were unknown, plus corrections: one
-for each pair that was seen, one for each other word that is known. The most
-frequent pairs (``hot_pairs`` at most) are corrected where the text is read; all
-others, and words, are joined by key to a table of corrections that is bucketed
-by that key, so only the texts' side is shuffled. Both lists are shortcuts: what
-is not in them is looked up by the hash of the word or pair.
-
-A null text counts as an empty one: just the end. Rows that repeat an id are
-scored each, as a row number is fixed when the table of texts is written. With no training text at all, all words are
-unknown. Columns other than the id and the text are ignored.
+* order 2: P(k|h) = d(c) c(h,k) / c(h) if the pair was seen, else a(h) P1(k),
+  with a(h) the free mass of h divided by the order-1 mass of what h has not
+  been followed by. A history that was never seen backs off at no cost.
+
+Every token is looked up in that order: the pair, then the weight of its
+history and the word. The tables are ``words`` (a row a word, partitioned by
+its key) and the bigrams, bucketed by their history: a row holds all pairs of
+the histories of one bucket as packed columns, and a history with more than
+``split_at`` tokens is dealt out over the buckets by pair. Tokens are sent to
+their pair's bucket and each document's sums come back, so neither side is ever
+whole in one place, and the number of buckets follows that of the tokens.
+
+Lists of the most frequent words (``hot_words`` at most) and pairs
+(``hot_pairs`` at most) go to every task. They are shortcuts that change no
+score: what is in them is looked up where the text is read.
+
+A word is known by 63 bits of the XXH64 of its bytes: with ten million different
+words the chance that any two are taken for one is 5e-6. Both lists and what is
+split follow training counts, so a held-out fold is meant to be one by a hash: a
+pair that fills held-out texts and is in no training text stays in one bucket.
+
+A null text counts as an empty one: just the end. Texts are read whole, however
+long. Rows that repeat an id are scored each. With no training text at all, all
+words are unknown. Columns other than the id and the text are ignored; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelode.llm.common import materialize, new_folder, remainder, words
 
-#: Words: 0 all but the frequent ones, 1 the end of a text, which is also the history of its first word, then the frequent words.
-OTHER, END, FIRST = 0, 1, 2
-LONGEST = 64
-#: Keys of words are their XXH64 with the sign bit set; keys of pairs are positive. In pairs, a frequent word stands as its
-#: number, any other as its key.
+#: The number of a text's end, which is also the history of its first word. Frequent words have the numbers after it, all
+#: others negative keys.
+END = 0
 SIGN = 1 << 63
+#: Tokens that a task holds at once, and tokens a bucket.
+CHUNK, BUCKET = 3_000_000, 400_000
 
 
 def good_turing(of_counts: dict[int, int], k: int = 5) -> list[float]:
@@ -61,125 +71,137 @@ def good_turing(of_counts: dict[int, int], k: int = 5) -> list[float]:
     return out
 
 
-def _discounted(count: Column, d: list[float]) -> Column:
-    """count times its discount factor."""
-    factor = F.element_at(F.array(*map(F.lit, d)), F.least(count + 1, F.lit(len(d))).cast("int"))
-    return F.when(count < len(d), factor * count).otherwise(count.cast("double"))
+def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return c * np.where(c < len(d), np.array(d)[np.minimum(c, len(d) - 1)], 1.0)
+
+
+def _word_key(word: bytes) -> int:
+    return (xxhash.xxh64_intdigest(word, 42) | SIGN) - (1 << 64)
+
+
+class Codes(dict):
+    """The code of a word: its number if it is frequent, else its key. Filled as words come."""
+
+    def __init__(self, keys: np.ndarray):
+        self.number = {key: i for i, key in enumerate(keys.tolist(), END + 1)}
+
+    def __missing__(self, word: bytes) -> int:
+        key = _word_key(word)
+        code = self.number.get(key, key)
+        if len(word) <= 64:
+            if len(self) > 400_000:
+                self.clear()
+            self[word] = code
+        return code
+
+
+@dataclass
+class Unigrams:
+    """Order 1: totals and, by number, the frequent words. split: histories that are dealt out by pair, with their size and weight."""
+
+    keys: np.ndarray
+    count: np.ndarray
+    p: np.ndarray
+    unknown: float
+    size: int
+    discount: list[float]
+    split: np.ndarray
+    log_size: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    log_a: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def is_split(self, h: np.ndarray) -> np.ndarray:
+        return (h >= 0) & self.split[np.maximum(h, 0)]
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes: small numbers take little room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """An even spread of 64-bit values."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def pair_order(h: np.ndarray, k: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """What pairs are sorted by: the upper half, which decides the bucket, comes from the history or, if it is split, the pair."""
+    of_h = _mixed(h.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    of_pair = _mixed(of_h + k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(split, of_pair, of_h) & np.uint64(0xFFFFFFFF00000000) | of_pair >> np.uint64(32)
+
+
+def _dealt(q: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Bucket, first and end of each run of sorted values that share a bucket."""
+    of = (q >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    yield from zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(q)], strict=True)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new row begins in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _read(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """Codes of many texts end to end, with an end before the first and after each; their numbers of tokens; their rows."""
+    parts, lengths, rows, size = [np.array([END])], [], [], 0
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 50):
+            b = whole.slice(lo, 50)
+            for text in b.column("text").cast(pa.binary()):
+                w = words(text.as_py())
+                parts += np.fromiter(map(codes.__getitem__, w), np.int64, len(w)), parts[0]
+                lengths.append(len(w) + 1)
+                size += len(w) + 1
+            rows.append(b)
+            if size > CHUNK:
+                yield np.concatenate(parts), np.array(lengths), rows
+                parts, lengths, rows, size = parts[:1], [], [], 0
+    if lengths:
+        yield np.concatenate(parts), np.array(lengths), rows
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+# order 1
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
+        keys = np.fromiter(map(_word_key, seen), np.int64, len(seen))
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys), "c": pa.array(list(seen.values()), pa.int64())})
 
     for b in batches:
-        for text in b.column(0).cast(pa.binary()).to_pylist():
-            seen.update(words(text))
-            if len(seen) > 500_000:
+        for text in b.column(0).cast(pa.binary()):
+            seen.update(words(text.as_py()))
+            if len(seen) > 600_000:
                 yield out()
                 seen.clear()
     yield out()
 
 
-def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
-    v = (seed + (p5 + np.uint64(8))) ^ turn(x.view(np.uint64) * p2, 31) * p1
-    v = turn(v, 27) * p1 + p4
-    v = (v ^ v >> np.uint64(33)) * p2
-    v = (v ^ v >> np.uint64(29)) * p3
-    return v ^ v >> np.uint64(32)
-
-
-def pair_keys(h: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(h, k) without the sign bit."""
-    return (_hash_long(k, _hash_long(h, np.full(len(h), 42, np.uint64))) & np.uint64(SIGN - 1)).view(np.int64)
-
-
-class Words:
-    """Numbers of the most frequent words, and with classes counts of more of them; what tasks need of order 1."""
-
-    def __init__(self, words: list[bytes], counts: list[int], classes: int | None):
-        self.whole = classes is None
-        most = len(words) if self.whole else classes
-        self.index = {w: i + FIRST if i < most else -c for i, (w, c) in enumerate(zip(words, counts, strict=True))}
-
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The text's words as numbers after the history of its first word, the end included; the same as they stand in
-        pairs; counts of hot words outside the classes; and the keys of the words of which neither is known."""
-        w = words(text)
-        get = self.index.get
-        ids = np.array([END, *[get(x, OTHER) for x in w], END], np.int64)
-        at = np.flatnonzero(ids == OTHER)
-        rest = np.fromiter((xxhash.xxh64_intdigest(w[i - 1], 42) | SIGN for i in at.tolist()), np.uint64, len(at)).view(np.int64)
-        hot = -ids[ids < 0]
-        ids[ids < 0] = OTHER
-        in_pairs = ids
-        if self.whole:
-            in_pairs = ids.copy()
-            in_pairs[at] = rest
-        return ids, in_pairs, hot, rest
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], of_words: Words) -> Iterator[pa.RecordBatch]:
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, k = np.concatenate([p[:-1] for p in parts]), np.concatenate([p[1:] for p in parts])
-        _, at, n = np.unique(pair_keys(h, k), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(k[at]), pa.array(n, pa.int64())], ["h", "k", "c"])
-
-    parts, size = [], 0
-    for b in batches:
-        for text in b.column(0).cast(pa.binary()):
-            parts.append(of_words(text.as_py())[1])
-            size += len(parts[-1])
-            if size > 3_000_000:
-                yield out(parts)
-                parts, size = [], 0
-    if parts:
-        yield out(parts)
-
-
-def _is_hot(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(hot, keys)
-    at[at == len(hot)] = 0
-    return at, (hot[at] == keys) if len(hot) else np.zeros(len(keys), bool)
-
-
-def _backed_off(batches: Iterator[pa.RecordBatch], of_words: Words, hot: np.ndarray, hot_s: np.ndarray, log_a: np.ndarray, log_p: np.ndarray, c1: np.ndarray, d1: list[float], size1: int, unknown: float, log_base0: float) -> Iterator[pa.RecordBatch]:
-    """A row per text: its values if no pair but hot ones was seen and all words but hot ones are unknown; and the keys of
-    the other pairs and words, and how often it has each."""
-    log_b, seen, factor = np.log10(c1 + 1), (c1 > 0).astype(np.int64), np.array(d1)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "keys", "freqs"]
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            b, out = whole.slice(lo, 500), []
-            for text in b.column(1).cast(pa.binary()):
-                ids, in_pairs, more, rest = of_words(text.as_py())
-                h, k = ids[:-1], ids[1:]
-                s = log_a[h].sum() + log_p[k].sum()
-                pair, n = np.unique(pair_keys(in_pairs[:-1], in_pairs[1:]), return_counts=True)
-                at, found = _is_hot(pair, hot)
-                s += (hot_s[at[found]] * n[found]).sum()
-                if len(more):
-                    d = np.where(more < len(d1), factor[np.minimum(more, len(d1) - 1)], 1.0)
-                    s += (np.log10(d * more / size1) - np.log10(unknown)).sum()
-                base = log_b[k].sum() + np.log10(more + 1.0).sum() + log_base0 * len(k)
-                rare, n_rare = np.unique(rest, return_counts=True)
-                keys, freqs = np.concatenate([pair[~found], rare]), np.concatenate([n[~found], n_rare])
-                out.append((len(k), int(seen[k].sum()) + len(more), float(base), float(s), keys, freqs.astype(np.int32)))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
-
-
 def _histogram(counts: DataFrame) -> dict[int, int]:
-    """How many rows have each count: a row for each different count, of which there are fewer than the square root of twice the sum."""
-    return {r.c: r.n for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    """How many events have each count: a row for each different count, of which there are fewer than the square root of twice the sum."""
+    return {r.c: r.n for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
 
 
 def _threshold(histogram: dict[int, int], most: int) -> int:
-    """The smallest count that at most `most` rows reach."""
+    """The smallest count that at most `most` events reach."""
     total, least = 0, max(histogram, default=0) + 1
     for c in sorted(histogram, reverse=True):
         total += histogram[c]
@@ -189,97 +211,315 @@ def _threshold(histogram: dict[int, int], most: int) -> int:
     return least
 
 
-def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, hot_words: int = 250_000, hot_pairs: int = 1_000_000, k: int = 5) -> DataFrame:
+# order 2
+
+_PAIRS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("k", pa.binary()), ("c", pa.binary())])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], one: Unigrams, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs of many texts, a row per bucket."""
+    codes = Codes(one.keys)
+    for x, _, _ in _read(batches, codes):
+        h, k = x[:-1], x[1:]
+        q = pair_order(h, k, one.is_split(h))
+        order = np.argsort(q)
+        h, k, q = h[order], k[order], q[order]
+        at = _runs(h, k)
+        c = np.diff(np.r_[at, len(h)])
+        h, k, q = h[at], k[at], q[at]
+        yield _batch([(b, pack(np.diff(h[i:j], prepend=0)), pack(k[i:j]), pack(c[i:j])) for b, i, j in _dealt(q, buckets)], _PAIRS)
+
+
+_TABLE = "bucket int, h binary, n binary, k binary, c binary, values array<long>, freqs array<long>, rare array<long>, split array<struct<h:long,c:long,low:array<long>,mass:double>>, split_rare array<struct<h:long,k:long>>"
+
+
+def _merge(batches: Iterator[pa.RecordBatch], one: Unigrams, most: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row per bucket: its histories, how many pairs each has, the pairs' words and counts in order; and how many pairs have
+    each count, what other words there are but frequent ones, and what is known here of histories that are split."""
+    for b in batches:
+        for bucket, parts in zip(b.column("bucket").to_pylist(), b.column("parts"), strict=True):
+            parts = parts.as_py()
+            h, k, c = np.concatenate([np.cumsum(unpack(p["h"])) for p in parts]), *(np.concatenate([unpack(p[f]) for p in parts]) for f in "kc")
+            order = np.lexsort((k, h))
+            h, k, c = h[order], k[order], c[order]
+            at = _runs(h, k)
+            h, k, c = h[at], k[at], np.add.reduceat(c, at)
+            first = _runs(h)
+            own, n = h[first], np.diff(np.r_[first, len(h)])
+            values, freqs = np.unique(c, return_counts=True)
+            split, mass = one.is_split(own), np.add.reduceat(np.where(k >= 0, one.p[np.maximum(k, 0)], 0.0), first)
+            parts_of = [{"h": own[i], "c": c[s : s + n[i]].sum(), "low": [int((c[s : s + n[i]] == r).sum()) for r in range(1, most + 1)], "mass": mass[i]} for i, s in zip(np.flatnonzero(split), first[split], strict=True)]
+            in_split = np.repeat(split, n) & (k < 0)
+            rare_of = [{"h": x, "k": y} for x, y in zip(h[in_split].tolist(), k[in_split].tolist(), strict=True)]
+            row = {"bucket": [bucket], "h": [pack(np.diff(own, prepend=0))], "n": [pack(n)], "k": [pack(k)], "c": [pack(c)], "values": [values], "freqs": [freqs], "rare": [np.unique(k[k < 0])], "split": [parts_of], "split_rare": [rare_of]}
+            yield pa.RecordBatch.from_pydict(row, out)
+
+
+def _arrow_types(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+@dataclass
+class Bucket:
+    """The histories of a bucket, ascending, and their pairs, those of a history in the order of their words."""
+
+    own: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+    k: np.ndarray
+    c: np.ndarray
+    value: np.ndarray
+    log_size: np.ndarray
+    kept: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of_row(cls, row: dict, one: Unigrams, d2: list[float]) -> Bucket:
+        empty = np.zeros(0, np.int64)
+        own, n, k, c = (empty if row[f] is None else unpack(row[f]) for f in "hnkc")
+        own, first = np.cumsum(own), np.cumsum(n) - n
+        value = discounted(c, d2)
+        kept, size = (np.add.reduceat(v, first) if len(first) else v for v in (value, c))
+        size = np.where(kept < size * (1 - 1e-12), size, size + 1)
+        log_size, split = np.log10(size), one.is_split(own)
+        log_size[split] = one.log_size[own[split]]
+        return cls(own, first, np.repeat(np.arange(len(own)), n), k, c, value, log_size, kept, size)
+
+    def log_p(self) -> np.ndarray:
+        return np.log10(self.value) - self.log_size[self.of]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], one: Unigrams, d2: list[float], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a frequent word that have at least a count, with their log probability."""
+    for b in batches:
+        for row in b.to_pylist():
+            of = Bucket.of_row(row, one, d2)
+            at = np.flatnonzero((of.c >= least) & (of.k >= 0))
+            yield pa.RecordBatch.from_pydict({"h": of.own[of.of[at]], "k": of.k[at], "s": of.log_p()[at]})
+
+
+# scores
+
+
+@dataclass
+class Pairs:
+    """The most frequent pairs, sorted by their order."""
+
+    q: np.ndarray
+    h: np.ndarray
+    k: np.ndarray
+    s: np.ndarray
+
+    def find(self, q: np.ndarray, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of many pairs is, and whether it is there."""
+        if not len(self.q):
+            return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+        at = np.minimum(np.searchsorted(self.q, q), len(self.q) - 1)
+        return at, (self.h[at] == h) & (self.k[at] == k)
+
+
+def _sent(doc_id: pa.DataType) -> pa.Schema:
+    return pa.schema(
+        [("bucket", pa.int32()), ("block", pa.int64()), ("h", pa.binary()), ("k", pa.binary()), ("row", pa.binary()), ("doc_id", pa.list_(doc_id)), ("held_out", pa.list_(pa.bool_()))]
+        + [("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base_score", pa.list_(pa.float64())), ("score", pa.list_(pa.float64()))]
+    )
+
+
+def _send(batches: Iterator[pa.RecordBatch], one: Unigrams, hot: Pairs, buckets: int, log_base0: float) -> Iterator[pa.RecordBatch]:
+    """Texts come in blocks. Of each, a row of what is known of its texts by frequent words and pairs alone (its bucket is
+    negative), and a row per bucket of all other tokens."""
+    codes, log_c, known = Codes(one.keys), np.log10(one.count + 1.0), one.count > 0
+    for i, (x, lengths, rows) in enumerate(_read(batches, codes)):
+        block, n = TaskContext.get().partitionId() << 32 | i, len(lengths)
+        h, k, row = x[:-1], x[1:], np.repeat(np.arange(n), lengths)
+        numbered = k >= 0
+        base = np.bincount(row[numbered], log_c[k[numbered]], n) - log_base0 * lengths
+        n_known = np.bincount(row[numbered], known[k[numbered]], n)
+        q = pair_order(h, k, one.is_split(h))
+        order = np.argsort(q)
+        h, k, q, row = h[order], k[order], q[order], row[order]
+        at, found = hot.find(q, h, k)
+        score = np.bincount(row[found], hot.s[at[found]], n)
+        rest = ~found
+        h, k, q, row = h[rest], k[rest], q[rest], row[rest]
+        ids = pa.chunked_array([b.column("doc_id") for b in rows])
+        schema = _sent(ids.type)
+        held = pa.chunked_array([b.column("held_out") for b in rows])
+        yield _batch([(-1 - block % (1 << 30), block, None, None, None, ids.to_pylist(), held.to_pylist(), lengths, n_known.astype(np.int64), base, score)], schema)
+        if len(q):
+            yield _batch([(b, block, pack(np.diff(h[i:j], prepend=0)), pack(k[i:j]), pack(row[i:j]), *[None] * 6) for b, i, j in _dealt(q, buckets)], schema)
+
+
+def _look_up(of: Bucket, log_a: np.ndarray, count: np.ndarray, one: Unigrams, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token, the log probability, but for what P1 adds to an unseen pair of a word without a number; the count of its
+    word if that has no number and the pair was seen, else 0; and whether P1 is still to be added."""
+    split, numbered = one.is_split(h), k >= 0
+    s, c, seen = np.zeros(len(h)), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    s[split] = one.log_a[h[split]]
+    if len(of.own):
+        at = np.minimum(np.searchsorted(of.own, h), len(of.own) - 1)
+        there = of.own[at] == h
+        s[there] = log_a[at[there]]
+        names = np.unique(of.k)
+        width = len(names)
+        word = np.minimum(np.searchsorted(names, k), width - 1)
+        pairs = of.of * width + np.searchsorted(names, of.k)
+        wanted = at * width + word
+        pair = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+        seen = there & (names[word] == k) & (pairs[pair] == wanted)
+        s[seen] = of.log_p()[pair[seen]]
+        c[seen] = count[pair[seen]]
+    add = ~seen & numbered
+    s[add] += np.log10(one.p[k[add]])
+    c[numbered] = 0
+    return s, c, ~seen & ~numbered
+
+
+def _answer(batches: Iterator[pa.RecordBatch], one: Unigrams, d2: list[float], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Looks up the tokens that came to each bucket and sums them up by text: a row per block of texts."""
+    sums: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+    size = 0
+
+    def done() -> pa.RecordBatch:
+        rows = []
+        for block, parts in sums.items():
+            row, s, c, open_, k = (np.concatenate(p) for p in zip(*parts, strict=True))
+            own, at = np.unique(row, return_inverse=True)
+            total = [np.bincount(at, v, len(own)) for v in (s, np.log10(c + 1.0), c > 0)]
+            rows.append((block, pack(own), total[0].tobytes(), total[1].tobytes(), pack(total[2]), row[open_], k[open_], *[None] * 6))
+        return _batch(rows, out)
+
+    for b in batches:
+        for row in b.to_pylist():
+            if row["bucket"] < 0:
+                yield _batch([(p["block"], *[None] * 6, *(p[f] for f in out.names[7:])) for p in row["parts"]], out)
+                continue
+            of = Bucket.of_row(row, one, d2)
+            count = np.zeros(len(of.k), np.int64)
+            p1 = one.p[np.maximum(of.k, 0)]
+            if len(rare := row["counts"] or []):
+                key, c = np.array([(r["key"], r["c"]) for r in rare], np.int64).T
+                order = np.argsort(key)
+                at = np.flatnonzero(of.k < 0)
+                count[at] = c[order][np.searchsorted(key[order], of.k[at])]
+                p1[at] = discounted(count[at], one.discount) / one.size
+            mass = np.add.reduceat(p1, of.first) if len(of.first) else p1
+            log_a, split = np.log10((1 - of.kept / of.size) / np.maximum(1 - mass, 1e-12)), one.is_split(of.own)
+            log_a[split] = one.log_a[of.own[split]]
+            h, k = np.concatenate([np.cumsum(unpack(p["h"])) for p in row["parts"]]), np.concatenate([unpack(p["k"]) for p in row["parts"]])
+            s, c, open_ = _look_up(of, log_a, count, one, h, k)
+            end = 0
+            for p in row["parts"]:
+                rows = unpack(p["row"])
+                i, end = end, end + len(rows)
+                sums[p["block"]].append((rows, s[i:end], c[i:end], open_[i:end], k[i:end]))
+            size += len(h)
+            if size > CHUNK:
+                yield done()
+                sums.clear()
+                size = 0
+    if sums:
+        yield done()
+
+
+def _documents(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row per text of each block."""
+    for b in batches:
+        for block, parts in zip(b.column("block").to_pylist(), b.column("parts").to_pylist(), strict=True):
+            texts = next(p for p in parts if p["doc_id"] is not None)
+            n = len(texts["doc_id"])
+            s, base, known = np.array(texts["score"]), np.array(texts["base_score"]), np.array(texts["n_known"])
+            for p in parts:
+                if p["row"] is not None:
+                    at = unpack(p["row"])
+                    s[at] += np.frombuffer(p["s"])
+                    base[at] += np.frombuffer(p["b"])
+                    known[at] += unpack(p["known"])
+            columns = [np.full(n, block), np.arange(n), texts["doc_id"], texts["held_out"], texts["n_tokens"], known, base, s]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out)
+
+
+def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 250_000, hot_pairs: int = 1_000_000, split_at: int = 200_000, k: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability): one row per input row."""
     spark = docs.sparkSession
     fold = F.lit(False) if held_out is None else held_out
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold.alias("held_out"))
     train = texts.where(~F.col("held_out")).select("text")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # order 1
-    counts = materialize(train.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counts = materialize(train.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     ends = train.count()
-    by_c = _histogram(counts)
+    by_c = _histogram(counts.withColumn("n", F.lit(1)))
     total, types = sum(c * n for c, n in by_c.items()) + ends, sum(by_c.values()) + bool(ends)
     d1 = good_turing({c: by_c.get(c, 0) + (c == ends) for c in range(1, k + 2)}, k)
-    discount = lambda c: c * d1[c] if c <= k else float(c)
-    seen_mass = sum(n * discount(c) for c, n in by_c.items()) + discount(ends)
+    seen_mass = sum(n * float(discounted(np.array(c), d1)) for c, n in [*by_c.items(), (ends, 1)])
     size1 = max(total, 1) if seen_mass < total * (1 - 1e-12) else total + 1  # what is left is never nothing
     unknown = 1 - seen_mass / size1
-    short = F.octet_length("word") <= LONGEST
-    least = _threshold(by_c, (classes or 0) + hot_words)
-    top = counts.where(short & (F.col("c") >= least)).toArrow()  # bounded by the threshold
-    top = sorted(zip((-c for c in top["c"].to_pylist()), top["word"].to_pylist(), strict=True))
-    of_words = Words([w for _, w in top], [-c for c, _ in top], classes)
-    own = [-c for c, _ in top[:classes]]
-    c1 = np.array([0, ends, *own], np.float64)
-    p1 = np.array([0.0, discount(ends), *map(discount, own)]) / size1
-    p1[OTHER] = max(1 - p1[END:].sum(), unknown)  # in pairs only with classes
-
-    # order 2; pairs of frequent words are joined to arrays, others by the word's key
-    part = spark.conf.get("spark.sql.shuffle.partitions")
-    pairs = materialize(train.mapInArrow(lambda it: _pairs(it, of_words), "h long, k long, c long").groupBy("h", "k").agg(F.sum("c").alias("c")), "pairs")
-    key = F.xxhash64("word").bitwiseOR(F.lit(-SIGN)).alias("key")
-    rare = materialize(counts.where(~(short & (F.col("c") >= least))).select(key, "c", (_discounted(F.col("c"), d1) / size1).alias("p1")), "rare")
-    by_c2 = _histogram(pairs)
-    d2 = good_turing(by_c2, k)
-    first = _rows(spark, {"k": np.arange(len(p1)), "p1": p1})  # a row per frequent word: bounded
-    of_rare = pairs.where("k < 0").join(rare.select(F.col("key").alias("k"), "p1"), "k")
-    pairs = pairs.where("k >= 0").join(F.broadcast(first), "k").select("h", "k", "c", "p1").union(of_rare.select("h", "k", "c", "p1"))
-    sums = pairs.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("kept"), F.sum("p1").alias("mass"))
-    size2 = F.when(F.col("kept") < F.col("ch") * (1 - 1e-12), F.col("ch")).otherwise(F.col("ch") + 1)
-    log_a = F.log10((1 - F.col("kept") / F.col("size2")) / F.greatest(1 - F.col("mass"), F.lit(1e-12)))
-    sums = materialize(sums.withColumn("size2", size2).select("h", log_a.alias("log_a"), (F.log10("size2") + log_a).alias("of_h")), "histories")
-    own = sums.where("h >= 0").toArrow()  # bounded, as `first`
-    log_a = np.zeros(len(p1))
-    log_a[own["h"].to_numpy()] = own["log_a"].to_numpy()
-    log_p = np.log10(np.maximum(p1, 1e-300))
-    log_p[OTHER] = np.log10(unknown)
-    frequent = _rows(spark, {"h": own["h"].to_numpy(), "of_h": own["of_h"].to_numpy()})
-    of_rare = pairs.where("h < 0").join(sums.where("h < 0").select("h", "of_h"), "h")
-    pairs = pairs.where("h >= 0").join(F.broadcast(frequent), "h").select("h", "k", "c", "p1", "of_h").union(of_rare.select("h", "k", "c", "p1", "of_h"))
-    pairs = pairs.select(
-        F.xxhash64("h", "k").bitwiseAND(F.lit(SIGN - 1)).alias("key"), "c", (F.log10(_discounted(F.col("c"), d2)) - F.col("of_h") - F.log10(F.greatest("p1", F.lit(1e-300)))).alias("s")
-    )
-    # a word that is known is a history of its own, too; with classes its history is that of its class
-    words_too = rare.join(sums.select(F.col("h").alias("key"), "log_a"), "key", "left").select(
-        "key", "c", (F.log10("p1") - F.lit(float(np.log10(unknown))) + F.coalesce("log_a", F.lit(0.0))).alias("s")
-    )
+    top = counts.where(F.col("c") >= _threshold(by_c, hot_words)).toArrow()  # bounded by the threshold
+    keys, c = top["key"].to_numpy(), top["c"].to_numpy()
+    order = np.lexsort((keys, -c))
+    c = np.r_[ends, c[order]].astype(np.int64)
+    p1 = discounted(c, d1) / size1
+    p1[END] = p1[END] or unknown
+    one = Unigrams(keys[order], c, p1, unknown, size1, d1, c > split_at)
+    log_unknown = float(np.log10(unknown))
+
+    # order 2
+    buckets, table_types = total // BUCKET + 1, _arrow_types(_TABLE)
+    counted = train.mapInArrow(lambda it: _count_pairs(it, one, buckets), "bucket int, h binary, k binary, c binary").repartition("bucket")
+    merged = counted.groupBy("bucket").agg(F.collect_list(F.struct("h", "k", "c")).alias("parts")).mapInArrow(lambda it: _merge(it, one, k, table_types), _TABLE)
     name = f"sitelode_katz_{uuid.uuid4().hex}"
-    both = pairs.union(words_too).repartition(int(part), "key").write.option("path", new_folder(spark, "katz")).bucketBy(int(part), "key")
-    both.saveAsTable(name)
-    model = spark.table(name)
-    top2 = model.where((F.col("key") >= 0) & (F.col("c") >= _threshold(by_c2, hot_pairs))).select("key", "s").toArrow()  # bounded by the threshold
-    hot, hot_s = top2["key"].to_numpy(), top2["s"].to_numpy()
-    order = np.argsort(hot)
-    hot, hot_s = hot[order], hot_s[order]
+    merged.repartition(partitions, "bucket").write.option("path", new_folder(spark, "katz")).bucketBy(partitions, "bucket").saveAsTable(name)
+    pairs = spark.table(name)
+    by_c2 = _histogram(pairs.select(F.inline(F.arrays_zip(F.col("values").alias("c"), F.col("freqs").alias("n")))))
+    d2 = good_turing(by_c2, k)
+    rare_counts = pairs.select("bucket", F.explode("rare").alias("key")).join(counts, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "c")).alias("counts"))
+    # histories that are split: bounded, as they are frequent words
+    of_split = pairs.select(F.inline("split")).groupBy("h").agg(F.sum("c").alias("c"), F.array(*[F.sum(F.col("low")[r]) for r in range(k)]).alias("low"), F.sum("mass").alias("mass")).collect()
+    factor = F.element_at(F.array(*map(F.lit, d1)), F.least(F.col("c") + 1, F.lit(len(d1))).cast("int"))
+    value = F.when(F.col("c") < len(d1), factor * F.col("c")).otherwise(F.col("c").cast("double")) / size1
+    rare_mass = {r.h: r.mass for r in pairs.select(F.inline("split_rare")).withColumnRenamed("k", "key").join(counts, "key").groupBy("h").agg(F.sum(value).alias("mass")).collect()} if of_split else {}
+    one.log_size, one.log_a = np.zeros(len(c)), np.zeros(len(c))
+    for r in of_split:
+        kept = r.c - sum(n * i * (1 - d2[i]) for i, n in enumerate(r.low, 1))
+        size = r.c if kept < r.c * (1 - 1e-12) else r.c + 1
+        one.log_size[r.h] = np.log10(size)
+        one.log_a[r.h] = np.log10((1 - kept / size) / max(1 - r.mass - rare_mass.get(r.h, 0.0), 1e-12))
+    least = _threshold(by_c2, hot_pairs)
+    top2 = pairs.select("h", "n", "k", "c").mapInArrow(lambda it: _frequent(it, one, d2, least), "h long, k long, s double").toArrow()  # bounded by the threshold
+    h2, k2, s2 = (top2[f].to_numpy() for f in "hks")
+    q2 = pair_order(h2, k2, one.is_split(h2))
+    order = np.argsort(q2)
+    hot = Pairs(q2[order], h2[order], k2[order], s2[order])
 
     # scores
-    log_base0 = -float(np.log10(total + types + 1))
     kind = docs.schema[id_col].dataType.simpleString()
-    per_doc = texts.mapInArrow(
-        lambda it: _backed_off(it, of_words, hot, hot_s, log_a, log_p, c1, d1, size1, unknown, log_base0),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, keys array<long>, freqs array<int>",
-    )
-    per_doc = materialize(per_doc.withColumn("row", F.monotonically_increasing_id()), "documents")
-    is_word = F.col("key") < 0
-    found = (
-        per_doc.select("row", F.inline(F.arrays_zip("keys", "freqs")))
-        .withColumnsRenamed({"keys": "key", "freqs": "n"})
-        .join(model, "key")
-        .select("row", "n", "s", F.when(is_word, F.log10(F.col("c") + 1.0)).otherwise(0.0).alias("b"), F.when(is_word, 1).otherwise(0).alias("known"))
-        .groupBy("row")
-        .agg(F.sum(F.col("n") * F.col("s")).alias("more_s"), F.sum(F.col("n") * F.col("b")).alias("more_b"), F.sum(F.col("n") * F.col("known")).alias("more_known"))
+    per_text = f"doc_id array<{kind}>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>"
+    log_base0 = float(np.log10(total + types + 1))
+    sent = texts.mapInArrow(lambda it: _send(it, one, hot, buckets, log_base0), f"bucket int, block long, h binary, k binary, row binary, {per_text}")
+    sent = sent.repartition(partitions, "bucket").groupBy("bucket").agg(F.collect_list(F.struct(*sent.columns[1:])).alias("parts"))
+    asked = sent.join(pairs.select("bucket", "h", "n", "k", "c"), "bucket", "left").join(rare_counts, "bucket", "left")
+    answers = f"block long, row binary, s binary, b binary, known binary, open_row array<long>, open_key array<long>, {per_text}"
+    types_out = _arrow_types(answers)
+    sums = materialize(asked.mapInArrow(lambda it: _answer(it, one, d2, types_out), answers), "sums")
+    kept = ["row", "s", "b", "known", *sums.columns[7:]]
+    rows = f"block long, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    row_types = _arrow_types(rows)
+    per_doc = sums.groupBy("block").agg(F.collect_list(F.struct(*kept)).alias("parts")).mapInArrow(lambda it: _documents(it, row_types), rows)
+    # unseen pairs of words that are in no list
+    opened = sums.select("block", F.inline(F.arrays_zip(F.col("open_row").alias("row"), F.col("open_key").alias("key")))).join(counts, "key", "left")
+    opened = opened.groupBy("block", "row").agg(
+        F.sum(F.coalesce(F.log10(value), F.lit(log_unknown))).alias("more_s"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_b"), F.count("c").alias("more_known")
     )
     plus = lambda c, m: (F.col(c) + F.coalesce(m, F.lit(0))).alias(c)
-    return per_doc.join(found, "row", "left").select(
+    return per_doc.join(opened, ["block", "row"], "left").select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "more_b"), plus("score", "more_s")
     )
 
 
-def _rows(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
-    return spark.createDataFrame(pa.table(columns))
-
-
 def fold(modulus: int = 7, held: int = 2, id_col: str = "doc_id") -> Column:
     return remainder(id_col, modulus) == held

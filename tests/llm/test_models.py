@@ -97,7 +97,7 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, model).first().predicted == 0
 
 
-def brute_katz(rows, classes, k=5):
+def brute_katz(rows, k=5):
     tok = lambda t: (t or "").encode().lower().split() + ["</s>"]
     train = [tok(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for t in train for w in t)
@@ -106,12 +106,7 @@ def brute_katz(rows, classes, k=5):
     disc = lambda x, d: x * d[x] if x <= k else x
     p1 = {w: disc(x, d1) / n for w, x in c.items()}
     unknown = 1 - sum(p1.values())
-    order = sorted((w for w in c if w != "</s>" and len(w) <= katz.LONGEST), key=lambda w: (-c[w], w))
-    top = {*order[:classes], "</s>"}
-    of = lambda w: w if w in top else "<other>"
-    q = {w: p1[w] for w in top}
-    q["<other>"] = 1 - sum(q.values())
-    pairs = Counter(p for t in train for p in zip(["</s>"] + [of(w) for w in t[:-1]], map(of, t), strict=True))
+    pairs = Counter(p for t in train for p in zip(["</s>"] + t[:-1], t, strict=True))
     d2 = katz.good_turing(Counter(pairs.values()), k)
     after = {}
     for (h, w), x in pairs.items():
@@ -120,51 +115,51 @@ def brute_katz(rows, classes, k=5):
     for h, m in after.items():
         kept = sum(disc(x, d2) for x in m.values())
         size[h] = sum(m.values()) + (kept >= sum(m.values()) * (1 - 1e-12))
-        alpha[h] = (1 - kept / size[h]) / (1 - sum(q[w] for w in m))
+        alpha[h] = (1 - kept / size[h]) / (1 - sum(p1[w] for w in m))
 
     def p(h, w):
-        z, m = of(w), after.get(h, {})
-        own = disc(m[z], d2) / size[h] if z in m else alpha.get(h, 1) * q[z]
-        return own if z != "<other>" else own * p1.get(w, unknown) / q["<other>"]
+        m = after.get(h, {})
+        return disc(m[w], d2) / size[h] if w in m else alpha.get(h, 1) * p1.get(w, unknown)
 
     out = {}
     for i, t in rows:
         ws = tok(t)
-        hs = ["</s>"] + [of(w) for w in ws[:-1]]
+        hs = ["</s>"] + ws[:-1]
         out[i] = (len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), sum(math.log10(p(h, w)) for h, w in zip(hs, ws, strict=True)))
     sums = [sum(p(h, w) for w in c) + p(h, object()) for h in list(after)[:50]]
     return out, sums
 
 
-def test_katz_matches_brute_force_and_sums_to_one(spark, documents):
+def test_katz_matches_brute_force_and_sums_to_one(spark, documents, monkeypatch):
     rows = [(r.doc_id, r.text) for r in documents.collect()] + [(9001, None), (9002, "only unknown zzzzq words")]
     rows.append(rows[0])
-    want, sums = brute_katz(rows, 300)
+    want, sums = brute_katz(rows)
     assert all(abs(s - 1) < 1e-9 for s in sums)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = katz.katz_scores(df, katz.fold(), classes=300, hot_words=100, hot_pairs=50).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        n, known, total, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
-
-
-def test_katz_pairs_cover_all_words_whatever_the_hot_lists(spark, documents, monkeypatch):
-    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(9001, None), (9002, "only unknown zzzzq words")]
-    rows += [(9003 + i, "x" * 80 + " " + "y" * 80) for i in range(6)]  # words that no hot list holds
-    with monkeypatch.context() as m:
-        m.setattr(katz, "LONGEST", 10**9)
-        want, sums = brute_katz(rows, 10**9)
-    assert all(abs(s - 1) < 1e-9 for s in sums)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"hot_words": 50, "hot_pairs": 20}, {"hot_words": 0, "hot_pairs": 0}):
-        for r in katz.katz_scores(df, katz.fold(), **options).collect():
+    monkeypatch.setattr(katz, "BUCKET", 20_000)
+    # the lists are shortcuts: their sizes change no score
+    for lists in ({}, {"hot_words": 100, "hot_pairs": 50, "split_at": 500}, {"hot_words": 0, "hot_pairs": 0}, {"hot_words": 3000, "hot_pairs": 5000, "split_at": 100}):
+        got = katz.katz_scores(df, katz.fold(), **lists).collect()
+        assert len(got) == len(rows)
+        for r in got:
             n, known, total, base, score = want[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_katz_edges(spark):
+    columns = "doc_id long, row long, key string, score string, text string"
+    rows = [(1, 5, "k", "s", "a b " * 60_000 + "x" * 100_000), (1, 5, "k", "s", None), (None, None, None, None, ""), (3, 1, "k", "s", "a b"), (3, 1, "k", "s", "a b"), (4, 1, "", "", "a" * 100)]
+    docs = spark.createDataFrame(rows, columns)
+    got = katz.katz_scores(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (1, 1), (1, 120_002), (3, 3), (3, 3), (4, 2)]
+    assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1
+    unlearned = katz.katz_scores(docs, F.lit(True)).collect()
+    assert len(unlearned) == 6 and all(r.n_known == r.train_tokens == r.score == 0 for r in unlearned)
+    assert katz.katz_scores(docs.limit(0)).collect() == []
+
+
 def test_katz_without_documents(spark):
     assert katz.katz_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
