@@ -14,14 +14,24 @@ different ones different. Otherwise it is another text of the same form.
 * name: a word with a capital and a small letter after it that follows a word without the end of a sentence, or
   any word with a capital right after a small letter; so text in capitals only has no names.
 
-Where names can't be told, as in texts in capitals or small letters only, an item is found by a second form of it,
-with its names as plain words.
+A capital at the beginning of a sentence may be a name or not. Such words are
+plain in a text's narrow windows and names in its wide ones, which are taken
+where the two differ. An item is looked for in three forms: the narrow one, the
+wide one if it has at least ``window`` different plain words (else any sentence
+of names would do), and one with its names as plain words, for texts in
+capitals or small letters only, where names can't be told.
+
+A window counts wherever it is found. Slots are checked at every offset between
+item and document that holds a share of ``coverage`` of the item's windows, and
+at the one that holds most of them; one consistent offset is enough.
 
 Items with fewer tokens than a window are looked for as one window of their own
-length; items without tokens match nothing. Null and empty documents match
-nothing. Rows that repeat an id and its text get the same result each. The
+length. All different texts of an item's id are looked for; items without an id
+or tokens match nothing. Null and empty documents match nothing; long ones are
+read whole. Rows that repeat an id and its text get the same result each. The
 benchmark's windows are broadcast only if there are at most ``broadcast_rows``
-of them, else both sides are shuffled. Columns other than those named are ignored.
+of them, else both sides are shuffled. Columns other than those named are
+ignored, whatever their names; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -38,95 +48,131 @@ UNITS = (
     "dollars dollar cents cent euros euro pounds pound l ml liters litres liter litre gallons gallon degrees degree percent mph kph"
 ).split()
 _SPACE = r"\x20\x09-\x0D"
-#: Marks that stand before a number or name and before a unit.
-_MARK, _UNIT_MARK = "\x01", "\x02"
+#: Marks that stand before a number or name, before a unit, and before a capital that begins a sentence.
+_MARK, _UNIT_MARK, _INITIAL_MARK = "\x01", "\x02", "\x03"
 _ENDS = ".,;:!?\"'`()[]{}<>*#&|_~-…“”‘’«»¿¡"
 _NAME_OR_NUMBER = rf"\p{{Lu}}(?<=[^.!?:;{_SPACE}][{_SPACE}].)(?:(?=\p{{Ll}})|(?<=\p{{Ll}}[{_SPACE}].))[\p{{L}}\p{{M}}'’-]*|[+-]?\p{{N}}+(?:[.,:/]\p{{N}}+)*%?"
+_INITIAL = rf"\p{{Lu}}(?=\p{{Ll}})(?<=(?:^|[{_SPACE}])[\"'(\[“‘«¿¡]{{0,2}}.)"
 _UNIT = rf"(\x01[+-]?\p{{N}}[^{_SPACE}]*[{_SPACE}])({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 
 
 def template(text: Column) -> Column:
     """The tokens of a text, lower-cased and without punctuation at their ends; what varies has a mark before its value."""
-    plain = F.replace(F.replace(text, F.lit(_MARK), F.lit("")), F.lit(_UNIT_MARK), F.lit(""))
-    marked = F.lower(F.regexp_replace(plain, _NAME_OR_NUMBER, f"{_MARK}$0"))
+    marked = F.regexp_replace(F.translate(text, _MARK + _UNIT_MARK + _INITIAL_MARK, ""), _NAME_OR_NUMBER, f"{_MARK}$0")
+    marked = F.lower(F.regexp_replace(marked, _INITIAL, f"{_INITIAL_MARK}$0"))
     marked = F.regexp_replace(marked, _UNIT, f"$1{_UNIT_MARK}$2")
     return F.filter(F.transform(F.split(marked, rf"[{_SPACE}]+"), lambda t: F.btrim(t, F.lit(_ENDS))), lambda t: t != "")
 
 
-def _kind(token: Column) -> Column:
+def _has(token: Column, mark: str) -> Column:
+    return F.contains(token, F.lit(mark))
+
+
+def _kind(token: Column, wide: bool) -> Column:
     """The token in the template: itself, or what stands for it."""
     digit = F.substring_index(token, _MARK, -1).rlike(r"^[+-]?\p{N}")
     typed = F.concat(F.substring_index(token, _MARK, 1), F.when(digit, "<num>").otherwise("<name>"))
-    return F.when(F.contains(token, F.lit(_MARK)), typed).when(F.startswith(token, F.lit(_UNIT_MARK)), "<unit>").otherwise(token)
+    initial = F.concat(F.substring_index(token, _INITIAL_MARK, 1), F.lit("<name>")) if wide else F.replace(token, F.lit(_INITIAL_MARK), F.lit(""))
+    return F.when(_has(token, _MARK), typed).when(_has(token, _INITIAL_MARK), initial).when(F.startswith(token, F.lit(_UNIT_MARK)), "<unit>").otherwise(token)
 
 
 def _value(token: Column) -> Column:
-    return F.substring_index(F.substring_index(token, _MARK, -1), _UNIT_MARK, -1)
+    for mark in (_MARK, _UNIT_MARK, _INITIAL_MARK):
+        token = F.substring_index(token, mark, -1)
+    return token
 
 
-def _windows(tokens: Column, sizes: list[int]) -> Column:
-    """hash and place of each window of so many tokens. The hashed tokens are bound to a lambda's variable, so they are computed once a text."""
+def _hashes(tokens: Column, wide: bool) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(_kind(t, wide)))
 
-    def of_size(hashed: Column, size: int) -> Column:
-        window = lambda i: F.struct(F.xxhash64(F.lit(size), F.slice(hashed, i, size)).alias("h"), i.alias("at"))
-        rows = F.transform(F.sequence(F.lit(1), F.size(hashed) - size + 1), window)
-        return F.when(F.size(hashed) >= size, rows).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
 
-    def of(hashed: Column) -> Column:
-        rows = [of_size(hashed, size) for size in sizes]
-        return rows[0] if len(rows) == 1 else F.concat(*rows)
+def _windows(narrow: Column, sizes: list[int], wide: Column | None = None) -> Column:
+    """hash and place of each window of so many tokens, those of wide where they differ. Hashes are bound to a lambda's
+    variable, so they are computed once a text."""
+    kind = "array<struct<h:bigint,at:int>>"
 
-    return F.transform(F.array(F.transform(tokens, lambda t: F.xxhash64(_kind(t)))), of)[0]
+    def of_size(a: Column, b: Column | None, size: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(a) - size + 1)
+        row = lambda x, i: F.struct(F.xxhash64(F.lit(size), F.slice(x, i, size)).alias("h"), i.alias("at"))
+        rows = F.transform(places, lambda i: row(a, i))
+        if b is not None:
+            differ = F.filter(places, lambda i: F.slice(a, i, size) != F.slice(b, i, size))
+            rows = F.concat(rows, F.transform(differ, lambda i: row(b, i)))
+        return F.when(F.size(a) >= size, rows).otherwise(F.array().cast(kind))
 
+    def of(x: Column) -> Column:
+        rows = [of_size(x["a"], x["b"] if wide is not None else None, size) for size in sizes]
+        return rows[0] if len(rows) == 1 else F.concat(*rows)
 
-def _rows(df: DataFrame, keep: list[str], tokens: Column, sizes: list[int]) -> DataFrame:
-    return df.select(*keep, F.inline(_windows(tokens, sizes)))
+    return F.transform(F.array(F.struct(narrow.alias("a"), (narrow if wide is None else wide).alias("b"))), of)[0]
 
 
-def _slots(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
+def _slots(df: DataFrame, key: str, at: str, value: str, wide: Column) -> DataFrame:
     """A row per placeholder: its place, type and value."""
-    rows = df.select(key, F.posexplode("tokens").alias("i", "token")).where(F.contains("token", F.lit(_MARK)) | F.contains("token", F.lit(_UNIT_MARK)))
-    return rows.select(key, (F.col("i") + 1).alias(at), _kind(F.col("token")).alias("kind"), _value(F.col("token")).alias(value))
+    token = F.col("token")
+    marked = _has(token, _MARK) | _has(token, _UNIT_MARK) | (wide & _has(token, _INITIAL_MARK))
+    rows = df.select(key, wide.alias("wide"), F.posexplode("tokens").alias("i", "token")).where(marked)
+    return rows.select(key, (F.col("i") + 1).alias(at), _kind(token, True).alias("kind"), _value(token).alias(value))
+
+
+def forms(benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> DataFrame:
+    """item_id, tokens, wide, form: what is looked for of each item's texts."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    items = items.select("item_id", template(F.col("text")).alias("tokens"), template(F.lower("text")).alias("small"))
+    form = lambda tokens, wide: F.struct(F.col(tokens).alias("tokens"), F.lit(wide).alias("wide"))
+    plain = F.filter("tokens", lambda t: ~_has(t, _MARK) & ~_has(t, _UNIT_MARK) & ~_has(t, _INITIAL_MARK))
+    as_wide = F.exists("tokens", lambda t: _has(t, _INITIAL_MARK)) & (F.size(F.array_distinct(plain)) >= window)
+    found = F.array_distinct(F.array_compact(F.array(form("tokens", False), F.when(as_wide, form("tokens", True)), form("small", False))))
+    rows = items.select("item_id", F.inline(found)).where(F.size("tokens") > 0)
+    return rows.withColumn("form", F.xxhash64("item_id", "tokens", "wide")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """uid, item_id, found (share of the item's windows), verbatim: the pairs found; uid is the hash of a document's id and text."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    forms = F.explode(F.array_distinct(F.array(template(F.col("text")), template(F.lower("text"))))).alias("tokens")
-    items = materialize(items.select("item_id", forms).where(F.size("tokens") > 0).withColumn("form", F.xxhash64("item_id", "tokens")), "items")
+    items = materialize(forms(benchmark, window, item_col, item_text_col), "items")
     length = F.least(F.size("tokens"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect()) or [window]  # at most `window` numbers
-    own = [items.where(length == s).transform(lambda df, s=s: _rows(df, ["form"], F.col("tokens"), [s])) for s in sizes]
+    hashes = F.when(F.col("wide"), _hashes(F.col("tokens"), True)).otherwise(_hashes(F.col("tokens"), False))
+    own = [items.where(length == s).select("form", F.inline(_windows(hashes, [s]))) for s in sizes]
     wanted = own[0]
     for more in own[1:]:
         wanted = wanted.union(more)
     wanted = materialize(wanted.withColumnRenamed("at", "item_at"), "windows")
-    total = wanted.groupBy("form").agg(F.count_distinct("h").alias("total"))
+    total = wanted.groupBy("form").agg(F.count_distinct("h").alias("total"), F.count("*").alias("places"))
     small = wanted.count() <= broadcast_rows
     side = lambda df: F.broadcast(df) if small else df
 
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = _rows(texts, ["uid"], template(F.col("text")), sizes).join(side(wanted), "h")
-    hits = materialize(found.groupBy("uid", "form", "h").agg(F.min("at").alias("at"), F.min("item_at").alias("item_at")), "hits")
+
+    def windows(rows: DataFrame) -> DataFrame:
+        both = F.transform(F.array(template(F.col("text"))), lambda t: F.struct(_hashes(t, False).alias("a"), _hashes(t, True).alias("b")))[0]
+        return rows.select("uid", F.inline(_windows(both["a"], sizes, both["b"])))
+
+    hits = windows(texts).join(side(wanted.select("form", "h").distinct()), "h").select("uid", "form", "h").distinct()
     pairs = hits.groupBy("uid", "form").agg(F.count("*").alias("n")).join(total, "form")
-    pairs = materialize(pairs.where(F.col("n") >= coverage * F.col("total")).select("uid", "form", (F.col("n") / F.col("total")).alias("found")), "pairs")
+    pairs = materialize(pairs.where(F.col("n") >= coverage * F.col("total")).select("uid", "form", (F.col("n") / F.col("total")).alias("found"), "places"), "pairs")
 
-    # slots: of each pair, at the offset that most of its windows share
-    item_slots = materialize(_slots(items, "form", "item_at", "item_value"), "slots")
+    # slots: of each pair, at each offset that holds enough of the item's windows and at the one that holds most
+    item_slots = materialize(_slots(items, "form", "item_at", "item_value", F.col("wide")), "slots")
     open_pairs = pairs.join(item_slots.select("form").distinct(), "form", "left_semi")
-    offsets = hits.join(open_pairs, ["uid", "form"], "left_semi").groupBy("uid", "form", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count("*").alias("n"))
-    offset = offsets.groupBy("uid", "form").agg(F.max(F.struct("n", (-F.col("offset")).alias("back"))).alias("best")).select("uid", "form", (-F.col("best.back")).alias("offset"))
     with_slots = texts.join(open_pairs.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])
-    doc_slots = _slots(with_slots.select("uid", template(F.col("text")).alias("tokens")), "uid", "at", "value")
-    aligned = offset.join(item_slots, "form").withColumn("at", F.col("item_at") + F.col("offset")).join(doc_slots, ["uid", "at", "kind"])
-    values = aligned.groupBy("uid", "form", "kind", "item_value", "value").agg(F.count("*").alias("n"))
-    by_item = values.groupBy("uid", "form", "kind", "item_value").agg(F.count("*").alias("ways"), F.min(F.col("item_value") == F.col("value")).alias("same"))
-    by_doc = values.groupBy("uid", "form", "kind", "value").agg(F.count("*").alias("ways"), F.lit(True).alias("same"))
-    verdict = by_item.select("uid", "form", "ways", "same").union(by_doc.select("uid", "form", "ways", "same"))
-    verdict = verdict.groupBy("uid", "form").agg((F.max("ways") == 1).alias("consistent"), F.min("same").alias("same"))
+    offsets = windows(with_slots).join(side(wanted), "h").groupBy("uid", "form", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count_distinct("item_at").alias("n"))
+    offsets = materialize(offsets.join(open_pairs, ["uid", "form"]), "offsets")
+    most = offsets.groupBy("uid", "form").agg(F.max("n").alias("most"))
+    offsets = offsets.join(most, ["uid", "form"]).where((F.col("n") >= coverage * F.col("places")) | (F.col("n") == F.col("most"))).select("uid", "form", "offset")
+    doc_slots = _slots(with_slots.select("uid", template(F.col("text")).alias("tokens")), "uid", "at", "value", F.lit(True))
+    aligned = offsets.join(item_slots, "form").withColumn("at", F.col("item_at") + F.col("offset")).join(doc_slots, ["uid", "at", "kind"])
+    place = ["uid", "form", "offset"]
+    values = aligned.groupBy(*place, "kind", "item_value", "value").agg(F.lit(1).alias("one"))
+    by_item = values.groupBy(*place, "kind", "item_value").agg(F.count("*").alias("ways"), F.min(F.col("item_value") == F.col("value")).alias("same"))
+    by_doc = values.groupBy(*place, "kind", "value").agg(F.count("*").alias("ways"), F.lit(True).alias("same"))
+    verdict = by_item.select(*place, "ways", "same").union(by_doc.select(*place, "ways", "same"))
+    verdict = verdict.groupBy(*place).agg((F.max("ways") == 1).alias("consistent"), F.min("same").alias("same"))
+    at_best = offsets.join(verdict, place, "left").groupBy("uid", "form").agg(
+        F.max(F.coalesce("consistent", F.lit(True))).alias("consistent"), F.max(F.coalesce("consistent", F.lit(True)) & F.coalesce("same", F.lit(True))).alias("same")
+    )
     return (
-        pairs.join(verdict, ["uid", "form"], "left")
+        pairs.join(at_best, ["uid", "form"], "left")
         .where(F.coalesce("consistent", F.lit(True)))
         .join(items.select("form", "item_id"), "form")
         .groupBy("uid", "item_id")

@@ -172,3 +172,46 @@ def test_pipeline_stages_take_effect(spark):
         docs = spark.createDataFrame(docs.toPandas(), docs.schema)
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] > 0 and counts[0] > counts[-1]
+
+
+def test_decontamination_looks_at_all_places_and_all_texts_of_an_item(spark):
+    item = "Ann has 5 apples and 5 pears. How many fruits does Ann have after 3 hours?"
+    other = "Bob has 7 apples and 8 pears. How many fruits does Bob have after 9 minutes?"
+    bench = spark.createDataFrame([(1, item), (1, "Quite another question of the very same item, isn't it?"), (2, "zzz yyy xxx")], "item_id long, text string")
+    rows = [(1, f"{other} And then, as was said before: {item}"), (2, f"{other} {other}"), (3, "well, quite another question of the very same item, isn't it, so"), (4, f"{item} {other}")]
+    docs = spark.createDataFrame([(*r, "u", "f", 1) for r in rows], "doc_id long, text string, uid string, form string, h int")
+    got = {r.doc_id: (r.contaminated, r["items"], r.reworded) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {1: (True, [1], False), 2: (False, [], False), 3: (True, [1], False), 4: (True, [1], False)}
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Natalia sold 48 clips in the morning. Natalia then gave away half of what she had left. Natalia wants to know how many clips are there now?"
+    other = item.replace("Natalia", "Marek").replace("48", "36")
+    mixed = item.replace("Natalia", "Marek", 2).replace("48", "36")
+    rows = [(1, item), (2, other), (3, mixed), (4, "So. " + other.upper()), (5, item.lower()), (6, "Here is a text. It has a few sentences. None of them is like it.")]
+    got = {r.doc_id: (r.contaminated, r.reworded) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (False, False), 4: (False, False), 5: (True, False), 6: (False, False)}
+
+
+def brute_items(text, items, size=5):
+    """Ids of items of plain words of which 80 % of the windows are in a text."""
+    tokens = lambda t: [w for w in (x.strip(decontamination._ENDS) for x in t.lower().split(" ")) if w]
+    windows = lambda t: {tuple(t[i : i + min(size, len(t))]) for i in range(max(len(t) - size, 0) + 1)}
+    own = tokens(text)
+    out = []
+    for i, t in items:
+        t = tokens(t)
+        want = windows(t)
+        have = windows(own) if len(t) >= size else {tuple(own[j : j + len(t)]) for j in range(len(own))}
+        if t and len(want & have) >= 0.8 * len(want):
+            out.append(i)
+    return out
+
+
+def test_decontamination_of_plain_words_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "lower(regexp_replace(text, '[^a-zA-Z ]', ' ')) AS text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id", "lower(regexp_replace(text, '[^a-zA-Z ]', ' ')) AS text")
+    items = [tuple(r) for r in bench.collect()]
+    got = {r.doc_id: r["items"] for r in decontamination.contaminated(docs, bench).collect()}
+    want = {r.doc_id: brute_items(r.text or "", items) for r in docs.collect()}
+    assert got == want and any(want.values())
