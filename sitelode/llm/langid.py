@@ -9,8 +9,9 @@ ties by name. Profiles are built from all training documents.
 
 A text that is null or has no letter gives ``und`` with score 0, as does every
 text when nothing could be learned. score is one minus the distance as a share
-of the largest possible. Rows that repeat an id are predicted each; columns
-other than those named are ignored.
+of the largest possible. Texts are read whole, however long. Rows that repeat an
+id are predicted each; an empty table gives no rows. Columns other than those
+named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,12 +130,12 @@ def identify(docs: DataFrame, of_lang: dict[str, list[int]], held_out: Column |
     return rows.mapInArrow(lambda it: _predict(it, of_lang, top), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def language_of(of_lang: dict[str, list[int]], text: Column, top: int = 300) -> Column:
-    """The language of a text as a column."""
+def score_of(of_lang: dict[str, list[int]], text: Column, top: int = 300) -> Column:
+    """The score of a text as a column: how near the nearest profile is."""
 
-    @F.pandas_udf("string")
-    def predict(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
         judge = OutOfPlace(of_lang, top)
-        return texts.map(lambda t: judge(t)[0])
+        return texts.map(lambda t: judge(t)[1]).astype("float64")
 
-    return predict(text)
+    return score(text)

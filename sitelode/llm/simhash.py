@@ -17,8 +17,10 @@ each a group of its own, so no task holds such a key whole; each group returns
 the edges of a spanning forest, never all its pairs.
 
 Nulls and texts without words have fingerprint zero and are linked like any
-other. Rows with the same doc_id are kept; a null doc_id stays in the result
-with its component. Columns other than the id and the text are ignored.
+other. Texts are read whole, however long. Rows with the same doc_id are kept;
+a null doc_id stays in the result with its component. Columns other than the id
+and the text are ignored, whatever their names; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelode.llm.common import materialize, words
@@ -60,15 +63,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long, one row per input row."""
+    """doc_id, fp: the fingerprint as a signed long, one row per input row. Ids pass through untouched."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(shingle_hashes(t, shingle)) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.array([fingerprint(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -229,6 +232,16 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 5, split_at: int = 1000
     return _link_groups(keyed, radius, split_at)
 
 
+def _spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left joined to right, which has a row per key and in n how many rows of left have it. Keys of more than a thousandth
+    of them, a thousand at most, are joined by broadcast, so that no task gets all rows of such a key."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share > total
+    frequent, other = right.where(hot).drop("n"), right.where(~hot).drop("n")
+    rest = left.join(F.broadcast(frequent.select(key)), key, "left_anti").join(other, key)
+    return left.join(F.broadcast(frequent), key).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, root: the smallest node that each node of edges (u, v) reaches, by alternating large and small stars."""
     now = materialize(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "edges")
@@ -241,13 +254,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not seen[0]:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), "low")
         # large star: every larger neighbour goes to the smallest of the neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _spread_join(both.where("v > u"), low.where("n > 0"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large.where("u <> v"), "large")
         # small star: the smaller neighbours and the node itself go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _spread_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "small")
         before, seen = seen, state(now)
         if before == seen:
@@ -257,20 +270,21 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _with_components(rows: DataFrame, tree: DataFrame) -> DataFrame:
-    """rows (doc_id, node, ...) plus component_id; tree: node, root."""
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = materialize(nodes.join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(materialize(rooted.join(of_root, "root").select("node", "component_id"), "members"), "node")
+def _with_least(rows: DataFrame, tree: DataFrame, value: Column) -> DataFrame:
+    """rows (node, ...) plus least: the smallest value of any row of the component; tree: node, root."""
+    nodes = rows.groupBy("node").agg(F.min(value).alias("least"), F.count("*").alias("rows"))
+    rooted = materialize(nodes.join(tree, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root")), "rooted")
+    of_root = materialize(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")), "roots")
+    members = _spread_join(rooted.select("node", "root", "rows"), of_root, "root").select("node", "least", F.col("rows").alias("n"))
+    return _spread_join(rows, materialize(members, "members"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 5, split_at: int = 1000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component), one row per input row."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     tree = components(links(fps, radius, blocks, split_at))
-    rows = _with_components(fps.withColumn("node", F.col("fp")), tree)
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _with_least(fps.withColumn("node", F.col("fp")), tree, F.col("doc_id"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 _MINIMA, _BAND = 125, 5
@@ -288,34 +302,58 @@ def _minima(hashes: np.ndarray) -> bytes:
     return ((least >> np.uint64(13)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles: the sorted set of the shingle hashes of each text and the hash of that set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text").slice(lo, 500)]
+                yield pa.RecordBatch.from_arrays([_nodes(sets), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return rows.select("text").mapInArrow(run, "node long, shingles binary")
+
+
+def _nodes(sets: list[bytes]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64))
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 28, tolerance: float = 0.2, split_at: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id as near_duplicates() gives them, for texts whose sets of word shingles are alike to a degree.
+    """doc_id, uid, component_id, keeper for texts whose sets of word shingles are alike to a degree: one row per input row.
+
+    uid is the hash of a row's id and text, component_id the smallest id of the component (null if it has none), keeper the
+    uid of the row with that id, of the smallest of them if several have it.
 
     Fingerprints are those of the sets. At a similarity of 0.8 they differ in about ten bits, too many for blocks of bits.
     Blocks are taken from the smallest values of permuted shingle hashes instead: five of them in one of 25 groups (a pair
     at 0.8 is missed once in twenty thousand). Pairs of a block go through the pivot table, the Hamming distance and the
     share of equal minima, all of them wide: more than 28 bits, or less than the similarity by `tolerance`, come less than
     once in a hundred thousand pairs at 0.8. What they link are groups of candidates; within these, a pair is linked if its
-    sets of shingles have the similarity, taken exactly."""
+    sets of shingles have the similarity, taken exactly. Texts without words are one node."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
-            fp = np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64)
-            shingles = [h.tobytes() for h in sets]
-            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": node, "fp": fp, "sig": [_minima(h) for h in sets], "shingles": shingles})
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+                fp = pa.array(np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64))
+                sig = pa.array([_minima(h) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), _nodes([h.tobytes() for h in sets]), fp, sig], ["doc_id", "uid", "node", "fp", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, node long, fp long, sig binary, shingles binary")
-    rows = materialize(rows, "fingerprints")
-    nodes = materialize(pivot_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"))), "nodes")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
+    rows = materialize(texts.mapInArrow(run, f"doc_id {kind}, uid long, node long, fp long, sig binary"), "fingerprints")
+    nodes = materialize(pivot_table(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("sig").alias("sig"), F.min("uid").alias("uid"))), "nodes")
     bands = F.array(*[F.xxhash64(F.substring("sig", 1 + i * 2 * _BAND, 2 * _BAND)) for i in range(_MINIMA // _BAND)])
     keyed = nodes.select("node", F.posexplode(bands).alias("k", "key"))
-    near = components(_link_groups(keyed, radius, split_at, nodes, similarity - tolerance))
+    near = components(_link_groups(keyed, radius, split_at, nodes.drop("uid"), similarity - tolerance))
     near = materialize(near.union(near.select("root", "root")).distinct(), "candidates")
-    sets = rows.join(near, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
-    payload = materialize(nodes.join(near, "node", "left_semi").join(sets, "node"), "sets")
+    # the sets of candidates only, of one text a node
+    chosen = nodes.join(near, "node", "left_semi").select("uid")
+    sets = shingle_sets(texts.join(chosen, "uid", "left_semi"), shingle).dropDuplicates(["node"])
+    payload = materialize(nodes.drop("uid").join(near, "node", "left_semi").join(sets, "node"), "sets")
     keyed = near.select("node", F.lit(0).alias("k"), F.col("root").alias("key"))
     tree = components(_link_groups(keyed, radius, split_at, payload, similarity - tolerance, similarity))
-    return _with_components(rows.select("doc_id", "node"), tree).select("doc_id", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")
+    out = _with_least(rows.select("doc_id", "uid", "node"), tree, order)
+    return out.select("doc_id", "uid", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keeper"))

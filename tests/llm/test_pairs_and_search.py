@@ -104,6 +104,23 @@ def test_pairs_on_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 2), (3, 2)]
 
 
+def test_ids_beyond_doubles_and_very_long_texts(spark):
+    big, long = 2**53 + 1, "w " * 200_000
+    rows = [(big, "a b c d", "x", "y"), (None, "a b c d", "x", "y"), (big + 1, long, "x", "y"), (big + 2, long, "x", "y"), (big + 2, "q r s t u v", "x", "y")]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, big), (big, big), (big + 1, big + 1), (big + 2, big + 1), (big + 2, big + 2)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.similar_documents(docs).collect())
+    assert got == [(0, big), (big, big), (big + 1, big + 1), (big + 2, big + 1), (big + 2, big + 2)]
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)], "u long, x long")
+    right = left.groupBy("u").count().withColumnRenamed("count", "n").withColumn("m", simhash.F.col("u") * 10)
+    got = simhash._spread_join(left, right, "u", share=3).select("u", "x", "m").collect()
+    assert sorted(map(tuple, got)) == sorted((r.u, r.x, r.u * 10) for r in left.collect())
+
+
 def test_marginal_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}

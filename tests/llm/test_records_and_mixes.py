@@ -215,3 +215,34 @@ def test_decontamination_of_plain_words_matches_brute_force(spark):
     got = {r.doc_id: r["items"] for r in decontamination.contaminated(docs, bench).collect()}
     want = {r.doc_id: brute_items(r.text or "", items) for r in docs.collect()}
     assert got == want and any(want.values())
+
+
+@pytest.fixture()
+def own_tables(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog in the park")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_stages_on_odd_rows(spark, own_tables):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, uid string, node string, form string, score string"
+    text = "some words of a plain text that says nothing at all about anything here"
+    row = lambda i, t, lang="en": (i, t, lang, None, None, "uid", "node", "form", "score")
+    rows = [row(1, text), row(1, text), row(1, "another text of the same id, and " + " ".join("abcdefghij")), row(None, text), row(2, text), row(3, None), row(4, ""), row(5, "12 34"), row(6, "We saw: the quick brown fox jumps over a lazy dog in the park."), row(7, "long " * 100_000 + text)]
+    docs = spark.createDataFrame(rows, columns)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id or 0, len(r.text or "")) for r in df.collect())
+    everything = ids(docs)
+    assert ids(stages["language"](spark, docs, own_tables)) == sorted(ids(docs.where("doc_id IS NULL OR doc_id NOT IN (3, 4, 5)")))
+    assert ids(stages["language"](spark, docs.withColumn("lang", decontamination.F.lit(None).cast("string")), own_tables)) == ids(docs.where("doc_id IS NULL OR doc_id NOT IN (3, 4, 5)"))
+    assert ids(stages["toxicity"](spark, docs, own_tables)) == everything
+    one_each = ids(stages["near_duplicates"](spark, docs, own_tables))
+    assert one_each == sorted([(1, len(text)), (1, len(rows[2][1])), (3, 0), (5, 5), (6, len(rows[8][1])), (7, len(rows[9][1]))])
+    clean = stages["decontamination"](spark, docs, own_tables)
+    assert ids(clean) == sorted(ids(docs.where("doc_id IS NULL OR doc_id <> 6"))) and {r.uid for r in clean.collect()} == {"uid"}
+    mixed = stages["mix"](spark, docs, own_tables)
+    assert mixed.count() == len(rows) and mixed.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), own_tables).count() == 0, name
+        if name != "mix":
+            assert stage(spark, docs, own_tables).columns == docs.columns
