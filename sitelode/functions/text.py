@@ -31,19 +31,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
-def syllables(word: Column) -> Column:
-    """1 for up to three letters; else vowel groups after silent endings, at least 1."""
-    w = F.lower(F.regexp_replace(word, r"[^A-Za-z]", ""))
-    bare = F.regexp_replace(F.regexp_replace(w, r"(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), r"^y", "")
-    return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit(r"[aeiouy]{1,2}"))))
+#: Silent endings of a word, and what is dropped after them.
+_SILENT, _LAST_Y = r"(?:[^laeiouy]es|ed|[^laeiouy]e)(?!\S)", r"y(?!\S)"
+
+
+def syllables(text: Column) -> Column:
+    """Of all words: 1 for up to three characters; else the vowel groups left without silent endings, at least 1.
+
+    Taken over the whole text at once: short words and those without a letter or digit are cut out first, and words left
+    without a vowel count 1 each."""
+    longer = F.regexp_replace(F.lower(text), r"(?<!\S)(?:\S{1,3}|[^\p{L}\p{N}\s]+)(?!\S)", " ")
+    n_longer = F.regexp_count(longer, F.lit(r"\S+"))
+    bare = F.regexp_replace(F.regexp_replace(longer, _SILENT, ""), _LAST_Y, "")
+    voiced = F.regexp_count(bare, F.lit(r"(?<!\S)[^\saeiouy]*[aeiouy]"))
+    return F.size(words(text)) - n_longer + F.regexp_count(bare, F.lit("[aeiouy]{1,2}")) + n_longer - voiced
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"\S")
 
 
 def sentences(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s) != "")))
+    found = F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: s.rlike(r"\S"))))
+    return F.when(is_blank(text), 0).otherwise(found)
 
 
 def paragraphs(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"\n\s*\n"), lambda s: F.trim(s) != "")))
+    found = F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"\n\s*\n"), lambda s: s.rlike(r"\S"))))
+    return F.when(is_blank(text), 0).otherwise(found)
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
@@ -90,18 +105,48 @@ def significant(text: Column, lang: Column | None = None) -> Column:
 
 
 def missing(query: Column, text: Column) -> Column:
-    """Query tokens that a text's tokens lack, whatever their number."""
+    """Different query tokens that a text's tokens lack, whatever their number."""
     one = lambda a, b: (F.length(a) >= 3) & ((b == F.concat(a, F.lit("s"))) | (b == F.concat(a, F.lit("es"))))
-    return F.filter(query, lambda q: ~F.exists(text, lambda t: (q == t) | one(q, t) | one(t, q)))
+    return F.filter(F.array_distinct(query), lambda q: ~F.exists(text, lambda t: (q == t) | one(q, t) | one(t, q)))
+
+
+#: The two-letter language codes of ISO 639-1.
+LANGUAGES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw "
+    "sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+#: Languages whose bare code is often meant as a country's, and what would say that.
+CONFUSABLE = {"uk": "en-GB", "eu": "", "no": "nb-NO", "is": "he-IL or en-IL", "ms": "en-MS", "se": "sv-SE", "id": "id-ID"}
+_CODE = r"(?i)^([a-z]{2})(?:-([a-z]{4}))?(?:-([a-z]{2}|\d{3}))?$"
+
+
+def language_of(code: Column) -> Column:
+    """The language of a code of the documented shape, x-default as it is; null for anything else."""
+    lang = F.lower(F.regexp_extract(code, _CODE, 1))
+    return F.when(F.lower(code) == "x-default", "x-default").when(lang.isin(LANGUAGES), lang)
+
+
+def region_of(code: Column) -> Column:
+    region = F.upper(F.regexp_extract(code, _CODE, 3))
+    return F.when(language_of(code).isNotNull() & (region != ""), region)
 
 
 def lang_code(code: Column) -> Column:
-    """ll, ll-Ssss, ll-RR, ll-ddd or x-default in normal case; null for anything else."""
-    c = F.lower(F.trim(code))
-    lang, script = F.regexp_extract(c, r"^([a-z]{2})(?:-|$)", 1), F.regexp_extract(c, r"^[a-z]{2}-([a-z]{4})(?:-|$)", 1)
-    region = F.regexp_extract(c, r"^[a-z]{2}(?:-[a-z]{4})?-([a-z]{2}|\d{3})$", 1)
-    shown = F.concat(lang, F.when(script != "", F.concat(F.lit("-"), F.initcap(script))).otherwise(""), F.when(region != "", F.concat(F.lit("-"), F.upper(region))).otherwise(""))
-    return F.when(c == "x-default", c).when(c.rlike(r"^[a-z]{2}(-[a-z]{4})?(-([a-z]{2}|\d{3}))?$"), shown)
+    """A language code in normal case, an underscore taken for a hyphen; null if it is of another shape or of no language."""
+    c = F.replace(code, F.lit("_"), F.lit("-"))
+    script = F.initcap(F.regexp_extract(c, _CODE, 2))
+    shown = F.concat_ws("-", language_of(c), F.when(script != "", script), region_of(c))
+    return F.when(language_of(c).isNotNull(), shown)
+
+
+def meant_region(code: Column) -> Column:
+    """What a bare language code that looks like a country's should have been, empty if there is nothing; null if it reads fine."""
+    out = F.lit(None).cast("string")
+    for lang, better in CONFUSABLE.items():
+        out = F.when(F.lower(code) == lang, better).otherwise(out)
+    return out
 
 
 def defines_something(text: Column, lang: Column) -> Column:
@@ -113,6 +158,7 @@ def defines_something(text: Column, lang: Column) -> Column:
 
 
 def entity_density(text: Column) -> Column:
-    """Share of capitalised tokens that do not begin a sentence."""
-    inner = F.regexp_count(text, F.lit(r"[^.!?\s]\s+\p{Lu}[\p{L}]+"))
-    return F.coalesce(F.try_divide(inner, F.size(words(text))), F.lit(0.0))
+    """Share of capitalised tokens that do not begin a sentence. Sentences end at . ! and ?, tokens also at white space."""
+    capitalised = F.regexp_count(text, F.lit(r"(?<![^\s.!?])\p{Lu}\p{L}"))
+    first = F.regexp_count(text, F.lit(r"(?:^|[.!?])\s*\p{Lu}\p{L}"))
+    return F.coalesce(F.try_divide(capitalised - first, F.regexp_count(text, F.lit(r"[^\s.!?]+"))), F.lit(0.0))

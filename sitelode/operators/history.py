@@ -63,7 +63,7 @@ def content_decay(clicks: DataFrame, months: list[str], min_peak: float = 20.0,
 def movement(readings: DataFrame, registry: DataFrame) -> DataFrame:
     """The latest and the previous answered reading of each registered metric; improved by the metric's direction."""
     last = Window.partitionBy("site_id", "metric").orderBy(F.desc("captured_at"), F.desc("refresh_id"))
-    rows = readings.where("value IS NOT NULL").join(F.broadcast(registry), "metric").withColumn("nth", F.row_number().over(last)).where("nth <= 2")
+    rows = readings.where("value IS NOT NULL").join(registry, "metric").withColumn("nth", F.row_number().over(last)).where("nth <= 2")
     pair = rows.groupBy("site_id", "metric", "up_is_better").agg(F.max(F.when(F.col("nth") == 1, F.col("value"))).alias("latest"), F.max(F.when(F.col("nth") == 2, F.col("value"))).alias("previous"))
     change = F.col("latest") - F.col("previous")
     improved = F.when(change.isNotNull(), F.when(F.col("up_is_better"), change > 0).otherwise(change < 0))
@@ -143,12 +143,15 @@ def year_over_year(series: DataFrame, key: str, month: str, value: str) -> DataF
 
 
 def freshness(rows: DataFrame, key: str, at: str, as_of: str, stale_days: int = 30) -> DataFrame:
-    """Ages in days: the youngest, the upper median, the oldest, and how many are stale."""
+    """Ages in days: the youngest, the upper median, the oldest, and how many are stale. Rows are counted by age first, so
+    the running sums go over different ages only."""
     age = rows.select(key, F.datediff(F.lit(as_of).cast("date"), F.to_date(at)).alias("age")).where("age IS NOT NULL")
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("age"))
-    ranked = age.withColumn("i", nth).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    counts = age.groupBy(key, "age").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy("age"))
+    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
     return ranked.groupBy(key).agg(
-        F.min("age").alias("youngest"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("age"))).alias("median_age"), F.max("age").alias("oldest"), F.count(F.when(F.col("age") > stale_days, 1)).alias("stale"), F.count("*").alias("rated")
+        F.min("age").alias("youngest"), F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2) + 1, F.col("age"))).alias("median_age"), F.max("age").alias("oldest"),
+        F.coalesce(F.sum(F.when(F.col("age") > stale_days, F.col("c"))), F.lit(0)).alias("stale"), F.sum("c").alias("rated"),
     )
 
 

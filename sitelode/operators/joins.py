@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelode.functions import urls
+from sitelode.functions import text, urls
 
 
 def page_join(search: DataFrame, landings: DataFrame) -> DataFrame:
@@ -76,22 +76,37 @@ def landing_groups(ai: DataFrame, organic: DataFrame, key: str = "url_key", top:
     return pick(a, "ai").unionByName(pick(o, "organic"))
 
 
+def _suffixes(host: Column) -> Column:
+    """A host and all domains above it."""
+    parts = F.split(F.lower(host), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
 def crawler_risk(operators: DataFrame, sources: DataFrame) -> DataFrame:
     """operators: assistant, host, blocked; sources: source, sessions. Sessions by assistant, at risk where its crawler is
-    blocked and there are any; sources of no assistant are a row of their own."""
-    host = F.lower("source")
-    match = (host == F.col("host")) | host.endswith(F.concat(F.lit("."), F.col("host")))
+    blocked and there are any; sources of no assistant are a row of their own. A source belongs to the operators of its
+    host and of any domain above it: its suffixes are hash-joined, and only what they add up to is kept."""
     per_source = sources.groupBy("source").agg(F.sum("sessions").alias("sessions"))
-    known = operators.join(per_source, match, "left").groupBy("assistant", "blocked").agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
-    other = per_source.join(F.broadcast(operators), match, "left_anti").agg(F.sum("sessions").alias("sessions"))
-    rows = known.select("assistant", "blocked", "sessions").unionByName(other.where("sessions IS NOT NULL").select(F.lit(None).cast("string").alias("assistant"), F.lit(None).cast("boolean").alias("blocked"), "sessions"))
+    names = operators.select("assistant", F.lower("host").alias("host"), "blocked")
+    hits = per_source.select("source", "sessions", F.explode(_suffixes(F.col("source"))).alias("host")).join(names, "host")
+    known = names.groupBy("assistant", "blocked").agg(F.count("*").alias("_n")).drop("_n")
+    per_assistant = hits.groupBy("assistant", "blocked").agg(F.sum("sessions").alias("sessions"))
+    same = known["assistant"].eqNullSafe(per_assistant["assistant"]) & known["blocked"].eqNullSafe(per_assistant["blocked"])
+    rows = known.join(per_assistant, same, "left").select(known["assistant"], known["blocked"], F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    other = per_source.join(hits.select("source").distinct(), "source", "left_anti").agg(F.sum("sessions").alias("sessions"))
+    rows = rows.unionByName(other.where("sessions IS NOT NULL").select(F.lit(None).cast("string").alias("assistant"), F.lit(None).cast("boolean").alias("blocked"), "sessions"))
     return rows.withColumn("at_risk", F.col("blocked") & (F.col("sessions") > 0))
 
 
+#: What a date of a sitemap may look like: a year, a month or a day, and after these a time.
+LASTMOD = r"^\d{4}(?:-\d{2}(?:-\d{2})?)?(?:T.+)?$"
+
+
 def lastmod(sitemap: DataFrame, search: DataFrame, crawls: DataFrame, key: str = "url_key") -> DataFrame:
-    """sitemap: key, lastmod (text); crawls: key, crawled_at. Compared by day where lastmod is a day, else by instant."""
+    """sitemap: key, lastmod (text); crawls: key, crawled_at. Compared by day where lastmod is a day, else by instant; dates
+    of another shape are malformed, even those that a cast would read."""
     by_day = ~F.contains("lastmod", F.lit("T"))
-    stamp = F.try_to_timestamp("lastmod")
+    stamp = F.when(F.col("lastmod").rlike(LASTMOD), F.try_to_timestamp("lastmod"))
     later = F.when(by_day, F.to_date(stamp) > F.to_date("crawled_at")).otherwise(stamp > F.col("crawled_at"))
     state = F.when(F.col("crawled_at").isNull(), "never crawled").when(stamp.isNull(), "malformed").when(later, "pending").otherwise("consistent")
     rows = sitemap.join(search, key, "left").join(crawls, key, "left")
@@ -122,14 +137,14 @@ def year_ago(history: DataFrame, key: str, at: str, value: str, as_of: str) -> D
 
 
 def title_fit(page_queries: DataFrame, titles: DataFrame, top: int = 3) -> DataFrame:
-    """page_queries: page, query, impressions; titles: page, words. How much of a page's most shown queries its title has;
-    a word may be in its plural."""
-    from pyspark.sql import Window
+    """page, query, rank, missing (words that the title lacks, in order) and fit of each page's most shown queries.
 
+    page_queries: page, query, impressions; titles: page, title, lang. Queries lose the filler words of the page's language;
+    a title has a word in any case, with or without accents, and in its plural. Pages of other languages have no fit."""
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("impressions"), "query"))
     rows = page_queries.withColumn("rank", rank).where(F.col("rank") <= top).join(titles, "page")
-    asked = F.split("query", " ")
-    has = lambda w: F.exists("words", lambda t: (t == w) | (t == F.concat(w, F.lit("s"))) | (w == F.concat(t, F.lit("s"))))
-    hits = F.size(F.filter(asked, has))
-    fit = F.when(hits == F.size(asked), "all").when(hits > 0, "some").otherwise("none")
-    return rows.select("page", "query", "rank", hits.alias("found"), fit.alias("fit"))
+    asked = F.array_distinct(text.significant(F.col("query"), F.col("lang")))
+    rows = rows.withColumns({"asked": asked, "lost": text.missing(asked, text.tokens(F.coalesce("title", F.lit(""))))})
+    supported = F.col("lang").isNull() | F.lower(F.substring("lang", 1, 2)).isin(list(text.STOPWORDS))
+    fit = F.when(F.size("lost") == 0, "all").when(F.size("lost") < F.size("asked"), "some").otherwise("none")
+    return rows.select("page", "query", "rank", F.when(supported, F.array_join("lost", " ")).alias("missing"), F.when(supported, fit).alias("fit"))

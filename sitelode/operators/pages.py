@@ -23,9 +23,9 @@ AI_CRAWLERS = {
 
 
 def word_count(html: Column) -> Column:
-    """Words of a page without scripts, styles, tags and entities."""
+    """Words of a page without scripts, styles, tags and named entities; numeric ones stay part of their word."""
     plain = html
-    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>", r"&[a-zA-Z#0-9]+;"):
+    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>", r"(?i)&[a-z]+;"):
         plain = F.regexp_replace(plain, pattern, " ")
     return F.size(F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
@@ -60,14 +60,15 @@ def rules(of_pages: DataFrame) -> DataFrame:
 
 
 def crawl_issues(crawled: DataFrame) -> DataFrame:
-    """crawled: page_id, status, redirects, depth, title, description, h1, noindex. A row per issue with its severity."""
+    """crawled: page_id, status (0: not fetched), redirects, depth, title, description, h1, noindex. A row per issue with its
+    severity. A page that could not be read has that one issue only."""
     c = F.col
-    ok = (c("status") > 0) & (c("status") < 400)
+    ok = c("status").between(200, 299)
     found = [
-        ("fetch_error", "critical", c("status") == 0), ("server_error", "critical", c("status") >= 500), ("broken_link", "critical", c("status").between(400, 499)),
+        ("fetch_error", "critical", c("status") == 0), ("server_error", "critical", c("status") >= 500), ("broken_link", "critical", ~ok & (c("status") > 0) & (c("status") < 500)),
         ("missing_title", "critical", ok & c("title").isNull()), ("long_title", "warning", ok & (F.length("title") > 70)), ("missing_description", "warning", ok & c("description").isNull()),
-        ("missing_h1", "warning", ok & (c("h1") == 0)), ("redirects", "warning", c("redirects") > 3), ("noindex", "info", ok & c("noindex")),
-        ("deep", "critical", c("depth") >= 6), ("deep", "warning", c("depth").between(4, 5)),
+        ("missing_h1", "warning", ok & (c("h1") == 0)), ("redirect_chain", "warning", ok & (c("redirects") > 3)), ("noindex", "warning", ok & c("noindex")),
+        ("very_deep_page", "critical", ok & (c("depth") >= 6)), ("deep_page", "warning", ok & c("depth").between(4, 5)),
     ]
     issues = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(k).alias("type"), F.lit(s).alias("severity"))) for k, s, when in found]))
     return crawled.select("page_id", F.inline(issues))
@@ -78,25 +79,50 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def duplicates(of_pages: DataFrame, column: str) -> DataFrame:
-    """Texts that several pages have, with the pages in order."""
+    """Texts that several pages have, how many pages, and the first of them."""
     return of_pages.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
 
 
 def short_pages(of_pages: DataFrame, least: int = 300) -> DataFrame:
-    return of_pages.where((F.col("words") > 0) & (F.col("words") < least)).select("page_id", "words")
+    """Readable pages that may be indexed and have fewer words, but some. of_pages: page_id, words, status, noindex."""
+    return of_pages.where((F.col("words") > 0) & (F.col("words") < least) & (F.col("status") < 400) & ~F.col("noindex")).select("page_id", "words")
+
+
+#: Path names that tell a page's kind, and schema types that declare it.
+FAQ_PATH = r"(?i)(?:^|/)(?:faqs?|preguntas-frecuentes|preguntas)(?:/|$)"
+ARTICLE_PATH = r"(?i)/(blog|news|post|posts|article|articles|noticias|noticia|articulo|articulos|artículo|artículos|entrada|entradas)/"
+PRODUCT_PATH = r"(?i)/(product|products|shop|store|item|items|producto|productos|tienda)/"
+ARTICLE_TYPES = ("Article", "BlogPosting", "NewsArticle", "TechArticle", "Report")
+PRODUCT_TYPES = ("Product", "ProductGroup", "Offer")
+COLLECTION_TYPES = ("CollectionPage", "ItemList", "SearchResultsPage")
+PROFILE_TYPES = ("ProfilePage", "AboutPage")
+CALLS = (
+    r"(?i)\b(get started|sign up|try free|buy now|start free|start trial|book a demo|request demo|empieza|empezar|regístrate|registrate|prueba gratis|prueba gratuita"
+    r"|comprar ahora|reserva una demo|solicita una demo|solicitar demo)\b"
+)
 
 
 def identity(of_pages: DataFrame) -> DataFrame:
-    """What kind of page an address names, its depth, and whether it is the root."""
-    path = F.regexp_replace(F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    low = F.lower(path)
-    is_home = low.rlike(r"^(/[a-z]{2}(-[a-z]{2})?)?(/index\.(html?|php))?$")
+    """page_id, kind, is_root, depth. of_pages: page_id, url, types (declared schema types), og_type, dated_article (an article
+    element with a date or byline), calls (clickable texts of the content that call to action).
+
+    A locale alone or an index file is the root too, at depth 0. What a page declares is weighed with its path, in the
+    order faq, product, article, collection, profile, and landing for three calls to action."""
+    path = F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1)
+    segments = F.filter(F.split(path, "/"), lambda p: p != "")
+    segments = F.when((F.size(segments) == 1) & segments[0].rlike(r"(?i)^index\.(html?|php|aspx?)$"), F.array().cast("array<string>")).otherwise(segments)
+    is_root = (F.size(segments) == 0) | ((F.size(segments) == 1) & F.try_element_at(segments, F.lit(1)).rlike(r"(?i)^[a-z]{2}(?:[-_][a-z]{2,4})?$"))
+    types = F.coalesce("types", F.array().cast("array<string>"))
+    declares = lambda names: F.arrays_overlap(types, F.array(*map(F.lit, names)))
+    og = F.coalesce(F.lower(F.trim("og_type")), F.lit(""))
     kind = (
-        F.when(is_home, "homepage").when(low.rlike("faq|preguntas-frecuentes"), "faq").when(low.rlike("/(product|products|producto|p|item)/"), "product")
-        .when(low.rlike("/(blog|news|article|articles|post|posts)(/|$)"), "article").when(low.rlike("/(category|categories|collection|collections|tag)(/|$)"), "collection")
-        .when(low.rlike("/(author|team|profile|user)(/|$)"), "profile").otherwise("generic")
+        F.when(is_root, "homepage").when(path.rlike(FAQ_PATH) | declares(["FAQPage"]), "faq")
+        .when(declares(PRODUCT_TYPES) | (og == "product") | path.rlike(PRODUCT_PATH), "product")
+        .when(declares(ARTICLE_TYPES) | (og == "article") | path.rlike(ARTICLE_PATH) | F.col("dated_article"), "article")
+        .when(declares(COLLECTION_TYPES), "collection").when(declares(PROFILE_TYPES) | (og == "profile"), "profile")
+        .when(F.col("calls") >= 3, "landing").otherwise("generic")
     )
-    return of_pages.select("page_id", kind.alias("kind"), (path == "").alias("is_root"), F.size(F.filter(F.split(path, "/"), lambda p: p != "")).alias("depth"))
+    return of_pages.select("page_id", kind.alias("kind"), is_root.alias("is_root"), F.when(is_root, 0).otherwise(F.size(segments)).alias("depth"))
 
 
 def tally(checks: DataFrame, key: str) -> DataFrame:
@@ -155,20 +181,36 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return agents.join(grouped.where("field <> 'user-agent'").select("host", "g", F.col("field").alias("kind"), F.col("value").alias("pattern")), ["host", "g"], "left").select("host", "agent", "kind", "pattern")
 
 
-def allowed(paths: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:
-    """paths: host, path. The longest pattern that matches decides, allow wins ties, and without one all is allowed. The
-    agent's group is that of the longest declared name that begins its own, * if there is none. Rules are the small side: a few a host."""
-    name = agent.lower()
-    fits = rules_.where(F.lit(name).startswith(F.col("agent")) | (F.col("agent") == "*"))
+def groups_of(rules_: DataFrame, agents: DataFrame) -> DataFrame:
+    """host, crawler, kind, pattern: the rules that hold for each crawler, those of the longest declared name that begins its
+    own, of * if there is none. agents: crawler; a few rows. Groups without a rule keep a row with nulls."""
+    starts = F.lower("crawler").startswith(F.col("agent")) | (F.col("agent") == "*")
     length = F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))
-    best = fits.groupBy("host").agg(F.max(length).alias("n"))
-    own = fits.join(best, "host").where(length == F.col("n")).where(F.coalesce(F.col("pattern"), F.lit("")) != "")
-    regex = F.concat(F.lit(r"^\Q"), F.replace("pattern", F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"))
-    ended = F.when(F.col("pattern").endswith("$"), F.concat(F.regexp_replace(regex, r"\$\\E$", r"\\E"), F.lit("$"))).otherwise(regex)
-    own = own.select("host", "kind", F.length("pattern").alias("length"), ended.alias("regex"))
+    declared = rules_.select("host", "agent").distinct().crossJoin(F.broadcast(agents.select("crawler"))).where(starts)
+    best = declared.groupBy("host", "crawler").agg(F.max_by("agent", length).alias("agent"))
+    return best.join(rules_, ["host", "agent"]).select("host", "crawler", "kind", "pattern")
+
+
+def _pattern(pattern: Column) -> Column:
+    """A rule's pattern as a regular expression: * is anything, a last $ the end."""
+    regex = F.concat(F.lit(r"^\Q"), F.replace(pattern, F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"))
+    return F.when(pattern.endswith("$"), F.concat(F.regexp_replace(regex, r"\$\\E$", r"\\E"), F.lit("$"))).otherwise(regex)
+
+
+def allowed_for(paths: DataFrame, rules_: DataFrame, agents: DataFrame) -> DataFrame:
+    """host, path, crawler, allowed of each path and crawler. The longest pattern that matches decides, allow wins ties, and
+    without one all is allowed. Rules are the small side, a few a host; paths are joined to them by host."""
+    own = groups_of(rules_, agents).where(F.coalesce("pattern", F.lit("")) != "").select("host", "crawler", "kind", F.length("pattern").alias("length"), _pattern(F.col("pattern")).alias("regex"))
     hits = paths.join(own, "host").where(F.expr("rlike(path, regex)"))
-    verdict = hits.groupBy("host", "path").agg(F.max(F.struct("length", (F.col("kind") == "allow").alias("allow")))["allow"].alias("allow"))
-    return paths.join(verdict, ["host", "path"], "left").select("host", "path", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    verdict = hits.groupBy("host", "path", "crawler").agg(F.max(F.struct("length", (F.col("kind") == "allow").alias("allow")))["allow"].alias("allow"))
+    rows = paths.crossJoin(F.broadcast(agents)).join(verdict, ["host", "path", "crawler"], "left")
+    return rows.select("host", "path", *agents.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))
+
+
+def allowed(paths: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:
+    """host, path, allowed for one crawler. paths: host, path."""
+    agents = paths.sparkSession.createDataFrame([(agent,)], "crawler string")
+    return allowed_for(paths, rules_, agents).drop("crawler")
 
 
 def crawl_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def cannibalization(rows: DataFrame, min_impressions: float = 10.0) -> DataFrame
 
 
 def compare(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
-    """Both windows by key: an absent side has no clicks; the position's change is null unless both are there."""
+    """Both windows by key, a null one as (none): an absent side has no clicks; the position's change is null unless both are there."""
+    now, before = (df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("(none)"))) for df in (now, before))
     a = totals(now, key).select(key, *[F.col(c).alias(f"{c}_now") for c in MEASURES])
     b = totals(before, key).select(key, *[F.col(c).alias(f"{c}_before") for c in MEASURES])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -135,10 +136,13 @@ def page_query_map(rows: DataFrame, top: int = 10) -> DataFrame:
 
 
 def appearance_gap(rows: DataFrame, watched: list[str]) -> DataFrame:
-    """Watched appearances of which none is present whose first word contains theirs."""
+    """Watched appearances of which none is present whose first word contains theirs. Each appearance is held against the
+    short list where it is read, so only the matches are joined."""
+    first = lambda c: F.lower(F.substring_index(c, " ", 1))
     watch = rows.sparkSession.createDataFrame([(w,) for w in watched], "appearance string")
-    present = totals(rows, "appearance").where("impressions > 0").select(F.lower(F.substring_index("appearance", " ", 1)).alias("has"))
-    return watch.join(present, F.contains(F.col("has"), F.lower(F.substring_index("appearance", " ", 1))), "left_anti")
+    names = F.filter(F.array(*map(F.lit, watched)), lambda w: F.contains(first("appearance"), first(w)))
+    present = totals(rows, "appearance").where("impressions > 0").select(F.explode(names).alias("appearance")).distinct()
+    return watch.join(present, "appearance", "left_anti")
 
 
 def health(rows: DataFrame, properties: DataFrame, key: str) -> DataFrame:

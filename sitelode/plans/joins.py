@@ -33,7 +33,7 @@ def _crawled(s, d):
 
 def _sitemap(s, d):
     p = page_keys(s, d).where(_p() % 2 == 0)
-    mod = F.when(_p() % 8 == 0, F.concat(F.lit("2024-01-"), F.lpad((_p() % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00"))).when(_p() % 10 == 2, "soon").otherwise(F.concat(F.lit("2024-01-"), F.lpad((_p() % 28 + 1).cast("string"), 2, "0")))
+    mod = F.when(_p() % 8 == 0, F.concat(F.lit("2024-01-"), F.lpad((_p() % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00"))).when(_p() % 10 == 2, "soon").when(_p() % 10 == 4, "2024-1-9").when(_p() % 10 == 6, "2024-01").otherwise(F.concat(F.lit("2024-01-"), F.lpad((_p() % 28 + 1).cast("string"), 2, "0")))
     return p.groupBy("url_key").agg(F.min_by(mod, "page_id").alias("lastmod"))
 
 
@@ -65,8 +65,11 @@ def _spans(s, d):
 
 
 def _titles(s, d):
+    """Titles made of pages' addresses, in English, Spanish, German or no declared language."""
     rows = product_rows(s, d).groupBy("page", "query").agg(F.sum("impressions").alias("impressions"))
-    titles = rows.select("page").distinct().withColumn("words", F.array(F.lit("red"), F.lit("blue"), F.lit("widgets"), F.lit("small")))
+    brand, kind = F.element_at(F.split("page", "[/-]"), -2), F.length("page") % 4
+    title = F.concat(F.lit("The Best Réd-Widgets, blúe, greens & Golden things of "), brand, F.lit(": "), F.substring_index("page", "/", -1))
+    titles = rows.select("page").distinct().select("page", title.alias("title"), F.when(kind == 0, "en-GB").when(kind == 1, "es").when(kind == 2, "de").alias("lang"))
     return op.title_fit(rows, titles)
 
 
@@ -90,7 +93,7 @@ QUERIES = {
 
 _SE = f"""{SQL['pk']}, se AS (SELECT page_id, url AS page, url_key, host_key, path_key AS path, (page_id % 50)::DOUBLE AS clicks, (page_id % 50 * 10 + 1)::DOUBLE AS impressions, (page_id % 9 + 1)::DOUBLE AS position FROM pk WHERE page_id % 3 <> 0)"""
 _CR = "cr AS (SELECT page_id, url_key, host_key, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status, page_id % 13 = 0 AS noindex, CASE WHEN page_id % 7 = 0 THEN 'example.com/' END AS canonical_key FROM pk WHERE page_id % 5 <> 0)"
-_SM = "sm AS (SELECT url_key, arg_min(CASE WHEN page_id % 8 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00' WHEN page_id % 10 = 2 THEN 'soon' ELSE '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END, page_id) AS lastmod FROM pk WHERE page_id % 2 = 0 GROUP BY url_key)"
+_SM = "sm AS (SELECT url_key, arg_min(CASE WHEN page_id % 8 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00' WHEN page_id % 10 = 2 THEN 'soon' WHEN page_id % 10 = 4 THEN '2024-1-9' WHEN page_id % 10 = 6 THEN '2024-01' ELSE '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END, page_id) AS lastmod FROM pk WHERE page_id % 2 = 0 GROUP BY url_key)"
 _PV = f"""WITH {_SE}, la AS (SELECT CASE WHEN page_id % 25 = 1 THEN NULL ELSE path_key END AS path, (page_id % 30 + 1)::DOUBLE AS sessions, (page_id % 10)::DOUBLE AS engaged, (page_id % 3)::DOUBLE AS key_events FROM pk WHERE page_id % 4 <> 0),
 pp AS (SELECT path, count(DISTINCT host_key) AS hosts, sum(clicks) AS clicks, sum(impressions) AS impressions, sum(position * impressions) / sum(impressions) AS position FROM se GROUP BY path),
 pl AS (SELECT path, sum(sessions) AS sessions, sum(engaged) AS engaged, sum(key_events) AS key_events FROM la WHERE path IS NOT NULL GROUP BY path)"""
@@ -113,16 +116,17 @@ k AS (SELECT assistant, blocked, coalesce(sum(sessions), 0)::BIGINT AS sessions
 o AS (SELECT sum(sessions)::BIGINT AS sessions FROM src WHERE NOT EXISTS (SELECT 1 FROM ops WHERE source = host OR source LIKE '%.' || host))
 SELECT assistant, blocked, sessions, blocked AND sessions > 0 AS at_risk FROM k UNION ALL SELECT NULL, NULL, sessions, CASE WHEN sessions > 0 THEN NULL ELSE false END FROM o WHERE sessions IS NOT NULL""",
     "lastmod_accuracy": f"""WITH {_SE}, {_SM}, i AS (SELECT url_key, sum(impressions) AS impressions FROM se GROUP BY 1), c AS (SELECT url_key, max(make_timestamp(2024, 1, (page_id % 20 + 5)::INT, 9, 0, 0)) AS crawled_at FROM pk WHERE page_id % 5 <> 0 GROUP BY 1)
-SELECT url_key, lastmod, impressions, crawled_at, CASE WHEN crawled_at IS NULL THEN 'never crawled' WHEN try_cast(lastmod AS TIMESTAMP) IS NULL THEN 'malformed'
-  WHEN CASE WHEN contains(lastmod, 'T') THEN try_cast(lastmod AS TIMESTAMP) > crawled_at ELSE try_cast(lastmod AS TIMESTAMP)::DATE > crawled_at::DATE END THEN 'pending' ELSE 'consistent' END AS state
-FROM sm LEFT JOIN i USING (url_key) LEFT JOIN c USING (url_key)""",
+SELECT url_key, lastmod, impressions, crawled_at, CASE WHEN crawled_at IS NULL THEN 'never crawled' WHEN read_as IS NULL THEN 'malformed'
+  WHEN CASE WHEN contains(lastmod, 'T') THEN read_as > crawled_at ELSE read_as::DATE > crawled_at::DATE END THEN 'pending' ELSE 'consistent' END AS state
+FROM (SELECT *, CASE WHEN length(lastmod) = 7 THEN try_cast(lastmod || '-01' AS TIMESTAMP) WHEN lastmod <> '2024-1-9' THEN try_cast(lastmod AS TIMESTAMP) END AS read_as FROM sm) LEFT JOIN i USING (url_key) LEFT JOIN c USING (url_key)""",
     "vitals_by_traffic": f"""WITH {_SE}, s AS (SELECT url_key, host_key, sum(clicks) AS clicks FROM se GROUP BY ALL), p AS (SELECT url_key, max((page_id % 40 * 100)::DOUBLE) AS pv FROM pk WHERE page_id % 2 = 1 GROUP BY 1),
 o AS (SELECT host_key, max((page_id % 40 * 100)::DOUBLE) AS ov FROM pk WHERE page_id % 3 = 0 GROUP BY 1)
 SELECT url_key, clicks, CASE WHEN pv IS NOT NULL THEN 'page' WHEN ov IS NOT NULL THEN 'origin' ELSE 'not measured' END AS basis, coalesce(pv, ov) AS value, clicks * CASE WHEN pv <= 2500 THEN 0 ELSE pv / 2500 - 1 END AS impact
 FROM s LEFT JOIN p USING (url_key) LEFT JOIN o USING (host_key)""",
-    "title_query_fit": f"""WITH {SQL['search']}, t AS (SELECT page, query, sum(impressions) AS i FROM search GROUP BY ALL), r AS (SELECT page, query, (row_number() OVER (PARTITION BY page ORDER BY i DESC, query))::INT AS rank FROM t QUALIFY rank <= 3),
-f AS (SELECT *, len(list_filter(string_split(query, ' '), lambda w: list_contains(['red', 'blue', 'widgets', 'small'], w) OR list_contains(['red', 'blue', 'widgets', 'small'], w || 's') OR list_contains(['reds', 'blues', 'widgetss', 'smalls'], w)))::INT AS found FROM r)
-SELECT page, query, rank, found, CASE WHEN found = len(string_split(query, ' ')) THEN 'all' WHEN found > 0 THEN 'some' ELSE 'none' END AS fit FROM f""",
+    "title_query_fit": f"""WITH {SQL['search']}, t AS (SELECT page, query, sum(impressions) AS i FROM search GROUP BY ALL), r AS (SELECT page, query, (row_number() OVER (PARTITION BY page ORDER BY i DESC, query))::INT AS rank, length(page) % 4 AS kind FROM t QUALIFY rank <= 3),
+w AS (SELECT *, list_filter(regexp_split_to_array('the best red widgets blue greens golden things of ' || string_split(replace(page, '-', '/'), '/')[-2] || ' ' || replace(string_split(page, '/')[-1], '-', ' '), '[^a-z0-9]+'), lambda x: x <> '') AS title, list_distinct(list_filter(string_split(query, ' '), lambda x: x <> '')) AS asked FROM r),
+m AS (SELECT *, list_filter(list_filter(string_split(query, ' '), lambda x: x <> ''), lambda q: len(list_filter(title, lambda t: t = q OR (length(q) >= 3 AND t IN (q || 's', q || 'es')) OR (length(t) >= 3 AND q IN (t || 's', t || 'es')))) = 0) AS lost FROM w)
+SELECT page, query, rank, CASE WHEN kind <> 2 THEN array_to_string(lost, ' ') END AS missing, CASE WHEN kind <> 2 THEN CASE WHEN len(lost) = 0 THEN 'all' WHEN len(lost) < len(asked) THEN 'some' ELSE 'none' END END AS fit FROM m""",
     "interval_overlap": """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE END AS start, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE + (o_orderkey % 10)::INT END AS "end" FROM orders)
 SELECT *, CASE WHEN start IS NULL THEN 'undated' ELSE 'overlaps' END AS state FROM s WHERE start IS NULL OR (start <= DATE '1997-03-31' AND "end" >= DATE '1997-03-01')""",
     "asof_year_ago": "SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS score, max(o_orderdate) AS at FROM orders WHERE o_orderdate::DATE <= DATE '1997-05-01' GROUP BY 1",

@@ -46,12 +46,17 @@ def _robots(s):
 
 
 def _crawlers(s, d):
-    rules, out = _robots(s), None
-    roots = s.createDataFrame([("a", "/"), ("b", "/")], "host string, path string")
-    for name, purpose in op.AI_CRAWLERS.items():
-        one = op.allowed(roots, rules, name).select("host", F.lit(name).alias("crawler"), F.lit(purpose).alias("purpose"), (~F.col("allowed")).alias("blocked"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The verdict on each page for each crawler: all in one pass."""
+    agents = s.createDataFrame(list(op.AI_CRAWLERS.items()), "crawler string, purpose string")
+    return op.allowed_for(_paths(s, d), _robots(s), agents).groupBy("host", "crawler", "purpose").agg(F.count_if(~F.col("allowed")).alias("blocked"), F.count("*").alias("paths"))
+
+
+def _identified(s, d):
+    """Pages with what they declare made from their ids: types and og:type of some."""
+    n = _p() % 12
+    types = F.when(n == 1, F.array(F.lit("FAQPage"))).when(n == 2, F.array(F.lit("Product"), F.lit("WebPage"))).when(n == 3, F.array(F.lit("ItemList"))).when(n == 4, F.array(F.lit("AboutPage")))
+    og = F.when(n == 5, "Article").when(n == 6, "product").when(n == 7, " profile ")
+    return table(s, d, "pages").select("page_id", "url", types.alias("types"), og.alias("og_type"), (n == 8).alias("dated_article"), (_p() % 5).alias("calls"))
 
 
 def _edges(s, d):
@@ -69,11 +74,11 @@ def _signals(s, d):
 
 QUERIES = {
     "html_word_count": lambda s, d: table(s, d, "pages").select("page_id", op.word_count(F.col("html")).alias("words")),
-    "page_identity": lambda s, d: op.identity(table(s, d, "pages")),
+    "page_identity": lambda s, d: op.identity(_identified(s, d)),
     "onpage_rules": lambda s, d: op.rules(_facts(s, d)).select("page_id", F.array_join("issues", ",").alias("issues")),
     "onpage_facts": lambda s, d: _facts(s, d).select("page_id", "title", "lang", "h1", "h2", "images", F.size("links").alias("links")),
-    "duplicate_titles": lambda s, d: op.duplicates(_facts(s, d).withColumn("title", F.lower(F.substring_index("title", " ", 1))), "title"),
-    "short_pages": lambda s, d: op.short_pages(_facts(s, d)),
+    "duplicate_titles": lambda s, d: op.duplicates(_facts(s, d), "title"),
+    "short_pages": lambda s, d: op.short_pages(_facts(s, d).join(_crawled(s, d).select("page_id", "status", "noindex"), "page_id")),
     "crawl_issues": lambda s, d: op.crawl_issues(_crawled(s, d)),
     "issue_counts": lambda s, d: op.issue_counts(op.crawl_issues(_crawled(s, d))),
     "tally_checks": lambda s, d: op.tally(_checks(s, d), "user_id"),
@@ -87,7 +92,7 @@ QUERIES = {
     "broken_links": lambda s, d: op.broken_links(_edges(s, d), _crawled(s, d).select(_p().alias("node"), "status")),
 }
 
-_WC = r"""len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::INT"""
+_WC = r"""len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&[a-z]+;', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::INT"""
 _F = rf"""f AS (SELECT page_id, url, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '(?is)<html[^>]*\blang=["'']([^"'']*)["'']', 1), '') AS lang,
   nullif(trim(regexp_extract(html, '(?is)<meta[^>]*\bname=["'']description["''][^>]*\bcontent=["'']([^"'']*)["'']', 1)), '') AS description, nullif(regexp_extract(html, '(?is)<meta[^>]*\bname=["'']viewport["''][^>]*\bcontent=["'']([^"'']*)["'']', 1), '') AS viewport,
   nullif(regexp_extract(html, '(?is)<link[^>]*\brel=["'']canonical["''][^>]*\bhref=["'']([^"'']*)["'']', 1), '') AS canonical,
@@ -95,10 +100,10 @@ _F = rf"""f AS (SELECT page_id, url, nullif(trim(regexp_extract(html, '(?is)<tit
   len(list_filter(regexp_extract_all(html, '(?is)<img\b[^>]*>'), lambda i: NOT regexp_matches(i, '(?i)\balt=')))::INT AS noalt,
   len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"''#]+)'))::INT AS links, {_WC} AS words FROM pages)"""
 _C = f"""{_F}, c AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 404 WHEN page_id % 29 = 0 THEN 500 WHEN page_id % 37 = 0 THEN 0 ELSE 200 END AS status, page_id % 5 AS redirects, page_id % 8 AS depth, title, description, h1, page_id % 13 = 0 AS noindex FROM f),
-i AS (SELECT page_id, unnest(list_filter([CASE WHEN status = 0 THEN 'fetch_error critical' END, CASE WHEN status >= 500 THEN 'server_error critical' END, CASE WHEN status BETWEEN 400 AND 499 THEN 'broken_link critical' END,
-  CASE WHEN status BETWEEN 1 AND 399 AND title IS NULL THEN 'missing_title critical' END, CASE WHEN status BETWEEN 1 AND 399 AND length(title) > 70 THEN 'long_title warning' END, CASE WHEN status BETWEEN 1 AND 399 AND description IS NULL THEN 'missing_description warning' END,
-  CASE WHEN status BETWEEN 1 AND 399 AND h1 = 0 THEN 'missing_h1 warning' END, CASE WHEN redirects > 3 THEN 'redirects warning' END, CASE WHEN status BETWEEN 1 AND 399 AND noindex THEN 'noindex info' END,
-  CASE WHEN depth >= 6 THEN 'deep critical' WHEN depth >= 4 THEN 'deep warning' END], lambda x: x IS NOT NULL)) AS x FROM c)"""
+i AS (SELECT page_id, unnest(CASE WHEN status = 0 THEN ['fetch_error critical'] WHEN status >= 500 THEN ['server_error critical'] WHEN status NOT BETWEEN 200 AND 299 THEN ['broken_link critical'] ELSE list_filter([
+  CASE WHEN title IS NULL THEN 'missing_title critical' WHEN length(title) > 70 THEN 'long_title warning' END, CASE WHEN description IS NULL THEN 'missing_description warning' END,
+  CASE WHEN h1 = 0 THEN 'missing_h1 warning' END, CASE WHEN redirects > 3 THEN 'redirect_chain warning' END, CASE WHEN noindex THEN 'noindex warning' END,
+  CASE WHEN depth >= 6 THEN 'very_deep_page critical' WHEN depth >= 4 THEN 'deep_page warning' END], lambda x: x IS NOT NULL) END) AS x FROM c)"""
 _K = """k AS (SELECT user_id, (event_id % 5 + 1)::INT AS points, CASE WHEN event_id % 3 <> 0 THEN (event_id % 5 + 1)::INT END AS earned, CASE WHEN event_id % 11 = 0 THEN 'not-applicable' WHEN event_id % 13 = 0 THEN 'not-evaluated' END AS status FROM events),
 t AS (SELECT user_id, coalesce(sum(coalesce(earned, 0)) FILTER (status IS NULL), 0)::BIGINT AS score, coalesce(sum(points) FILTER (status IS NULL), 0)::BIGINT AS max, coalesce(sum(points) FILTER (status = 'not-applicable'), 0)::BIGINT AS not_applicable, coalesce(sum(points) FILTER (status = 'not-evaluated'), 0)::BIGINT AS not_evaluated FROM k GROUP BY 1),
 g AS (SELECT *, floor(score * 100 / nullif(max, 0) + 0.5)::BIGINT AS percent FROM t)"""
@@ -108,15 +113,18 @@ r AS (SELECT user_id, metric, CASE WHEN value <= good THEN 'good' WHEN value > p
 _E = "e AS (SELECT * FROM (SELECT page_id AS src, unnest([page_id * 2 + 1, page_id * 2 + 2, 0]) AS dst FROM pages) WHERE dst <= (SELECT max(page_id) FROM pages) AND src % 7 <> 3)"
 ORACLES = {
     "html_word_count": f"SELECT page_id, {_WC} AS words FROM pages",
-    "page_identity": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(lower(path), '^(/[a-z]{2}(-[a-z]{2})?)?(/index\.(html?|php))?$') THEN 'homepage' WHEN regexp_matches(lower(path), 'faq|preguntas-frecuentes') THEN 'faq' WHEN regexp_matches(lower(path), '/(product|products|producto|p|item)/') THEN 'product'
-  WHEN regexp_matches(lower(path), '/(blog|news|article|articles|post|posts)(/|$)') THEN 'article' WHEN regexp_matches(lower(path), '/(category|categories|collection|collections|tag)(/|$)') THEN 'collection' WHEN regexp_matches(lower(path), '/(author|team|profile|user)(/|$)') THEN 'profile' ELSE 'generic' END AS kind,
-  path = '' AS is_root, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INT AS depth FROM p""",
+    "page_identity": rf"""WITH u AS (SELECT page_id, page_id % 12 AS n, page_id % 5 AS calls, regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM u),
+q AS (SELECT *, CASE WHEN len(s) = 1 AND regexp_matches(s[1], '(?i)^index\.(html?|php|aspx?)$') THEN [] ELSE s END AS t FROM p),
+r AS (SELECT *, len(t) = 0 OR (len(t) = 1 AND regexp_matches(t[1], '(?i)^[a-z]{{2}}(?:[-_][a-z]{{2,4}})?$')) AS is_root FROM q)
+SELECT page_id, CASE WHEN is_root THEN 'homepage' WHEN regexp_matches(path, '{op.FAQ_PATH}') OR n = 1 THEN 'faq' WHEN n IN (2, 6) OR regexp_matches(path, '{op.PRODUCT_PATH}') THEN 'product'
+  WHEN n IN (5, 8) OR regexp_matches(path, '{op.ARTICLE_PATH}') THEN 'article' WHEN n = 3 THEN 'collection' WHEN n IN (4, 7) THEN 'profile' WHEN calls >= 3 THEN 'landing' ELSE 'generic' END AS kind,
+  is_root, CASE WHEN is_root THEN 0 ELSE len(t) END::INT AS depth FROM r""",
     "onpage_rules": f"""WITH {_F} SELECT page_id, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title-missing' END, CASE WHEN length(title) > 70 THEN 'title-long' END, CASE WHEN description IS NULL THEN 'description-missing' END, CASE WHEN length(description) > 165 THEN 'description-long' END,
   CASE WHEN h1 = 0 THEN 'h1-missing' END, CASE WHEN h1 > 1 THEN 'h1-multiple' END, CASE WHEN canonical IS NULL THEN 'canonical-missing' END, CASE WHEN viewport IS NULL THEN 'viewport-missing' END, CASE WHEN lang IS NULL THEN 'lang-missing' END, CASE WHEN noalt > 0 THEN 'images-alt' END], lambda x: x IS NOT NULL), ',') AS issues FROM f""",
     "onpage_facts": f"WITH {_F} SELECT page_id, title, lang, h1, h2, images, links FROM f",
-    "duplicate_titles": f"WITH {_F}, t AS (SELECT page_id, lower(split_part(title, ' ', 1)) AS title FROM f WHERE title IS NOT NULL) SELECT title, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY title HAVING count(*) > 1",
-    "short_pages": f"WITH {_F} SELECT page_id, words FROM f WHERE words > 0 AND words < 300",
+    "duplicate_titles": f"WITH {_F} SELECT title, count(*) AS n, min(page_id) AS first_page FROM f WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1",
+    "short_pages": f"WITH {_F} SELECT page_id, words FROM f WHERE words > 0 AND words < 300 AND page_id % 11 <> 0 AND page_id % 29 <> 0 AND page_id % 13 <> 0",
     "crawl_issues": f"WITH {_C} SELECT page_id, split_part(x, ' ', 1) AS type, split_part(x, ' ', 2) AS severity FROM i",
     "issue_counts": f"WITH {_C} SELECT split_part(x, ' ', 1) AS type, count(*) AS n FROM i GROUP BY 1",
     "tally_checks": f"WITH {_K} SELECT * FROM g",
@@ -130,5 +138,8 @@ SELECT *, ai - organic AS gap, coalesce(abs(ai - organic) >= 25, false) AS notab
 SELECT host, path, CASE WHEN host = 'b' THEN true WHEN regexp_matches(path, '^/.*\\.html$') AND NOT (regexp_matches(path, '^/en/45') AND length('/en/45') >= length('/*.html$')) THEN false WHEN regexp_matches(path, '^/en/45') THEN true WHEN regexp_matches(path, '^/en/4') THEN false ELSE true END AS allowed FROM p""",
     "crawl_depth": f"""WITH RECURSIVE {_E}, w(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 20) SELECT node, min(depth) AS depth FROM w GROUP BY node""",
     "broken_links": f"WITH {_C}, {_E} SELECT dst AS node, status, count(DISTINCT src) AS found_on FROM e JOIN c ON page_id = dst WHERE status >= 400 OR status = 0 GROUP BY ALL",
-    "robots_crawlers": "SELECT host, crawler, purpose, host = 'a' AND crawler IN ('GPTBot', 'CCBot') AS blocked FROM (VALUES ('a'), ('b')) h(host), (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in op.AI_CRAWLERS.items()) + ") c(crawler, purpose)",
+    "robots_crawlers": f"""WITH {SQL['pk']}, p AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS host, path_key AS path FROM pk),
+c(crawler, purpose) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in op.AI_CRAWLERS.items())})
+SELECT host, crawler, purpose, count(*) FILTER (host = 'a' AND (crawler IN ('GPTBot', 'CCBot') OR ((path LIKE '/en/4%' OR path LIKE '/%.html') AND NOT (path LIKE '/en/45%' AND path NOT LIKE '/%.html')))) AS blocked, count(*) AS paths
+FROM p, c GROUP BY ALL""",
 }
