@@ -22,8 +22,8 @@ Lists of the most frequent words (``hot_words`` at most) and pairs
 (``hot_pairs`` at most) go to every task. They are shortcuts that change no
 score: what is in them is looked up where the text is read.
 
-A word is known by 63 bits of the XXH64 of its bytes: with ten million different
-words the chance that any two are taken for one is 5e-6. Both lists and what is
+A word is known by 63 bits of a hash of its bytes, A-Z lowered: with ten million
+different words the chance that any two are taken for one is about 5e-6. Both lists and what is
 split follow training counts, so a held-out fold is meant to be one by a hash: a
 pair that fills held-out texts and is in no training text stays in one bucket.
 
@@ -36,26 +36,27 @@ tables give an empty result.
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import materialize, new_folder, remainder, words
+from sitelode.llm.common import materialize, new_folder, remainder
 
 #: The number of a text's end, which is also the history of its first word. Frequent words have the numbers after it, all
 #: others negative keys.
 END = 0
 SIGN = 1 << 63
 #: Tokens that a task holds at once, and tokens a bucket.
-CHUNK, BUCKET = 3_000_000, 400_000
+CHUNK, BUCKET = 500_000, 200_000
+#: Bytes of text that are hashed at a stroke.
+STROKE = 1 << 20
 
 
 def good_turing(of_counts: dict[int, int], k: int = 5) -> list[float]:
@@ -75,24 +76,91 @@ def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return c * np.where(c < len(d), np.array(d)[np.minimum(c, len(d) - 1)], 1.0)
 
 
-def _word_key(word: bytes) -> int:
-    return (xxhash.xxh64_intdigest(word, 42) | SIGN) - (1 << 64)
-
-
-class Codes(dict):
-    """The code of a word: its number if it is frequent, else its key. Filled as words come."""
+class WordKeys:
+    """Keys of the words of many texts at a stroke: a polynomial in random values of the bytes, modulo 2^64 and mixed.
+
+    A word's value is a difference of running sums, times the inverse power of its place."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        rng = np.random.default_rng(42)
+        self.value = rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.in_word = np.ones(256, bool)
+        self.in_word[[32, *range(9, 14)]] = False
+        self._grow(STROKE)
+
+    def _grow(self, n: int) -> None:
+        powers = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+        self.power, self.inverse = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def _segments(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First and end of what is hashed at a stroke, and the ends of texts in it; a long text is cut at white space."""
+        at = 0
+        while at < len(data):
+            stop = int(ends[max(np.searchsorted(ends, at + STROKE, "right") - 1, 0)])
+            if stop <= at:  # no text ends within a stroke
+                stop, size = int(ends[np.searchsorted(ends, at, "right")]), STROKE
+                while at + size < stop:
+                    blank = np.flatnonzero(~self.in_word[data[at : at + size]])
+                    if len(blank):
+                        stop = at + int(blank[-1]) + 1
+                        break
+                    size *= 2
+            yield at, stop, ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, stop, "right")]
+            at = stop
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all words in order, and how many each text has. Keys are negative."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        ends = offsets[1:] - offsets[0]
+        keys, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, hi, stops in self._segments(data, ends):
+            part = data[lo:hi]
+            if len(part) >= len(self.power):
+                self._grow(len(part))
+            inside = self.in_word[part]
+            begins, closes = inside.copy(), inside.copy()
+            begins[1:] &= ~inside[:-1]
+            closes[:-1] &= ~inside[1:]
+            cut = stops - lo
+            begins[cut[cut < len(part)]] = inside[cut[cut < len(part)]]
+            closes[cut - 1] = inside[cut - 1]
+            begin, close = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+            sums = np.r_[np.uint64(0), np.cumsum(self.value[part] * self.power[: len(part)])]
+            keys.append(_mixed((sums[close] - sums[begin]) * self.inverse[begin]))
+            starts.append(begin + lo)
+        before = np.searchsorted(np.concatenate(starts), np.r_[0, ends])
+        return (np.concatenate(keys) | np.uint64(SIGN)).view(np.int64), np.diff(before)
+
+
+class Numbers:
+    """The numbers of frequent words. Most are found in a table of slots by the key's bits, the others by bisection."""
 
     def __init__(self, keys: np.ndarray):
-        self.number = {key: i for i, key in enumerate(keys.tolist(), END + 1)}
-
-    def __missing__(self, word: bytes) -> int:
-        key = _word_key(word)
-        code = self.number.get(key, key)
-        if len(word) <= 64:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = code
-        return code
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+        self.keys = np.r_[np.int64(0), keys]
+        self.bits = np.uint64(64 - 21)
+        self.slot = np.zeros(1 << 21, np.int32)
+        self.slot[self._slots(keys)] = np.arange(1, len(keys) + 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) << np.uint64(1) >> self.bits
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of those that have one, else the keys."""
+        at = self.slot[self._slots(keys)]
+        out = np.where(self.keys[at] == keys, at, keys)
+        left = np.flatnonzero((out < 0) & (at > 0))
+        if len(left):
+            wanted = keys[left]
+            place = np.minimum(np.searchsorted(self.sorted, wanted), len(self.sorted) - 1)
+            out[left] = np.where(self.sorted[place] == wanted, self.order[place] + END + 1, wanted)
+        return out
 
 
 @dataclass
@@ -153,23 +221,30 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _read(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+def _read(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
     """Codes of many texts end to end, with an end before the first and after each; their numbers of tokens; their rows."""
-    parts, lengths, rows, size = [np.array([END])], [], [], 0
+    key = WordKeys()
+
+    def laid_out() -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
+        n = np.concatenate(counts)
+        x = np.full(n.sum() + len(n) + 1, END, np.int64)
+        x[np.arange(1, n.sum() + 1) + np.repeat(np.arange(len(n)), n)] = np.concatenate(parts)
+        return x, n + 1, rows
+
+    parts, counts, rows, size = [], [], [], 0
     for whole in batches:
-        for lo in range(0, whole.num_rows, 50):
-            b = whole.slice(lo, 50)
-            for text in b.column("text").cast(pa.binary()):
-                w = words(text.as_py())
-                parts += np.fromiter(map(codes.__getitem__, w), np.int64, len(w)), parts[0]
-                lengths.append(len(w) + 1)
-                size += len(w) + 1
+        for lo in range(0, whole.num_rows, 200):
+            b = whole.slice(lo, 200)
+            keys, n = key(b.column("text"))
+            parts.append(numbers(keys))
+            counts.append(n)
             rows.append(b)
+            size += len(keys)
             if size > CHUNK:
-                yield np.concatenate(parts), np.array(lengths), rows
-                parts, lengths, rows, size = parts[:1], [], [], 0
-    if lengths:
-        yield np.concatenate(parts), np.array(lengths), rows
+                yield laid_out()
+                parts, counts, rows, size = [], [], [], 0
+    if rows:
+        yield laid_out()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -180,19 +255,22 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    key, held, size = WordKeys(), [], 0
 
     def out() -> pa.RecordBatch:
-        keys = np.fromiter(map(_word_key, seen), np.int64, len(seen))
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys), "c": pa.array(list(seen.values()), pa.int64())})
+        keys = np.sort(np.concatenate(held))
+        at = _runs(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.diff(np.r_[at, len(keys)]))], ["key", "c"])
 
     for b in batches:
-        for text in b.column(0).cast(pa.binary()):
-            seen.update(words(text.as_py()))
-            if len(seen) > 600_000:
+        for lo in range(0, b.num_rows, 2000):
+            held.append(key(b.column("text").slice(lo, 2000))[0])
+            size += len(held[-1])
+            if size > 4 * CHUNK:
                 yield out()
-                seen.clear()
-    yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
 def _histogram(counts: DataFrame) -> dict[int, int]:
@@ -218,8 +296,7 @@ _PAIRS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("k", pa.binary(
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], one: Unigrams, buckets: int) -> Iterator[pa.RecordBatch]:
     """Counts of pairs of many texts, a row per bucket."""
-    codes = Codes(one.keys)
-    for x, _, _ in _read(batches, codes):
+    for x, _, _ in _read(batches, Numbers(one.keys)):
         h, k = x[:-1], x[1:]
         q = pair_order(h, k, one.is_split(h))
         order = np.argsort(q)
@@ -293,12 +370,13 @@ class Bucket:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], one: Unigrams, d2: list[float], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a frequent word that have at least a count, with their log probability."""
+    """Pairs of frequent words that have at least a count, with their log probability."""
     for b in batches:
         for row in b.to_pylist():
             of = Bucket.of_row(row, one, d2)
-            at = np.flatnonzero((of.c >= least) & (of.k >= 0))
-            yield pa.RecordBatch.from_pydict({"h": of.own[of.of[at]], "k": of.k[at], "s": of.log_p()[at]})
+            h = of.own[of.of]
+            at = np.flatnonzero((of.c >= least) & (of.k >= 0) & (h >= 0))
+            yield pa.RecordBatch.from_pydict({"h": h[at].astype(np.int32), "k": of.k[at].astype(np.int32), "s": of.log_p()[at]})
 
 
 # scores
@@ -331,8 +409,8 @@ def _sent(doc_id: pa.DataType) -> pa.Schema:
 def _send(batches: Iterator[pa.RecordBatch], one: Unigrams, hot: Pairs, buckets: int, log_base0: float) -> Iterator[pa.RecordBatch]:
     """Texts come in blocks. Of each, a row of what is known of its texts by frequent words and pairs alone (its bucket is
     negative), and a row per bucket of all other tokens."""
-    codes, log_c, known = Codes(one.keys), np.log10(one.count + 1.0), one.count > 0
-    for i, (x, lengths, rows) in enumerate(_read(batches, codes)):
+    log_c, known = np.log10(one.count + 1.0), one.count > 0
+    for i, (x, lengths, rows) in enumerate(_read(batches, Numbers(one.keys))):
         block, n = TaskContext.get().partitionId() << 32 | i, len(lengths)
         h, k, row = x[:-1], x[1:], np.repeat(np.arange(n), lengths)
         numbered = k >= 0
@@ -386,10 +464,10 @@ def _answer(batches: Iterator[pa.RecordBatch], one: Unigrams, d2: list[float], o
     def done() -> pa.RecordBatch:
         rows = []
         for block, parts in sums.items():
-            row, s, c, open_, k = (np.concatenate(p) for p in zip(*parts, strict=True))
+            row, s, c, open_row, open_k = (np.concatenate(p) for p in zip(*parts, strict=True))
             own, at = np.unique(row, return_inverse=True)
             total = [np.bincount(at, v, len(own)) for v in (s, np.log10(c + 1.0), c > 0)]
-            rows.append((block, pack(own), total[0].tobytes(), total[1].tobytes(), pack(total[2]), row[open_], k[open_], *[None] * 6))
+            rows.append((block, pack(own), total[0].tobytes(), total[1].tobytes(), pack(total[2]), open_row, open_k, *[None] * 6))
         return _batch(rows, out)
 
     for b in batches:
@@ -415,9 +493,10 @@ def _answer(batches: Iterator[pa.RecordBatch], one: Unigrams, d2: list[float], o
             for p in row["parts"]:
                 rows = unpack(p["row"])
                 i, end = end, end + len(rows)
-                sums[p["block"]].append((rows, s[i:end], c[i:end], open_[i:end], k[i:end]))
+                still = open_[i:end]
+                sums[p["block"]].append((rows.astype(np.int32), s[i:end].copy(), c[i:end].copy(), rows[still], k[i:end][still]))
             size += len(h)
-            if size > CHUNK:
+            if size > 4 * CHUNK:
                 yield done()
                 sums.clear()
                 size = 0
@@ -490,9 +569,9 @@ def katz_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "
         one.log_size[r.h] = np.log10(size)
         one.log_a[r.h] = np.log10((1 - kept / size) / max(1 - r.mass - rare_mass.get(r.h, 0.0), 1e-12))
     least = _threshold(by_c2, hot_pairs)
-    top2 = pairs.select("h", "n", "k", "c").mapInArrow(lambda it: _frequent(it, one, d2, least), "h long, k long, s double").toArrow()  # bounded by the threshold
+    top2 = pairs.select("h", "n", "k", "c").mapInArrow(lambda it: _frequent(it, one, d2, least), "h int, k int, s double").toArrow()  # bounded by the threshold
     h2, k2, s2 = (top2[f].to_numpy() for f in "hks")
-    q2 = pair_order(h2, k2, one.is_split(h2))
+    q2 = pair_order(h2.astype(np.int64), k2.astype(np.int64), one.is_split(h2))
     order = np.argsort(q2)
     hot = Pairs(q2[order], h2[order], k2[order], s2[order])
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,20 @@ def test_katz_matches_brute_force_and_sums_to_one(spark, documents, monkeypatch)
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_word_keys(monkeypatch):
+    monkeypatch.setattr(katz, "STROKE", 64)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aBé \t\n\x0b\u00a0", k=rng.choice([0, 1, 5, 40, 400]))) for _ in range(300)] + ["x" * 500, " " * 200, "y " * 300]
+    keys, n = katz.WordKeys()(pa.array(texts))
+    words = [t.encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    pairs = set(zip((w for ws in words for w in ws), keys.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({k for _, k in pairs}) and all(k < 0 for _, k in pairs)
+    own = np.unique(keys)
+    got = katz.Numbers(own[::2].copy())(own)
+    assert got[::2].tolist() == list(range(1, len(own[::2]) + 1)) and (got[1::2] == own[1::2]).all()
+
+
 def test_katz_edges(spark):
     columns = "doc_id long, row long, key string, score string, text string"
     rows = [(1, 5, "k", "s", "a b " * 60_000 + "x" * 100_000), (1, 5, "k", "s", None), (None, None, None, None, ""), (3, 1, "k", "s", "a b"), (3, 1, "k", "s", "a b"), (4, 1, "", "", "a" * 100)]
