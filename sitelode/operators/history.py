@@ -155,6 +155,31 @@ def freshness(rows: DataFrame, key: str, at: str, as_of: str, stale_days: int =
     )
 
 
+def series(readings: DataFrame, site: int, metric: str, since: str | None = None) -> DataFrame:
+    """One metric of one site, newest first, from an instant on if one is given."""
+    rows = readings.where((F.col("site_id") == site) & (F.col("metric") == metric))
+    rows = rows if since is None else rows.where(F.col("captured_at") >= F.lit(since).cast("timestamp"))
+    return rows.select("captured_at", "refresh_id", "value").orderBy(F.desc("captured_at"), F.desc("refresh_id"))
+
+
+def series_ends(readings: DataFrame) -> DataFrame:
+    """The first and last answered value of each site and metric; both null where none was answered."""
+    place = F.when(F.col("value").isNotNull(), F.struct("captured_at", "refresh_id"))
+    return readings.groupBy("site_id", "metric").agg(F.min_by("value", place).alias("first"), F.max_by("value", place).alias("last"))
+
+
+UNREAD = "could not be read on this run."
+
+
+def audit_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, label, was, now, state: labelled values that changed, and those that are in the earlier audit only (not compared).
+    Values that an audit could not read are no change, nor are labels that are new."""
+    both = before.select(key, "label", F.col("value").alias("was")).join(after.select(key, "label", F.col("value").alias("now"), F.lit(True).alias("_now")), [key, "label"], "left")
+    read = F.coalesce(F.col("was") != UNREAD, F.lit(True))
+    state = F.when(F.col("_now").isNull() & read, "not compared").when(F.col("_now") & read & ~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return both.withColumn("state", state).where("state IS NOT NULL").drop("_now")
+
+
 def window_of(as_of: date, days: int = 28, lag: int = 3, retention: int = 480) -> tuple[date, date]:
     """The inclusive window of so many days that ends `lag` days ago, no older than what is retained."""
     end = as_of - timedelta(days=lag)

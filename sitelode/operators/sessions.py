@@ -50,6 +50,12 @@ def ai_sources(rows: DataFrame) -> DataFrame:
     )
 
 
+def ai_landings(rows: DataFrame) -> DataFrame:
+    """page, sessions: the landings of visits from assistants; those whose landing is no path are one row without a page."""
+    found = rows.where(classify_ai(F.col("source"), F.col("medium")).isNotNull())
+    return found.groupBy(F.when(F.col("landing_page").startswith("/"), F.col("landing_page")).alias("page")).agg(F.sum("sessions").alias("sessions"))
+
+
 def organic_landings(rows: DataFrame) -> DataFrame:
     """Google's organic landings; sessions whose landing page is no path are counted in a row without one."""
     own = rows.where((F.col("source") == "google") & (F.col("medium") == "organic"))

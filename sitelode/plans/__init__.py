@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("search", "history", "joins", "sessions", "text", "pages")
+FAMILIES = ("search", "history", "joins", "sessions", "text", "pages", "markup", "inspection")
 
 
 def _all(what: str) -> dict:

@@ -29,6 +29,7 @@ _TRAFFIC = f"""{_SESSIONS}, tr AS (SELECT CASE WHEN k < 5 THEN '(not set)' ELSE
 _ROLL = "sum(sessions)::BIGINT AS sessions, sum(engaged)::BIGINT AS engaged, sum(key_events)::BIGINT AS key_events, sum(engaged) / sum(sessions) AS engagement_rate"
 
 QUERIES = {
+    "ai_landings": lambda s, d: op.ai_landings(_traffic(s, d)),
     "sessions": lambda s, d: op.sessions(event_rows(s, d)),
     "landing_rollup": lambda s, d: op.landing_rollup(op.landings(op.sessions(event_rows(s, d)))),
     "organic_landings": lambda s, d: op.organic_landings(_traffic(s, d)),
@@ -41,6 +42,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "ai_landings": f"WITH {_TRAFFIC} SELECT nullif(landing_page, '(not set)') AS page, sum(sessions)::BIGINT AS sessions FROM tr WHERE medium = 'ai-assistant' OR (medium = 'referral' AND source IN ('chatgpt.com', 'www.perplexity.ai')) GROUP BY 1",
     "sessions": f'WITH {_SESSIONS} SELECT user_id, start, "end", events, value, key_events, engaged, first_event, k FROM sess',
     "landing_rollup": f"WITH {_SESSIONS}, l AS (SELECT '/' || first_event AS landing_page, 1 AS sessions, engaged, key_events FROM sess) SELECT landing_page, {_ROLL} FROM l GROUP BY landing_page",
     "organic_landings": f"WITH {_TRAFFIC} SELECT CASE WHEN landing_page LIKE '/%' THEN landing_page END AS landing_page, {_ROLL} FROM tr WHERE source = 'google' AND medium = 'organic' GROUP BY 1",
