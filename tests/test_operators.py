@@ -15,29 +15,29 @@ def rows(spark, data, schema=S):
 
 
 def test_totals(spark):
-    t = search.totals(rows(spark, [("a", "p", 0.0, 10000.0, 3.0), ("b", "p", 0.0, 1.0, 90.0)])).first()
-    assert abs(t.position - 3.0087) < 1e-4
-    assert search.totals(rows(spark, [("a", "p", 1.0, 100.0, 5.0), ("b", "p", 99.0, 100.0, 5.0)])).first().ctr == 0.5
+    t = search.totals(rows(spark, [("a", "p", 2.0, 300.0, 2.0), ("b", "p", 1.0, 100.0, 10.0)])).first()
+    assert tuple(t) == (3.0, 400.0, 0.0075, 4.0)  # a position weighs what it was shown
     assert tuple(search.totals(rows(spark, [])).first()) == (0.0, 0.0, 0.0, 0.0)
 
 
 def test_quick_wins(spark):
-    data = [("seo audit tool", "p", 5.0, 1000.0, 7.0), ("deep query", "p", 5.0, 1000.0, 30.0), ("brand name", "p", 400.0, 1000.0, 1.2), ("rare query", "p", 0.0, 12.0, 6.0)]
+    data = [("leek soup", "p", 4.0, 600.0, 5.5), ("far down", "p", 4.0, 600.0, 22.0), ("on top", "p", 90.0, 600.0, 1.0), ("hardly shown", "p", 0.0, 9.0, 5.0)]
     got = search.quick_wins(rows(spark, data), "query").collect()
-    assert [(r.query, r.potential_clicks) for r in got] == [("seo audit tool", 45)]
+    assert [(r.query, r.potential_clicks) for r in got] == [("leek soup", 26)]
 
 
 def test_cannibalization(spark):
-    data = [("shoes", "/a", 10.0, 200.0, 4.0), ("shoes", "/b", 2.0, 150.0, 9.0), ("boots", "/c", 5.0, 100.0, 3.0), ("x", "/a", 0.0, 3.0, 40.0), ("x", "/b", 0.0, 2.0, 55.0)]
+    data = [("soup", "/1", 3.0, 80.0, 6.0), ("soup", "/2", 1.0, 120.0, 8.0), ("bread", "/3", 5.0, 60.0, 2.0), ("tea", "/1", 0.0, 1.0, 70.0), ("tea", "/2", 0.0, 1.0, 71.0)]
     got = search.cannibalization(rows(spark, data)).collect()
-    assert [(r.query, r.pages, r.best_position, r.lead_page) for r in got] == [("shoes", 2, 4.0, "/a")]
+    assert [(r.query, r.pages, r.best_position, r.lead_page) for r in got] == [("soup", 2, 6.0, "/2")]
 
 
 def test_compare_keeps_absent_apart_from_zero(spark):
-    m = search.compare(rows(spark, [("new", "p", 5.0, 100.0, 8.0)]), rows(spark, [("gone", "p", 9.0, 200.0, 4.0)]), "query")
+    m = search.compare(rows(spark, [("rising", "p", 2.0, 40.0, 6.0), (None, "p", 1.0, 9.0, 1.0)]), rows(spark, [("fallen", "p", 3.0, 70.0, 2.0), (None, "q", 4.0, 9.0, 3.0)]), "query")
     got = {r.query: r for r in m.collect()}
-    assert set(got) == {"new", "gone"} and got["gone"].clicks_now == 0 and got["gone"].position_change is None
-    assert [r.query for r in search.lost(m).collect()] == ["gone"]
+    assert set(got) == {"rising", "fallen", "(none)"} and got["fallen"].clicks_now == 0 and got["fallen"].position_change is None
+    assert (got["(none)"].clicks_change, got["(none)"].position_change) == (-3.0, -2.0)  # null keys meet
+    assert [r.query for r in search.lost(m).collect()] == ["fallen"]
     assert search.compare(rows(spark, []), rows(spark, []), "query").count() == 0
 
 
@@ -50,7 +50,7 @@ def test_anomalies_need_days_and_spread(spark):
 
 
 def test_branded_split_has_both_rows(spark):
-    got = {r.branded: r for r in search.branded_split(rows(spark, [("acme shoes", "p", 1.0, 2.0, 1.0), ("acmeshoes", "p", 1.0, 2.0, 1.0)]), ["Acme"]).collect()}
+    got = {r.branded: r for r in search.branded_split(rows(spark, [("leekly menu", "p", 1.0, 2.0, 1.0), ("leeklymenu", "p", 1.0, 2.0, 1.0)]), ["Leekly"]).collect()}
     assert got[True].queries == 1 and got[False].queries == 1
     assert {r.branded for r in search.branded_split(rows(spark, []), ["x"]).collect()} == {True, False}
 
@@ -65,31 +65,30 @@ def found(spark, s, a):
 
 
 def test_page_join(spark):
-    got = {r.bucket: r for r in found(spark, [("https://example.com/a/", 80.0), ("https://example.com/b", 20.0)], [("/a", 60.0, 30.0, 2.0), ("/elsewhere", 5.0, 5.0, 0.0)]).collect()}
-    assert got["joined"].path == "/a" and got["joined"].engagement_rate == 0.5 and got["search_only"].path == "/b" and got["analytics_only"].path == "/elsewhere"
-    one = found(spark, [("https://example.com/a", 10.0), ("https://example.com/a?x=1", 5.0)], [("/a", 10.0, 5.0, 1.0), ("/a/", 10.0, 5.0, 0.0)]).first()
-    assert (one.bucket, one.clicks, one.sessions, one.engagement_rate, one.key_events) == ("joined", 15.0, 20.0, 0.5, 1.0)
+    got = {r.bucket: r for r in found(spark, [("http://kiosk.test/soup/", 12.0), ("http://kiosk.test/tea", 7.0)], [("/soup", 8.0, 2.0, 1.0), ("/bread", 3.0, 3.0, 0.0)]).collect()}
+    assert got["joined"].path == "/soup" and got["joined"].engagement_rate == 0.25 and got["search_only"].path == "/tea" and got["analytics_only"].path == "/bread"
+    one = found(spark, [("http://kiosk.test/soup", 4.0), ("http://kiosk.test/soup?d=1", 3.0)], [("/soup", 6.0, 1.0, 1.0), ("/soup/", 2.0, 1.0, 2.0)]).first()
+    assert (one.bucket, one.clicks, one.sessions, one.engagement_rate, one.key_events) == ("joined", 7.0, 8.0, 0.25, 3.0)
 
 
 def test_page_join_ambiguous_and_unreadable(spark):
-    got = found(spark, [("https://example.com/help", 30.0), ("https://docs.example.com/help", 10.0), (None, 1.0)], [("/help", 40.0, 20.0, 0.0), ("(not set)", 7.0, 0.0, 0.0)]).collect()
-    assert sorted((r.bucket, r.host or "", r.sessions) for r in got) == [("ambiguous", "docs.example.com", None), ("ambiguous", "example.com", None), ("unreadable_landings", "", 7.0), ("unreadable_search", "", None)]
+    got = found(spark, [("http://kiosk.test/faq", 3.0), ("http://m.kiosk.test/faq", 1.0), (None, 1.0)], [("/faq", 4.0, 2.0, 0.0), ("none", 9.0, 0.0, 0.0)]).collect()
+    assert sorted((r.bucket, r.host or "", r.sessions) for r in got) == [("ambiguous", "kiosk.test", None), ("ambiguous", "m.kiosk.test", None), ("unreadable_landings", "", 9.0), ("unreadable_search", "", None)]
 
 
 def test_value_lists(spark):
-    s = [("https://e.com/busy-bouncy", 200.0), ("https://e.com/busy-good", 150.0), ("https://e.com/small-converter", 5.0), ("https://e.com/mid", 30.0)]
-    a = [("/busy-bouncy", 180.0, 30.0, 0.0), ("/busy-good", 140.0, 110.0, 12.0), ("/small-converter", 5.0, 4.0, 3.0), ("/mid", 25.0, 20.0, 0.0)]
+    s = [("http://k.test/read", 90.0), ("http://k.test/order", 70.0), ("http://k.test/gift", 2.0), ("http://k.test/map", 25.0)]
+    a = [("/read", 60.0, 6.0, 0.0), ("/order", 65.0, 50.0, 9.0), ("/gift", 2.0, 2.0, 1.0), ("/map", 20.0, 15.0, 0.0)]
     j = found(spark, s, a)
-    assert sorted(r.path for r in joins.clicks_without_value(j).collect()) == ["/busy-bouncy", "/mid"]
-    assert [r.path for r in joins.value_without_reach(j).collect()] == ["/small-converter"]
+    assert sorted(r.path for r in joins.clicks_without_value(j).collect()) == ["/map", "/read"]
+    assert [r.path for r in joins.value_without_reach(j).collect()] == ["/gift"]
 
 
 def test_windows_and_months():
-    as_of = date(2026, 9, 24)
-    assert history.window_of(as_of) == (date(2026, 8, 25), date(2026, 9, 21))
-    assert history.preceding((date(2026, 8, 25), date(2026, 9, 21))) == (date(2026, 7, 28), date(2026, 8, 24))
-    months = history.calendar_months(as_of, 12)
-    assert (months[0], months[-1], len(months)) == ("2025-09", "2026-08", 12)
+    as_of = date(2024, 3, 31)
+    assert history.window_of(as_of, days=7) == (date(2024, 3, 22), date(2024, 3, 28))
+    assert history.preceding((date(2024, 3, 22), date(2024, 3, 28))) == (date(2024, 3, 15), date(2024, 3, 21))
+    assert history.calendar_months(as_of, 4) == ["2023-11", "2023-12", "2024-01", "2024-02"]
     assert len(history.calendar_months(as_of, 40)) < 40
 
 
@@ -119,15 +118,15 @@ def test_funnel_order(spark):
 
 
 def test_ai_referrers(spark):
-    df = spark.createDataFrame([("ChatGPT.com", "referral"), ("sub.poe.com", "referral"), ("notpoe.com", "referral"), ("x", "AI-Assistant"), ("poe.com", "cpc")], "s string, m string")
+    df = spark.createDataFrame([("Claude.AI", "referral"), ("eu.you.com", "referral"), ("foryou.com", "referral"), ("kiosk", "AI-Assistant"), ("you.com", "email")], "s string, m string")
     assert [r.x for r in df.select(sessions.classify_ai(F.col("s"), F.col("m")).alias("x")).collect()] == ["host-list", "host-list", None, "google", None]
 
 
 @pytest.mark.parametrize(
     ("rules", "path", "want"),
     [
-        ("Disallow: /products\nAllow: /products/featured", "/products/archive", False), ("Disallow: /products\nAllow: /products/featured", "/products/featured/shoes", True),
-        ("Disallow: /page\nAllow: /page", "/page", True), ("Disallow:", "/x", True), ("Disallow: /*.pdf", "/a.pdf", False), ("Disallow: /*.pdf", "/a.html", True), ("Disallow: /a$", "/ab", True), ("Disallow: /a$ # end", "/a", False),
+        ("Disallow: /menu\nAllow: /menu/today", "/menu/2020", False), ("Disallow: /menu\nAllow: /menu/today", "/menu/today/soup", True),
+        ("Disallow: /tea\nAllow: /tea", "/tea", True), ("Disallow:", "/any", True), ("Disallow: /*.csv", "/x/y.csv", False), ("Disallow: /*.csv", "/x/y.txt", True), ("Disallow: /map$", "/maps", True), ("Disallow: /map$ # only", "/map", False),
     ],
 )
 def test_robots(spark, rules, path, want):
@@ -136,9 +135,9 @@ def test_robots(spark, rules, path, want):
 
 
 def test_robots_longest_agent(spark):
-    parsed = pages.robots_rules(spark.createDataFrame([("h", "User-agent: bot\nUser-agent: *\nDisallow: /\n\nuser-agent: bot-news\nDisallow: /x")], "host string, text string"))
+    parsed = pages.robots_rules(spark.createDataFrame([("h", "User-agent: crow\nUser-agent: *\nDisallow: /\n\nuser-agent: crow-photo\nDisallow: /map")], "host string, text string"))
     p = spark.createDataFrame([("h", "/y")], "host string, path string")
-    assert pages.allowed(p, parsed, "Bot-News").first().allowed and not pages.allowed(p, parsed, "Bot").first().allowed and not pages.allowed(p, parsed, "other").first().allowed
+    assert pages.allowed(p, parsed, "Crow-Photo").first().allowed and not pages.allowed(p, parsed, "Crow").first().allowed and not pages.allowed(p, parsed, "other").first().allowed
 
 
 def test_tally_leaves_out_what_was_not_judged(spark):
@@ -163,3 +162,28 @@ def test_crawl_depth_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(65)] + [(65, 3)], "src long, dst long").coalesce(1)
     got = {r.node: r.depth for r in pages.crawl_depth(e, spark.createDataFrame([(0,)], "node long")).collect()}
     assert got == {i: i for i in range(66)}
+
+
+def test_crawl_issues_of_unreadable_pages(spark):
+    rows_ = [(1, 0, 9, 9, None, None, 0, True), (2, 503, 9, 9, None, None, 0, True), (3, 404, 0, 1, None, None, 0, False), (4, 200, 4, 5, "t" * 71, "d", 0, True), (5, 200, 3, 3, "t", "d", 1, False), (6, 200, 0, 6, None, None, 1, None)]
+    df = spark.createDataFrame(rows_, "page_id long, status int, redirects int, depth int, title string, description string, h1 int, noindex boolean")
+    got = {}
+    for r in pages.crawl_issues(df).collect():
+        got.setdefault(r.page_id, []).append((r.type, r.severity))
+    assert got == {
+        1: [("fetch_error", "critical")], 2: [("server_error", "critical")], 3: [("broken_link", "critical")],
+        4: [("long_title", "warning"), ("missing_h1", "warning"), ("redirect_chain", "warning"), ("noindex", "warning"), ("deep_page", "warning")],
+        6: [("missing_title", "critical"), ("missing_description", "warning"), ("very_deep_page", "critical")],
+    }
+
+
+def test_identity(spark):
+    rows_ = [("http://k.test/en", None, None, 0), ("http://k.test/INDEX.php", None, None, 0), ("http://k.test/blog/faqs/1", None, None, 0), ("http://k.test/shop/x", None, "article", 0), ("http://k.test/x", ["ItemList"], None, 9), ("http://k.test/x", None, None, 3), ("http://k.test/collections/x", None, None, 0)]
+    df = spark.createDataFrame([(i, u, t, o, False, c) for i, (u, t, o, c) in enumerate(rows_)], "page_id long, url string, types array<string>, og_type string, dated_article boolean, calls int")
+    got = [(r.kind, r.is_root, r.depth) for r in pages.identity(df).orderBy("page_id").collect()]
+    assert got == [("homepage", True, 0), ("homepage", True, 0), ("faq", False, 3), ("product", False, 2), ("collection", False, 1), ("landing", False, 1), ("generic", False, 2)]
+
+
+def test_numeric_entities_stay_in_their_word(spark):
+    df = spark.createDataFrame([("<p>it&#39;s hot&nbsp;soup</p><script>a b</script>",)], "html string")
+    assert df.select(pages.word_count(F.col("html")).alias("n")).first().n == 3
