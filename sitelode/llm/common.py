@@ -16,17 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions that name none, as in tests.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where it names none."""
+    """The folder that driver and executors share, as the session names it. Only a local session may name none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="sitelode-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        path = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="sitelode-")
     return path.rstrip("/")
 
 
+#: What this process has written into shared folders, for remove_intermediates().
+_WRITTEN: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Deletes what this process has written by the way. Results that are not yet written themselves can't be read any more."""
+    for (name,) in spark.sql("SHOW TABLES LIKE 'sitelode_katz_*'").select("tableName").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -16,8 +16,13 @@ minLength, maxLength. The serialised form is canonical JSON: sorted keys, no
 spaces, no escapes but the necessary ones, whole floats as integers.
 
 Calls without an identifier link to nothing and are kept, each with its own
-row; results without one are dropped, as are dependencies on unknown calls. Null or malformed
-arguments are invalid; a call without a result has status ``no result``.
+row; results without one are dropped, as are dependencies on unknown calls and
+null ones. Null or malformed arguments are invalid, and malformed is all that
+is no JSON in the strict sense: NaN, infinities, repeated keys, lone surrogates,
+nesting beyond what can be read. Long arguments are read whole. Calls of one
+place are told apart by name, then arguments. A call without a result has status
+``no result``. Without calls there are no rows; columns other than those named
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,14 +108,39 @@ def levels(edges: DataFrame) -> DataFrame:
             done = materialize(done.coalesce(edges.sparkSession.sparkContext.defaultParallelism), "levels")
 
 
+def _pairs(items: list[tuple[str, object]]) -> dict:
+    out = dict(items)
+    if len(out) < len(items):
+        raise ValueError("repeated key")
+    return out
+
+
+def _finite(number: str) -> float:
+    value = float(number)
+    if not math.isfinite(value):
+        raise ValueError("no finite number")
+    return value
+
+
+def read_json(raw: str) -> object:
+    """A JSON text's value. ValueError for anything that is none: NaN, infinities, numbers too large for a double, repeated
+    keys, lone surrogates, and what is nested too deeply to be read."""
+    try:
+        value = json.loads(raw, object_pairs_hook=_pairs, parse_float=_finite, parse_constant=_finite)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
+
 def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found, lines = [], []
         for call_id, name, raw, result in zip(*(b.column(c).to_pylist() for c in ("call_id", "name", "arguments", "result")), strict=True):
             try:
-                value = json.loads(raw) if raw is not None else None
+                value = read_json(raw) if raw is not None else None
                 bad = ["$: no arguments"] if raw is None else errors(value, schemas[name]) if name in schemas else ["$: unknown tool"]
-            except ValueError:
+            except (ValueError, RecursionError):
                 value, bad = None, ["$: not JSON"]
             found.append(bad)
             lines.append(canonical({"arguments": value, "id": call_id, "name": name, "result": result}))
@@ -125,17 +155,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     first = F.struct("place", "name", "arguments", "needs")
     named = calls.where(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(first).alias("c"), F.count("*").alias("copies")).select("call_id", "conv_id", "c.*", "copies")
     nameless = calls.where(F.col("call_id").isNull()).select("call_id", "conv_id", "place", "name", "arguments", "needs", F.lit(1).cast("long").alias("copies"))
-    one = materialize(named.unionByName(nameless).withColumn("key", F.when(F.col("call_id").isNotNull(), key("call_id"))), "calls")
+    one = materialize(named.withColumn("key", key("call_id")), "calls")
     by = "key" if "conv_id" in results.columns else "call_id"
     answers = results.where(F.col("call_id").isNotNull()).withColumn("key", key("call_id")) if by == "key" else results.where(F.col("call_id").isNotNull())
     answers = answers.groupBy(by).agg(F.min(F.struct("place", "content")).alias("r"), F.count("*").alias("answers"))
     answers = answers.select(by, F.col("r.place").alias("result_place"), F.col("r.content").alias("result"), "answers")
-    asked = one.where(F.col("call_id").isNotNull()).select("key", "conv_id", F.explode("needs").alias("needs")).where(F.col("needs").isNotNull())
+    asked = one.select("key", "conv_id", F.explode("needs").alias("needs")).where(F.col("needs").isNotNull())
     asked = asked.select("key", key("needs").alias("needs"))
-    edges = asked.join(one.where(F.col("call_id").isNotNull()).select(F.col("key").alias("needs")), "needs", "left_semi").select(F.col("key").alias("call_id"), "needs")
+    edges = asked.join(one.select(F.col("key").alias("needs")), "needs", "left_semi").select(F.col("key").alias("call_id"), "needs")
     ranked = levels(edges).withColumnRenamed("call_id", "key")
     in_graph = edges.select(F.col("call_id").alias("key"), F.lit(True).alias("has_needs")).distinct()
-    rows = one.join(answers, by, "left").join(ranked, "key", "left").join(in_graph, "key", "left")
+    rows = one.join(answers, by, "left").join(ranked, "key", "left").join(in_graph, "key", "left").unionByName(nameless, allowMissingColumns=True)
     level = F.when(F.col("level").isNull() & F.col("has_needs").isNull(), 0).otherwise(F.col("level")).alias("level")
     status = F.when(level.isNull(), "cycle").when(F.col("answers").isNull(), "no result").otherwise("ok")
     rows = rows.select("conv_id", "call_id", "place", "name", "arguments", level, "copies", "result_place", "result", status.alias("status"))

@@ -13,8 +13,10 @@ The model is fitted on at most ``per_class`` labelled documents of either label
 of at most ``longest`` words, those whose ids hash lowest; scoring covers all whole
 texts. Null and empty texts get the score of a text without toxic tokens.
 Without labels of both kinds no token is toxic and the score is the share of
-toxic labels (0 if there are none). Repeated rows are scored each; where labels
-repeat an id its largest label counts; null labels are ignored.
+toxic labels (0 if there are none). Long texts are scored whole. Repeated rows
+are scored each; where labels repeat an id its largest label counts; null labels
+are ignored. An empty table gives no rows; columns other than those named are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +36,19 @@ from pyspark.sql import functions as F
 from sitelode.llm.common import WORD
 
 _TOKEN = re.compile(WORD)
+#: What str.split() splits at and WORD doesn't.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENDS = ".,;:!?\"'()[]{}<>*#%&$|-_"
 _LENGTHS = (3, 4, 5)
 _BLOCK = 128
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """The words of a text, split at ASCII white space only."""
+    text = text or ""
+    return _TOKEN.findall(text) if _ODD.search(text) else text.split()
+
+
 def features(token: str) -> list[str]:
     w = token.lower().strip(_ENDS)
     return [f"w={w}", *(f"p{k}={w[:k]}" for k in _LENGTHS if len(w) >= k)] if w else []
@@ -131,7 +141,7 @@ def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, ro
     model = Model(curve=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
     if not (0 < y_doc.sum() < len(y_doc)):
         return model
-    tokens = [t.split() for t in texts]
+    tokens = [tokens_of(t) for t in texts]
     lengths = np.array([len(ws) for ws in tokens])
     place: dict[str, int] = {}
     word = np.array([place.setdefault(w, len(place)) for ws in tokens for w in ws], np.int64)
@@ -253,7 +263,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, at_leas
                 found = [list(_TOKEN.finditer(t or "")) for t in texts]
                 tokens = [[m[0] for m in ms] for ms in found]
             else:
-                tokens = [(t or "").split() for t in texts]
+                tokens = [tokens_of(t) for t in texts]
             lengths = np.array([len(ws) for ws in tokens], np.int64)
             e = np.array([v for ws in tokens for v in emissions(ws)])
             first = np.zeros(len(e), bool)

@@ -13,7 +13,9 @@ Distances are computed on the original vectors in double precision, ties go to
 the smaller id. Vectors that are null, zero or hold null or non-finite values
 take no part, nor do rows without an id or with another length than the query.
 Rows that repeat an id are candidates each, but none is a candidate for a query
-of its own id; queries that repeat an id count once. Other columns are ignored.
+of its own id; of queries that repeat an id the one with the smallest vector
+counts. An empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, shard_rows: int = 8000, block_rows: int = 2000) -> DataFrame:
     """query_id, rank, vec_id, score. vectors and queries as usable() returns them."""
-    queries = materialize(queries.dropDuplicates(["id"]), "queries")
+    queries = materialize(queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     # the row itself is hashed too: copies of one id are dealt out as well

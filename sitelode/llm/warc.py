@@ -17,7 +17,11 @@ damaged member the records before the damage are recovered.
 
 A null html is an empty payload. A page without an id is always a response.
 Rows that repeat the smallest id of a payload are responses each. A null url is
-written as an empty one; other columns are ignored.
+written as an empty one; other columns are ignored, whatever their names. Long
+payloads are one record each, however long; an empty table gives no archives and
+no rows. Numbers that fit no field (lengths, ids) make a record invalid or null,
+never an error. Copies of one payload meet in a join by its digest, whose hot
+partitions Spark's adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -154,7 +158,7 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
             return "bad header line"
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    if not re.fullmatch(r"[0-9]{1,15}", size):
         return "bad length"
     start = end + 4
     stop = start + int(size)
@@ -221,7 +225,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 def _page_id(uri: str | None) -> int | None:
     tail = (uri or "").strip("<>").removeprefix(_ID)
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    return int(tail) if re.fullmatch(r"-?[0-9]{1,18}|-?[1-8][0-9]{18}", tail) else None
 
 
 _SCHEMA = (
@@ -241,7 +245,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                     out.append(row + (r.reason,) + (None,) * (len(names) - 4))
                     continue
                 h, kind = r.headers, r.headers.get("warc-type")
-                size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", r.block.partition(_END)[0])
+                size = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})(?![0-9])", r.block.partition(_END)[0])
                 payload = _payload(r.block)
                 full = len(payload) if kind == "response" else int(size[1]) if size else None
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None

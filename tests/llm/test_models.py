@@ -92,6 +92,59 @@ def test_toxic_words_are_found_with_offsets(spark):
     assert all(abs(columns[i] - r.score) < 1e-12 for i, r in got.items())
 
 
+def test_toxicity_scores_match_enumeration(spark):
+    """A text's score is the logistic of its largest marginal and their sum, taken here from all labellings."""
+    model = toxicity.Model({"w=bad": 6.0, "p3=bad": 1.0, "w=dull": 2.5}, -4.0, (0.5, -0.5), ((0.4, -0.6), (-0.2, 0.7)), (-3.0, 4.0, 1.5))
+    texts = ["bad day", "a dull Bad! b", "", None, "bad\u00a0day x", "x " * 3 + "badly"]
+    docs = spark.createDataFrame([(i, t, 1.0, True, "m") for i, t in enumerate(texts)], "doc_id long, text string, score double, held_out boolean, spans string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        e = [model.emission(w) for w in (t or "").replace("\u00a0", "_").split()]
+        p = chain_by_hand(e, model.start, model.step) if e else []
+        z = model.curve[0] + model.curve[1] * max(p, default=0) + model.curve[2] * math.log1p(sum(p))
+        if "\u00a0" not in (t or ""):
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    spans = {r.doc_id: r.score for r in toxicity.score(docs, model, spans=True).collect()}
+    assert spans == pytest.approx(got)
+
+
+def test_models_on_odd_tables(spark):
+    columns = "doc_id long, text string, lang string, score double, held_out boolean, row long, n string, known int, size int"
+    rows = [(1, "some words here", "en", 1.0, True, 1, "n", 1, 1), (1, "some words here", "en", 1.0, True, 1, "n", 1, 1), (None, None, None, None, None, None, None, None, None), (2, "", "en", 1.0, True, 1, "n", 1, 1), (3, "word " * 150_000, "en", 0.0, False, 0, "", 0, 0)]
+    docs = spark.createDataFrame(rows, columns)
+    model = toxicity.fit(*toxicity.sample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")))
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    for run in (lambda d: langid.identify(d, langid.profiles(docs)), lambda d: toxicity.score(d, model), lambda d: token_counts.token_counts(d, path)):
+        got = run(docs).collect()
+        assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3] and run(docs.limit(0)).count() == 0
+        same = [r for r in got if r.doc_id == 1]
+        assert same[0] == same[1]
+    counted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    assert counted[None] == counted[2] == 0 and counted[3] == 150_000
+
+
+def out_of_place_by_hand(text, of_lang, top=300):
+    words = __import__("re").findall(r"[^\W\d_]+", (text or "").lower())
+    s = f" {' '.join(words)} "
+    grams = Counter(g for n in (1, 2, 3) for g in (s[i : i + n] for i in range(len(s) - n + 1)) if g != " " and (n < 3 or g[1] != " "))
+    if not words:
+        return "und", 0.0
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    own = sorted(map(code, grams), key=lambda c: (-counts[c], c))[:top] if (counts := {code(g): n for g, n in grams.items()}) else []
+    far = {lang: sum(min(abs(p.index(c) - i), top) if c in p else top for i, c in enumerate(own)) for lang, p in of_lang.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (top * len(own))
+
+
+def test_languages_match_brute_force(spark, documents):
+    of_lang = langid.profiles(documents)
+    docs = documents.limit(60).cache()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, of_lang).collect()}
+    for r in docs.collect():
+        lang, score = out_of_place_by_hand(r.text, of_lang)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.fit(*toxicity.sample(docs, spark.createDataFrame([], "doc_id long, toxic int")))

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import zlib
 
 import duckdb
@@ -111,6 +112,62 @@ def test_levels_have_no_greatest_number(spark):
     assert {int(r.call_id): r.level for r in toolcalls.levels(edges).collect()} == {i: i for i in range(105)}
 
 
+def test_levels_match_brute_force(spark):
+    rng = random.Random(9)
+    edges = {(f"n{a}", f"n{b}") for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(70))}
+    needs = {}
+    for a, b in edges:
+        needs.setdefault(a, set()).add(b)
+
+    def level(x, seen=()):
+        if x in seen:
+            return None
+        below = [level(y, (*seen, x)) for y in needs.get(x, ())]
+        return None if None in below else max(below, default=-1) + 1
+
+    want = {x: level(x) for e in edges for x in e}
+    got = {r.call_id: r.level for r in toolcalls.levels(spark.createDataFrame(sorted(edges), "call_id string, needs string")).collect()}
+    assert got == {x: n for x, n in want.items() if n is not None} and None in want.values()
+
+
+def test_arguments_that_are_no_json(spark):
+    bad = ["[" * 100_000, '{"n":"\\ud800"}', '{"n":1e400}', '{"n":NaN}', '{"n":-Infinity}', '{"n":1,"n":2}', "", "{", "[" * 900 + "]" * 900, '{"n": 1' + "0" * 5000 + "}"]
+    good = ['{"n":1}', '{"n":1e3}', '{"n":"' + "x" * 200_000 + '"}', "[]", '"\\ud83d\\ude00"']
+    rows = [(1, i, f"c{i}", "f", x, None) for i, x in enumerate(bad + good)]
+    calls = calls_of(spark, rows).withColumn("level", decontamination.F.lit("clash")).withColumn("key", decontamination.F.lit(1)).withColumn("answers", decontamination.F.lit(1))
+    results = spark.createDataFrame([], "call_id string, place long, content string, status string")
+    got = {r.place: r for r in toolcalls.link(calls, results, {"f": {}}).collect()}
+    assert len(got) == len(rows)
+    refused = {i for i, r in got.items() if r.errors == ["$: not JSON"]}
+    assert set(range(8)) <= refused <= set(range(len(bad))) and all(got[i].valid for i in range(len(bad), len(rows)))
+    assert json.loads(got[len(bad) + 1].json)["arguments"] == {"n": 1000} and all(json.loads(r.json)["id"] == r.call_id for r in got.values())
+
+
+def test_damage_never_raises_and_costs_few_records(spark):
+    rng = random.Random(12)
+    raw = record_bytes(spark, [(i, "u", f"<p>page {i} é " + "x" * rng.randrange(400), "") for i in range(60)])
+    for whole in (b"".join(gzip.compress(r, mtime=0) for r in raw), b"".join(raw)):
+        for _ in range(60):
+            data = bytearray(whole)
+            at = rng.randrange(len(data))
+            data[at : at + 4] = rng.randbytes(4)
+            found = list(warc.salvage(bytes(data)))
+            records = [r for r in found if isinstance(r, warc.Record)]
+            assert len(records) >= 58
+            for r in found:
+                assert r.offset >= 0 and (r.length >= 0)
+
+
+def test_numbers_that_fit_nowhere_are_gaps_or_null(spark, tmp_path):
+    (record,) = record_bytes(spark, [(7, "u", "abc", "")])
+    odd = record.replace(b"Content-Length: ", b"Content-Length: " + b"9" * 5000, 1) if record.index(b"Content-Length") else record
+    names = record.replace(b"page:7>", b"page:--5>")
+    far = record.replace(b"page:7>", b"page:" + b"9" * 30 + b">")
+    (tmp_path / "a.warc").write_bytes(odd + names + far + b"WARC/1.1\r\nContent-Length: -1\r\n\r\n" + record)
+    got = warc.read(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [r.page_id for r in got if r.gap is None][-1] == 7 and any(r.gap for r in got) and len([r for r in got if r.gap is None]) >= 3
+
+
 def test_turns_become_calls(spark):
     turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi there"), (1, 2, "assistant", "yes"), (1, 3, "user", None), (2, 0, "user", "alone"), (1, 1, "user", "hi there"), (None, 0, "user", "x")]
     conv = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
