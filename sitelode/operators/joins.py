@@ -43,9 +43,11 @@ def clicks_without_value(joined: DataFrame, min_clicks: float = 20.0, max_rate:
 
 
 def value_without_reach(joined: DataFrame) -> DataFrame:
-    """Pages with key events whose clicks are below the median of all joined pages."""
+    """Pages with key events whose clicks are below the median of all joined pages. Pages are counted by clicks first, so the
+    median is taken over different numbers with their frequency."""
     rows = joined.where("bucket = 'joined'")
-    return rows.crossJoin(F.broadcast(rows.agg(F.median("clicks").alias("median_clicks")))).where((F.col("key_events") > 0) & (F.col("clicks") < F.col("median_clicks")))
+    counts = rows.where("clicks IS NOT NULL").groupBy("clicks").agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(counts.agg(F.percentile("clicks", 0.5, F.col("n")).alias("median_clicks")))).where((F.col("key_events") > 0) & (F.col("clicks") < F.col("median_clicks")))
 
 
 def orphans(search: DataFrame, crawled: DataFrame, key: str = "url_key") -> DataFrame:

@@ -44,15 +44,17 @@ def write_partitions(counts: DataFrame, path: str, checkpoint: str, keys: tuple[
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn(day, F.to_date(keys[0]))
+        fresh = batch = batch.withColumn(day, F.to_date(keys[0])).persist()  # read for its days, then for its rows
         days = [r[0] for r in fresh.select(day).distinct().collect()]  # the days within the watermark
         if not days:
+            batch.unpersist()
             return
         before = current(spark, path)
         if before is not None:
             old = before.where(F.col(day).isin(days)).join(fresh.select(*keys), list(keys), "left_anti")
             fresh = fresh.unionByName(old.select(*fresh.columns))
         fresh.withColumn("batch", F.lit(number)).repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", day).parquet(path)
+        batch.unpersist()
 
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
