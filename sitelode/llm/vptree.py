@@ -1,13 +1,14 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
 Vectors are dealt into shards of about ``shard_rows`` by a hash of their id and
-queries into blocks of about ``block_rows``; each pair of a shard and a block is
-a group of its own, so neither side is ever whole in one place. In a group the
-shard's tree is built once and all queries of the block descend it together. A
+content. Each shard's tree is built once, and the queries stream through it in
+blocks of ``block_rows``, so neither side is ever whole in one place. A query
+first searches one shard, its own; the k-th distance found there is a bound that
+it takes along to all others, so most of their subtrees are left out at once. A
 subtree is left out if the triangle inequality keeps it further away than the
 k-th distance so far divided by ``factor``: factor 1 is exact, larger ones
-search less. Each group returns k candidates a query; the
-nearest of all shards are kept.
+search less. Each shard returns at most k candidates a query; the nearest of all
+shards are kept.
 
 Distances are computed on the original vectors in double precision, ties go to
 the smaller id. Vectors that are null, zero or hold null or non-finite values
@@ -20,10 +21,11 @@ names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,9 @@ def build(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Node:
 class Search:
     """All queries of a block against one tree."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, factor: float):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, factor: float):
         self.x, self.ids, self.q, self.q_ids, self.k, self.factor = x, ids, q, q_ids, k, factor
-        self.best_d = np.full((len(q), k), np.inf)
+        self.best_d = np.repeat(bound[:, None], k, axis=1)
         self.best_id = np.full((len(q), k), np.iinfo(np.int64).max)
         self.looked = 0
 
@@ -108,20 +110,46 @@ class Search:
         self.run(node.inner, self.open(who[~inside], gap[~inside]))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.empty((0, 0))
-
-
-def _search(key: tuple, left: pd.DataFrame, right: pd.DataFrame, k: int, factor: float) -> pd.DataFrame:
-    out = []
-    for size in sorted(set(left["dim"]) & set(right["dim"])):
-        c, q = left[left["dim"] == size].sort_values("id"), right[right["dim"] == size]
-        x, ids = _matrix(c["v"]), c["id"].to_numpy(np.int64)
-        search = Search(x, ids, _matrix(q["v"]), q["id"].to_numpy(np.int64), k, factor)
-        search.run(build(x, np.arange(len(x)), np.random.default_rng(key[0])), np.arange(len(q)))
-        i, j = np.nonzero(np.isfinite(search.best_d))
-        out.append(pd.DataFrame({"query_id": q["id"].to_numpy()[i], "vec_id": search.best_id[i, j], "score": search.best_d[i, j]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
+    """The rows of each shard, kind and length that follow each other."""
+    key = np.stack([batch.column(c).to_numpy() for c in ("shard", "kind", "dim")], axis=1)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+        yield tuple(key[i].tolist()), batch.slice(i, j - i)
+
+
+def _matrix(rows: pa.RecordBatch, dim: int) -> np.ndarray:
+    return rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: of each shard its vectors, then queries, both by their length."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    trees: dict[int, tuple[np.ndarray, np.ndarray, Node]] = {}
+    now = None
+    for batch in batches:
+        for (shard, kind, dim), rows in _runs(batch) if batch.num_rows else ():
+            if shard != now:
+                held, trees, now = {}, {}, shard
+            if kind == 0:
+                held.setdefault(dim, []).append((rows.column("id").to_numpy(), _matrix(rows, dim).copy()))
+                continue
+            if dim not in held:
+                continue
+            if dim not in trees:
+                ids, x = (np.concatenate(p) for p in zip(*held[dim], strict=True))
+                order = np.argsort(ids, kind="stable")
+                trees[dim] = x[order], ids[order], build(x[order], np.arange(len(ids)), np.random.default_rng(shard))
+            x, ids, tree = trees[dim]
+            for lo in range(0, rows.num_rows, block_rows):
+                part = rows.slice(lo, block_rows)
+                q_ids = part.column("id").to_numpy()
+                search = Search(x, ids, _matrix(part, dim), q_ids, part.column("bound").to_numpy(), k, factor)
+                search.run(tree, np.arange(len(q_ids)))
+                i, j = np.nonzero(search.best_id < np.iinfo(np.int64).max)
+                keep = np.isfinite(search.best_d[i, j])
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[i], search.best_id[i, j], search.best_d[i, j])], ["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -135,17 +163,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     """query_id, rank, vec_id, score. vectors and queries as usable() returns them."""
     queries = materialize(queries.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
     shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_rows))
     # the row itself is hashed too: copies of one id are dealt out as well
     shard = F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(blocks)).cast("int")
-    left = vectors.select("id", "v", "dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("id", "v", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
-        .applyInPandas(lambda key, a, b: _search(key, a, b, k, factor), "query_id long, vec_id long, score double")
-    )
+    own = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(shards)).cast("int")
+    columns = ["shard", F.col("kind").cast("int"), F.col("dim").cast("int"), "id", "v", "bound"]
+    left = vectors.select("id", "v", "dim", shard.alias("shard"), F.lit(0).alias("kind"), F.lit(0.0).alias("bound")).select(*columns)
+
+    def search(asked: DataFrame) -> DataFrame:
+        rows = left.unionByName(asked.withColumn("kind", F.lit(1)).select(*columns)).repartition("shard").sortWithinPartitions("shard", "kind", "dim")
+        return rows.mapInArrow(lambda it: _search(it, k, factor, block_rows), "query_id long, vec_id long, score double")
+
+    near = materialize(search(queries.select("id", "v", "dim", own.alias("shard"), F.lit(float("inf")).alias("bound"))), "own")
+    found = near
+    if shards > 1:
+        bound = near.groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k).select("id", "bound")
+        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != own)
+        asked = queries.join(bound, "id", "left").select("id", "v", "dim", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), F.explode(others).alias("shard"))
+        found = near.union(search(asked))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
