@@ -8,13 +8,15 @@ bound) are summed where the document is read; all the others are joined by
 their 64-bit hash. No pre-token crosses white space, so the distinct ones are taken
 from distinct words.
 
-A null text counts as an empty one: no bytes, no tokens. Rows with the same id
-are counted apart. Columns other than the id and the text are ignored. A row
+A null text counts as an empty one: no bytes, no tokens. Texts are counted whole,
+however long. Rows with the same id are counted apart; an empty table gives no
+rows. Columns other than the id and the text are ignored, whatever their names. A row
 number is fixed when the table of documents is written, so repeated rows stay apart.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections import Counter
@@ -43,6 +45,27 @@ ODD = r"[\x1c-\x1f\u03a3]"
 SETTLED = r"[\x00-\u052F\u1E00-\u206F\u20A0-\u20BF\u2100-\u218B\u3000-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3\uFF00-\uFF60]*"
 
 
+#: How a file must normalise and split texts to be counted here.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = [
+    {"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def check_file(path: str) -> None:
+    """Raises ValueError for a tokenizer's file that treats texts in another way than this module does."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    special = tuple(t["content"] for t in found.get("added_tokens") or [] if t["special"] and not t["normalized"])
+    same = (
+        (found.get("normalizer") or {}).get("normalizers") == NORMALIZERS and (found.get("pre_tokenizer") or {}).get("pretokenizers") == SPLITS
+        and special == SPECIAL and len(special) == len(found["added_tokens"])
+    )
+    if not same:
+        raise ValueError(f"{path} normalises or splits texts in another way than is counted here")
+
+
 class PreTokens:
     """Splits texts as the word-level BPE file does. Special strings in a text are tokens of their own."""
 
@@ -147,7 +170,8 @@ def _per_document(batches: Iterator[pa.RecordBatch], path: str, known: dict[str,
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", frequent: int = 100_000) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: one row per input row. path: the tokenizer's file."""
+    """doc_id, n_bytes, n_tokens, over_limit: one row per input row. path: the tokenizer's file, of the kind of word_bpe_49k.json."""
+    check_file(path)
     texts = docs.select(F.col(text_col).alias("text"))
     pieces = texts.mapInArrow(lambda it: _distinct(it, path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = materialize(pieces.mapInArrow(lambda it: _encode(it, path), "piece string, n long, tokens long"), "pieces")

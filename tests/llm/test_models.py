@@ -244,3 +244,12 @@ def test_token_counts_match_the_library(spark, documents):
     want = sorted((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
+
+
+def test_only_files_of_one_kind_are_counted(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    token_counts.check_file(tokenizers.path("word_bpe_49k.json"))
+    others = [p for p in __import__("pathlib").Path(tokenizers.path("word_bpe_49k.json")).parent.glob("*.json") if p.name != "word_bpe_49k.json"]
+    for path in others:
+        with pytest.raises((ValueError, KeyError, AttributeError)):
+            token_counts.check_file(str(path))
