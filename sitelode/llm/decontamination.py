@@ -58,7 +58,7 @@ _UNIT = rf"(\x01[+-]?\p{{N}}[^{_SPACE}]*[{_SPACE}])({'|'.join(UNITS)})(?![\p{{L}
 
 def template(text: Column) -> Column:
     """The tokens of a text, lower-cased and without punctuation at their ends; what varies has a mark before its value."""
-    marked = F.regexp_replace(F.translate(text, _MARK + _UNIT_MARK + _INITIAL_MARK, ""), _NAME_OR_NUMBER, f"{_MARK}$0")
+    marked = F.regexp_replace(F.regexp_replace(text, f"[{_MARK}{_UNIT_MARK}{_INITIAL_MARK}]", ""), _NAME_OR_NUMBER, f"{_MARK}$0")
     marked = F.lower(F.regexp_replace(marked, _INITIAL, f"{_INITIAL_MARK}$0"))
     marked = F.regexp_replace(marked, _UNIT, f"$1{_UNIT_MARK}$2")
     return F.filter(F.transform(F.split(marked, rf"[{_SPACE}]+"), lambda t: F.btrim(t, F.lit(_ENDS))), lambda t: t != "")
@@ -82,29 +82,35 @@ def _value(token: Column) -> Column:
     return token
 
 
-def _hashes(tokens: Column, wide: bool) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(_kind(t, wide)))
+def _hashes(tokens: Column) -> Column:
+    """Of one text, as an array of one so that nothing is computed twice: the hashes of its tokens, narrow (a) and wide (b)."""
+    narrow = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), F.transform(t, lambda x: F.xxhash64(_kind(x, False))).alias("a")))
+    wider = lambda h, t: F.when(_has(t, _INITIAL_MARK), F.xxhash64(_kind(t, True))).otherwise(h)
+    return F.transform(narrow, lambda x: F.struct(x["a"].alias("a"), F.zip_with(x["a"], x["t"], wider).alias("b")))
 
 
-def _windows(narrow: Column, sizes: list[int], wide: Column | None = None) -> Column:
-    """hash and place of each window of so many tokens, those of wide where they differ. Hashes are bound to a lambda's
-    variable, so they are computed once a text."""
+def _windows(tokens: Column, sizes: list[int], narrow: bool = True, wide: bool = True) -> Column:
+    """hash and place of each window of so many tokens: the narrow ones, and the wide ones (where both are asked for, those
+    that differ)."""
     kind = "array<struct<h:bigint,at:int>>"
 
-    def of_size(a: Column, b: Column | None, size: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(a) - size + 1)
-        row = lambda x, i: F.struct(F.xxhash64(F.lit(size), F.slice(x, i, size)).alias("h"), i.alias("at"))
-        rows = F.transform(places, lambda i: row(a, i))
-        if b is not None:
-            differ = F.filter(places, lambda i: F.slice(a, i, size) != F.slice(b, i, size))
-            rows = F.concat(rows, F.transform(differ, lambda i: row(b, i)))
-        return F.when(F.size(a) >= size, rows).otherwise(F.array().cast(kind))
+    def of_size(a: Column, b: Column, size: int) -> Column:
+        last = F.size(a) - size + 1
+        rows = lambda x, places: F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(size), *[F.get(x, i + (k - 1)) for k in range(size)]).alias("h"), i.alias("at")))
+        every = F.sequence(F.lit(1), last)
+        if narrow and wide:
+            differ = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i) != F.element_at(b, i))
+            around = F.array_distinct(F.flatten(F.transform(differ, lambda i: F.sequence(F.greatest(F.lit(1), i - size + 1), F.least(i, last)))))
+            found = F.concat(rows(a, every), rows(b, around))
+        else:
+            found = rows(a if narrow else b, every)
+        return F.when(F.size(a) >= size, found).otherwise(F.array().cast(kind))
 
     def of(x: Column) -> Column:
-        rows = [of_size(x["a"], x["b"] if wide is not None else None, size) for size in sizes]
-        return rows[0] if len(rows) == 1 else F.concat(*rows)
+        found = [of_size(x["a"], x["b"], size) for size in sizes]
+        return found[0] if len(found) == 1 else F.concat(*found)
 
-    return F.transform(F.array(F.struct(narrow.alias("a"), (narrow if wide is None else wide).alias("b"))), of)[0]
+    return F.transform(_hashes(tokens), of)[0]
 
 
 def _slots(df: DataFrame, key: str, at: str, value: str, wide: Column) -> DataFrame:
@@ -132,8 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: fl
     items = materialize(forms(benchmark, window, item_col, item_text_col), "items")
     length = F.least(F.size("tokens"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect()) or [window]  # at most `window` numbers
-    hashes = F.when(F.col("wide"), _hashes(F.col("tokens"), True)).otherwise(_hashes(F.col("tokens"), False))
-    own = [items.where(length == s).select("form", F.inline(_windows(hashes, [s]))) for s in sizes]
+    own = [items.where((length == s) & (F.col("wide") == w)).select("form", F.inline(_windows(F.col("tokens"), [s], not w, w))) for s in sizes for w in (False, True)]
     wanted = own[0]
     for more in own[1:]:
         wanted = wanted.union(more)
@@ -145,8 +150,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: fl
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
 
     def windows(rows: DataFrame) -> DataFrame:
-        both = F.transform(F.array(template(F.col("text"))), lambda t: F.struct(_hashes(t, False).alias("a"), _hashes(t, True).alias("b")))[0]
-        return rows.select("uid", F.inline(_windows(both["a"], sizes, both["b"])))
+        return rows.select("uid", F.inline(_windows(template(F.col("text")), sizes)))
 
     hits = windows(texts).join(side(wanted.select("form", "h").distinct()), "h").select("uid", "form", "h").distinct()
     pairs = hits.groupBy("uid", "form").agg(F.count("*").alias("n")).join(total, "form")
