@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_tool_calls": toolcalls.ORACLE, "op4_warc": warc.ORACLE, "op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE}

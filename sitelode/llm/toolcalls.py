@@ -211,3 +211,25 @@ def of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     results = conversations.where(F.col("role") == "assistant").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
     return calls, results
+
+
+#: The query over turns in DuckDB's SQL. No turn's call is needed by one that it needs, so levels are 0 and 1.
+ORACLE = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         'call-' || conv_id || '-' || turn AS call_id, 'call-' || conv_id || '-0' AS first_id FROM conversations),
+a AS (
+  SELECT *, CASE WHEN role = 'user' THEN 'ask' ELSE 'configure' END AS name,
+         CASE WHEN role = 'user' AND text IS NULL THEN to_json({'context': first_id, 'words': words}) WHEN role = 'user' THEN to_json({'context': first_id, 'text': text, 'words': words})
+              WHEN text IS NULL THEN '{}'::JSON ELSE to_json({'text': text}) END AS arguments,
+         length(coalesce(text, '')) BETWEEN 1 AND CASE WHEN role = 'user' THEN 100000 ELSE 1000000000000 END AND (role <> 'user' OR words >= 1) AS valid
+  FROM t WHERE role IN ('user', 'system') AND call_id IS NOT NULL),
+c AS (
+  SELECT conv_id, call_id, count(*) AS copies, min({'place': turn, 'name': name, 'text': coalesce(text, ''), 'arguments': arguments::VARCHAR, 'valid': valid, 'asks': role = 'user' AND turn > 0, 'first_id': first_id}) AS f
+  FROM a GROUP BY ALL),
+r AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min({'place': turn, 'content': text}) AS r FROM t WHERE role = 'assistant' GROUP BY ALL)
+SELECT c.conv_id, c.call_id, f.place AS place, f.name AS name, CASE WHEN f.asks AND EXISTS (SELECT 1 FROM c o WHERE o.conv_id = c.conv_id AND o.call_id = f.first_id) THEN 1 ELSE 0 END AS level,
+       copies, r.r.place AS result_place, CASE WHEN r.r IS NULL THEN 'no result' ELSE 'ok' END AS status, f.valid AS valid,
+       '{"arguments":' || f.arguments || ',"id":' || to_json(c.call_id) || ',"name":' || to_json(f.name) || ',"result":' || coalesce(to_json(r.r.content)::VARCHAR, 'null') || '}' AS json
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+"""

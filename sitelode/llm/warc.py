@@ -259,3 +259,16 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     """A row per record or gap (gap: the reason, null for records) of all archives in a folder."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(lambda it: _read(it, with_payload), _SCHEMA + ", payload binary" * with_payload)
+
+
+#: What the query's digest columns are, in DuckDB's SQL: the archives themselves are tested by round trips.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first_id FROM d GROUP BY h),
+v AS (SELECT page_id, n, first_id, list_transform(range(8), lambda i: ('0x' || substr(h, (i * 5 + 1)::INT, 5))::INT) AS five FROM d JOIN f USING (h))
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(five, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM v
+"""
