@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("search", "history", "joins", "sessions", "text", "pages", "markup", "inspection", "signals")
+FAMILIES = ("search", "history", "joins", "sessions", "text", "pages", "markup", "inspection", "signals", "payloads")
 
 
 def _all(what: str) -> dict:
