@@ -48,11 +48,11 @@ def _hreflang(s, d):
     return op.hreflang_issues(_alternates(s, d), pages)
 
 
-#: A few countries with their region and languages.
+#: Regions and languages that are given to some of the driver's nations.
 _COUNTRIES = {
-    "UNITED STATES": ("US", "en es"), "GERMANY": ("DE", "de"), "CANADA": ("CA", "en fr"), "FRANCE": ("FR", "fr"), "BRAZIL": ("BR", "pt"), "INDIA": ("IN", "hi en"), "CHINA": ("CN", "zh"),
-    "PERU": ("PE", "es"), "UNITED KINGDOM": ("GB", "en"), "ARGENTINA": ("AR", "es"), "ROMANIA": ("RO", "ro"), "JAPAN": ("JP", "ja"),
-}
+    f"NATION_{i}": tuple(x.split(":"))
+    for i, x in enumerate("US:en es|DE:de|CA:en fr|FR:fr|BR:pt|IN:hi en|CN:zh|PE:es|GB:en|AR:es|RO:ro|JP:ja".split("|"))
+}
 _CODES = ["en-US", "en-GB", "fr", "de-AT", "pt_br", "zh-hant-TW", "x-default", "english", "es-MX"]
 
 

@@ -23,6 +23,13 @@ def _compared(spark, d):
     return op.compare(_between(rows, NOW), _between(rows, BEFORE), "key")
 
 
+def _uneven(spark, d):
+    """Rows of which those of one device and two countries have a fraction of their clicks."""
+    c = F.col("clicks")
+    return search_rows(spark, d).withColumn("clicks", F.when(F.col("country").isin("NATION_3", "NATION_7"), F.floor(c / 4)).when(F.col("device") == "1-URGENT", F.floor(c / 2)).otherwise(c).cast("double"))
+
+
+_UNEVEN = "uneven AS (SELECT * REPLACE (CASE WHEN country IN ('NATION_3', 'NATION_7') THEN floor(clicks / 4) WHEN device = '1-URGENT' THEN floor(clicks / 2) ELSE clicks END AS clicks) FROM search)"
 _W = f"""WITH {SQL['search']}, k AS (SELECT *, concat_ws(' | ', query, page) AS key FROM search),
 a AS (SELECT key, {T} FROM k WHERE date BETWEEN DATE '{NOW[0]}' AND DATE '{NOW[1]}' GROUP BY key),
 b AS (SELECT key, {T} FROM k WHERE date BETWEEN DATE '{BEFORE[0]}' AND DATE '{BEFORE[1]}' GROUP BY key),
@@ -31,6 +38,7 @@ c AS (SELECT key, coalesce(a.clicks, 0) AS clicks_now, coalesce(b.clicks, 0) AS
   FROM a FULL JOIN b USING (key))"""
 _SHARES = lambda key: f"""WITH {SQL['search']}, t AS (SELECT {key}, {T} FROM search GROUP BY {key}), w AS (SELECT sum(impressions) AS i, sum(clicks) / sum(impressions) AS c FROM search),
 s AS (SELECT {key}, clicks, impressions, ctr, position, impressions / i AS share, ctr / c AS ctr_ratio FROM t, w WHERE impressions > 0)"""
+_OF_UNEVEN = lambda key: _SHARES(key).replace(", t AS (", f", {_UNEVEN}, t AS (", 1).replace(f"FROM search GROUP BY {key}", f"FROM uneven GROUP BY {key}").replace("AS c FROM search)", "AS c FROM uneven)")
 
 QUERIES = {
     "search_totals": lambda s, d: op.totals(search_rows(s, d), "country", "device"),
@@ -44,8 +52,8 @@ QUERIES = {
     "anomalies": lambda s, d: op.anomalies(product_rows(s, d)),
     "branded_split": lambda s, d: op.branded_split(product_rows(s, d), ["red", "blue"]),
     "segment_shares": lambda s, d: op.segment_shares(search_rows(s, d), "device"),
-    "device_gap": lambda s, d: op.weak_segments(search_rows(s, d), "device", max_ratio=1.0),
-    "country_opportunity": lambda s, d: op.weak_segments(search_rows(s, d), "country", max_ratio=0.98, min_share=0.01, inclusive=True),
+    "device_gap": lambda s, d: op.weak_segments(_uneven(s, d), "device"),
+    "country_opportunity": lambda s, d: op.weak_segments(_uneven(s, d), "country", max_ratio=0.5, min_share=0.01, inclusive=True),
     "featured_snippets": lambda s, d: op.featured_snippets(product_rows(s, d), "query", "page"),
     "busiest_pages": lambda s, d: op.busiest(product_rows(s, d)),
     "page_query_map": lambda s, d: op.page_query_map(product_rows(s, d)),
@@ -71,8 +79,8 @@ SELECT date, clicks, mean, (clicks - mean) / sd AS z FROM t, s WHERE n >= 14 AND
     "branded_split": f"""WITH {SQL['search']}, t AS (SELECT regexp_matches(lower(query), '(^|[^a-z0-9])(red|blue)([^a-z0-9]|$)') AS branded, query, {T} FROM search GROUP BY ALL)
 SELECT branded, count(*) AS queries, {T} FROM t GROUP BY branded""",
     "segment_shares": f"{_SHARES('device')} SELECT * FROM s",
-    "device_gap": f"{_SHARES('device')} SELECT * FROM s WHERE ctr_ratio > 0 AND ctr_ratio < 1.0 AND share > 0.1",
-    "country_opportunity": f"{_SHARES('country')} SELECT * FROM s WHERE ctr_ratio > 0 AND ctr_ratio < 0.98 AND share >= 0.01",
+    "device_gap": f"{_OF_UNEVEN('device')} SELECT * FROM s WHERE ctr_ratio > 0 AND ctr_ratio < 0.7 AND share > 0.1",
+    "country_opportunity": f"{_OF_UNEVEN('country')} SELECT * FROM s WHERE ctr_ratio > 0 AND ctr_ratio < 0.5 AND share >= 0.01",
     "featured_snippets": f"""WITH {SQL['search']}, t AS (SELECT query, page, {T} FROM search GROUP BY ALL)
 SELECT *, CASE WHEN position <= 1.5 AND ctr >= 0.35 THEN 'holder' ELSE 'contender' END AS role FROM t WHERE (position <= 1.5 AND ctr >= 0.35) OR (position > 1.5 AND position <= 5 AND ctr <= 0.08 AND impressions >= 100)""",
     "busiest_pages": f"WITH {SQL['search']}, t AS (SELECT page, {T} FROM search GROUP BY page) SELECT * FROM t WHERE clicks > 0 ORDER BY clicks DESC, impressions DESC, page LIMIT 25",
