@@ -31,7 +31,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the score of a text without toxic words, repeated rows the same one; without labels of both
     kinds the score is the share of toxic labels. An empty table stays empty; other columns pass through."""
-    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit_sample(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return docs.where(toxicity.score_of(model, F.col("text")) < 0.5)
 
 

@@ -21,7 +21,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,9 +132,10 @@ def identify(docs: DataFrame, of_lang: dict[str, list[int]], held_out: Column |
 def score_of(of_lang: dict[str, list[int]], text: Column, top: int = 300) -> Column:
     """The score of a text as a column: how near the nearest profile is."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = OutOfPlace(of_lang, top)
-        return texts.map(lambda t: judge(t)[1]).astype("float64")
+        for texts in batches:
+            yield pa.array([judge(t.as_py())[1] for t in texts], pa.float64())
 
     return score(text)

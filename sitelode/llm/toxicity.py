@@ -9,7 +9,7 @@ neighbours once; in clean documents every token is clean. Weights are fitted by
 likelihood; forward-backward marginals give each token's probability, and a
 logistic curve over a document's largest marginal and their sum gives its score.
 
-The model is fitted on at most ``per_class`` labelled documents of either label
+The model is fitted in one task on at most ``per_class`` labelled documents of either label
 of at most ``longest`` words, those whose ids hash lowest; scoring covers all whole
 texts. Null and empty texts get the score of a text without toxic tokens.
 Without labels of both kinds no token is toxic and the score is the share of
@@ -22,13 +22,13 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +135,20 @@ def _by_document(p: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return most, total
 
 
+def expected_changes(fwd: np.ndarray, bwd: np.ndarray, e: np.ndarray, step: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """How often each state is expected to follow each, in the order of step; inner: tokens that begin no chain. Taken in
+    parts, so that little is held at once."""
+    total = np.zeros(4)
+    for at in range(0, len(inner), 100_000):
+        part = inner[at : at + 100_000]
+        x = np.exp(np.clip(e[part], -30, 30))
+        into = (bwd[part, 0], x * bwd[part, 1])
+        weights = [fwd[part - 1, i] * np.exp(step[i, j]) * into[j] for i in (0, 1) for j in (0, 1)]
+        z = sum(weights)
+        total += [(w / z).sum() for w in weights]
+    return total
+
+
 def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, rounds: int = 30, penalty: float = 0.01) -> Model:
     """Fits the field on a bounded sample; share: how many of all labelled documents are toxic."""
     y_doc = np.array(toxic, np.int64)
@@ -176,13 +190,21 @@ def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, ro
     x = rows[word]
     y = (np.array([any(f in hot for f in fs) for fs in of_word])[word] & (on == 1)).astype(np.float64)
     inner = np.flatnonzero(~first)
+    changes = np.bincount((2 * y[inner - 1] + y[inner]).astype(np.int64), minlength=4).astype(np.float64)
+
+    def emissions(w: np.ndarray, bias: float) -> np.ndarray:
+        e = np.full(len(x), bias)
+        for c in range(width):
+            e += w[x[:, c]]
+        return e
+
     params = np.zeros(len(names) + 1 + 1 + 2 + 4)  # weights, an unused one, bias, start, step
     params[len(names) + 1] = -4.0
     n_w = len(names) + 1
     mean, var = np.zeros_like(params), np.zeros_like(params)
     for it in range(1, rounds + 1):
         w, bias, start, step = params[:n_w], params[n_w], params[n_w + 1 : n_w + 3], params[n_w + 3 :].reshape(2, 2)
-        e = bias + w[x].sum(axis=1)
+        e = emissions(w, bias)
         fwd, bwd, p = marginals(e, first, start, step)
         miss = y - p
         grad = np.zeros_like(params)
@@ -192,10 +214,7 @@ def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, ro
         grad[len(names)] = 0
         grad[n_w] = miss.sum()
         grad[n_w + 1 : n_w + 3] = (1 - y[first]).sum() - (1 - p[first]).sum(), miss[first].sum()
-        ye = np.stack([1 - y, y], axis=1)
-        pair = fwd[inner - 1][:, :, None] * np.exp(step)[None] * (np.stack([np.ones(len(inner)), np.exp(np.clip(e[inner], -30, 30))], axis=1) * bwd[inner])[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        grad[n_w + 3 :] = (ye[inner - 1].T @ ye[inner] - pair.sum(axis=0)).reshape(-1) - penalty * step.reshape(-1)
+        grad[n_w + 3 :] = changes - expected_changes(fwd, bwd, e, step, inner) - penalty * step.reshape(-1)
         grad /= max(y.sum(), 1.0)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         params = params + 0.4 * (mean / (1 - 0.9**it)) / (np.sqrt(var / (1 - 0.99**it)) + 1e-6)
@@ -203,7 +222,7 @@ def fit(texts: list[str], toxic: list[int], share: float, odds: float = 20.0, ro
     w, step, start = params[:n_w], params[n_w + 3 :].reshape(2, 2), params[n_w + 1 : n_w + 3]
     model.weight = {f: float(v) for f, v in zip(names, w, strict=False) if abs(v) > 1e-3}
     model.bias, model.start, model.step = float(params[n_w]), tuple(start.tolist()), tuple(map(tuple, step.tolist()))
-    _, _, p = marginals(params[n_w] + w[x].sum(axis=1), first, start, step)
+    _, _, p = marginals(emissions(w, params[n_w]), first, start, step)
     most, total = _by_document(p, lengths)
     model.curve = _logistic(np.stack([np.ones(len(most)), most, np.log1p(total)], axis=1), y_doc, share)
     return model
@@ -225,8 +244,8 @@ def _logistic(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float,
     return tuple(b.tolist())
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, per_class: int = 1000, longest: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most per_class documents a label, and the share of toxic labels among all that may be learned from."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, per_class: int = 1000, longest: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float]:
+    """text, toxic of at most per_class documents a label, and the share of toxic labels among all that may be learned from."""
     named = labels.select(F.col("doc_id").alias("id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
     if held_out is not None:
         named = named.where(~held_out)
@@ -237,11 +256,25 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, p
     ids = picked[0].union(picked[1])  # at most 4 * per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= 8 * longest))
     rows = texts.join(F.broadcast(ids), "id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
-    kept = []
-    for c in (0, 1):
-        kept += rows.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()  # at most per_class texts of a bounded length
+    kept = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     total = sum(counts.values())
-    return [r.text for r in kept], [r.toxic for r in kept], counts.get(1, 0) / total if total else 0.0
+    return kept[0].union(kept[1]).select("text", F.col("toxic").cast("int").alias("toxic")), counts.get(1, 0) / total if total else 0.0
+
+
+def fit_sample(rows: DataFrame, share: float) -> Model:
+    """The model of a bounded sample (text, toxic), fitted in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            toxic += b.column("toxic").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (toxic[i], texts[i]))
+        model = fit([texts[i] for i in order], [toxic[i] for i in order], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return Model(**pickle.loads(fitted["model"])) if fitted else fit([], [], share)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, at_least: float) -> Iterator[pa.RecordBatch]:
@@ -249,15 +282,15 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, at_leas
     start, step = np.array(model.start), np.array(model.step)
 
     def emissions(ws: list[str]) -> list[float]:
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(ws).difference(known):
             known[w] = model.emission(w)
         return [known[w] for w in ws]
 
     for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
+        for lo in range(0, b.num_rows, 200):
+            part = b.slice(lo, 200)
             texts = part.column(1).to_pylist()
             if spans:
                 found = [list(_TOKEN.finditer(t or "")) for t in texts]
@@ -294,12 +327,11 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
 def score_of(model: Model, text: Column) -> Column:
     """The score of a text as a column."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            n = len(s)
-            batch = pa.RecordBatch.from_arrays([pa.nulls(n), pa.array(s, pa.string()), pa.nulls(n)], ["doc_id", "text", "held_out"])
-            got = [b.column(2).to_numpy() for b in _score(iter([batch]), model, False, 0.5)]
-            yield pd.Series(np.concatenate(got) if got else np.empty(0))
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n = len(texts)
+            batch = pa.RecordBatch.from_arrays([pa.nulls(n), texts, pa.nulls(n)], ["doc_id", "text", "held_out"])
+            yield pa.concat_arrays([pa.array([], pa.float64()), *(b.column(2) for b in _score(iter([batch]), model, False, 0.5))])
 
     return scores(text)

@@ -82,7 +82,7 @@ def test_toxic_words_are_found_with_offsets(spark):
         labels.append((i, int(i % 3 == 0)))
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "")], "doc_id long, text string")
     held = remainder("id", 5) == 0
-    model = toxicity.fit(*toxicity.sample(docs, spark.createDataFrame([*labels, (1, None), (None, 1)], "doc_id long, toxic int"), held))
+    model = toxicity.fit_sample(*toxicity.sample(docs, spark.createDataFrame([*labels, (1, None), (None, 1)], "doc_id long, toxic int"), held))
     got = {r.doc_id: r for r in toxicity.score(docs, model, spans=True).collect()}
     assert all(got[i].predicted == y for i, y in labels)
     text = dict(rows)
@@ -112,7 +112,7 @@ def test_models_on_odd_tables(spark):
     columns = "doc_id long, text string, lang string, score double, held_out boolean, row long, n string, known int, size int"
     rows = [(1, "some words here", "en", 1.0, True, 1, "n", 1, 1), (1, "some words here", "en", 1.0, True, 1, "n", 1, 1), (None, None, None, None, None, None, None, None, None), (2, "", "en", 1.0, True, 1, "n", 1, 1), (3, "word " * 150_000, "en", 0.0, False, 0, "", 0, 0)]
     docs = spark.createDataFrame(rows, columns)
-    model = toxicity.fit(*toxicity.sample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")))
+    model = toxicity.fit_sample(*toxicity.sample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")))
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     for run in (lambda d: langid.identify(d, langid.profiles(docs)), lambda d: toxicity.score(d, model), lambda d: token_counts.token_counts(d, path)):
         got = run(docs).collect()
@@ -147,7 +147,7 @@ def test_languages_match_brute_force(spark, documents):
 
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    model = toxicity.fit(*toxicity.sample(docs, spark.createDataFrame([], "doc_id long, toxic int")))
+    model = toxicity.fit_sample(*toxicity.sample(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert toxicity.score(docs, model).first().predicted == 0
 
 
