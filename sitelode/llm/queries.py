@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import decontamination, elkan, katz, langid, mixing, simhash, token_counts, toolcalls, toxicity, vptree, warc
+from sitelode.llm import alignment, decontamination, elkan, katz, langid, mixing, simhash, token_counts, toolcalls, toxicity, vptree, warc
 from sitelode.llm.common import remainder, table
 
 
@@ -56,6 +56,12 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.clusters(elkan.integers(table(spark, sf_dir, "embeddings")), k=16, rounds=3, seed=1)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_sample(*toxicity.sample(docs, labels, remainder("id", 5) == 0))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
     "op12_elkan": op12_elkan,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {"op1_tool_calls": toolcalls.ORACLE, "op4_warc": warc.ORACLE, "op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "op12_elkan": elkan.ORACLE}
