@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import alignment, decontamination, elkan, katz, langid, mixing, simhash, token_counts, toolcalls, toxicity, vptree, warc
+from sitelode.llm import alignment, anchors, decontamination, elkan, katz, langid, mixing, simhash, token_counts, toolcalls, toxicity, vptree, warc
 from sitelode.llm.common import remainder, table
 
 
@@ -52,6 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.clusters(elkan.integers(table(spark, sf_dir, "embeddings")), k=16, rounds=3, seed=1)
 
@@ -79,8 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_anchors": op11_anchors,
     "op12_elkan": op12_elkan,
     "op13_alignment": op13_alignment,
 }
 
-ORACLES: dict[str, str] = {"op1_tool_calls": toolcalls.ORACLE, "op4_warc": warc.ORACLE, "op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "op12_elkan": elkan.ORACLE}
+ORACLES: dict[str, str] = {"op1_tool_calls": toolcalls.ORACLE, "op4_warc": warc.ORACLE, "op5_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "op11_anchors": anchors.ORACLE, "op12_elkan": elkan.ORACLE}

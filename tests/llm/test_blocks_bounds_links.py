@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sitelode.llm import alignment, elkan
+from sitelode.llm import alignment, anchors, elkan
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -143,3 +143,43 @@ def test_clusters_of_odd_tables(spark):
     got = elkan.clusters(elkan.integers(spark.createDataFrame([(*r, "y", 3) for r in rows], schema))).collect()
     assert sorted((r.vec_id or 0, r.distance) for r in got) == [(0, 0), (1, 0), (1, 0)] and {r.inertia for r in got} == {0}
     assert {r.centroid_sha256 for r in got if r.vec_id is None} == {hashlib.sha256(",".join(["-1"] * 64).encode()).hexdigest()}
+
+
+def brute_kept(texts, window):
+    words = [(t or "").encode().split() for t in texts]
+    starts = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = {j for i in range(len(w) - window + 1) if starts[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append((len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("window", "chunk_words"), [(5, 40), (6, 10**6), (35, 300), (1, 50)])
+def test_repeats_match_brute_force(spark, window, chunk_words):
+    rng = random.Random(window)
+    vocab = [f"w{i}" for i in range(6 if window < 35 else 40)]
+    passage = [f"p{i}" for i in range(window + 7)]
+    texts = [None, "", " \t", "one", "same " * (3 * window), "same " * window, "same " * (window - 1), "A b " * 40, "a B " * 40, "a\x1cb\u00a0c " * window, "ä\x0bö\x0cü " * 20]
+    for i in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 4 * window))]
+        if i % 3 == 0:  # passages a little shorter, as long and longer than a window, at any offset
+            lo = rng.randrange(8)
+            w[len(w) // 2 : len(w) // 2] = passage[lo : lo + window + rng.randint(-1, 4)]
+        texts.append(" ".join(w))
+    texts += texts[20:25]
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, chunk string, start int").repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in anchors.remove_repeats(docs, window, chunk_words=chunk_words).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts, window)
+
+
+def test_repeats_in_hot_and_odd_tables(spark):
+    assert anchors.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    line = " ".join(f"l{i}" for i in range(50))
+    texts = [f"a{i} {line} b{i}" for i in range(3000)] + ["x y"] * 500
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = anchors.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 500), (52, 50, 3000)]
+    far = " ".join(str(i) for i in range(200_000))
+    two = spark.createDataFrame([(1, far + " " + line), (1, line + " " + far[:50_000])], "doc_id long, text string")
+    assert sorted((r.n_words, r.n_removed) for r in anchors.remove_repeats(two).collect()) == sorted((n, r) for n, r, _ in brute_kept([far + " " + line, line + " " + far[:50_000]], 35))
