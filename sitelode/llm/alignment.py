@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from sitelode.llm.common import materialize
 
 #: Distinct segments that a task holds at once, and their characters.
-MOST_SEGMENTS, MOST_CHARS = 150_000, 8_000_000
+MOST_SEGMENTS, MOST_CHARS = 200_000, 8_000_000
+#: Segments that are cut into tokens as one text.
+TOGETHER = 10_000
 #: Links of documents that are put together at a time.
 MOST_LINKS = 2_000_000
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -52,6 +54,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, n of them, for each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Tokenizers:
     """Both tokenizers, the bytes of each of their tokens, and the segments that were aligned lately."""
 
@@ -87,6 +94,21 @@ class Tokenizers:
         self.facts = np.zeros((0, 5), np.int64)  # comes back, n_a, n_b, n_groups, n_links
         self.links = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        """Forgets the segments that were used once, or all but the most used half."""
+        if len(self.known) <= MOST_SEGMENTS and self.chars <= MOST_CHARS:
+            return
+        keep, names = np.flatnonzero(self.uses > 1), list(self.known)
+        if len(keep) > MOST_SEGMENTS // 2:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: MOST_SEGMENTS // 2])
+        names, texts, facts = [names[i] for i in keep.tolist()], [self.texts[i] for i in keep.tolist()], self.facts[keep]
+        links, start = self.links[_expanded(self.start[keep], facts[:, 4])], np.cumsum(facts[:, 4]) - facts[:, 4]
+        self.clear()
+        if (chars := sum(map(len, names))) <= MOST_CHARS // 2:
+            self.known, self.texts, self.facts, self.links, self.start = {s: i for i, s in enumerate(names)}, texts, facts, links, start
+            self.chars, self.uses = chars, np.zeros(len(names), np.int64)
 
     @staticmethod
     def segments(text: str) -> list[str]:
@@ -96,30 +118,55 @@ class Tokenizers:
 
     def learn(self, segments: list[str]) -> None:
         """Aligns segments that are not yet known."""
+        plain = [s for s in segments if s == s.strip()]
+        if len(plain) < len(segments):
+            self.add(*self.one_by_one([s for s in segments if s != s.strip()]))
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            self.add(*(self.together(part) or self.one_by_one(part)))
+
+    def together(self, segments: list[str]) -> tuple | None:
+        """Tokens of segments as of one text, if it comes back and both tokenizers have an end where a segment ends."""
+        text = " ".join(segments)
+        ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        whole = (" " + text).encode()
+        if not b"".join([self.bytes_a[i] for i in ids_a]) == whole == b"".join([self.bytes_b[i] for i in ids_b]):
+            return None
+        a, b, last = np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.cumsum(np.array([len(s.encode()) + 1 for s in segments], np.int64))
+        ends = [np.cumsum(size[ids]) for size, ids in ((self.len_a, a), (self.len_b, b))]
+        at = [np.searchsorted(e, last) for e in ends]
+        if any((e[i] != last).any() for e, i in zip(ends, at, strict=True)):
+            return None
+        return segments, np.ones(len(segments), bool), a, np.diff(at[0] + 1, prepend=0), b, np.diff(at[1] + 1, prepend=0)
+
+    def one_by_one(self, segments: list[str]) -> tuple:
+        """Tokens of segments; those that don't come back have none."""
         ids_a = [e.ids for e in self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
         ids_b = self.b.encode(segments, num_threads=1)
         whole = [b" " + s.encode() for s in segments]
         ok = np.array([b"".join([self.bytes_a[i] for i in x]) == w == b"".join([self.bytes_b[i] for i in y]) for x, y, w in zip(ids_a, ids_b, whole, strict=True)], bool)
-        good = np.flatnonzero(ok).tolist()
-        n_a, n_b = (np.array([len(ids[i]) for i in good], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([t for i in good for t in ids[i]], np.int64) for ids in (ids_a, ids_b))
+        out = [segments, ok]
+        for ids in (ids_a, ids_b):
+            ids = [x if good else [] for x, good in zip(ids, ok.tolist(), strict=True)]
+            out += [np.array([t for x in ids for t in x], np.int64), np.array([len(x) for x in ids], np.int64)]
+        return tuple(out)
+
+    def add(self, segments: list[str], ok: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         found = align(a, b, self.len_a, self.len_b)
-        facts = np.zeros((len(segments), 5), np.int64)
-        last = np.cumsum(np.array([len(whole[i]) for i in good], np.int64))
+        last = np.r_[0, found.ends_a][np.cumsum(n_a)]
         groups = np.diff(np.searchsorted(found.cuts, last, side="right"), prepend=0)
-        of_link = np.searchsorted(last, found.ends_a[found.link_a], side="left")
-        facts[good] = np.stack([np.ones(len(good), np.int64), n_a, n_b, groups, np.bincount(of_link, minlength=len(good))], axis=1)
+        of_link = np.repeat(np.arange(len(segments)), n_a)[found.link_a]
+        links = np.bincount(of_link, minlength=len(segments))
         text = self.digest_text(a, b, found)
         at = np.r_[0, np.cumsum(n_a + n_b)].tolist()
-        texts = [""] * len(segments)
-        for i, lo, hi in zip(good, at, at[1:], strict=False):
-            texts[i] = "".join(text[lo:hi])[:-1]
+        texts = ["".join(text[lo:hi])[:-1] for lo, hi in zip(at, at[1:], strict=False)]
         self.known |= {s: len(self.texts) + i for i, s in enumerate(segments)}
         self.chars += sum(map(len, segments))
         self.texts += texts
-        self.start = np.r_[self.start, len(self.links) + np.cumsum(facts[:, 4]) - facts[:, 4]]
+        self.start = np.r_[self.start, len(self.links) + np.cumsum(links) - links]
         self.links = np.r_[self.links, a[found.link_a] << 32 | b[found.link_b]]
-        self.facts = np.concatenate([self.facts, facts])
+        self.facts = np.concatenate([self.facts, np.stack([ok, n_a, n_b, groups, links], axis=1).astype(np.int64)])
+        self.uses = np.r_[self.uses, np.zeros(len(segments), np.int64)]
 
     def digest_text(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> list[str]:
         """The tokens of both sides group by group, each with what follows it."""
@@ -147,7 +194,7 @@ def align(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) ->
     first = np.searchsorted(out.ends_b, out.ends_a - len_a[a], side="right")
     n = np.searchsorted(out.ends_b, out.ends_a, side="left") - first + 1
     out.link_a = np.repeat(np.arange(len(a)), n)
-    out.link_b = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(out.link_a))
+    out.link_b = _expanded(first, n)
     return out
 
 
@@ -178,8 +225,7 @@ def _per_document(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -
 
     def out(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         parts = [tok.segments(t) if t else [] for t in texts]
-        if len(tok.known) > MOST_SEGMENTS or tok.chars > MOST_CHARS:
-            tok.clear()
+        tok.make_room()
         new = list(dict.fromkeys(s for p in parts for s in p if s not in tok.known))
         if new:
             tok.learn(new)
@@ -189,9 +235,9 @@ def _per_document(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -
         size = np.array([len(p) for p in places], np.int64)
         flat, of_part = np.concatenate([*places, np.zeros(0, np.int64)]), np.repeat(np.arange(len(places)), size)
         totals = [np.bincount(of_part, tok.facts[flat, j], minlength=len(places)).astype(np.int64) for j in range(1, 5)]
+        tok.uses += np.bincount(flat, minlength=len(tok.uses))
         n = tok.facts[flat, 4]
-        at = np.repeat(tok.start[flat] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        doc, link = np.repeat(of_part, n), tok.links[at]
+        doc, link = np.repeat(of_part, n), tok.links[_expanded(tok.start[flat], n)]
         order = np.lexsort((link, doc))
         doc, link = doc[order], link[order]
         runs, freq = _runs(doc, link)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -86,6 +87,18 @@ def test_alignment_matches_brute_force(spark, frequent):
     assert all(got[i] == (0, 0, 0, 0, 0, 0, "") for i in (0, 1, TEXTS.index("▁"), TEXTS.index("x▁y")))
 
 
+def test_alignment_forgets_and_learns_again(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "a", "▁", "  x", f"w{rng.randrange(50)}"][: 5 if i % 5 else 2]) for _ in range(30)).encode() for i in range(80)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(80)), "text": pa.array(texts, pa.binary())})
+    monkeypatch.setattr(alignment, "_tokenizers", lambda *paths, made=alignment.Tokenizers(A, B): made)
+    want = pa.Table.from_batches(alignment._per_document(iter([rows]), A, B))
+    monkeypatch.setattr(alignment, "MOST_LINKS", 100)
+    for most in (3, 20, 40):
+        monkeypatch.setattr(alignment, "MOST_SEGMENTS", most)
+        assert pa.Table.from_batches(alignment._per_document(iter([rows]), A, B)).combine_chunks() == want.combine_chunks()
+
+
 def test_alignment_of_odd_tables(spark):
     got, pairs = alignment.align_documents(spark.createDataFrame([], "doc_id long, text string"), A, B)
     assert got.count() == 0 and pairs.count() == 0
