@@ -21,7 +21,8 @@ wide one if it has at least ``window`` different plain words (else any sentence
 of names would do), and one with its names as plain words, for texts in
 capitals or small letters only, where names can't be told.
 
-A window counts wherever it is found. Slots are checked at every offset between
+A window counts wherever it is found, if it holds a plain word: numbers, names and
+units alone are in any table. So an item without plain words is not looked for. Slots are checked at every offset between
 item and document that holds a share of ``coverage`` of the item's windows, and
 at the one that holds most of them; one consistent offset is enough.
 
@@ -133,12 +134,19 @@ def forms(benchmark: DataFrame, window: int, item_col: str, item_text_col: str)
     return rows.withColumn("form", F.xxhash64("item_id", "tokens", "wide")).distinct()
 
 
+def _own_windows(items: DataFrame, size: int, wide: bool) -> DataFrame:
+    """form, h, at: the windows of items that hold a plain word; others are in any text with enough numbers or names."""
+    plain = F.transform("tokens", lambda t: ~_has(t, _MARK) & ~_has(t, _UNIT_MARK) & ~(F.lit(wide) & _has(t, _INITIAL_MARK)))
+    rows = items.select("form", plain.alias("plain"), F.inline(_windows(F.col("tokens"), [size], not wide, wide)))
+    return rows.where(F.exists(F.slice("plain", F.col("at"), size), lambda x: x)).select("form", "h", "at")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """uid, item_id, found (share of the item's windows), verbatim: the pairs found; uid is the hash of a document's id and text."""
     items = materialize(forms(benchmark, window, item_col, item_text_col), "items")
     length = F.least(F.size("tokens"), F.lit(window))
     sizes = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect()) or [window]  # at most `window` numbers
-    own = [items.where((length == s) & (F.col("wide") == w)).select("form", F.inline(_windows(F.col("tokens"), [s], not w, w))) for s in sizes for w in (False, True)]
+    own = [_own_windows(items.where((length == s) & (F.col("wide") == w)), s, w) for s in sizes for w in (False, True)]
     wanted = own[0]
     for more in own[1:]:
         wanted = wanted.union(more)

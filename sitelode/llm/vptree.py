@@ -15,7 +15,7 @@ the smaller id. Vectors that are null, zero or hold null or non-finite values
 take no part, nor do rows without an id or with another length than the query.
 Rows that repeat an id are candidates each, but none is a candidate for a query
 of its own id; of queries that repeat an id the one with the smallest vector
-counts. An empty table gives no rows; other columns are ignored, whatever their
+counts. A distance too large for a double is infinite, and no subtree is left out by it. An empty table gives no rows; other columns are ignored, whatever their
 names.
 """
 
@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 from sitelode.llm.common import materialize
 
 _LEAF = 64
+#: A split whose smaller side has less than this part of the rows makes no node, so trees are shallow.
+_LEAST = 16
+#: Stands for no candidate.
+_NONE = np.iinfo(np.int64).max
 #: What rounding may add to a bound.
 _SLACK = 1e-9
 
@@ -59,8 +63,8 @@ def build(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Node:
         near = d <= radius
         if near.all():
             near = d < radius
-        if not near.any():
-            continue  # all at one distance: a leaf, whatever its size
+        if min(near.sum(), (~near).sum()) * _LEAST < len(near):
+            continue  # nearly all at one distance: a leaf, whatever its size
         at.point, at.radius = point, radius if (d <= radius).sum() == near.sum() else float(d[near].max())
         at.inner, at.outer = Node(at.rows[near]), Node(at.rows[~near])
         at.rows = at.rows[:0]
@@ -74,7 +78,7 @@ class Search:
     def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, k: int, factor: float):
         self.x, self.ids, self.q, self.q_ids, self.k, self.factor = x, ids, q, q_ids, k, factor
         self.best_d = np.repeat(bound[:, None], k, axis=1)
-        self.best_id = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.best_id = np.full((len(q), k), _NONE)
         self.looked = 0
 
     def leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
@@ -83,31 +87,34 @@ class Search:
             for b in range(0, len(who), 64):
                 w = who[b : b + 64]
                 d = np.sqrt(((self.q[w][:, None, :] - self.x[part][None, :, :]) ** 2).sum(axis=2))
-                d[self.q_ids[w][:, None] == self.ids[part][None, :]] = np.inf
+                own = self.q_ids[w][:, None] == self.ids[part][None, :]
+                d[own] = np.inf
                 self.looked += d.size
                 all_d = np.concatenate([self.best_d[w], d], axis=1)
-                all_id = np.concatenate([self.best_id[w], np.broadcast_to(self.ids[part], d.shape)], axis=1)
+                all_id = np.concatenate([self.best_id[w], np.where(own, _NONE, self.ids[part])], axis=1)
                 order = np.lexsort((all_id, all_d), axis=1)[:, : self.k]
                 self.best_d[w] = np.take_along_axis(all_d, order, axis=1)
                 self.best_id[w] = np.take_along_axis(all_id, order, axis=1)
 
     def open(self, who: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """The queries for which a subtree at least `bound` away may hold something nearer, or as near with a smaller id."""
-        return who[bound * self.factor <= self.best_d[who, -1] * (1 + _SLACK) + _SLACK]
+        return who[~(bound * self.factor > self.best_d[who, -1] * (1 + _SLACK) + _SLACK)]  # infinite distances leave it open
 
     def run(self, node: Node, who: np.ndarray) -> None:
-        if not len(who):
-            return
-        if node.inner is None:
-            self.leaf(node.rows, who)
-            return
-        d = np.sqrt(((self.q[who] - self.x[node.point]) ** 2).sum(axis=1))
-        inside = d <= node.radius
-        gap = np.abs(d - node.radius)
-        self.run(node.inner, who[inside])
-        self.run(node.outer, who[~inside])
-        self.run(node.outer, self.open(who[inside], gap[inside]))
-        self.run(node.inner, self.open(who[~inside], gap[~inside]))
+        """Each query's own side of a split comes first; the other one waits until the nearest so far are known."""
+        stack: list[tuple[Node, np.ndarray, np.ndarray | None]] = [(node, who, None)]
+        while stack:
+            node, who, bound = stack.pop()
+            who = who if bound is None else self.open(who, bound)
+            if not len(who):
+                continue
+            if node.inner is None:
+                self.leaf(node.rows, who)
+                continue
+            d = np.sqrt(((self.q[who] - self.x[node.point]) ** 2).sum(axis=1))
+            inside = d <= node.radius
+            gap = np.abs(d - node.radius)
+            stack += [(node.inner, who[~inside], gap[~inside]), (node.outer, who[inside], gap[inside]), (node.outer, who[~inside], None), (node.inner, who[inside], None)]
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], pa.RecordBatch]]:
@@ -146,9 +153,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, block_rows
                 q_ids = part.column("id").to_numpy()
                 search = Search(x, ids, _matrix(part, dim), q_ids, part.column("bound").to_numpy(), k, factor)
                 search.run(tree, np.arange(len(q_ids)))
-                i, j = np.nonzero(search.best_id < np.iinfo(np.int64).max)
-                keep = np.isfinite(search.best_d[i, j])
-                i, j = i[keep], j[keep]
+                i, j = np.nonzero(search.best_id < _NONE)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[i], search.best_id[i, j], search.best_d[i, j])], ["query_id", "vec_id", "score"])
 
 

@@ -38,7 +38,7 @@ def test_out_of_place_by_hand(spark):
     of_lang = {"aa": langid.ranked(*np.unique(langid.ngrams("aba aba"), return_counts=True), 300).tolist(), "bb": langid.ranked(*np.unique(langid.ngrams("xyz"), return_counts=True), 300).tolist()}
     lang, score = langid.OutOfPlace(of_lang, 300)("aba aba")
     assert (lang, score) == ("aa", 1.0)
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "123 ..."), (4, "aba"), (4, "aba")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "123 ½ ² Ⅷ ① ..."), (4, "aba"), (4, "aba")], "doc_id long, text string")
     got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(rows, of_lang).collect())
     assert got[:3] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)] and [g[1] for g in got[3:]] == ["aa", "aa"]
     assert langid.profiles(spark.createDataFrame([], "text string, lang string")) == {}

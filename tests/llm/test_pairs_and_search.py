@@ -144,6 +144,18 @@ def test_search_matches_brute_force_with_ties(spark):
     assert len({(r.query_id, r.vec_id) for r in relaxed} & {(a, c) for a, _, c in want}) >= 0.9 * len(want)
 
 
+def test_search_among_equal_and_infinite_distances(spark):
+    rows = [(i, [float(j == i) for j in range(1200)]) for i in range(1200)]
+    v = vptree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = vptree.nearest(v, v.where("id % 400 = 0"), k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (400, 1, 0), (400, 2, 1), (400, 3, 2), (800, 1, 0), (800, 2, 1), (800, 3, 2)]
+    far = [(i, [(-1.0) ** i * 1e200, float(i)]) for i in range(300)]
+    v = vptree.usable(spark.createDataFrame(far, "vec_id long, embedding array<double>"))
+    got = vptree.nearest(v, v.where("id % 100 = 0"), k=200, shard_rows=90).collect()
+    want = [(q, s, i) for q in (0, 100, 200) for s, i in sorted((float(abs(i - q)) if i % 2 == 0 else float("inf"), i) for i in range(300) if i != q)[:200]]
+    assert [(r.query_id, r.score, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == want
+
+
 def test_search_without_vectors(spark):
     v = vptree.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert vptree.nearest(v, v).count() == 0

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import time
 import hashlib
 import json
 import random
@@ -209,6 +210,17 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.contaminated(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_of_numbers(spark):
+    many = " ".join(str(i * 37 % 1009) for i in range(40_000))
+    words = "the train left at noon and came back again late"
+    bench = spark.createDataFrame([(1, " ".join(str(i) for i in range(400))), (2, words + " " + " ".join(str(i) for i in range(200))), (3, "5 kg 6 kg 7 kg"), (4, "Sum 5 then 6 and 5 to get the result")], "item_id long, text string")
+    rows = [(1, many), (2, words + " " + many), (3, "x " + words + " " + " ".join(str(i) for i in range(200))), (4, "Sum 7 then 8 and 7 to get the result"), (5, "Sum 7 then 8 and 9 to get the result"), (6, "5 kg 6 kg 7 kg")]
+    start = time.monotonic()
+    got = {r.doc_id: (r["items"], r.reworded) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: ([], False), 2: ([2], True), 3: ([2], False), 4: ([4], True), 5: ([], False), 6: ([], False)}
+    assert time.monotonic() - start < 60
+
+
 def test_decontamination_whatever_the_case(spark):
     item = "The tall engineer Ann Lee met Ann Lee near Oslo, then drove 40 km home before the rain came."
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
