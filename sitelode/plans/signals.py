@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitelode.functions import text as fx
 from sitelode.operators import signals as op
 from sitelode.sources.tables import table
 
@@ -23,13 +22,7 @@ def _pages(s, d):
     return table(s, d, "pages").select("page_id", F.expr(_MORE).alias("html"), F.expr(_LANG).alias("lang"), F.split(F.expr(_TYPES), r"\|").alias("types"))
 
 
-def _landing(s, d):
-    rows = op.landing_signals(_pages(s, d), "2024-06-01")
-    return rows.select("page_id", *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in rows.columns[1:]])
-
-
 QUERIES = {
-    "landing_signals": _landing,
     "page_vertical": lambda s, d: _pages(s, d).select("page_id", op.vertical(F.col("html"), F.col("types")).alias("vertical")),
     "uncrawlable_links": lambda s, d: op.uncrawlable_links(_pages(s, d)),
     "markdown_links": lambda s, d: op.markdown_links(table(s, d, "pages").select("page_id", F.expr(_LINES).alias("text"))),
@@ -37,22 +30,8 @@ QUERIES = {
 }
 
 _H = f"h AS (SELECT page_id, {_MORE} AS html, {_LANG} AS lang FROM pages)"
-_STRIP = lambda x, tag: f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
-_BODY = "CASE WHEN regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE html END"
-for _tag in ("script", "style", "noscript", "nav", "header", "footer", "aside"):
-    _BODY = _STRIP(_BODY, _tag)
-_TEXT = lambda x: f"trim(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-_Q = fx.DEFINES
 _W = lambda words: f"regexp_matches(t, '(?:^|[^a-z0-9_])(?:{words})(?:[^a-z0-9_]|$)')"
 ORACLES = {
-    "landing_signals": f"""WITH {_H}, c AS (SELECT *, {_TEXT(_BODY)} AS txt FROM h),
-d AS (SELECT *, list_max(list_transform(list_concat(regexp_extract_all(html, '"date(?:Published|Modified)"\\s*:\\s*"(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), regexp_extract_all(html, '(?i)<meta[^>]+property=["'']article:(?:published|modified)_time["''][^>]+content=["''](\\d{{4}}-\\d{{2}}-\\d{{2}})', 1)), lambda x: try_cast(x AS DATE))) AS at_ FROM c)
-SELECT page_id, (page_id % 8 = 0)::INT AS structured_data,
-  (len(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[23]\\b[^>]*>(.*?)</h[23]>', 1), lambda x: {_TEXT('x')}), lambda x: regexp_matches(x, '{op.QUESTION}(?:[^\\p{{L}}]|$)') OR regexp_matches(x, '\\?\\s*$'))) > 0)::INT AS question_headings,
-  regexp_matches(txt, '{fx.STATISTIC}')::INT AS stated_figure, (page_id % 6 < 2)::INT AS summary_block, (page_id % 7 IN (0, 2, 3))::INT AS listicle,
-  coalesce(CASE page_id % 3 WHEN 0 THEN regexp_matches(txt, '{_Q['en']}') WHEN 2 THEN regexp_matches(txt, '{_Q['en']}') OR regexp_matches(txt, '{_Q['es']}') END::INT, -1) AS definition,
-  (at_ IS NOT NULL)::INT AS dated, CASE WHEN at_ IS NULL THEN -1 ELSE (greatest(0, DATE '2024-06-01' - at_) <= 365)::INT END AS recent, (length(txt) > 300)::INT AS static_copy,
-  len(list_filter(string_split(txt, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')))::INT AS words FROM d""",
     "page_vertical": f"""WITH {_H}, l AS (SELECT page_id, lower(html[:40000]) AS t FROM h)
 SELECT page_id, CASE WHEN page_id % 10 = 1 THEN 'local' WHEN page_id % 10 = 0 THEN 'saas' {" ".join(f"WHEN {_W(words)} THEN '{name}'" for name, words in op.VERTICAL_WORDS)} ELSE 'generic' END AS vertical FROM l""",
     "uncrawlable_links": """SELECT page_id, 'anchor without an address' AS reason, 1 AS n FROM pages WHERE page_id % 4 IN (0, 2) UNION ALL SELECT page_id, 'router attribute without an address', 1 FROM pages WHERE page_id % 4 = 2

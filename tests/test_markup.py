@@ -53,13 +53,8 @@ def test_security_without_https(spark):
     assert [(r.score, r.max, r.grade) for r in markup.security(df, "k").orderBy("k").collect()] == [(94.0, 94.0, "A+"), (74.0, 74.0, "A+"), (0.0, 94.0, "F")]
 
 
-def test_signals(spark):
-    html = '<nav>Can I?</nav><article><h2>Is it soup</h2><h3>Island</h3><ol><li>1<li>2<li>3</ol>Soup is a dish.</article><script type="application/ld+json">{"datePublished":"2024-02-01"}</script>'
-    df = spark.createDataFrame([(1, html, "en"), (2, None, None)], "page_id long, html string, lang string")
-    a, b = signals.landing_signals(df, "2024-03-01").orderBy("page_id").collect()
-    assert a.structured_data and a.question_headings and a.listicle and a.definition and a.dated and a.recent and not a.static_copy
-    assert not (b.structured_data or b.question_headings or b.listicle or b.dated) and b.recent is None and b.words == 0
-    assert df.select(signals.question_headings(F.col("html")).alias("n")).first().n == 1
+def test_mentions(spark):
+    df = spark.range(1)
     assert df.select(signals.mentions(F.lit("We like SOUP_1, soup!"), "soup").alias("x"), signals.mentions(F.lit("soups soup_"), "soup").alias("y")).first() == (True, False)
 
 
