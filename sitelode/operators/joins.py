@@ -115,14 +115,24 @@ def lastmod(sitemap: DataFrame, search: DataFrame, crawls: DataFrame, key: str =
     return rows.select(key, "lastmod", F.col("impressions"), "crawled_at", state.alias("state"))
 
 
-def vitals_by_traffic(search: DataFrame, page_vitals: DataFrame, origin_vitals: DataFrame, limit: float = 2500.0) -> DataFrame:
-    """search: url_key, host_key, clicks. A page's own reading is ranked by clicks times its excess over the limit; an
-    origin's stands in but is never ranked; neither is not measured."""
-    rows = search.join(page_vitals, "url_key", "left").join(origin_vitals, "host_key", "left")
-    value = F.coalesce("page_value", "origin_value")
-    basis = F.when(F.col("page_value").isNotNull(), "page").when(F.col("origin_value").isNotNull(), "origin").otherwise("not measured")
-    excess = F.when(F.col("page_value") <= limit, 0.0).otherwise(F.col("page_value") / limit - 1)
-    return rows.select("url_key", "clicks", basis.alias("basis"), value.alias("value"), (F.col("clicks") * excess).alias("impact"))
+#: The ceilings under which a vital is good, in milliseconds and as a score.
+GOOD = {"lcp": 2500.0, "inp": 200.0, "cls": 0.1}
+
+
+def vitals_by_traffic(search: DataFrame, page_vitals: DataFrame, origin_vitals: DataFrame) -> DataFrame:
+    """search plus basis, lcp, inp, cls, distance, impact. search: url_key, host_key, clicks; vitals: a key, lcp, inp, cls.
+
+    distance is how far a page's own vitals are above their ceilings, each as a share of its ceiling, summed; one without a
+    reading adds nothing. impact, clicks times distance, is null where there is nothing to rank: for pages that are above
+    none, for an origin's vitals, which only stand in, and where nothing was measured."""
+    own = page_vitals.select("url_key", F.struct(*GOOD).alias("own"))
+    whole = origin_vitals.select("host_key", F.struct(*GOOD).alias("whole"))
+    rows = search.join(own, "url_key", "left").join(whole, "host_key", "left")
+    basis = F.when(F.col("own").isNotNull(), "page").when(F.col("whole").isNotNull(), "origin").otherwise("not measured")
+    excess = [F.coalesce(F.greatest(F.col(f"own.{name}") / limit - 1, F.lit(0.0)), F.lit(0.0)) for name, limit in GOOD.items()]
+    distance = F.when(basis == "page", sum(excess[1:], excess[0]))
+    rows = rows.select("url_key", "clicks", basis.alias("basis"), F.coalesce("own", "whole").alias("v"), distance.alias("distance"))
+    return rows.select("url_key", "clicks", "basis", "v.*", "distance", F.when(F.col("distance") > 0, F.col("clicks") * F.col("distance")).alias("impact"))
 
 
 def overlapping(spans: DataFrame, first: str, last: str) -> DataFrame:

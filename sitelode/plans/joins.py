@@ -54,9 +54,11 @@ def _lastmod(s, d):
 
 def _vitals(s, d):
     search = _search(s, d).groupBy("url_key", "host_key").agg(F.sum("clicks").alias("clicks"))
-    own = page_keys(s, d).where(_p() % 2 == 1).groupBy("url_key").agg(F.max((_p() % 40 * 100).cast("double")).alias("page_value"))
-    origin = page_keys(s, d).where(_p() % 3 == 0).groupBy("host_key").agg(F.max((_p() % 40 * 100).cast("double")).alias("origin_value"))
-    return op.vitals_by_traffic(search, own, origin)
+    readings = [F.max(F.expr(f"CASE WHEN page_id % 8 <> {gap} THEN page_id % {n} * {step} END").cast("double")).alias(name) for name, n, step, gap in (("lcp", 40, 100, 1), ("inp", 30, 10, 3), ("cls", 25, 0.01, 5))]
+    own = page_keys(s, d).where(_p() % 2 == 1).groupBy("url_key").agg(*readings)
+    origin = page_keys(s, d).where(_p() % 3 == 0).groupBy("host_key").agg(*readings)
+    rows = op.vitals_by_traffic(search, own, origin)
+    return rows.select("url_key", "clicks", "basis", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("lcp", "inp", "cls", "distance", "impact")])
 
 
 def _spans(s, d):
@@ -119,10 +121,12 @@ SELECT assistant, blocked, sessions, blocked AND sessions > 0 AS at_risk FROM k
 SELECT url_key, lastmod, impressions, crawled_at, CASE WHEN crawled_at IS NULL THEN 'never crawled' WHEN read_as IS NULL THEN 'malformed'
   WHEN CASE WHEN contains(lastmod, 'T') THEN read_as > crawled_at ELSE read_as::DATE > crawled_at::DATE END THEN 'pending' ELSE 'consistent' END AS state
 FROM (SELECT *, CASE WHEN length(lastmod) = 7 THEN try_cast(lastmod || '-01' AS TIMESTAMP) WHEN lastmod <> '2024-1-9' THEN try_cast(lastmod AS TIMESTAMP) END AS read_as FROM sm) LEFT JOIN i USING (url_key) LEFT JOIN c USING (url_key)""",
-    "vitals_by_traffic": f"""WITH {_SE}, s AS (SELECT url_key, host_key, sum(clicks) AS clicks FROM se GROUP BY ALL), p AS (SELECT url_key, max((page_id % 40 * 100)::DOUBLE) AS pv FROM pk WHERE page_id % 2 = 1 GROUP BY 1),
-o AS (SELECT host_key, max((page_id % 40 * 100)::DOUBLE) AS ov FROM pk WHERE page_id % 3 = 0 GROUP BY 1)
-SELECT url_key, clicks, CASE WHEN pv IS NOT NULL THEN 'page' WHEN ov IS NOT NULL THEN 'origin' ELSE 'not measured' END AS basis, coalesce(pv, ov) AS value, clicks * CASE WHEN pv <= 2500 THEN 0 ELSE pv / 2500 - 1 END AS impact
-FROM s LEFT JOIN p USING (url_key) LEFT JOIN o USING (host_key)""",
+    "vitals_by_traffic": f"""WITH {_SE}, s AS (SELECT url_key, host_key, sum(clicks) AS clicks FROM se GROUP BY ALL),
+v AS (SELECT page_id, url_key, host_key, CASE WHEN page_id % 8 <> 1 THEN (page_id % 40 * 100)::DOUBLE END AS l, CASE WHEN page_id % 8 <> 3 THEN (page_id % 30 * 10)::DOUBLE END AS i, CASE WHEN page_id % 8 <> 5 THEN page_id % 25 * 0.01::DOUBLE END AS c FROM pk),
+p AS (SELECT url_key, max(l) AS l, max(i) AS i, max(c) AS c FROM v WHERE page_id % 2 = 1 GROUP BY 1), o AS (SELECT host_key, max(l) AS l, max(i) AS i, max(c) AS c FROM v WHERE page_id % 3 = 0 GROUP BY 1),
+d AS (SELECT s.url_key, clicks, CASE WHEN p.url_key IS NOT NULL THEN 'page' WHEN o.host_key IS NOT NULL THEN 'origin' ELSE 'not measured' END AS basis, CASE WHEN p.url_key IS NOT NULL THEN [p.l, p.i, p.c] ELSE [o.l, o.i, o.c] END AS x,
+  CASE WHEN p.url_key IS NOT NULL THEN greatest(coalesce(p.l, 0) - 2500, 0) / 2500 + greatest(coalesce(p.i, 0) - 200, 0) / 200 + greatest(coalesce(p.c, 0) - 0.1, 0) / 0.1 END AS distance FROM s LEFT JOIN p USING (url_key) LEFT JOIN o ON o.host_key = s.host_key)
+SELECT url_key, clicks, basis, round(coalesce(x[1], -1), 6) AS lcp, round(coalesce(x[2], -1), 6) AS inp, round(coalesce(x[3], -1), 6) AS cls, round(coalesce(distance, -1), 6) AS distance, CASE WHEN round(distance, 9) > 0 THEN round(clicks * distance, 6) ELSE -1 END AS impact FROM d""",
     "title_query_fit": f"""WITH {SQL['search']}, t AS (SELECT page, query, sum(impressions) AS i FROM search GROUP BY ALL), r AS (SELECT page, query, (row_number() OVER (PARTITION BY page ORDER BY i DESC, query))::INT AS rank, length(page) % 4 AS kind FROM t QUALIFY rank <= 3),
 w AS (SELECT *, list_filter(regexp_split_to_array('the best red widgets blue greens golden things of ' || string_split(replace(page, '-', '/'), '/')[-2] || ' ' || replace(string_split(page, '/')[-1], '-', ' '), '[^a-z0-9]+'), lambda x: x <> '') AS title, list_distinct(list_filter(string_split(query, ' '), lambda x: x <> '')) AS asked FROM r),
 m AS (SELECT *, list_filter(list_filter(string_split(query, ' '), lambda x: x <> ''), lambda q: len(list_filter(title, lambda t: t = q OR (length(q) >= 3 AND t IN (q || 's', q || 'es')) OR (length(t) >= 3 AND q IN (t || 's', t || 'es')))) = 0) AS lost FROM w)
