@@ -102,12 +102,12 @@ CALLS = (
 )
 
 
-def identity(of_pages: DataFrame) -> DataFrame:
+def identity(of_pages: DataFrame, keep: bool = False) -> DataFrame:
     """page_id, kind, is_root, depth. of_pages: page_id, url, types (declared schema types), og_type, dated_article (an article
     element with a date or byline), calls (clickable texts of the content that call to action).
 
     A locale alone or an index file is the root too, at depth 0. What a page declares is weighed with its path, in the
-    order faq, product, article, collection, profile, and landing for three calls to action."""
+    order faq, product, article, collection, profile, and landing for three calls to action. With keep all columns stay."""
     path = F.regexp_extract("url", r"^[^:]+://[^/?#]+([^?#]*)", 1)
     segments = F.filter(F.split(path, "/"), lambda p: p != "")
     segments = F.when((F.size(segments) == 1) & segments[0].rlike(r"(?i)^index\.(html?|php|aspx?)$"), F.array().cast("array<string>")).otherwise(segments)
@@ -122,7 +122,8 @@ def identity(of_pages: DataFrame) -> DataFrame:
         .when(declares(COLLECTION_TYPES), "collection").when(declares(PROFILE_TYPES) | (og == "profile"), "profile")
         .when(F.col("calls") >= 3, "landing").otherwise("generic")
     )
-    return of_pages.select("page_id", kind.alias("kind"), is_root.alias("is_root"), F.when(is_root, 0).otherwise(F.size(segments)).alias("depth"))
+    found = {"kind": kind, "is_root": is_root, "depth": F.when(is_root, 0).otherwise(F.size(segments))}
+    return of_pages.withColumns(found) if keep else of_pages.select("page_id", *[c.alias(name) for name, c in found.items()])
 
 
 def tally(checks: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,9 @@
 ``parsed()`` gives a row a page with the array ``nodes``: of each element its number in document order (``i``), its
 parent's, that of its last descendant, its tag, attributes, and where its text begins and ends in ``visible``, the page's
 visible text with white space collapsed. So an element's subtree is a range of numbers and its text a substring, and
-questions about pages are expressions over one row. ``node_table()`` has a row a node, for joins.
+questions about pages are expressions over one row. ``graph`` has the nodes that its JSON-LD declares, with their types and
+what they say as JSON texts; ``types`` all types in it, ``modified`` the first date of change, ``blocks`` how many blocks
+can be read. ``node_table()`` has a row a node, for joins.
 
 Tags, attributes, raw text and implied ends follow the html standard as far as they decide which text an element holds.
 Elements whose text no reader sees (code, embeds, those with the attribute ``hidden``) have ``shown`` false, as have
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sitelode.sources import jsonld
+
 #: Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title".split())
@@ -57,8 +61,9 @@ _CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _STREAMED = re.compile(r"(?:\S*[^A-Za-z])?S:\d+")
 _NODE = "i int, parent int, last int, tag string, attrs map<string,string>, start int, stop int, shown boolean, blank boolean, data string"
-SCHEMA = f"visible string, paragraphs array<string>, root int, body int, nodes array<struct<{', '.join(f.replace(' ', ':', 1) for f in _NODE.split(', '))}>>"
-COLUMNS = ("visible", "paragraphs", "root", "body", "nodes")
+_GRAPH = "graph array<struct<types:array<string>,node:map<string,string>>>, types array<string>, modified string, blocks int"
+SCHEMA = f"visible string, paragraphs array<string>, root int, body int, nodes array<struct<{', '.join(f.replace(' ', ':', 1) for f in _NODE.split(', '))}>>, {_GRAPH}"
+COLUMNS = ("visible", "paragraphs", "root", "body", "nodes", "graph", "types", "modified", "blocks")
 
 
 class Page:
@@ -253,6 +258,10 @@ class Page:
         """All text of an element. whole: the texts of the page in one."""
         return whole[slice(*self.raw_span[i])]
 
+    def linked_data(self) -> list[str]:
+        """The JSON-LD blocks."""
+        return [d for d, a in zip(self.data, self.attrs, strict=True) if d and a.get("type", "").strip().lower() == "application/ld+json"]
+
     def content_root(self) -> int:
         """The first element that holds the page's own copy, else the body."""
         for i, (tag, attrs, shown) in enumerate(zip(self.tag, self.attrs, self.shown, strict=True)):
@@ -294,7 +303,21 @@ def _columns(pages: list[Page]) -> list[pa.Array]:
     copy = [p.paragraphs(r) for p, r in zip(pages, roots, strict=True)]
     return [
         pa.array(["".join(t for _, t in p.pieces) for p in pages], pa.string()), _lists([len(c) for c in copy], pa.array([t for c in copy for t in c], pa.string())),
-        pa.array(roots, pa.int32()), pa.array([p.body for p in pages], pa.int32()), _lists(sizes, nodes),
+        pa.array(roots, pa.int32()), pa.array([p.body for p in pages], pa.int32()), _lists(sizes, nodes), *_declared(pages),
+    ]
+
+
+def _declared(pages: list[Page]) -> list[pa.Array]:
+    """What JSON-LD says: the declared nodes, all types, the date of change, and how many blocks can be read."""
+    values = [jsonld.read(p.linked_data())[0] for p in pages]
+    nodes = [jsonld.declared(v) for v in values]
+    kinds, says = [[jsonld.clean(t) for t in jsonld.types_of(n)] for page in nodes for n in page], [jsonld.said(n) for page in nodes for n in page]
+    maps = pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, says)]), pa.int32()), pa.array([k for s in says for k in s], pa.string()), pa.array([v for s in says for v in s.values()], pa.string()))
+    graph = pa.StructArray.from_arrays([_lists([len(k) for k in kinds], pa.array([t for k in kinds for t in k], pa.string())), maps], ["types", "node"])
+    types = [jsonld.all_types(v) for v in values]
+    return [
+        _lists([len(n) for n in nodes], graph), _lists([len(t) for t in types], pa.array([t for page in types for t in page], pa.string())),
+        pa.array([jsonld.modified(v) for v in values], pa.string()), pa.array([len(v) for v in values], pa.int32()),
     ]
 
 

@@ -15,56 +15,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitelode.operators.markup import NODE_KEYS, REFERENCE_KEYS
+from sitelode.sources import jsonld
 from sitelode.sources.dom import Page
 
-_DEEPEST = 6
-_KEYS, _POINTER = frozenset(NODE_KEYS), frozenset(REFERENCE_KEYS)
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def loads(text: str):
-    """JSON by the letter: no NaN and no infinities."""
-    return json.loads(text, parse_constant=_no_constant)
-
-
-def typed_nodes(value) -> Iterator[dict]:
-    """The typed objects of a value, each before those inside it."""
-    stack = [(value, 0)]
-    while stack:
-        value, depth = stack.pop()
-        if depth > _DEEPEST:
-            continue
-        if isinstance(value, list):
-            inner = value
-        elif isinstance(value, dict):
-            if value.get("@type"):
-                yield value
-            inner = [v for k, v in value.items() if k in _KEYS]
-        else:
-            continue
-        stack += [(v, depth + 1) for v in reversed(inner)]
-
-
-def _points(node: dict) -> bool:
-    return isinstance(node.get("@id"), str) and _POINTER.issuperset(node)
-
-
-def linked_data(blocks: list[str]) -> Iterator[dict | None]:
-    """The items of a page's JSON-LD blocks; None for one that can't be read."""
-    nodes = []
-    for block in blocks:
-        try:
-            nodes += typed_nodes(loads(block))
-        except (ValueError, RecursionError):
-            yield None
-    described = {n["@id"] for n in nodes if isinstance(n.get("@id"), str) and not _points(n)}
-    yield from (n for n in nodes if not (_points(n) and n["@id"] in described))
-
-
 def _put(item: dict, name: str, value) -> None:
     if name not in item:
         item[name] = value
@@ -101,8 +54,9 @@ def scoped(page: Page, whole: str, scope: str, kind: str, name: str, nested: boo
 
 
 def _items(page: Page, nested: bool) -> Iterator[tuple[str, dict | None]]:
-    blocks = [d for d, a in zip(page.data, page.attrs, strict=True) if d and a.get("type", "") == "application/ld+json"]
-    yield from (("json-ld", node) for node in linked_data(blocks))
+    values, broken = jsonld.read(page.linked_data())
+    yield from (("json-ld", None) for _ in range(broken))
+    yield from (("json-ld", node) for node in jsonld.declared(values))
     if any("itemscope" in a or "typeof" in a for a in page.attrs):
         whole = "".join(page.raw)
         yield from (("microdata", item) for item in scoped(page, whole, "itemscope", "itemtype", "itemprop", nested))
@@ -111,7 +65,7 @@ def _items(page: Page, nested: bool) -> Iterator[tuple[str, dict | None]]:
 
 def _read(batches: Iterator[pa.RecordBatch], nested: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(key, n, form, None if item is None else json.dumps(item, ensure_ascii=False)) for key, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, (form, item) in enumerate(_items(Page(html or ""), nested))]
+        rows = [(key, n, form, None if item is None else json.dumps(item)) for key, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, (form, item) in enumerate(_items(Page(html or ""), nested))]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int32(), pa.string(), pa.string()), strict=True)], ["key", "n", "format", "node"])
 
