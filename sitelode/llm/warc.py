@@ -20,8 +20,8 @@ Rows that repeat the smallest id of a payload are responses each. A null url is
 written as an empty one; other columns are ignored, whatever their names. Long
 payloads are one record each, however long; an empty table gives no archives and
 no rows. Numbers that fit no field (lengths, ids) make a record invalid or null,
-never an error. Copies of one payload meet in a join by its digest, whose hot
-partitions Spark's adaptive execution splits.
+never an error. Copies of one payload meet in a join by its digest; payloads that
+very many pages share are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import new_folder
+from sitelode.llm.common import materialize, new_folder
 
 _ID = "urn:sitelode:page:"
 _END = b"\r\n\r\n"
@@ -56,12 +56,24 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.upper(F.array_join(digits, "")), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _with_first(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """rows plus first_id, that of the first page with the payload. Only payloads that come again are joined; those of more than a
+    thousandth of their pages, a thousand payloads at most, by broadcast, so that no task gets all copies of one."""
+    again = materialize(copies.where("n > 1"), "payloads")
+    total = again.agg(F.sum("n")).first()[0]
+    if not total:
+        return rows.withColumn("first_id", F.lit(None).cast(copies.schema["first_id"].dataType))
+    hot = F.col("n") * 1000 > total
+    frequent, other = again.where(hot).drop("n"), again.where(~hot).drop("n")
+    rest = rows.join(F.broadcast(frequent.select("sha1")), "sha1", "left_anti").join(other, "sha1", "left")
+    return rows.join(F.broadcast(frequent), "sha1").unionByName(rest)
+
+
 def records(pages: DataFrame, revisit_from: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """record: the text of each page's WARC record, without the two empty lines that end it."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html")})
-    first = rows.where(F.col("bytes") >= revisit_from).groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(first, "sha1", "left")
+    rows = _with_first(rows, rows.where(F.col("bytes") >= revisit_from).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")))
     revisit = F.coalesce(F.col("page_id") > F.col("first_id"), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))

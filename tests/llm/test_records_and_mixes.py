@@ -195,6 +195,19 @@ def test_water_level(spark):
     assert got == {"a": 3.0, "b": 30.0, "c": 0.0, None: 78.0}
 
 
+def test_hot_payloads_are_not_shuffled(spark):
+    rows = [(i, f"u{i}", "hot" if i % 3 else f"own {i % 900}") for i in range(6000)] + [(None, "n", "hot"), (7000, "z", None), (6999, "y", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(spark, warc.write(pages)).where("gap IS NULL").collect() if r.page_id is not None}
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    assert got == {i: ("response", None) if first[h or ""] == i else ("revisit", first[h or ""]) for i, _, h in rows if i is not None}
+    plan = warc.records(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "Ann has 5 apples and 5 pears. How many fruits does Ann have after 3 hours?"), (2, "short one"), (3, None), (4, ""), (1, None)], "item_id long, text string")
     rows = [
