@@ -198,3 +198,10 @@ def calendar_months(as_of: date, count: int, lag: int = 3, retention: int = 480)
     oldest = as_of - timedelta(days=retention)
     firsts = [date((index - k) // 12, (index - k) % 12 + 1, 1) for k in range(count, 0, -1)]
     return [f"{d:%Y-%m}" for d in firsts if d >= oldest]
+
+
+def complete_months(as_of: Column, count: int, lag: int = 3, retention: int = 480) -> Column:
+    """calendar_months() of a day in a column, as an array; null for no day."""
+    held = F.trunc(F.date_sub(as_of, lag), "month")
+    firsts = F.sequence(F.add_months(held, -count), F.add_months(held, -1), F.expr("INTERVAL 1 MONTH"))
+    return F.transform(F.filter(firsts, lambda d: d >= F.date_sub(as_of, retention)), lambda d: F.date_format(d, "yyyy-MM"))

@@ -49,7 +49,7 @@ QUERIES = {
     "peaks": lambda s, d: op.peaks(_page_month(s, d), "page", "month", "clicks"),
     "missing_months": lambda s, d: op.missing(_page_month(s, d), "page", "month", [f"{y}-{m:02d}" for y in range(1994, 2002) for m in range(1, 13)]),
     "year_over_year": lambda s, d: op.year_over_year(_page_month(s, d), "page", "month", "clicks"),
-    "calendar_months": lambda s, d: s.createDataFrame([(m,) for m in op.calendar_months(date(2026, 9, 24), 12)], "month string"),
+    "calendar_months": lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", F.explode(op.complete_months(F.col("day"), 20)).alias("month")),
     "events_by_hour": lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("hour"), "event_type", "n", "value"),
     "crawl_freshness": lambda s, d: op.freshness(event_rows(s, d), "event_type", "ts", "2024-02-10", 30),
 }
@@ -93,7 +93,8 @@ SELECT p.page, s.month FROM (SELECT DISTINCT page FROM pm) p CROSS JOIN spine s
 t AS (SELECT page, max(clicks) FILTER (m = top) AS latest, max(clicks) FILTER (m = top - 12) AS year_ago, sum(clicks) FILTER (m > top - 12) AS s1, count(*) FILTER (m > top - 12) AS n1,
   sum(clicks) FILTER (m BETWEEN top - 23 AND top - 12) AS s2, count(*) FILTER (m BETWEEN top - 23 AND top - 12) AS n2 FROM m GROUP BY page)
 SELECT page, latest, year_ago, (latest - year_ago) / nullif(year_ago, 0) AS change, CASE WHEN n1 = 12 AND n2 = 12 THEN s1 END AS last_12, CASE WHEN n1 = 12 AND n2 = 12 THEN s2 END AS prior_12 FROM t""",
-    "calendar_months": "SELECT strftime(unnest(generate_series(DATE '2025-09-01', DATE '2026-08-01', INTERVAL 1 MONTH)), '%Y-%m') AS month",
+    "calendar_months": """WITH m AS (SELECT DISTINCT o_orderdate::DATE AS day, date_trunc('month', o_orderdate::DATE - 3) - n * INTERVAL 1 MONTH AS first FROM orders, unnest(range(1, 21)) AS k(n))
+SELECT day, strftime(first, '%Y-%m') AS month FROM m WHERE first >= day - 480""",
     "events_by_hour": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL",
     "crawl_freshness": """WITH a AS (SELECT event_type, (DATE '2024-02-10' - ts::DATE)::INT AS age FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY age) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM a)
 SELECT event_type, min(age) AS youngest, max(age) FILTER (i = n // 2 + 1) AS median_age, max(age) AS oldest, count(*) FILTER (age > 30) AS stale, count(*) AS rated FROM r GROUP BY event_type""",
