@@ -1,22 +1,21 @@
 """What pages declare: structured data, language alternates, canonical addresses, security headers and what bars them from the index.
 
-Structured data is walked by array expressions, a level of nesting at a time, so a page is one row throughout and nothing
-is shuffled. Null and malformed JSON declares nothing.
+Structured data is read once a page or node, by a function over batches, and judged by expressions; a page is one row
+throughout and nothing is shuffled. Null and malformed JSON declares nothing.
 """
 
 from __future__ import annotations
 
+from json import dumps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from sitelode.functions import text, urls
+from sitelode.sources import jsonld
 
-#: Keys under which a node's own nodes are looked for.
-NODE_KEYS = (
-    "@graph author publisher creator mainEntity mainEntityOfPage itemListElement item about offers brand hasPart isPartOf review aggregateRating breadcrumb"
-).split()
-#: Keys that say nothing about the thing itself.
-REFERENCE_KEYS = ("@id", "@type", "@context")
 #: What a node of a type must have, and what it should.
 REQUIRED = {
     "Organization": "@type name url", "LocalBusiness": "@type name address telephone", "Article": "@type headline author datePublished publisher",
@@ -29,7 +28,6 @@ RECOMMENDED = {
     "Organization": "logo contactPoint sameAs", "LocalBusiness": "image priceRange openingHours", "Article": "image dateModified", "Product": "brand sku aggregateRating",
     "Person": "url image jobTitle", "Review": "reviewRating datePublished", "Event": "endDate organizer performer",
 }
-_LEVELS = 7
 _NONE = "array<string>"
 
 
@@ -43,29 +41,28 @@ def _elements(json: Column) -> Column:
     return F.when(F.ltrim(json).startswith("["), F.coalesce(F.from_json(json, _NONE), F.array().cast(_NONE))).otherwise(one)
 
 
-def _below(json: Column) -> Column:
-    walked = F.filter(F.map_values(F.map_filter(_object(json), lambda k, _: k.isin(NODE_KEYS))), lambda v: v.isNotNull())
-    inner = F.when(F.ltrim(json).startswith("["), _elements(json)).when(F.ltrim(json).startswith("{"), walked)
-    return F.coalesce(inner, F.array().cast(_NONE))
-
-
 def _types(json: Column) -> Column:
     return _elements(_object(json)["@type"])
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _declared(blocks: pa.Array) -> pa.Array:
+    """The declared nodes of pages' JSON-LD blocks as JSON texts; each block is read once."""
+    rows = [jsonld.declared(jsonld.read([b for b in page or [] if b is not None])[0]) for page in blocks.to_pylist()]
+    return pa.array([[dumps(n) for n in nodes] for nodes in rows], pa.list_(pa.string()))
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def fields(nodes: pa.Array) -> pa.Array:
+    """A node's fields: texts as they are, null for null, everything else as a JSON text; null for what is no object."""
+    found = [jsonld.fields(n) for n in nodes.to_pylist()]
+    return pa.array([None if f is None else list(f.items()) for f in found], pa.map_(pa.string(), pa.string()))
+
+
 def declared_nodes(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
-    """pages plus nodes: every typed node of its JSON-LD blocks (an array of JSON texts), seven levels deep, without those that
+    """pages plus nodes: every typed node of its JSON-LD blocks (an array of JSON texts), six levels deep, without those that
     only point at a node described elsewhere on the page. A pointer to nothing stays."""
-    rows = pages.withColumn("_0", F.coalesce(F.col(blocks), F.array().cast(_NONE)))
-    for level in range(1, _LEVELS):
-        rows = rows.withColumn(f"_{level}", F.flatten(F.transform(F.col(f"_{level - 1}"), _below)))
-    every = F.concat(*[F.col(f"_{level}") for level in range(_LEVELS)])
-    typed = F.filter(every, lambda v: F.ltrim(v).startswith("{") & F.coalesce(_object(v)["@type"].isNotNull(), F.lit(False)))
-    rows = rows.withColumn("_typed", typed)
-    points = lambda v: _object(v)["@id"].isNotNull() & F.forall(F.map_keys(_object(v)), lambda k: k.isin(list(REFERENCE_KEYS)))
-    rows = rows.withColumn("_described", F.array_compact(F.transform(F.filter("_typed", lambda v: ~points(v)), lambda v: _object(v)["@id"])))
-    nodes = F.filter("_typed", lambda v: ~F.coalesce(points(v) & F.array_contains("_described", _object(v)["@id"]), F.lit(False)))
-    return rows.withColumn("nodes", nodes).drop(*[f"_{level}" for level in range(_LEVELS)], "_typed", "_described")
+    return pages.withColumn("nodes", _declared(F.col(blocks)))
 
 
 def declared_types(nodes: Column) -> Column:
@@ -84,7 +81,7 @@ def _lists(table: dict[str, str]) -> Column:
 
 def validate(nodes: DataFrame, key: str, column: str = "node") -> DataFrame:
     """key, type (the first of a node's), errors and warnings in order, valid. nodes: a JSON text a row."""
-    rows = nodes.select(key, _object(F.col(column)).alias("m"), F.try_element_at(_types(F.col(column)), F.lit(1)).alias("type"))
+    rows = nodes.select(key, fields(F.col(column)).alias("m")).withColumn("type", F.try_element_at(_elements(F.col("m")["@type"]), F.lit(1)))
     m, kind = F.col("m"), F.col("type")
     none = F.array().cast(_NONE)
     lacking = lambda table, words: F.transform(F.filter(F.coalesce(_lists(table)[kind], none), lambda f: ~_has(m, f)), lambda f: F.concat(F.lit(words), f))

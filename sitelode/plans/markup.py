@@ -102,7 +102,7 @@ QUERIES = {
     "page_headings": lambda s, d: op.headings(table(s, d, "pages").select("page_id", F.expr(_DEEPER).alias("html"))).withColumn("parent", F.coalesce("parent", F.lit(-1))),
 }
 
-_KEYS = ", ".join(f"'{k}'" for k in op.NODE_KEYS)
+_KEYS = "'@graph', 'author', 'publisher', 'creator', 'mainEntity', 'mainEntityOfPage', 'itemListElement', 'item', 'about', 'offers', 'brand', 'hasPart', 'isPartOf', 'review', 'aggregateRating', 'breadcrumb'"
 _N = f"""RECURSIVE b AS (SELECT p_partkey, unnest(list_filter([{_GRAPH}, {_SECOND}], lambda x: x IS NOT NULL AND json_valid(x))) AS j FROM part),
 w(p_partkey, depth, v) AS (SELECT p_partkey, 0, j::JSON FROM b UNION ALL
   SELECT p_partkey, depth + 1, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN json_type(v) = 'OBJECT' THEN list_transform(list_filter(json_keys(v), lambda k: k IN ({_KEYS})), lambda k: json_extract(v, '$."' || k || '"')) END) FROM w WHERE depth < 6),

@@ -96,3 +96,14 @@ def modified(values: list) -> str | None:
 def said(node: dict) -> dict[str, str]:
     """What a node says of itself, as JSON texts, without empty values."""
     return {clean(k): json.dumps(v) for k, v in node.items() if v or isinstance(v, dict | list)}
+
+
+def fields(text: str | None) -> dict[str, str | None] | None:
+    """An object's fields: texts as they are, null for null, everything else as a JSON text; null for what is no object."""
+    try:
+        node = loads(text or "")
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(node, dict):
+        return None
+    return {clean(k): clean(v) if isinstance(v, str) else None if v is None else json.dumps(v) for k, v in node.items()}
