@@ -4,7 +4,7 @@
 parent's, that of its last descendant, its tag, attributes, and where its text begins and ends in ``visible``, the page's
 visible text with white space collapsed. So an element's subtree is a range of numbers and its text a substring, and
 questions about pages are expressions over one row. ``graph`` has the nodes that its JSON-LD declares, with their types and
-what they say as JSON texts; ``types`` all types in it, ``modified`` the first date of change, ``blocks`` how many blocks
+what they say as JSON texts; ``types`` all types in it, ``modified`` the first date of change, ``stated`` the first date of any kind, ``blocks`` how many blocks
 can be read. ``node_table()`` has a row a node, for joins.
 
 Tags, attributes, raw text and implied ends follow the html standard as far as they decide which text an element holds.
@@ -61,9 +61,9 @@ _CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _STREAMED = re.compile(r"(?:\S*[^A-Za-z])?S:\d+")
 _NODE = "i int, parent int, last int, tag string, attrs map<string,string>, start int, stop int, shown boolean, blank boolean, data string"
-_GRAPH = "graph array<struct<types:array<string>,node:map<string,string>>>, types array<string>, modified string, blocks int"
+_GRAPH = "graph array<struct<types:array<string>,node:map<string,string>>>, types array<string>, modified string, stated string, blocks int"
 SCHEMA = f"visible string, paragraphs array<string>, root int, body int, nodes array<struct<{', '.join(f.replace(' ', ':', 1) for f in _NODE.split(', '))}>>, {_GRAPH}"
-COLUMNS = ("visible", "paragraphs", "root", "body", "nodes", "graph", "types", "modified", "blocks")
+COLUMNS = ("visible", "paragraphs", "root", "body", "nodes", "graph", "types", "modified", "stated", "blocks")
 
 
 class Page:
@@ -317,7 +317,7 @@ def _declared(pages: list[Page]) -> list[pa.Array]:
     types = [jsonld.all_types(v) for v in values]
     return [
         _lists([len(n) for n in nodes], graph), _lists([len(t) for t in types], pa.array([t for page in types for t in page], pa.string())),
-        pa.array([jsonld.modified(v) for v in values], pa.string()), pa.array([len(v) for v in values], pa.int32()),
+        pa.array([jsonld.modified(v) for v in values], pa.string()), pa.array([jsonld.stated(v) for v in values], pa.string()), pa.array([len(v) for v in values], pa.int32()),
     ]
 
 

@@ -93,6 +93,13 @@ def modified(values: list) -> str | None:
     return next((clean(str(x["dateModified"])) for x in tops if x.get("dateModified")), None)
 
 
+def stated(values: list) -> str | None:
+    """The first date of change or else of publication that a block, or an element of one that is a list, states itself as a text."""
+    tops = [x for v in values for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)]
+    dates = (x["dateModified"] if x.get("dateModified") is not None else x.get("datePublished") for x in tops)
+    return next((clean(d) for d in dates if isinstance(d, str) and d.strip()), None)
+
+
 def said(node: dict) -> dict[str, str]:
     """What a node says of itself, as JSON texts, without empty values."""
     return {clean(k): json.dumps(v) for k, v in node.items() if v or isinstance(v, dict | list)}
