@@ -214,6 +214,27 @@ def allowed(paths: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:
     return allowed_for(paths, rules_, agents).drop("crawler")
 
 
+def robots_access(rules_: DataFrame, agents: DataFrame) -> DataFrame:
+    """host, crawler, blocked (the whole site), restrictions (the patterns that bar a path, in order): of each crawler whose rules a host
+    declares, by name or for all."""
+    own = groups_of(rules_, agents)
+    barred = F.when((F.col("kind") == "disallow") & (F.col("pattern") != ""), F.col("pattern"))
+    listed = own.groupBy("host", "crawler").agg(F.array_sort(F.collect_set(barred)).alias("restrictions"))
+    root = allowed_for(rules_.select("host", F.lit("/").alias("path")).distinct(), rules_, agents)
+    return listed.join(root, ["host", "crawler"]).select("host", "crawler", (~F.col("allowed")).alias("blocked"), "restrictions")
+
+
+def robots_status(status: Column) -> Column:
+    """What an answer says of a site's rules: absent for 404 and 410, read for 200 to 299, unavailable for all else."""
+    return F.when(status.isin(404, 410), "absent").when(status.between(200, 299), "read").otherwise("unavailable")
+
+
+def presence(platforms: DataFrame, key: str) -> DataFrame:
+    """key, answered, found, unchecked: on how many platforms a brand was found, of those that answered. platforms: key, found
+    (null: no answer)."""
+    return platforms.groupBy(key).agg(F.count("found").alias("answered"), F.count_if("found").alias("found"), F.count_if(F.col("found").isNull()).alias("unchecked"))
+
+
 def crawl_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth: the fewest links from a root. The frontier goes on by joins until nothing new is found; each level is
     written to the checkpoint folder, so a lost executor costs one level."""

@@ -95,3 +95,8 @@ def funnel(events: DataFrame, steps: list[str], first: str, last: str) -> DataFr
     table = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("event"), F.col(f"n{i}").alias("users"), (F.col(f"n{i - 1}") if i else F.col("n0")).alias("before"), F.col("n0").alias("entered")) for i, s in enumerate(steps)])
     rate = F.try_divide("users", "before")
     return reached.select(F.inline(table)).select("step", "event", "users", rate.alias("completion"), (F.col("before") - F.col("users")).alias("abandoned"), F.try_divide("users", "entered").alias("end_to_end"))
+
+
+def busiest_landings(rows: DataFrame, limit: int) -> DataFrame:
+    """Landings by key events, then sessions, then page: the first `limit`, in order."""
+    return rows.orderBy(F.desc("key_events"), F.desc("sessions"), F.asc_nulls_last("landing_page")).limit(limit)

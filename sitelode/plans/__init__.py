@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("search", "history", "joins", "sessions", "text", "pages", "markup", "inspection", "signals", "readable", "graphs", "entities", "scores", "declarations", "payloads")
+FAMILIES = ("search", "history", "joins", "sessions", "text", "pages", "markup", "inspection", "signals", "readable", "graphs", "entities", "scores", "declarations", "payloads", "answers")
 
 
 def _all(what: str) -> dict:

@@ -100,3 +100,92 @@ def pageviews(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
     rows = answers.select(key, F.from_json(body, "items array<struct<timestamp:string,views:double>>").alias("a")).select(key, F.inline("a.items"))
     stamp: Column = F.col("timestamp")
     return rows.where(stamp.rlike(r"^\d{8,10}$") & (F.col("views") >= 0)).select(key, F.concat_ws("-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2)).alias("month"), "views")
+
+
+def addresses(rows: DataFrame, key: str, status: int | None = None, mimetype: str | None = None, limit: int = 1000) -> DataFrame:
+    """Of an archive's captures the first of each address, by its key in the archive, in the order of those keys; `limit` of them an
+    answer, as the archive itself gives. Captures of another status or kind are left out before."""
+    for column, value in (("status", status), ("mimetype", mimetype)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    first = rows.groupBy(key, "urlkey").agg(F.min(F.struct("timestamp", "original", "digest")).alias("f")).select(key, "urlkey", "f.*")
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("urlkey"))).where(F.col("_n") <= limit).drop("_n")
+
+
+def report_totals(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, metric, total: what a report says its metrics sum up to over all rows, also those that it left out; null if that is no
+    number. Reports that were not asked for totals have none."""
+    r = _report(answers, key, body).select(key, F.transform("r.metricHeaders", lambda h: F.coalesce(h["name"], F.lit(""))).alias("m"), F.get("r.totals", F.lit(0))["metricValues"].alias("t"))
+    return r.select(key, F.posexplode("m").alias("at", "metric"), "t").where(F.col("t").isNotNull()).select(key, "metric", F.get("t", F.col("at"))["value"].try_cast("double").alias("total"))
+
+
+def vitals_history(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, metric, at, period_end, p75, good: a row per rated metric and collection period. Gaps are null, as are numbers that are none;
+    a period that states no day has no end."""
+    kind = "map<string,struct<percentilesTimeseries:struct<p75s:array<string>>,histogramTimeseries:array<struct<densities:array<string>>>>>"
+    rows = answers.select(key, F.from_json(body, f"record struct<collectionPeriods:array<struct<lastDate:struct<year:int,month:int,day:int>>>,metrics:{kind}>").alias("a"))
+    rows = rows.select(key, F.col("a.record.collectionPeriods").alias("periods"), F.explode("a.record.metrics").alias("name", "v"))
+    name = F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair])[F.col("name")]
+    number = lambda c: F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    good = F.get("v.histogramTimeseries", F.lit(0))["densities"]
+    longest = F.greatest(F.coalesce(F.size("v.percentilesTimeseries.p75s"), F.lit(0)), F.coalesce(F.size(good), F.lit(0)))
+    at = rows.select(key, name.alias("metric"), "periods", "v", good.alias("good"), F.explode(F.when(longest > 0, F.sequence(F.lit(0), longest - 1))).alias("at")).where("metric IS NOT NULL")
+    last = F.get("periods", F.col("at"))["lastDate"]
+    return at.select(key, "metric", "at", F.format_string("%04d-%02d-%02d", last["year"], last["month"], last["day"]).try_cast("date").alias("period_end"), number(F.get("v.percentilesTimeseries.p75s", F.col("at"))).alias("p75"), number(F.get("good", F.col("at"))).alias("good"))
+
+
+_SCORE = "open_page_rank double, found boolean, rank double, referring_domains double"
+_SCORES = f"as_of string, results array<struct<domain:string,{_SCORE.replace(', ', ',').replace(' ', ':')},history:array<struct<date:string,open_page_rank:double,estimated:boolean>>>>"
+
+
+def _scale(score: Column) -> Column:
+    """A score from 0 to 10, null for anything else."""
+    return F.when(score.between(0, 10), score)
+
+
+def domain_scores(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, as_of, domain, found, score, rank, referring_domains: a row per domain of an answer. A domain is found only with a score."""
+    rows = answers.select(key, F.from_json(body, _SCORES).alias("a")).select(key, "a.as_of", F.explode("a.results").alias("r")).where("r.domain IS NOT NULL")
+    score, count = _scale(F.col("r.open_page_rank")), lambda c: F.when(F.col(f"r.{c}") >= 0, F.col(f"r.{c}").cast("long"))
+    return rows.select(key, "as_of", F.lower("r.domain").alias("domain"), F.coalesce(F.col("r.found") & score.isNotNull(), F.lit(False)).alias("found"), score.alias("score"), count("rank").alias("rank"), count("referring_domains").alias("referring_domains"))
+
+
+def domain_score_history(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, domain, date, score, estimated: the points of a domain's history that have a score."""
+    rows = answers.select(key, F.from_json(body, _SCORES).alias("a")).select(key, F.explode("a.results").alias("r")).where("r.domain IS NOT NULL").select(key, F.lower("r.domain").alias("domain"), F.explode("r.history").alias("h"))
+    return rows.select(key, "domain", "h.date", _scale(F.col("h.open_page_rank")).alias("score"), F.coalesce("h.estimated", F.lit(False)).alias("estimated")).where("date IS NOT NULL AND score IS NOT NULL")
+
+
+def entities(answers: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, place, name, type, salience, mentions (different texts, as they come), proper (whether one of them is a name): what a
+    language service found in a text. Entities without a name or a salience are left out."""
+    kind = "entities array<struct<name:string,type:string,salience:double,mentions:array<struct<text:struct<content:string>,type:string>>>>"
+    rows = answers.select(key, F.from_json(body, kind).alias("a")).select(key, F.posexplode("a.entities").alias("place", "e"))
+    said = F.filter(F.transform("e.mentions", lambda m: m["text"]["content"]), lambda t: F.trim(t) != "")
+    proper = F.coalesce(F.exists("e.mentions", lambda m: F.coalesce(m["type"] == "PROPER", F.lit(False))), F.lit(False))
+    rows = rows.select(key, "place", F.trim("e.name").alias("name"), F.coalesce("e.type", F.lit("UNKNOWN")).alias("type"), F.col("e.salience").alias("salience"), F.coalesce(F.array_distinct(said), F.array().cast("array<string>")).alias("mentions"), proper.alias("proper"))
+    return rows.where((F.col("name") != "") & F.col("salience").isNotNull() & ~F.isnan("salience"))
+
+
+#: Where a site's sitemaps are looked for, the first that names any deciding.
+ROOT_SOURCES = ("argument", "search-console", "robots.txt", "convention")
+
+
+def sitemap_roots(origins: DataFrame, named: DataFrame) -> DataFrame:
+    """origin, url, source: the sitemaps to begin with. origins: origin; named: origin, url, source, one of the first three of
+    ROOT_SOURCES. Without any a site has the file that convention puts at its root."""
+    rank = F.array_position(F.array(*map(F.lit, ROOT_SOURCES)), F.col("source"))
+    known = named.where(F.col("url").isNotNull() & (F.col("url") != "") & (rank > 0)).select("origin", "url", "source", rank.alias("rank")).distinct()
+    best = known.groupBy("origin").agg(F.min("rank").alias("rank"))
+    rows = origins.distinct().join(best, "origin", "left").join(known, ["origin", "rank"], "left")
+    convention = F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/sitemap.xml"))
+    return rows.select("origin", F.coalesce("url", convention).alias("url"), F.coalesce("source", F.lit("convention")).alias("source"))
+
+
+def field_source(pages: DataFrame, records: DataFrame, lab: DataFrame) -> DataFrame:
+    """url, source (record, lab, none), p75: where a page's field data come from. records: url, state (record, no-data, refused), p75;
+    lab: url, p75 of the field data that came with a lab run.
+
+    The record service decides: only where it refused to answer does the lab run's copy stand in."""
+    rows = pages.select("url").distinct().join(records, "url", "left").join(lab.select("url", F.col("p75").alias("_lab")), "url", "left")
+    source = F.when(F.col("state") == "record", "record").when((F.col("state") == "refused") & F.col("_lab").isNotNull(), "lab").otherwise("none")
+    return rows.select("url", source.alias("source"), F.when(source == "record", F.col("p75")).when(source == "lab", F.col("_lab")).alias("p75"))
