@@ -69,7 +69,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_sample(*toxicity.sample(docs, labels, remainder("id", 5) == 0))
-    return toxicity.score(docs, model, remainder("doc_id", 5) == 0)
+    return toxicity.score(docs, model, remainder("doc_id", 5) == 0, spans=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

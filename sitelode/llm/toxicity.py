@@ -10,7 +10,7 @@ likelihood; forward-backward marginals give each token's probability, and a
 logistic curve over a document's largest marginal and their sum gives its score.
 
 The model is fitted in one task on at most ``per_class`` labelled documents of either label
-of at most ``longest`` words, those whose ids hash lowest; scoring covers all whole
+of at most eight times ``longest`` characters, those whose ids hash lowest; scoring covers all whole
 texts. Null and empty texts get the score of a text without toxic tokens.
 Without labels of both kinds no token is toxic and the score is the share of
 toxic labels (0 if there are none). Long texts are scored whole. Repeated rows
