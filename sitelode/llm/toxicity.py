@@ -292,11 +292,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, at_leas
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
             texts = part.column(1).to_pylist()
-            if spans:
-                found = [list(_TOKEN.finditer(t or "")) for t in texts]
-                tokens = [[m[0] for m in ms] for ms in found]
-            else:
-                tokens = [tokens_of(t) for t in texts]
+            tokens = [tokens_of(t) for t in texts]
             lengths = np.array([len(ws) for ws in tokens], np.int64)
             e = np.array([v for ws in tokens for v in emissions(ws)])
             first = np.zeros(len(e), bool)
@@ -308,9 +304,13 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool, at_leas
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             arrays, names = [part.column(0), part.column(2), pa.array(score)], ["doc_id", "held_out", "score"]
             if spans:
-                flat = [(m.start(), m.end()) for ms in found for m in ms]
-                ends = np.cumsum(lengths)
-                out = [[{"start": flat[i][0], "end": flat[i][1], "p": float(p[i])} for i in range(hi - n, hi) if p[i] >= at_least] for hi, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                ends, out = np.cumsum(lengths), [[] for _ in texts]
+                hits = np.flatnonzero(p >= at_least)
+                of_doc = np.searchsorted(ends, hits, side="right")
+                for d in np.unique(of_doc).tolist():  # places are looked for in texts that have any
+                    found = [m.span() for m in _TOKEN.finditer(texts[d])]
+                    at = hits[of_doc == d]
+                    out[d] = [{"start": found[k][0], "end": found[k][1], "p": float(q)} for k, q in zip((at - ends[d] + lengths[d]).tolist(), p[at], strict=True)]
                 arrays.append(pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(arrays, names)
