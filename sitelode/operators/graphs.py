@@ -33,7 +33,18 @@ def resolved(location: Column, base: Column) -> Column:
     )
     host = F.lower(F.regexp_extract(out, r"(?i)^https?://[^/?#]*", 0))
     rest = F.substring(out, F.length(host) + 1, F.length(out))
-    return F.when(host == "", out).otherwise(F.concat(host, F.when(rest.rlike(r"^(?:[?#]|$)"), F.concat(F.lit("/"), rest)).otherwise(rest)))
+    way = F.regexp_extract(rest, r"^[^?#]*", 0)
+    rest = F.concat(F.when(way == "", "/").when(way.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _without_dots(way)).otherwise(way), F.substring(rest, F.length(way) + 1, F.length(rest)))
+    return F.when(host == "", out).otherwise(F.concat(host, rest))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose steps "." stay where they are and ".." go back, but not beyond the root."""
+    steps = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    back = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", back(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    ends_open = path.rlike(r"/\.{1,2}$")
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(ends_open & (F.size(walked) > 0), "/").otherwise(""))
 
 
 def _doubled(steps: DataFrame, most: int) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
 from sitelode.functions import text, urls
+from sitelode.operators.graphs import resolved
+from sitelode.operators.lineage import cut
 from sitelode.sources import jsonld
 
 #: What a node of a type must have, and what it should.
@@ -134,29 +136,59 @@ def hreflang_issues(alternates: DataFrame, pages: DataFrame) -> DataFrame:
 
     Languages must be real and alternates unique a language, a page must name itself, an alternate must be there and link
     back (x-default need not), and both sources must agree."""
-    tags = alternates.withColumns({"own": _origin_key(F.col("url")), "to": _origin_key(F.col("href"))})
-    issue = lambda df, kind, severity, lang="lang", href="href": df.select("url", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"), (F.col(href) if href else F.lit(None).cast("string")).alias("href"))
-    code = F.col("lang")
-    good = text.language_of(code).isNotNull()
-    out = issue(tags.where(~good), "invalid-code", "critical")
-    out = out.union(issue(tags.where(good & text.meant_region(code).isNotNull()), "code-is-a-country", "warning"))
-    of_page = tags.groupBy("url", "own").agg(F.count("*").alias("n"), F.max(F.col("to") == F.col("own")).alias("names_itself"), F.max(F.lower("lang") == "x-default").alias("has_default"))
-    out = out.union(issue(of_page.where(~F.col("names_itself")), "no-self-reference", "critical", None, None))
-    out = out.union(issue(of_page.where(~F.col("has_default") & (F.col("n") > 1)), "no-x-default", "warning", None, None))
-    out = out.union(issue(tags.groupBy("url", "lang").agg(F.count_distinct("href").alias("n")).where("n > 1"), "duplicate", "critical", "lang", None))
-    # a row per alternate address, as the first tag names it
-    first = tags.groupBy("url", "own", "to").agg(F.min_by(F.struct("lang", "href"), F.struct("source", "lang", "href")).alias("f")).select("url", "own", "to", "f.*")
-    read = pages.groupBy(_origin_key(F.col("url")).alias("to")).agg(F.max("status").alias("status"))
-    seen = first.join(read, "to", "left")
-    gone, answered = F.col("status").isin(404, 410), F.col("status").between(200, 399)
-    out = out.union(issue(seen.where(gone), "not-found", "critical")).union(issue(seen.where(~F.coalesce(gone | answered, F.lit(False))), "not-answered", "info"))
-    back = tags.where("source <> 'sitemap'").select(F.col("own").alias("to"), F.col("to").alias("own")).distinct()
-    to_check = seen.where(F.coalesce(answered, F.lit(False)) & (F.col("to") != F.col("own")) & (F.lower("lang") != "x-default"))
-    out = out.union(issue(to_check.join(back, ["to", "own"], "left_anti"), "no-link-back", "warning"))
+    tags = cut(alternates.withColumns({"own": _origin_key(F.col("url")), "to": _origin_key(F.col("href"))}))  # read by four groupings
+    none, is_default = F.lit(None).cast("string"), F.lower("lang") == "x-default"
+    row = lambda when, kind, severity, lang, href: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), lang.alias("lang"), href.alias("href")))
+    issues = lambda df, *found: df.select("url", F.inline(F.array_compact(F.array(*found))))
+    lang, href = F.col("lang"), F.col("href")
+    good = text.language_of(lang).isNotNull()
+    of_tag = issues(tags, row(~good, "invalid-code", "critical", lang, href), row(good & text.meant_region(lang).isNotNull(), "code-is-a-country", "warning", lang, href))
+
     pair = F.concat_ws(":", "lang", "href")
-    sets = tags.groupBy("url").agg(*[F.array_sort(F.collect_set(F.when(F.col("source") == s, pair))).alias(s) for s in ("html", "header", "sitemap")])
+    sets = [F.array_sort(F.collect_set(F.when(F.col("source") == s, pair))).alias(s) for s in ("html", "header", "sitemap")]
+    of_page = tags.groupBy("url", "own").agg(F.count("*").alias("n"), F.max(F.col("to") == F.col("own")).alias("names_itself"), F.max(is_default).alias("has_default"), *sets)
     differ = lambda other: (F.size("html") > 0) & (F.size(other) > 0) & (F.col("html") != F.col(other))
-    return out.union(issue(sets.where(differ("header")), "header-differs", "warning", None, None)).union(issue(sets.where(differ("sitemap")), "sitemap-differs", "info", None, None))
+    of_page = issues(
+        of_page, row(~F.col("names_itself"), "no-self-reference", "critical", none, none), row(~F.col("has_default") & (F.col("n") > 1), "no-x-default", "warning", none, none),
+        row(differ("header"), "header-differs", "warning", none, none), row(differ("sitemap"), "sitemap-differs", "info", none, none),
+    )
+    of_lang = tags.groupBy("url", "lang").agg(F.count_distinct("href").alias("n"))
+    of_lang = issues(of_lang, row(F.col("n") > 1, "duplicate", "critical", lang, none))
+
+    # a row per alternate address, as the first tag names it, with what was read there and whether it links back
+    first = tags.groupBy("url", "own", "to").agg(F.min_by(F.struct("lang", "href"), F.struct("source", "lang", "href")).alias("f")).select("url", "own", "to", "f.*")
+    read = pages.groupBy(_origin_key(F.col("url")).alias("to")).agg(F.max("status").alias("status"))
+    back = tags.where("source <> 'sitemap'").select(F.col("own").alias("to"), F.col("to").alias("own")).distinct().withColumn("_back", F.lit(True))
+    seen = first.join(read, "to", "left").join(back, ["to", "own"], "left")
+    gone, answered = F.coalesce(F.col("status").isin(404, 410), F.lit(False)), F.coalesce(F.col("status").between(200, 399), F.lit(False))
+    of_target = issues(
+        seen, row(gone, "not-found", "critical", lang, href), row(~(gone | answered), "not-answered", "info", lang, href),
+        row(answered & (F.col("to") != F.col("own")) & ~is_default & F.col("_back").isNull(), "no-link-back", "warning", lang, href),
+    )
+    return of_tag.unionByName(of_page).unionByName(of_lang).unionByName(of_target)
+
+
+def alternates_of(pages: DataFrame, sitemaps: DataFrame | None = None) -> DataFrame:
+    """url, lang, href, source: the language alternates that pages name in their head (html), in their answer's Link header (header), and
+    that sitemaps name for them, each address resolved against the page's.
+
+    pages: parsed, with url and link, the header's text; sitemaps: body. Tags without a language or an address name nothing."""
+    attr = lambda n, name: F.try_element_at(n["attrs"], F.lit(name))
+    rel = lambda r: F.array_contains(F.split(F.lower(F.coalesce(r, F.lit(""))), r"\s+"), "alternate")
+    tag = lambda lang, href, source: F.struct(F.trim(lang).alias("lang"), F.trim(href).alias("href"), F.lit(source).alias("source"))
+    head = F.transform(F.filter("nodes", lambda n: (n["tag"] == "link") & rel(attr(n, "rel"))), lambda n: tag(attr(n, "hreflang"), attr(n, "href"), "html"))
+    part = lambda x, name: F.coalesce(*[F.nullif(F.regexp_extract(x, rf"(?i);\s*{name}\s*=\s*{form}", 1), F.lit("")) for form in ('"([^"]*)"', '([^\\s",;]+)')])
+    linked = F.regexp_extract_all(F.coalesce("link", F.lit("")), F.lit(r"<[^>]*>[^<]*"), F.lit(0))
+    header = F.transform(F.filter(linked, lambda x: rel(part(x, "rel"))), lambda x: tag(part(x, "hreflang"), F.regexp_extract(x, "<([^>]*)>", 1), "header"))
+    rows = pages.select("url", F.inline(F.concat(head, header)))
+    if sitemaps is not None:
+        entry = sitemaps.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))).alias("x"))
+        value = lambda x, name: F.regexp_extract(x, rf"\b{name}\s*=\s*[\"']([^\"']*)", 1)
+        links = F.filter(F.regexp_extract_all("x", F.lit(r"<(?:\w+:)?link\b[^>]*>"), F.lit(0)), lambda x: rel(value(x, "rel")))
+        listed = entry.select(F.trim(F.regexp_extract("x", r"(?s)<loc>(.*?)</loc>", 1)).alias("url"), F.inline(F.transform(links, lambda x: tag(value(x, "hreflang"), value(x, "href"), "sitemap"))))
+        rows = rows.unionByName(listed.where("url <> ''"))
+    rows = rows.where("lang <> '' AND href <> ''")
+    return rows.select("url", "lang", F.coalesce(resolved(F.col("href"), F.col("url")), "href").alias("href"), "source")
 
 
 def country_gaps(impressions: DataFrame, languages: DataFrame, alternates: DataFrame, least: float = 100.0, least_share: float = 0.01) -> DataFrame:
@@ -165,7 +197,7 @@ def country_gaps(impressions: DataFrame, languages: DataFrame, alternates: DataF
 
     A country counts with a hundred impressions and a hundredth of all. It is served by an alternate in one of its languages
     for it or no region, else aimed elsewhere if there is one for other regions, else a gap; unknown if the table lacks it."""
-    t = impressions.groupBy("country").agg(F.sum("impressions").alias("impressions"))
+    t = cut(impressions.groupBy("country").agg(F.sum("impressions").alias("impressions")))  # a row a country, read four times
     whole = t.agg(F.sum("impressions").alias("_all"))
     t = t.crossJoin(F.broadcast(whole)).withColumn("share", F.col("impressions") / F.col("_all")).drop("_all")
     t = t.where((F.col("impressions") >= least) & (F.col("share") >= least_share)).join(languages, "country", "left")

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from sitelode.operators import markup
 from sitelode.operators import readable as op
 from sitelode.sources import dom, structured
 from sitelode.sources.dom import Page
@@ -120,3 +121,15 @@ def test_facts(spark):
     assert (one.title, one.description, one.canonical, one.charset, one.lang, one.h1, one.h2) == ("T", "D", "/c", "utf-8", "en", 1, 0)
     assert (one.internal, one.external, one.images, one.images_without_alt, one.og) == (2, 2, 3, 2, {"og:x": "2"}) and [tuple(h) for h in one.hreflang] == [("es", "/es")]
     assert (none.title, none.internal, none.images, none.og, none.hreflang) == (None, 0, 0, {}, [])
+
+
+def test_alternates_of_three_sources(spark):
+    html = '<link rel="Alternate stylesheet" hreflang=es href="../es"><link rel=alternate hreflang=de><link rel=canonical hreflang=fr href=/fr><a rel=alternate hreflang=it href=/it>'
+    link = '<https://y.example>; rel="alternate"; hreflang="x-default", <?q=1>;REL=alternate;hreflang=pt, </z>; rel=next'
+    pages = spark.createDataFrame([("https://x.example/a/b?c", html, link), ("https://x.example/n", None, None)], "url string, html string, link string")
+    body = '<urlset><url><loc>https://x.example/s</loc><xhtml:link rel="alternate" hreflang="en" href="/en"/><xhtml:link rel=\'alternate\' hreflang=\'fr\' href=\'https://f.example/\'></xhtml:link><link hreflang="no" href="/no"/></url></urlset>'
+    got = markup.alternates_of(dom.parsed(pages, keep=("url", "link")), spark.createDataFrame([(body,), (None,), ("x",)], "body string")).collect()
+    assert sorted((r.source, r.url.rsplit("/", 1)[1], r.lang, r.href) for r in got) == [
+        ("header", "b?c", "pt", "https://x.example/a/b?q=1"), ("header", "b?c", "x-default", "https://y.example/"), ("html", "b?c", "es", "https://x.example/es"),
+        ("sitemap", "s", "en", "https://x.example/en"), ("sitemap", "s", "fr", "https://f.example/"),
+    ]
