@@ -29,7 +29,7 @@ def resolved(location: Column, base: Column) -> Column:
     out = (
         F.when(location.rlike(r"(?i)^https?:/*(?:[?#]|$)"), F.lit(None)).when(location.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), location)
         .when(location.startswith("//"), F.concat(scheme, location)).when(location.startswith("/"), F.concat(origin, location))
-        .when(location.rlike(r"^[?#]"), F.concat(origin, F.when(path == "", "/").otherwise(path), location)).otherwise(F.concat(origin, folder, location))
+        .when(location.startswith("#"), F.concat(F.substring_index(base, "#", 1), location)).when(location.startswith("?"), F.concat(origin, F.when(path == "", "/").otherwise(path), location)).otherwise(F.concat(origin, folder, location))
     )
     host = F.lower(F.regexp_extract(out, r"(?i)^https?://[^/?#]*", 0))
     rest = F.substring(out, F.length(host) + 1, F.length(out))

@@ -205,3 +205,11 @@ def complete_months(as_of: Column, count: int, lag: int = 3, retention: int = 48
     held = F.trunc(F.date_sub(as_of, lag), "month")
     firsts = F.sequence(F.add_months(held, -count), F.add_months(held, -1), F.expr("INTERVAL 1 MONTH"))
     return F.transform(F.filter(firsts, lambda d: d >= F.date_sub(as_of, retention)), lambda d: F.date_format(d, "yyyy-MM"))
+
+
+def window_at(as_of: Column, days: int = 28, lag: int = 3, retention: int = 480) -> Column:
+    """window_of() of a day in a column: first and last day of the window, and those of the window before it."""
+    end = F.date_sub(as_of, lag)
+    first = F.greatest(F.date_sub(end, days - 1), F.date_sub(as_of, retention))
+    length = F.datediff(end, first) + 1
+    return F.struct(first.alias("first"), end.alias("last"), F.date_sub(first, length).alias("first_before"), F.date_sub(first, 1).alias("last_before"))

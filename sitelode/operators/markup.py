@@ -250,6 +250,31 @@ def canonical_conflicts(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", canonical.alias("canonical"), stated.alias("stated"), conflict.alias("conflict"))
 
 
+def crawlability(pages: DataFrame) -> DataFrame:
+    """page_id, kind, value: what keeps a page from being read or named as it means to, a row per finding.
+
+    pages: page_id, url, canonical (of the html), link (the Link header), robots (the meta tag's content), x_robots_tag, allowed
+    (whether robots.txt lets the crawler in; null if that couldn't be read). Of a canonical: html_vs_http if the two mean different
+    addresses, then invalid (a fragment, or no host), relative or cross_domain. noindex and none of the directives, and
+    noindex_unseen where the crawler is kept from reading them."""
+    header = F.nullif(F.regexp_extract(F.coalesce("link", F.lit("")), r'(?i)<([^>]+)>;\s*rel="canonical"', 1), F.lit(""))
+    html = F.when(F.trim("canonical") != "", F.trim("canonical"))
+    rows = pages.select("page_id", "url", html.alias("html"), header.alias("header"), F.lower(F.concat_ws(",", "robots", "x_robots_tag")).alias("said"), "allowed")
+    rows = rows.withColumn("canonical", F.coalesce("html", "header")).withColumn("means", resolved(F.col("canonical"), F.col("url")))
+    host = lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    c = F.col("canonical")
+    absolute = c.rlike(r"(?i)^https?://")
+    kind = F.when(c.startswith("#") | absolute & (F.coalesce(host(F.col("means")), F.lit("")) == ""), "invalid").when(~absolute, "relative").when(host(F.col("means")) != host(F.col("url")), "cross_domain")
+    same = urls.same_url(resolved(F.col("html"), F.col("url")), resolved(F.col("header"), F.col("url")))
+    bars = F.col("said").contains("noindex") | F.col("said").contains("none")
+    row = lambda when, kind, value: F.when(when, F.struct(kind.alias("kind"), value.alias("value")))
+    found = [
+        row(F.col("html").isNotNull() & F.col("header").isNotNull() & ~same, F.lit("html_vs_http"), F.col("header")), row(kind.isNotNull(), kind, c), row(F.col("said").contains("noindex"), F.lit("noindex"), F.col("said")),
+        row(F.col("said").contains("none"), F.lit("none"), F.col("said")), row(bars & (F.col("allowed") == F.lit(False)), F.lit("noindex_unseen"), F.col("said")),
+    ]
+    return rows.select("page_id", F.inline(F.array_compact(F.array(*found))))
+
+
 def technical_gate(pages: DataFrame) -> DataFrame:
     """page_id, met and what fails, in order. pages: page_id, allowed (the crawler's verdict), status, robots (the meta tags'
     contents), x_robots_tag. Met if the crawler may fetch it, it answers 200 and nothing removes it from the index."""

@@ -39,6 +39,8 @@ def _corrections(s, d):
 
 QUERIES = {
     "hourly_baseline": lambda s, d: op.hourly_baseline(_cells(s, d), _CUT),
+    "hourly_change": lambda s, d: op.hourly_baseline(_cells(s, d), _CUT).select("date", "hour", *[F.coalesce(F.round(op.change_shown(F.col("clicks"), F.col(c), 200.0), 6), F.lit(-999.0)).alias(f"against_{c}") for c in ("baseline", "week_ago")]),
+    "report_windows": lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", op.window_at(F.col("day"), 90, retention=60).alias("w")).select("day", "w.*"),
     "content_decay": lambda s, d: op.content_decay(_page_month(s, d), _DECAY, min_peak=5.0),
     "metric_movement": lambda s, d: op.movement(readings(s, d), _registry(s)),
     "metric_monthly": lambda s, d: op.monthly(readings(s, d)),
@@ -61,6 +63,11 @@ p AS (SELECT *, date::TIMESTAMP + to_hours(hour) >= TIMESTAMP '{_CUT}' AS partia
 SELECT date, hour, clicks, partial, (SELECT avg(clicks) FROM p b WHERE b.hour = a.hour AND b.date < a.date AND NOT b.partial) AS baseline,
   (SELECT count(*) FROM p b WHERE b.hour = a.hour AND b.date < a.date AND NOT b.partial) AS days,
   (SELECT max(clicks) FROM p b WHERE b.hour = a.hour AND b.date = a.date - 7 AND NOT b.partial) AS week_ago FROM p a""",
+    "report_windows": "SELECT DISTINCT o_orderdate::DATE AS day, o_orderdate::DATE - 60 AS first, o_orderdate::DATE - 3 AS last, o_orderdate::DATE - 118 AS first_before, o_orderdate::DATE - 61 AS last_before FROM orders",
+    "hourly_change": f"""WITH c AS (SELECT ts::DATE AS date, hour(ts)::INT AS hour, sum(value) AS clicks FROM events GROUP BY ALL),
+p AS (SELECT *, date::TIMESTAMP + to_hours(hour) >= TIMESTAMP '{_CUT}' AS partial FROM c),
+b AS (SELECT date, hour, clicks, (SELECT avg(clicks) FROM p b WHERE b.hour = a.hour AND b.date < a.date AND NOT b.partial) AS baseline, (SELECT max(clicks) FROM p b WHERE b.hour = a.hour AND b.date = a.date - 7 AND NOT b.partial) AS week_ago FROM p a)
+SELECT date, hour, coalesce(CASE WHEN baseline >= 200 THEN round(100 * (clicks / baseline - 1), 6) END, -999) AS against_baseline, coalesce(CASE WHEN week_ago >= 200 THEN round(100 * (clicks / week_ago - 1), 6) END, -999) AS against_week_ago FROM b""",
     "content_decay": f"""WITH {_PM}, spine AS (SELECT unnest({_DECAY!r}) AS month, unnest(range({len(_DECAY)}))::INT AS i),
 g AS (SELECT p.page, s.month, s.i, coalesce(pm.clicks, 0) AS clicks FROM (SELECT DISTINCT page FROM pm) p CROSS JOIN spine s LEFT JOIN pm ON pm.page = p.page AND pm.month = s.month),
 m AS (SELECT *, avg(clicks) OVER (PARTITION BY page ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mean3 FROM g),

@@ -91,7 +91,17 @@ def _gate(s, d):
 
 _DEEPER = "concat(html, '<h', page_id % 4 + 2, ' id=\"x\">A <b>b</b>  c</h', page_id % 4 + 2, '><H3>d</H3><h2>e</h2>')"
 
+_NAMED = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN '#x' WHEN 2 THEN '/c' WHEN 3 THEN 'HTTPS://Other.example/x' WHEN 4 THEN 'https://' WHEN 5 THEN ' ' WHEN 6 THEN '?q' END"
+_HEADED = "CASE page_id % 3 WHEN 0 THEN concat('<', url, '>; rel=\"canonical\"') WHEN 1 THEN '<//other.example/x>; REL=\"canonical\", <y>; rel=next' END"
+
+
+def _crawlable(s, d):
+    p = table(s, d, "pages").select("page_id", "url", F.expr(_NAMED).alias("canonical"), F.expr(_HEADED).alias("link"), F.expr(_ROBOTS).alias("robots"), F.expr(_TAG).alias("x_robots_tag"), F.expr("CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false END").alias("allowed"))
+    return op.crawlability(p)
+
+
 QUERIES = {
+    "crawlability": _crawlable,
     "jsonld_types": lambda s, d: _nodes(s, d).select("p_partkey", F.size("nodes").alias("nodes"), F.array_join(op.declared_types(F.col("nodes")), ",").alias("types")),
     "schema_validation": _validated,
     "hreflang_checks": _hreflang,
@@ -155,6 +165,11 @@ _GOOD = f"(lower(lang) = 'x-default' OR (regexp_matches(lang, '(?i)^[a-z]{{2}}(-
 _HAVE = lambda c: f"coalesce({_HEADERS[c]}, '') <> ''"
 _SET = {k: f"({v})" for k, v in _HEADERS.items()}
 ORACLES = {
+    "crawlability": f"""WITH p AS (SELECT page_id, url, page_id % 8 AS m, page_id % 3 AS h, trim({_NAMED}) AS c, {_HEADED} AS link, lower(concat_ws(',', {_ROBOTS}, {_TAG})) AS said FROM pages),
+q AS (SELECT *, CASE h WHEN 0 THEN url WHEN 1 THEN '//other.example/x' END AS header, m IN (0, 1, 2, 3, 4, 6) AS stated FROM p)
+SELECT page_id, 'html_vs_http' AS kind, header AS value FROM q WHERE stated AND header IS NOT NULL AND NOT (m = 3 AND h = 1) AND NOT (m IN (0, 1) AND h = 0)
+UNION ALL SELECT page_id, CASE WHEN stated THEN CASE m WHEN 1 THEN 'invalid' WHEN 2 THEN 'relative' WHEN 3 THEN 'cross_domain' WHEN 4 THEN 'invalid' WHEN 6 THEN 'relative' END ELSE CASE WHEN h = 1 THEN 'relative' END END AS kind, CASE WHEN stated THEN c ELSE header END FROM q WHERE kind IS NOT NULL
+UNION ALL SELECT page_id, 'noindex', said FROM q WHERE contains(said, 'noindex') UNION ALL SELECT page_id, 'none', said FROM q WHERE contains(said, 'none') UNION ALL SELECT page_id, 'noindex_unseen', said FROM q WHERE regexp_matches(said, 'noindex|none') AND page_id % 4 = 1""",
     "jsonld_types": f"WITH {_N}, u AS (SELECT p_partkey, count(*) AS c FROM n GROUP BY 1), x AS (SELECT p_partkey, unnest(types) AS y FROM n) SELECT p_partkey, any_value(c)::INT AS nodes, string_agg(DISTINCT y, ',' ORDER BY y) AS types FROM x JOIN u USING (p_partkey) GROUP BY 1",
     "schema_validation": f"""WITH {_N}, y AS (SELECT p_partkey, v, types[1] AS type FROM n), e AS (SELECT p_partkey, type, list_filter({_ERRORS}, lambda z: z IS NOT NULL) AS errors, list_filter({_WARNINGS}, lambda z: z IS NOT NULL) AS warnings FROM y)
 SELECT p_partkey, type, array_to_string(errors, '; ') AS errors, array_to_string(warnings, '; ') AS warnings, len(errors) = 0 AS valid FROM e""",

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from sitelode.operators import declarations as op
-from sitelode.operators import history
+from sitelode.operators import history, markup
 from sitelode.sources import dom
 
 
@@ -61,3 +61,21 @@ def test_complete_months_are_those_of_a_day(spark):
     for count in (1, 12, 40):
         got = {r.d: r.m for r in spark.createDataFrame([(d,) for d in days], "d date").select("d", history.complete_months(F.col("d"), count).alias("m")).collect()}
         assert got == {d: history.calendar_months(d, count) for d in days}
+
+
+def test_windows_are_those_of_a_day(spark):
+    days = [date(2024, 3, 2), date(2023, 12, 31)]
+    for n, retention in ((28, 480), (90, 60)):
+        for r in spark.createDataFrame([(d,) for d in days], "d date").select("d", history.window_at(F.col("d"), n, retention=retention).alias("w")).collect():
+            window = history.window_of(r.d, n, retention=retention)
+            assert tuple(r.w) == (*window, *history.preceding(window))
+
+
+def test_crawlability(spark):
+    url = "https://x.example/a"
+    rows = [
+        (1, url, "/a", f'<{url}>; rel="canonical"', None, None, True), (2, url, "https://y.example/", '<https://x.example/a>; rel="canonical"', "Index", None, None), (3, url, "#top", None, "NOINDEX", "none", False),
+        (4, url, None, '<b>; rel="canonical"', "max-snippet:-1", None, False), (5, url, "https:///", None, None, "googlebot: noindex", None), (6, None, None, None, None, None, None), (7, url, "https://x.example/b", None, None, None, True),
+    ]
+    got = markup.crawlability(spark.createDataFrame(rows, "page_id long, url string, canonical string, link string, robots string, x_robots_tag string, allowed boolean")).collect()
+    assert sorted((r.page_id, r.kind) for r in got) == [(1, "relative"), (2, "cross_domain"), (2, "html_vs_http"), (3, "invalid"), (3, "noindex"), (3, "noindex_unseen"), (3, "none"), (4, "relative"), (5, "invalid"), (5, "noindex")]
