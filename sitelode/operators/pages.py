@@ -182,6 +182,48 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return agents.join(grouped.where("field <> 'user-agent'").select("host", "g", F.col("field").alias("kind"), F.col("value").alias("pattern")), ["host", "g"], "left").select("host", "agent", "kind", "pattern")
 
 
+#: What site owners can say of the use of their pages, and how much of a file is read.
+USES = ("search", "ai-input", "ai-train")
+MOST_BYTES = 500 * 1024
+
+
+def _robots_lines(files: DataFrame) -> DataFrame:
+    """host, line (from 1), bare (without comments), field, value, and g, the group that a line belongs to (0 before the first)."""
+    rows = files.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("i", "raw")).select("host", (F.col("i") + 1).alias("line"), F.trim(F.substring_index("raw", "#", 1)).alias("bare")).where("bare <> ''")
+    rows = rows.withColumns({"field": F.lower(F.trim(F.regexp_extract("bare", r"^([^:]*):", 1))), "value": F.trim(F.regexp_extract("bare", r"^[^:]*:(.*)$", 1)), "colon": F.contains("bare", F.lit(":"))})
+    w = Window.partitionBy("host").orderBy("line")
+    # lines that begin or fill a group; an agent begins one unless it follows another agent
+    counts = F.col("colon") & ((F.col("field") == "user-agent") & (F.col("value") != "") | F.col("field").isin("allow", "content-signal") & (F.col("value") != "") | (F.col("field") == "disallow"))
+    last = F.last(F.when(counts, F.col("field")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts & (F.col("field") == "user-agent") & (F.coalesce(last, F.lit("")) != "user-agent")
+    return rows.withColumn("s", starts.cast("int")).withColumn("g", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("s")
+
+
+def robots_issues(files: DataFrame) -> DataFrame:
+    """host, line, issue: what is wrong with a file, line by line, line 0 being the file itself. files: host, text."""
+    rows = _robots_lines(files)
+    ruled = F.col("field").isin("allow", "disallow", "content-signal")
+    issue = F.when(~F.col("colon"), "no colon").when((F.col("value") == "") & (F.col("field") != "disallow"), "empty value").when(ruled & (F.col("g") == 0), "before any user-agent")
+    large = files.where(F.octet_length("text") > MOST_BYTES).select("host", F.lit(0).alias("line"), F.lit("too large").alias("issue"))
+    return rows.select("host", "line", issue.alias("issue")).where("issue IS NOT NULL").unionByName(large)
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """host, line, url: the sitemaps that a file names, whatever group they stand in."""
+    return _robots_lines(files).where((F.col("field") == "sitemap") & (F.col("value") != "")).select("host", "line", F.col("value").alias("url"))
+
+
+def robots_uses(files: DataFrame) -> DataFrame:
+    """host, agent, use, preference (yes or no): what a file says of the use of pages, agent by agent; of several lines of a group the
+    last counts, what names no use or says neither yes nor no is left out."""
+    rows = _robots_lines(files).where("g > 0")
+    agents = rows.where((F.col("field") == "user-agent") & (F.col("value") != "")).select("host", "g", F.lower("value").alias("agent")).distinct()
+    said = rows.where(F.col("field") == "content-signal").select("host", "g", "line", F.posexplode(F.split("value", ",")).alias("at", "pair"))
+    said = said.select("host", "g", "line", "at", F.lower(F.trim(F.substring_index("pair", "=", 1))).alias("use"), F.lower(F.trim(F.regexp_extract("pair", "=(.*)$", 1))).alias("preference"))
+    last = said.where(F.col("use").isin(*USES) & F.col("preference").isin("yes", "no")).groupBy("host", "g", "use").agg(F.max_by("preference", F.struct("line", "at")).alias("preference"))
+    return agents.join(last, ["host", "g"]).select("host", "agent", "use", "preference")
+
+
 def groups_of(rules_: DataFrame, agents: DataFrame) -> DataFrame:
     """host, crawler, kind, pattern: the rules that hold for each crawler, those of the longest declared name that begins its
     own, of * if there is none. agents: crawler; a few rows. Groups without a rule keep a row with nulls."""

@@ -39,6 +39,14 @@ def _access(s, d):
     return on_page.robots_access(rules, s.createDataFrame([("GPTBot",), ("Other",)], "crawler string")).withColumn("restrictions", F.array_join("restrictions", " "))
 
 
+_FILE = """concat('# Sitemap: none', chr(10), CASE WHEN s_suppkey % 2 = 0 THEN 'Disallow: /early' ELSE 'Sitemap:https://x.example/1 # one' END, chr(10), 'User-Agent: A', chr(10), 'User-agent : b', chr(10), 'no colon here', chr(10), 'Content-Signal: search=yes, ai-train = ', CASE s_suppkey % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'maybe' ELSE 'YES' END, chr(10),
+  'Allow:', chr(10), CASE WHEN s_suppkey % 5 = 0 THEN 'User-agent: c' ELSE 'Crawl-delay: 5' END, chr(10), 'Content-signal: search=no,ads=yes', chr(10), 'sitemap: s', s_suppkey)"""
+
+
+def _files(s, d):
+    return table(s, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("host"), F.expr(_FILE).alias("text"))
+
+
 def _landings(s, d):
     rows = table(s, d, "events").groupBy(F.expr("concat('/', user_id % 50)").alias("landing_page")).agg(F.count("*").alias("sessions"), F.count_if(F.col("event_type") == "purchase").alias("key_events"))
     return sessions.busiest_landings(rows, 20)
@@ -54,6 +62,9 @@ QUERIES = {
     "sitemap_roots": _roots,
     "field_source": _field,
     "robots_access": _access,
+    "robots_issues": lambda s, d: on_page.robots_issues(_files(s, d)),
+    "robots_sitemaps": lambda s, d: on_page.robots_sitemaps(_files(s, d)),
+    "robots_uses": lambda s, d: on_page.robots_uses(_files(s, d)),
     "robots_status": lambda s, d: table(s, d, "events").select("event_id", on_page.robots_status((F.col("event_id") % 600).cast("int")).alias("state")),
     "offsite_presence": lambda s, d: on_page.presence(table(s, d, "events").select("user_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type") == "view").alias("found")), "user_id"),
     "busiest_landings": _landings,
@@ -76,6 +87,11 @@ SELECT DISTINCT p.origin, coalesce(url, p.origin || '/sitemap.xml') AS url, coal
   CASE WHEN page_id % 5 = 4 THEN 0.5 WHEN page_id % 3 = 0 THEN page_id WHEN page_id % 3 = 2 AND page_id % 2 = 0 THEN -1.0 - page_id ELSE 0.5 END::DOUBLE AS p75 FROM pages""",
     "robots_access": """SELECT s_suppkey::VARCHAR AS host, crawler, CASE WHEN crawler = 'GPTBot' AND s_suppkey % 3 = 0 THEN true ELSE s_suppkey % 4 = 0 END AS blocked,
   CASE WHEN crawler = 'GPTBot' AND s_suppkey % 3 = 0 THEN '/*' ELSE CASE s_suppkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '/a /b' || s_suppkey % 3 WHEN 2 THEN '/' ELSE '' END END AS restrictions FROM supplier, (VALUES ('GPTBot'), ('Other')) AS c(crawler)""",
+    "robots_issues": """SELECT s_suppkey AS host, 2 AS line, 'before any user-agent' AS issue FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 5, 'no colon' FROM supplier UNION ALL SELECT s_suppkey, 7, 'empty value' FROM supplier""",
+    "robots_sitemaps": "SELECT s_suppkey AS host, 2 AS line, 'https://x.example/1' AS url FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 10, 's' || s_suppkey FROM supplier",
+    "robots_uses": """WITH s AS (SELECT s_suppkey AS host, s_suppkey % 3 AS t, s_suppkey % 5 = 0 AS own FROM supplier)
+SELECT host, agent, 'search' AS use, CASE WHEN own THEN 'yes' ELSE 'no' END AS preference FROM s, (VALUES ('a'), ('b')) AS v(agent) UNION ALL SELECT host, agent, 'ai-train', CASE t WHEN 0 THEN 'no' ELSE 'yes' END FROM s, (VALUES ('a'), ('b')) AS v(agent) WHERE t <> 1
+UNION ALL SELECT host, 'c', 'search', 'no' FROM s WHERE own""",
     "robots_status": "SELECT event_id, CASE WHEN event_id % 600 IN (404, 410) THEN 'absent' WHEN event_id % 600 // 100 = 2 THEN 'read' ELSE 'unavailable' END AS state FROM events",
     "offsite_presence": "SELECT user_id, count(*) FILTER (event_id % 3 > 0) AS answered, count(*) FILTER (event_id % 3 > 0 AND event_type = 'view') AS found, count(*) FILTER (event_id % 3 = 0) AS unchecked FROM events GROUP BY 1",
     "busiest_landings": "SELECT '/' || user_id % 50 AS landing_page, count(*) AS sessions, count(*) FILTER (event_type = 'purchase') AS key_events FROM events GROUP BY 1 ORDER BY key_events DESC, sessions DESC, landing_page LIMIT 20",

@@ -78,3 +78,11 @@ def test_presence_and_order(spark):
     assert sorted(map(tuple, pages.presence(df, "brand").collect())) == [("a", 2, 1, 1), ("b", 0, 0, 1)]
     rows = spark.createDataFrame([("x", 5, 1), ("y", 9, 1), ("z", 1, 2), (None, 9, 1)], "landing_page string, sessions long, key_events long")
     assert [r.landing_page for r in sessions.busiest_landings(rows, 3).collect()] == ["z", "y", None]
+
+
+def test_robots_files_line_by_line(spark):
+    text = "Allow: /x\nSITEMAP: a\n\nUser-agent: A # one\nuser-agent:\nUser-Agent: B\nSitemap:\nbroken\nContent-Signal: search=yes, ai-train=no,search = no, ads=no, ai-input\n# c\nUser-agent: C\nDisallow:\ncontent-signal: AI-Input=YES"
+    files = spark.createDataFrame([("h", text), ("large", "#" * 600_000), ("empty", ""), ("none", None)], "host string, text string")
+    assert sorted(map(tuple, pages.robots_issues(files).collect())) == [("h", 1, "before any user-agent"), ("h", 5, "empty value"), ("h", 7, "empty value"), ("h", 8, "no colon"), ("large", 0, "too large")]
+    assert [tuple(r) for r in pages.robots_sitemaps(files).collect()] == [("h", 2, "a")]
+    assert sorted(map(tuple, pages.robots_uses(files).collect())) == [("h", "a", "ai-train", "no"), ("h", "a", "search", "no"), ("h", "b", "ai-train", "no"), ("h", "b", "search", "no"), ("h", "c", "ai-input", "yes")]
