@@ -140,7 +140,7 @@ def test_content_analysis(spark):
     hard = "<h2>a</h2><h5>b</h5><h3> </h3><p>" + "Institutional considerations notwithstanding, organizational responsibilities necessitate comprehensive reconsideration " * 30 + ".</p><a href='https://y.example'>b</a>"
     rows = [(1, "https://x.example/p", easy), (2, "https://x.example/p", hard), (3, "https://x.example/p", None), (4, "https://x.example/p", "<h1>a</h1><h1>b</h1>" + "word " * 50)]
     got = {r.page_id: r for r in op.content_analysis(dom.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"), keep=("page_id", "url"))).collect()}
-    assert got[1].issues == [] and (got[1].sentences, got[1].paragraphs, got[1].links, got[1].internal) == (3, 1, 2, 1) and got[1].per_thousand == round(2000 / got[1].words)
+    assert got[1].issues == [] and (got[1].sentences, got[1].paragraphs, got[1].links, got[1].internal) == (4, 1, 2, 1) and got[1].per_thousand == round(2000 / got[1].words)
     assert got[2].issues == ["very difficult", "no H1", "H2 to H5", "no internal links", "few different words"]
     assert got[3].issues == ["very difficult", "no H1", "no links", "few different words"] and (got[3].words, got[3].density, got[3].per_thousand) == (0, 0.0, 0)
     assert got[4].issues[-3:] == ["several H1", "no links", "few different words"]
