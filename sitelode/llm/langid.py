@@ -69,10 +69,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, n = np.unique(ngrams(text), return_counts=True)
             held[lang].append((codes, n))
             size += len(codes)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 held = defaultdict(list, {k: [merged(v)] for k, v in held.items()})
                 size = sum(len(v[0][0]) for v in held.values())
-                if size > 1_500_000:
+                if size > 500_000:
                     yield from out()
                     held, size = defaultdict(list), 0
     yield from out()
