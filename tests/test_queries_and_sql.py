@@ -28,3 +28,8 @@ def pages(*rows):
 def test_ai_visibility_on_the_border_of_figures(spark, tmp_path):
     got, want = both(spark, tmp_path, "ai_visibility", pages=pages(*[(9 * n + 5, page("word " * n)) for n in (309, 310)]))
     assert got == want and len({r[6] for r in want}) == 2
+
+
+def test_eeat_categories_on_the_border_of_length(spark, tmp_path):
+    got, want = both(spark, tmp_path, "eeat_categories", pages=pages(*[(9 * n + 5, page("word " * n)) for n in (1490, 1491)]))
+    assert got == want and {r[2] for r in want if r[1] == "expertise"} == {2, 5}
