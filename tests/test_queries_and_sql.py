@@ -33,3 +33,9 @@ def test_ai_visibility_on_the_border_of_figures(spark, tmp_path):
 def test_eeat_categories_on_the_border_of_length(spark, tmp_path):
     got, want = both(spark, tmp_path, "eeat_categories", pages=pages(*[(9 * n + 5, page("word " * n)) for n in (1490, 1491)]))
     assert got == want and {r[2] for r in want if r[1] == "expertise"} == {2, 5}
+
+
+def test_eeat_score_on_the_border_of_length(spark, tmp_path):
+    rows = [(9 * n + 5, page("word " * n)) for n in (1490, 1491)] + [(9 * n + 8, page("word " * n, title="token = &quot")) for n in (1494, 1495, 1496)]
+    got, want = both(spark, tmp_path, "eeat_score", pages=pages(*rows))
+    assert got == want and len(want) == 5
