@@ -39,3 +39,15 @@ def test_eeat_score_on_the_border_of_length(spark, tmp_path):
     rows = [(9 * n + 5, page("word " * n)) for n in (1490, 1491)] + [(9 * n + 8, page("word " * n, title="token = &quot")) for n in (1494, 1495, 1496)]
     got, want = both(spark, tmp_path, "eeat_score", pages=pages(*rows))
     assert got == want and len(want) == 5
+
+
+def test_geo_score_by_what_follows_the_heading(spark, tmp_path):
+    open_ = [page("w " * n + "<br>").replace("</p></article>", "</article>") for n in (30, 37, 39, 45, 58, 60)]
+    got, want = both(spark, tmp_path, "geo_score", pages=pages(*[(m + 9 * (9 * n + m), html) for n, html in enumerate(open_) for m in range(9)], (1000, page("w " * 50)), (1001, page("token = &quot"))))
+    assert got == want and len(want) == 56
+
+
+def test_geo_score_of_bylines_and_figures(spark, tmp_path):
+    texts = ("By By By " + "w " * 40, "6x 7x 50.222 mil " + "w " * 90, "3 million 4%", "Por Por Por")
+    got, want = both(spark, tmp_path, "geo_score", pages=pages(*[(90 * n + m, page(t)) for n, t in enumerate(texts) for m in (2, 4, 6, 8)]))
+    assert got == want
