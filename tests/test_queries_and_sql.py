@@ -57,3 +57,10 @@ def test_publishing_entities_of_cut_titles(spark, tmp_path):
     titles = ("call +1 (907) 555-", "a - b |", "token = &quot", "x - ", "a--", "-", "", "a &amp", "a&am", "a | b - c", "a -|")
     got, want = both(spark, tmp_path, "publishing_entities", pages=pages(*[(168 * n + m, page("w", title=t)) for n, t in enumerate(titles) for m in (1, 2, 3, 6, 9)]))
     assert got == want and {"call +1 (907) 555-", "token = &quot"} <= {r[1] for r in want}
+
+
+def test_phrases_with_a_letter_that_has_no_capital(spark, tmp_path):
+    items = [(0, "Straße frei"), (12, "Straße frei"), (1, "Straße 7 frei"), (24, "Öl"), (36, "ß")]
+    texts = [(0, "die straße frei"), (1, "DIE STRASSE FREI"), (2, "Straße 7"), (3, "strasse"), (4, "öl, ß"), (5, None), (6, "ss ol")]
+    got, want = both(spark, tmp_path, "phrase_naming", documents=("doc_id BIGINT, text VARCHAR", texts), benchmark=("item_id BIGINT, text VARCHAR", items))
+    assert got == want and {(0, 0), (4, 36), (4, 24)} <= set(want)
