@@ -64,3 +64,9 @@ def test_phrases_with_a_letter_that_has_no_capital(spark, tmp_path):
     texts = [(0, "die straße frei"), (1, "DIE STRASSE FREI"), (2, "Straße 7"), (3, "strasse"), (4, "öl, ß"), (5, None), (6, "ss ol")]
     got, want = both(spark, tmp_path, "phrase_naming", documents=("doc_id BIGINT, text VARCHAR", texts), benchmark=("item_id BIGINT, text VARCHAR", items))
     assert got == want and {(0, 0), (4, 36), (4, 24)} <= set(want)
+
+
+def test_subject_entities_of_headings_as_they_stand(spark, tmp_path):
+    titles = ("Ly.&amp;&amp; Ones and&amp", "token = &quot;2abc&quot; x", "a Straße weit frei", "Straße weit &am", "x&amp;y z&amp;z w v", "w", "Öl&quot im See")
+    got, want = both(spark, tmp_path, "subject_entities", pages=pages(*[(15 * n + m, page("w", title=t)) for n, t in enumerate(titles) for m in range(15)]))
+    assert got == want and len(want) == 105
