@@ -41,6 +41,15 @@ def test_eeat_score_on_the_border_of_length(spark, tmp_path):
     assert got == want and len(want) == 5
 
 
+def test_eeat_score_on_the_border_of_length_by_what_follows_the_copy(spark, tmp_path):
+    """Each of the nine endings of a page crosses the border once, be its last paragraph closed or not, and earns 3 points by it."""
+    closed = lambda n: page("<b>" + "wört " * n + "&amp; ende.")
+    rows = [(m, n, html) for m in range(9) for n in range(1440 if m == 4 else 1476, 1500) for html in (closed(n), closed(n).replace("</p></article>", "<br></article>"))]
+    got, want = both(spark, tmp_path, "eeat_score", pages=("page_id BIGINT, url VARCHAR, html VARCHAR", [(99 * i + m, "", html) for i, (m, _, html) in enumerate(rows)]))
+    earned = [{r[1] for r in want if r[0] % 99 == m} for m in range(9)]
+    assert got == want and [max(e) - min(e) for e in earned] == [3] * 9 and all(len(e) == 2 for e in earned)
+
+
 def test_geo_score_by_what_follows_the_heading(spark, tmp_path):
     open_ = [page("w " * n + "<br>").replace("</p></article>", "</article>") for n in (30, 37, 39, 45, 58, 60)]
     got, want = both(spark, tmp_path, "geo_score", pages=pages(*[(m + 9 * (9 * n + m), html) for n, html in enumerate(open_) for m in range(9)], (1000, page("w " * 50)), (1001, page("token = &quot"))))
